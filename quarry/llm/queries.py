@@ -6,21 +6,81 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm.common import read
+from quarry.llm import line_dedup, mixing, quality_rules, sharding
+from quarry.llm.common import read, text_of
 from quarry.llm.exact_dedup import DigestIndex
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in eight shards."""
+    return sharding.assign(read(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against a new digest index."""
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}").add(read(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, removed lines and remaining text's digest of every document."""
+    cleaned = line_dedup.clean(read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(text_of(), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_sharding": op4_sharding,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_mixing": op6_mixing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]+', '', 'g')) AS marks,
+                   ('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE AS draw
+            FROM documents),
+        k AS (
+            SELECT doc_id, source, size,
+                   -ln((draw + 0.5) / 4503599627370496.0::DOUBLE)
+                     / (greatest(size, 1)::DOUBLE / (greatest(size, 1) + marks)::DOUBLE) AS key
+            FROM d),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+        w AS (
+            SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::BIGINT AS weight,
+                   2 * source_size AS cap FROM s),
+        r AS (SELECT *, cap::DOUBLE / weight::DOUBLE AS ratio FROM w),
+        l AS (
+            SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE * 1.5::DOUBLE
+                       - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+                      / (sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+            FROM r),
+        v AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, level LIMIT 1),
+        t AS (SELECT source, source_size, least(cap::DOUBLE, (SELECT level FROM v) * weight) AS target FROM l),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+        a AS (
+            SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs,
+                   coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY key, doc_id, k.size
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+            FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+        SELECT doc_id, size, source_size, target,
+               (size * (epochs + CASE WHEN ahead + size / 2.0::DOUBLE <= target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM a""",
     "op9_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -28,4 +88,16 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op10_line_dedup": r"""
+        WITH s AS (SELECT doc_id, coalesce(source, chr(0)) AS source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM s),
+        b AS (
+            SELECT line, min({'doc_id': doc_id, 'pos': pos}) AS first FROM l
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 10),
+        m AS (
+            SELECT l.doc_id, l.pos, l.line, b.line IS NOT NULL AND (l.doc_id, l.pos) <> (b.first.doc_id, b.first.pos) AS gone
+            FROM l LEFT JOIN b ON l.line = b.line)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
 }
