@@ -1,7 +1,8 @@
 r"""Quality rules: a learned decision list over counted statistics of each text.
 
 ``measure`` counts, with SQL functions alone, the words, their characters, symbols,
-lines that repeat an earlier line, and words in repeated 5-word windows.  ``learn``
+lines that repeat an earlier line, words in repeated 5-word windows, and words equal
+to the one before.  ``learn``
 turns labelled statistics into an ordered list of threshold conjunctions by
 sequential covering: a rule grows, one condition at a time, on two thirds of the
 labelled documents not yet covered; its last conditions are pruned away as the other
@@ -34,9 +35,9 @@ MAX_RULES = 8
 MAX_CONDITIONS = 3
 #: A rule must reject bad documents at this rate, and cover this many, on the pruning third.
 PRECISION = 0.9
-SUPPORT = 5
+SUPPORT = 3
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_echo_words")
 
 
 def statistics() -> dict[str, Column]:
@@ -48,11 +49,12 @@ def statistics() -> dict[str, Column]:
         "symbols_per_word": F.col("n_symbols") / words,
         "dup_lines_per_word": F.col("n_dup_lines") / words,
         "repeat_words_per_word": F.col("n_repeat_words") / words,
+        "echo_words_per_word": F.col("n_echo_words") / words,
     }
 
 
-def repeated_words(words: Column) -> Column:
-    """Number of words covered by ``WINDOW``-word windows that occur twice or more in the text."""
+def repetition(words: Column) -> Column:
+    """Words covered by ``WINDOW``-word windows found twice or more in the text, and words equal to the one before."""
 
     def covered(windows: Column) -> Column:
         def of_sorted(s: Column) -> Column:
@@ -73,19 +75,21 @@ def repeated_words(words: Column) -> Column:
     def of_hashes(h: Column) -> Column:
         starts = F.sequence(F.lit(0), F.size(h) - WINDOW)
         windows = F.transform(starts, lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))
-        return F.when(F.size(h) < WINDOW, F.lit(0)).otherwise(let(windows, covered))
+        repeated = F.when(F.size(h) < WINDOW, F.lit(0)).otherwise(let(windows, covered))
+        echo = F.size(F.filter(h, lambda x, i: F.coalesce(F.get(h, i - 1) == x, F.lit(False))))
+        return F.struct(repeated.alias("rep"), echo.alias("echo"))
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the five counts of every document."""
+    """doc_id and the counts of every document."""
     text = text_of()
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
     own = docs.select("doc_id", text.alias("text"))
     counted = own.select(
         "doc_id",
-        let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("rep"))).alias("w"),
+        let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), repetition(w).alias("again"))).alias("w"),
         F.length(F.regexp_replace("text", f"[{SPACE_CLASS}]+", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -96,7 +100,8 @@ def measure(docs: DataFrame) -> DataFrame:
         "word_chars",
         "n_symbols",
         "n_dup_lines",
-        F.col("w.rep").cast("long").alias("n_repeat_words"),
+        F.col("w.again.rep").cast("long").alias("n_repeat_words"),
+        F.col("w.again.echo").cast("long").alias("n_echo_words"),
     )
 
 
@@ -142,6 +147,11 @@ def thresholds(labelled: DataFrame) -> dict[str, list[float]]:
     return out
 
 
+def bin_of(value: Column, cuts: list[float]) -> Column:
+    """Number of the cuts that lie below the value."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda cut: cut < value))
+
+
 def step(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Condition | None, float]:
     """The condition of the greatest gain over the rows, and that gain.
 
@@ -178,9 +188,7 @@ def learn(counts: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     labelled = counts.where(~base_failed()).join(known, "doc_id").select(*COUNTS, "quality", "doc_id")
     labelled = saved(labelled)
     cuts = thresholds(labelled)
-    bins = F.array(
-        *(F.size(F.filter(F.array(*map(F.lit, v)).cast("array<double>"), lambda t, s=statistics()[k]: t < s)) for k, v in cuts.items())
-    )
+    bins = F.array(*(bin_of(statistics()[k], v) for k, v in cuts.items()))
     prune = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
     left = saved(labelled.select((F.col("quality") == 0).cast("long").alias("bad"), bins.alias("bins"), prune.alias("prune")))
     rules: list[list[Condition]] = []
