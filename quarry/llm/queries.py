@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, line_dedup, mixing, quality_rules, sharding
+from quarry.llm import bpe, chat, line_dedup, mixing, quality_rules, sharding, substring_dedup
 from quarry.llm.common import read, text_of
 from quarry.llm.exact_dedup import DigestIndex
 
@@ -25,6 +25,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark, read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one has."""
+    cleaned = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in eight shards."""
     return sharding.assign(read(spark, sf_dir, "documents"))
@@ -62,6 +68,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
@@ -71,6 +78,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13),
+        k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS key FROM p),
+        m AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key),
+        h AS (SELECT k.doc_id, list(k.i) AS starts FROM k JOIN m ON k.key = m.key WHERE m.first < k.doc_id GROUP BY k.doc_id),
+        g AS (SELECT DISTINCT doc_id, s + unnest(generate_series(0, 12)) AS j FROM (SELECT doc_id, unnest(starts) AS s FROM h)),
+        x AS (SELECT doc_id, list(j) AS gone FROM g GROUP BY doc_id),
+        y AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN x ON d.doc_id = x.doc_id)
+        SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
+               sha256(coalesce(array_to_string(list_filter(w, lambda v, i: NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+        FROM y""",
     "op6_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
