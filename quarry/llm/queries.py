@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, line_dedup, mixing, quality_rules, sharding, substring_dedup
+from quarry.llm import bpe, chat, jaccard_join, line_dedup, mixing, quality_rules, sharding, substring_dedup
 from quarry.llm.common import read, text_of
 from quarry.llm.exact_dedup import DigestIndex
 
@@ -31,6 +31,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in eight shards."""
     return sharding.assign(read(spark, sf_dir, "documents"))
@@ -69,6 +74,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
@@ -90,6 +96,22 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
                sha256(coalesce(array_to_string(list_filter(w, lambda v, i: NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
         FROM y""",
+    "op3_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        t AS (SELECT array_to_string(w, ' ') AS words, min(doc_id) AS rep, count(*) AS copies, any_value(w) AS w
+              FROM d WHERE len(w) > 0 GROUP BY words),
+        p AS (SELECT rep, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM t),
+        s AS (SELECT DISTINCT rep, array_to_string(w[i:i + 4], ' ') AS e FROM p),
+        n AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+        o AS (SELECT a.rep AS u, b.rep AS v, count(*) AS common FROM s a JOIN s b ON a.e = b.e AND a.rep <> b.rep GROUP BY u, v),
+        l AS (SELECT u, v FROM o JOIN n x ON x.rep = u JOIN n y ON y.rep = v
+              WHERE common::DOUBLE / (x.n + y.n - common)::DOUBLE >= 0.8),
+        r AS (SELECT rep AS u, rep AS v FROM t UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v),
+        c AS (SELECT u AS rep, min(v) AS class_id FROM r GROUP BY u),
+        k AS (SELECT l.u AS rep, sum(t.copies)::BIGINT AS links FROM l JOIN t ON t.rep = l.v GROUP BY l.u)
+        SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(k.links, 0) + coalesce(t.copies, 1) - 1 AS n_links,
+               coalesce(t.copies, 1) AS copies
+        FROM d LEFT JOIN t ON array_to_string(d.w, ' ') = t.words LEFT JOIN c ON c.rep = t.rep LEFT JOIN k ON k.rep = t.rep""",
     "op6_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
