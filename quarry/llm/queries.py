@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, jaccard_join, line_dedup, mixing, quality_rules, sharding, substring_dedup
+from quarry.llm import bpe, chat, jaccard_join, line_dedup, mixing, quality_knn, quality_rules, sharding, substring_dedup
 from quarry.llm.common import read, text_of
 from quarry.llm.exact_dedup import DigestIndex
 
@@ -60,6 +60,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns.unionByName(extra)))
 
 
+def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_knn.scores(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against a new digest index."""
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}").add(read(spark, sf_dir, "documents"))
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_chat": op7_chat,
+    "op8_quality_knn": op8_quality_knn,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
