@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import saved, text_of
@@ -258,3 +258,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.when(worded, F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
         F.when(worded, F.col("copies")).otherwise(1).cast("long").alias("copies"),
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without those linked to, or equal to, one with a smaller ``doc_id`` of their class.
+
+    Of rows that repeat a ``doc_id`` one stays; rows without one all stay.
+    """
+    classes = near_duplicates(docs)
+    first = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    kept = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
+    kept = kept.withColumn("quarry_nth", F.row_number().over(order)).where("quarry_nth = 1").drop("quarry_nth")
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))

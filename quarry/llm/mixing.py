@@ -101,3 +101,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     return counted.select(
         "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """The mix itself: each document's row as often as it is taken.
+
+    Rows that repeat a ``doc_id`` are taken as often as the one taken most.
+    """
+    copies = mix(docs, weights, share, cap).where("copies > 0").groupBy(F.col("doc_id").alias("quarry_id"))
+    copies = copies.agg(F.max("copies").cast("int").alias("quarry_copies"))
+    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("quarry_id")))
+    times = F.explode(F.sequence(F.lit(1), F.col("quarry_copies")))
+    return joined.withColumn("quarry_nth", times).select(*docs.columns)

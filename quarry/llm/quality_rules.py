@@ -40,16 +40,16 @@ SUPPORT = 3
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_echo_words")
 
 
-def statistics() -> dict[str, Column]:
-    """The statistics that rules may test, over the counted columns."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
+def statistics(count=F.col) -> dict[str, Column]:
+    """The statistics that rules may test; ``count`` gives the column of a count's name."""
+    words = F.greatest(count("n_words"), F.lit(1))
     return {
-        "n_words": F.col("n_words").cast("double"),
-        "mean_word_chars": F.col("word_chars") / words,
-        "symbols_per_word": F.col("n_symbols") / words,
-        "dup_lines_per_word": F.col("n_dup_lines") / words,
-        "repeat_words_per_word": F.col("n_repeat_words") / words,
-        "echo_words_per_word": F.col("n_echo_words") / words,
+        "n_words": count("n_words").cast("double"),
+        "mean_word_chars": count("word_chars") / words,
+        "symbols_per_word": count("n_symbols") / words,
+        "dup_lines_per_word": count("n_dup_lines") / words,
+        "repeat_words_per_word": count("n_repeat_words") / words,
+        "echo_words_per_word": count("n_echo_words") / words,
     }
 
 
@@ -82,32 +82,35 @@ def repetition(words: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
 
 
+def counts_of(text: Column) -> Column:
+    """Struct of the counts of a text."""
+
+    def all_counts(own: Column) -> Column:
+        lines = F.filter(F.split(own, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
+        words = let(words_of(own), lambda w: F.struct(F.size(w).alias("n"), repetition(w).alias("again")))
+        return let(
+            words,
+            lambda w: F.struct(
+                w["n"].cast("long").alias("n_words"),
+                F.length(F.regexp_replace(own, f"[{SPACE_CLASS}]+", "")).cast("long").alias("word_chars"),
+                (F.length(own) - F.length(F.regexp_replace(own, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+                w["again"]["rep"].cast("long").alias("n_repeat_words"),
+                w["again"]["echo"].cast("long").alias("n_echo_words"),
+            ),
+        )
+
+    return let(text, all_counts)
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id and the counts of every document."""
-    text = text_of()
-    lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
-    own = docs.select("doc_id", text.alias("text"))
-    counted = own.select(
-        "doc_id",
-        let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), repetition(w).alias("again"))).alias("w"),
-        F.length(F.regexp_replace("text", f"[{SPACE_CLASS}]+", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-    )
-    return counted.select(
-        "doc_id",
-        F.col("w.n").cast("long").alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        F.col("w.again.rep").cast("long").alias("n_repeat_words"),
-        F.col("w.again.echo").cast("long").alias("n_echo_words"),
-    )
+    return docs.select("doc_id", counts_of(text_of()).alias("counts")).select("doc_id", "counts.*")
 
 
-def base_failed() -> Column:
+def base_failed(count=F.col) -> Column:
     """The fixed rule: too short, or too repetitive."""
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return (count("n_words") < 10) | (100 * count("n_repeat_words") > 20 * count("n_words"))
 
 
 @dataclass(frozen=True)
@@ -124,15 +127,15 @@ class Condition:
         own = F.col("bins")[self.nth]
         return own >= self.bin if self.above else own < self.bin
 
-    def on_counts(self) -> Column:
-        own = statistics()[self.statistic]
+    def on_counts(self, count=F.col) -> Column:
+        own = statistics(count)[self.statistic]
         return own > self.threshold if self.above else own <= self.threshold
 
 
-def all_of(conditions, how) -> Column:
+def all_of(conditions, test) -> Column:
     out = F.lit(True)
     for x in conditions:
-        out = out & getattr(x, how)()
+        out = out & test(x)
     return out
 
 
@@ -195,14 +198,14 @@ def learn(counts: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     while len(rules) < MAX_RULES:
         rule: list[Condition] = []
         while len(rule) < MAX_CONDITIONS:
-            grow = left.where(~F.col("prune") & all_of(rule, "on_bins"))
+            grow = left.where(~F.col("prune") & all_of(rule, Condition.on_bins))
             found, _ = step(grow, cuts)
             if found is None:
                 break
             rule.append(found)
         if not rule:
             break
-        ends = [all_of(rule[: k + 1], "on_bins") for k in range(len(rule))]
+        ends = [all_of(rule[: k + 1], Condition.on_bins) for k in range(len(rule))]
         sums = left.where("prune").agg(
             *(F.count_if(c).alias(f"n{k}") for k, c in enumerate(ends)),
             *(F.coalesce(F.sum(F.when(c, F.col("bad"))), F.lit(0)).alias(f"bad{k}") for k, c in enumerate(ends)),
@@ -212,15 +215,15 @@ def learn(counts: DataFrame, labels: DataFrame) -> list[list[Condition]]:
         if sums[f"bad{k}"] < SUPPORT or sums[f"bad{k}"] < PRECISION * sums[f"n{k}"]:
             break
         rules.append(rule[: k + 1])
-        left = left.where(~all_of(rules[-1], "on_bins"))
+        left = left.where(~all_of(rules[-1], Condition.on_bins))
     return rules
 
 
-def verdict(rules: list[list[Condition]]) -> Column:
+def verdict(rules: list[list[Condition]], count=F.col) -> Column:
     """The list as one conditional: false where a rule fires, else true."""
     out = F.lit(True)
     for rule in reversed(rules):
-        out = F.when(all_of(rule, "on_counts"), F.lit(False)).otherwise(out)
+        out = F.when(all_of(rule, lambda x: x.on_counts(count)), F.lit(False)).otherwise(out)
     return out
 
 
@@ -229,3 +232,11 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts = saved(measure(docs))
     rules = learn(counts, labels)
     return counts.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of the documents that the rules keep, all columns; texts are not shuffled."""
+    rules = learn(saved(measure(docs)), labels)
+    count = lambda name: F.col(f"quarry_counts.{name}")
+    counted = docs.withColumn("quarry_counts", counts_of(text_of()))
+    return counted.where(~base_failed(count) & verdict(rules, count)).drop("quarry_counts")
