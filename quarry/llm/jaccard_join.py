@@ -23,9 +23,10 @@ a root it is connected with: never pairs.
 
 Defined cases: null texts count as empty; documents without words have no links, not
 even with each other; classes are connected components, named by their smallest
-``doc_id``; a row without ``doc_id`` has the class of its equals, or null; of different
-texts under one ``doc_id`` one takes part and the others are on their own; an empty
-table gives no rows; columns besides doc_id and text are ignored.
+``doc_id``; a row without ``doc_id`` has the class of its equals, or null; rows that repeat
+a ``doc_id`` are one document, compared by one of their texts, and a row with another
+has the class of that text's equals, or its own; an empty table gives no rows; columns
+besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -223,11 +224,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links (other documents it is linked to) and copies of every document."""
     own = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     sketched = saved(own.mapInArrow(sketch_batches, SKETCH))
-    texts = sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(
+    one = sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min_by(F.struct("h1", "h2", "mins"), F.struct("h1", "h2")).alias("x")
+    )
+    texts = one.select("doc_id", "x.*").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("mins").alias("mins")
     )
-    one = texts.groupBy("rep").agg(F.min_by(F.struct("h1", "h2", "copies", "mins"), F.struct("h1", "h2")).alias("x"))
-    sets = saved(one.select("rep", "x.*"))
+    sets = saved(texts)
 
     small, clusters = nodes_of(sets.select("rep", "mins"))
     nodes, clusters = saved(distinct_nodes(small)), saved(clusters)
