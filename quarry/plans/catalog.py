@@ -1,6 +1,469 @@
-"""Named queries of the retrieval engine with their DuckDB counterparts."""
+"""Named queries of the retrieval engine, each with the same result as DuckDB SQL.
+
+The test tables stand in for the engine's: ``documents`` gives id, title (its source)
+and metadata (its language); a line break in its text becomes a paragraph break, so
+that texts fall into several chunks.  ``benchmark`` gives questions, the user turns of
+``conversations`` plans of several steps, ``pages`` file names.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.operators import answer as A
+from quarry.operators import chunking, retrieve
+from quarry.operators.index import Index, document_frequency, inverse_frequency, normalised, term_frequency
+from quarry.operators.presets import preset_table
+from quarry.plans import oracle as O
+from quarry.sources import store
+from quarry.sources.config import PRESETS, Retrieval
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+K = 5
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL where that exists."""
+
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return register
+
+
+# --- inputs ----------------------------------------------------------------------------
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str, plain: bool = False) -> DataFrame:
+    """``doc_ord, id, title, text, metadata``."""
+    raw = F.coalesce("text", F.lit(""))
+    return read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("doc_ord"),
+        F.col("doc_id").cast("string").alias("id"),
+        F.col("source").alias("title"),
+        (raw if plain else F.replace(raw, F.lit("\n"), F.lit("\n\n"))).alias("text"),
+        F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"),
+    )
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    return Index.of(documents(spark, sf_dir))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user turns of each conversation as a plan of one step a turn."""
+    turns = read(spark, sf_dir, "conversations").where("role = 'user'")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(x["text"].alias("query"), F.lit(3).alias("dense_k")))
+    return turns.groupBy(F.col("conv_id").alias("qid")).agg(ordered.alias("steps")).withColumn("question", F.col("steps")[0]["query"])
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark question answered over all documents, with evidence and metrics."""
+    return A.answer(questions(spark, sf_dir), index(spark, sf_dir), Retrieval()).drop("steps")
+
+
+# --- sources and stores ----------------------------------------------------------------
+
+
+@query("SELECT doc_id::VARCHAR AS id, source AS title, doc_id AS doc_ord, length(text) AS n FROM documents")
+def doc_scan(spark, sf_dir):
+    return documents(spark, sf_dir, plain=True).select("id", "title", "doc_ord", F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, source AS title, text FROM documents WHERE doc_id = 17")
+def doc_lookup(spark, sf_dir):
+    return documents(spark, sf_dir, plain=True).where("id = '17'").select("id", "title", "text").limit(1)
+
+
+@query("SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def doc_delete(spark, sf_dir):
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("id"))
+    return store.deleted(documents(spark, sf_dir, plain=True), toxic).select("id")
+
+
+@query("""
+    WITH c AS (
+        SELECT doc_id AS id, 'new' AS title, 'label ' || quality AS text FROM labels
+        UNION ALL SELECT 1000000 + item_id, 'bench', text FROM benchmark),
+    l AS (SELECT max(doc_id) AS last FROM documents)
+    SELECT c.id::VARCHAR AS id, c.title, coalesce(d.doc_id, last + 1 + c.id) AS doc_ord, length(c.text) AS n
+    FROM c LEFT JOIN documents d ON d.doc_id = c.id CROSS JOIN l
+    UNION ALL
+    SELECT doc_id::VARCHAR, source, doc_id, length(text) FROM documents WHERE doc_id NOT IN (SELECT id FROM c)""")
+def doc_upsert(spark, sf_dir):
+    new = read(spark, sf_dir, "labels").select("doc_id", F.lit("new").alias("title"), F.concat(F.lit("label "), F.col("quality")).alias("text"))
+    bench = read(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000000).alias("doc_id"), F.lit("bench").alias("title"), "text")
+    empty = F.create_map().cast("map<string,string>")
+    changed = new.unionByName(bench).select(F.col("doc_id").cast("string").alias("id"), "title", "text", empty.alias("metadata"), F.col("doc_id").alias("nth"))
+    after = store.upserted(documents(spark, sf_dir, plain=True), changed)
+    return after.select("id", "title", "doc_ord", F.length("text").cast("long").alias("n"))
+
+
+@query(rf"""
+    WITH p AS (SELECT page_id, {O.file_name('url')} AS title, html FROM pages)
+    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'given.md' ELSE title END AS filename,
+           CASE WHEN page_id % 3 = 0 THEN 'given.md' ELSE title END AS original_filename,
+           {O.content_type("CASE WHEN page_id % 3 = 0 THEN 'given.md' ELSE title END")} AS content_type,
+           strlen(html)::VARCHAR AS filesize, CASE WHEN page_id % 3 = 0 THEN 'yesterday' ELSE 'now' END AS uploaded_at, 5 + (page_id % 3 = 0)::INT AS entries
+    FROM p""")
+def metadata_defaults(spark, sf_dir):
+    given = F.create_map(*map(F.lit, ("filename", "given.md", "filesize", "-1", "uploaded_at", "yesterday", "note", "kept")))
+    pages = read(spark, sf_dir, "pages").withColumn("title", F.element_at(F.split("url", "/"), -1))
+    meta = T.with_defaults(F.when(F.col("page_id") % 3 == 0, given), F.col("title"), F.col("html"), F.lit("now"))
+    rows = pages.select("page_id", meta.alias("m"))
+    keys = ("filename", "original_filename", "content_type", "filesize", "uploaded_at")
+    return rows.select("page_id", *(F.col("m")[k].alias(k) for k in keys), F.size("m").alias("entries"))
+
+
+@query("""
+    SELECT event_id AS id, event_type AS prompt, round(value, 4) AS coverage, 1 AS n_steps, 0 AS n_monitoring_steps FROM events""")
+def trace_projection(spark, sf_dir):
+    events = read(spark, sf_dir, "events")
+    step = F.struct(F.lit("planning").alias("name"), F.col("ts").alias("started_at"))
+    traces = events.select("event_id", "event_type", F.create_map(F.lit("coverage"), F.col("value")).alias("metrics"), F.array(step).alias("steps"))
+    both = traces.withColumn("all", F.size("steps"))
+    shown = store.monitoring(both)
+    return shown.select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("prompt"), F.round(F.col("metrics")["coverage"], 4).alias("coverage"),
+        F.col("all").alias("n_steps"), F.size("steps").alias("n_monitoring_steps"),
+    )
+
+
+# --- names, formats, interface transforms ----------------------------------------------
+
+
+@query(rf"SELECT page_id, {O.extension(O.file_name('url'))} AS ext, {O.content_type(O.file_name('url'))} AS content_type FROM pages")
+def ext_mime(spark, sf_dir):
+    name = F.element_at(F.split("url", "/"), -1)
+    return read(spark, sf_dir, "pages").select("page_id", T.extension(name).alias("ext"), T.content_type(name).alias("content_type"))
+
+
+@query("SELECT doc_id, replace(translate(text, '#*`>', ''), '- ', '') AS plain FROM documents")
+def markdown_strip(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.plain_markdown(F.col("text")).alias("plain"))
+
+
+@query(rf"SELECT page_id FROM pages WHERE regexp_matches({O.some_name()}, '(?i)\.(pdf|docx?|txt|md|markdown)$')")
+def upload_filter(spark, sf_dir):
+    return some_names(spark, sf_dir).where(T.uploadable(F.col("name"))).select("page_id")
+
+
+def some_names(spark, sf_dir):
+    """Page ids with names of several kinds."""
+    kinds = F.array(*map(F.lit, ("A.PDF", "x.tar.gz", ".md", "noext", "b.Md", "c.docx", "d.doc", "e.markdown", "f.txt.exe")))
+    return read(spark, sf_dir, "pages").select("page_id", kinds[(F.col("page_id") % 9).cast("int")].alias("name"))
+
+
+@query(rf"""
+    SELECT page_id, coalesce(nullif(regexp_replace({O.some_name()}, '\.[^.]+$', ''), ''), {O.some_name()}) AS title FROM pages""")
+def title_from_name(spark, sf_dir):
+    return some_names(spark, sf_dir).select("page_id", T.title_from_name(F.col("name")).alias("title"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 140 THEN substring(text, 1, 140) || '…' ELSE text END AS preview FROM documents")
+def preview(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
+
+
+@query("SELECT page_id, printf('%.2f', strlen(html) * 64 / 1048576.0::DOUBLE) AS mb FROM pages")
+def size_mb(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", T.size_mb(F.octet_length("html") * 64).alias("mb"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '0.00' ELSE printf('%.2f', value::DOUBLE) END AS shown FROM events")
+def number_format(spark, sf_dir):
+    value = F.when(F.col("event_id") % 20 == 0, F.lit(float("nan"))).when(F.col("event_id") % 10 != 0, F.col("value").cast("double"))
+    return read(spark, sf_dir, "events").select("event_id", T.number(value).alias("shown"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'Unknown' ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS shown FROM events")
+def date_time_format(spark, sf_dir):
+    iso = F.when(F.col("event_id") % 20 == 0, F.lit("no date")).when(F.col("event_id") % 10 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    return read(spark, sf_dir, "events").select("event_id", T.date_time(iso).alias("shown"))
+
+
+@query("""
+    SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, ''),
+                            nullif(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END, ''), 'Untitled') AS name FROM documents""")
+def display_name(spark, sf_dir):
+    title, name = F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")), F.when(F.col("doc_id") % 3 != 0, F.col("lang"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.display_name(title, name).alias("name"))
+
+
+@query("""
+    WITH m AS (
+        SELECT c_custkey, list_filter(list('m' || o_orderkey ORDER BY o_orderkey), lambda x: x IS NOT NULL) AS models,
+               list_filter(list(CASE WHEN o_orderstatus = 'F' THEN 'm' || o_orderkey END ORDER BY o_orderkey), lambda x: x IS NOT NULL) AS running
+        FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)
+    SELECT c_custkey, coalesce(running[1], models[1], '') AS model FROM m""")
+def role_default(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    joined = read(spark, sf_dir, "customer").join(orders, F.col("o_custkey") == F.col("c_custkey"), "left")
+    pick = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.col("o_orderkey")))), lambda k: F.concat(F.lit("m"), k))
+    models = joined.groupBy("c_custkey").agg(pick(F.lit(True)).alias("models"), pick(F.col("o_orderstatus") == "F").alias("running"))
+    return models.select("c_custkey", T.default_role_model(F.col("running"), F.col("models")).alias("model"))
+
+
+@query("""
+    WITH t AS (SELECT o_custkey, list(o_orderpriority ORDER BY o_orderkey) AS p, first(o_orderpriority ORDER BY o_orderkey DESC) AS own FROM orders GROUP BY o_custkey),
+    u AS (SELECT o_custkey, list_prepend(own, p) AS p FROM t)
+    SELECT o_custkey, array_to_string(list_filter(p, lambda x, i: list_position(p, x) = i), '|') AS profiles FROM u""")
+def profile_distinct(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("o"), F.max_by("o_orderpriority", "o_orderkey").alias("own")
+    )
+    names = F.concat(F.array("own"), F.transform("o", lambda x: x["o_orderpriority"]))
+    return orders.select("o_custkey", F.array_join(F.array_distinct(names), "|").alias("profiles"))
+
+
+@query("""
+    WITH n AS (SELECT s_suppkey, ['My Ollama', 'LM box', 'Studio', 'vllm', 'cloud', NULL][1 + s_suppkey % 6] AS name FROM supplier)
+    SELECT s_suppkey, CASE WHEN lower(coalesce(name, '')) LIKE '%ollama%' THEN 'ollama'
+                           WHEN lower(name) LIKE '%lm%' OR lower(name) LIKE '%studio%' THEN 'lmstudio' ELSE 'openai' END AS kind FROM n""")
+def provider_kind(spark, sf_dir):
+    names = F.array(*map(F.lit, ("My Ollama", "LM box", "Studio", "vllm", "cloud", None)))
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", names[(F.col("s_suppkey") % 6).cast("int")].alias("name"))
+    return rows.select("s_suppkey", T.provider_kind(F.col("name")).alias("kind"))
+
+
+# --- chunks ----------------------------------------------------------------------------
+
+
+@query(f"WITH d AS ({O.DOCS}), p AS ({O.PARAGRAPHS}) SELECT doc_ord, len(ps) AS n, array_to_string(ps, '|') AS joined FROM p")
+def paragraphs(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_ord", chunking.paragraphs(F.col("text")).alias("p"))
+    return rows.select("doc_ord", F.size("p").cast("long").alias("n"), F.array_join("p", "|").alias("joined"))
+
+
+@query(O.corpus("SELECT doc_ord, chunk_pos, chunk FROM chunks", ingest=True))
+def chunk_docs(spark, sf_dir):
+    rough = documents(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\r\n")))
+    text = F.replace(F.col("text"), F.lit("\r\n\r\n"), F.lit("\n\r\n"))
+    return rough.select("doc_ord", F.posexplode(chunking.chunks_of(text)).alias("chunk_pos", "chunk"))
+
+
+@query(O.corpus("SELECT doc_ord, chunk_pos, chunk FROM chunks", ingest=True))
+def rechunk(spark, sf_dir):
+    """Chunks of the stored text are the chunks of the text that came in."""
+    stored = documents(spark, sf_dir).select("doc_ord", chunking.canonical(chunking.chunks_of(F.col("text"))).alias("text"))
+    return stored.select("doc_ord", F.posexplode(chunking.chunks_of(F.col("text"), ingest=False)).alias("chunk_pos", "chunk"))
+
+
+@query(O.corpus("SELECT doc_ord, count(*) AS chunk_count FROM chunks GROUP BY doc_ord", ingest=True))
+def chunk_counts(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_ord", F.size(chunking.chunks_of(F.col("text"))).cast("long").alias("chunk_count"))
+
+
+@query(O.corpus("SELECT id, chunk_pos, chunk_idx, length(chunk) AS n FROM corpus"))
+def chunk_index(spark, sf_dir):
+    return index(spark, sf_dir).chunks.select("id", "chunk_pos", "chunk_idx", F.length("chunk").cast("long").alias("n"))
+
+
+# --- index -----------------------------------------------------------------------------
+
+
+@query(rf"SELECT doc_id, array_to_string({O.all_tokens('text')}, ' ') AS tokens FROM documents")
+def tokenize(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.all_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query(rf"""
+    WITH t AS (SELECT item_id, unnest({O.all_tokens('text')}) AS term FROM benchmark)
+    SELECT item_id, term, count(*) AS n FROM t WHERE term NOT IN ({O.STOP}) GROUP BY item_id, term""")
+def stopword_filter(spark, sf_dir):
+    terms = read(spark, sf_dir, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    return terms.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tables(spark, sf_dir):
+    """Chunks, term counts, rarity and weights."""
+    chunks = index(spark, sf_dir).chunks
+    tf = term_frequency(chunks, "chunk_idx", "chunk")
+    idf = inverse_frequency(document_frequency(tf), chunks.agg(F.count(F.lit(1))).scalar())
+    return chunks, tf, idf
+
+
+@query(O.corpus("SELECT chunk_idx, term, tf FROM tf"))
+def term_freq(spark, sf_dir):
+    return tables(spark, sf_dir)[1]
+
+
+@query(O.corpus("SELECT term, df FROM df"))
+def doc_freq(spark, sf_dir):
+    return document_frequency(tables(spark, sf_dir)[1])
+
+
+@query(O.corpus("SELECT count(*) AS n FROM corpus"))
+def corpus_size(spark, sf_dir):
+    return tables(spark, sf_dir)[0].agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(O.corpus("SELECT term, round(idf, 6) AS idf FROM idf"))
+def idf(spark, sf_dir):
+    return tables(spark, sf_dir)[2].select("term", F.round("idf", 6).alias("idf"))
+
+
+@query(O.corpus("SELECT chunk_idx, term, round(w, 6) AS w FROM postings"))
+def tfidf_weights(spark, sf_dir):
+    _, tf, rarity = tables(spark, sf_dir)
+    return normalised(tf, rarity, "chunk_idx").select("chunk_idx", "term", F.round("w", 6).alias("w"))
+
+
+@query(O.corpus("SELECT count(*) AS terms FROM idf"))
+def vocab_size(spark, sf_dir):
+    return tables(spark, sf_dir)[2].agg(F.count(F.lit(1)).alias("terms"))
+
+
+# --- retrieval -------------------------------------------------------------------------
+
+
+@query(O.asked("SELECT qid, term, round(qw, 6) AS qw FROM qv"))
+def query_vectors(spark, sf_dir):
+    return retrieve.question_vectors(questions(spark, sf_dir), index(spark, sf_dir)).select("qid", "term", F.round("qw", 6).alias("qw"))
+
+
+@query(O.asked("SELECT qid, count(*) AS chunks, round(sum(score), 4) AS total, round(max(score), 6) AS best FROM scores GROUP BY qid"))
+def cosine_scores(spark, sf_dir):
+    scores = retrieve.cosine_scores(questions(spark, sf_dir), index(spark, sf_dir))
+    return scores.groupBy("qid").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.sum("score"), 4).alias("total"), F.round(F.max("score"), 6).alias("best"))
+
+
+@query(O.asked("SELECT rank, chunk_idx, round(score, 6) AS score FROM top WHERE qid = 3"))
+def topk_single(spark, sf_dir):
+    one = questions(spark, sf_dir).where("qid = 3")
+    best = retrieve.top_k(retrieve.cosine_scores(one, index(spark, sf_dir)), K)
+    return best.select(F.col("rank").cast("long").alias("rank"), "chunk_idx", F.round("score", 6).alias("score"))
+
+
+@query(O.asked("SELECT qid, rank, chunk_idx, round(score, 6) AS score FROM top"))
+def topk_batch(spark, sf_dir):
+    best = retrieve.top_k(retrieve.cosine_scores(questions(spark, sf_dir), index(spark, sf_dir)), K)
+    return best.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_idx", F.round("score", 6).alias("score"))
+
+
+@query(O.asked("SELECT qid, rank, c.id || '-' || t.chunk_idx AS chunk_id, c.title, c.chunk AS snippet FROM top t JOIN corpus c ON c.chunk_idx = t.chunk_idx"))
+def chunk_doc_join(spark, sf_dir):
+    own = index(spark, sf_dir)
+    found = retrieve.evidence(retrieve.top_k(retrieve.cosine_scores(questions(spark, sf_dir), own), K), own)
+    return found.select("qid", F.col("rank").cast("long").alias("rank"), F.col("id").alias("chunk_id"), "title", "snippet")
+
+
+GATHERED = f"""SELECT q.qid, count(c.chunk) AS chunks, least(1.0, count(c.chunk) / {K}.0::DOUBLE) AS coverage,
+    coalesce(sum({O.words('c.chunk')}), 0)::BIGINT AS tokens
+    FROM q LEFT JOIN top t ON t.qid = q.qid LEFT JOIN corpus c ON c.chunk_idx = t.chunk_idx GROUP BY q.qid"""
+
+
+@query(O.asked(GATHERED, blank=True))
+def gather_coverage(spark, sf_dir):
+    """Every fifth question is blank or has stop words only."""
+    asked = questions(spark, sf_dir).withColumn("question", F.when(F.col("qid") % 5 == 0, F.when(F.col("qid") % 2 == 0, " ").otherwise("the of and")).otherwise(F.col("question")))
+    return retrieve.gathered(asked, index(spark, sf_dir), K)
+
+
+@query(f"SELECT doc_id, {O.words('text')} AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("tokens"))
+
+
+# --- plans and answers -----------------------------------------------------------------
+
+
+@query("""
+    SELECT * FROM (VALUES
+        ('fast', false, 3, 5, 10, 3, false, 800, 'off', false, 0.5::DOUBLE, 2048),
+        ('balanced', false, 5, 10, 10, 5, false, 1600, 'off', false, 0.7::DOUBLE, 4096),
+        ('thorough', false, 10, 20, 10, 8, false, 3000, 'off', false, 0.9::DOUBLE, 8192))
+    t(name, hybrid, dense_k, sparse_k, rerank_pool, top_n, compression, target_tokens, raptor, graph, coverage_target, max_context_tokens)""")
+def presets(spark, sf_dir):
+    return preset_table(spark)
+
+
+@query("""
+    SELECT item_id AS qid, p.name AS preset, 1 AS n_steps, text AS query, dense_k, target_tokens, coverage_target
+    FROM benchmark, (VALUES ('fast', 3, 800, 0.5::DOUBLE), ('balanced', 5, 1600, 0.7::DOUBLE), ('thorough', 10, 3000, 0.9::DOUBLE)) p(name, dense_k, target_tokens, coverage_target)""")
+def plan_presets(spark, sf_dir):
+    asked, out = questions(spark, sf_dir), None
+    for name, preset in PRESETS.items():
+        own = A.planned(asked, preset).select(
+            "qid", F.lit(name).alias("preset"), F.size("steps").alias("n_steps"), F.col("steps")[0]["query"].alias("query"),
+            F.col("steps")[0]["dense_k"].alias("dense_k"), "target_tokens", "coverage_target",
+        )
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(O.steps("SELECT qid, step, rank, chunk_idx FROM hits"))
+def multi_step_union(spark, sf_dir):
+    plan = A.planned(conversations(spark, sf_dir), Retrieval())
+    hits = A.step_hits(plan, index(spark, sf_dir))
+    return hits.select("qid", F.col("step").cast("long").alias("step"), F.col("rank").cast("long").alias("rank"), "chunk_idx")
+
+
+@query(O.steps("SELECT qid, nth, chunk_idx FROM once"))
+def dedupe_chunks(spark, sf_dir):
+    plan = A.planned(conversations(spark, sf_dir), Retrieval())
+    once = A.first_of_each(A.step_hits(plan, index(spark, sf_dir)))
+    return once.select("qid", F.col("nth").cast("long").alias("nth"), "chunk_idx")
+
+
+@query(O.asked("SELECT qid, rank AS nth, chunk_idx FROM ranked WHERE rank <= CASE WHEN qid % 2 = 0 THEN 3 ELSE 2 END"))
+def fallback_topk(spark, sf_dir):
+    """Even questions ask for nothing and so fall back to the best three; odd ones ask for two."""
+    own = index(spark, sf_dir)
+    step = F.struct(F.col("question").alias("query"), F.when(F.col("qid") % 2 == 0, 0).otherwise(2).alias("dense_k"))
+    plan = A.planned(questions(spark, sf_dir).withColumn("steps", F.array(step)), Retrieval())
+    hits = A.with_fallback(plan, A.first_of_each(A.step_hits(plan, own)), own)
+    return hits.select("qid", F.col("nth").cast("long").alias("nth"), "chunk_idx")
+
+
+def answers(spark, sf_dir, asked=None):
+    return A.answer(questions(spark, sf_dir) if asked is None else asked, index(spark, sf_dir), Retrieval())
+
+
+@query(O.answered("SELECT qid, n_chunks, unique_sources FROM answers"))
+def unique_sources(spark, sf_dir):
+    return answers(spark, sf_dir).select("qid", "n_chunks", "unique_sources")
+
+
+@query(O.answered("SELECT qid, context, tokens FROM answers"))
+def context_assembly(spark, sf_dir):
+    return answers(spark, sf_dir).select("qid", "context", "tokens")
+
+
+@query(O.answered("SELECT qid, answer FROM answers", blank=True))
+def no_provider_answer(spark, sf_dir):
+    asked = questions(spark, sf_dir).withColumn("question", F.when(F.col("qid") % 5 == 0, F.when(F.col("qid") % 2 == 0, " ").otherwise("the of and")).otherwise(F.col("question")))
+    return answers(spark, sf_dir, asked).select("qid", "answer")
+
+
+@query(O.answered("SELECT qid, n_chunks, round(coverage, 6) AS coverage, tokens FROM answers"))
+def answer_metrics(spark, sf_dir):
+    return answers(spark, sf_dir).select("qid", "n_chunks", F.round("coverage", 6).alias("coverage"), "tokens")
+
+
+@query(O.answered("SELECT count(*) AS questions, round(avg(coverage), 6) AS average_coverage, round(avg(tokens), 4) AS average_tokens FROM answers", blank=True))
+def evaluation_avg(spark, sf_dir):
+    asked = questions(spark, sf_dir).withColumn("question", F.when(F.col("qid") % 5 == 0, F.when(F.col("qid") % 2 == 0, " ").otherwise("the of and")).otherwise(F.col("question")))
+    means = A.evaluation(answers(spark, sf_dir, asked))
+    return means.select("questions", F.round("average_coverage", 6).alias("average_coverage"), F.round("average_tokens", 4).alias("average_tokens"))
+
+
+@query(O.answered("SELECT qid, answer, n_chunks, round(coverage, 6) AS coverage, tokens, unique_sources FROM answers"))
+def answer_all(spark, sf_dir):
+    """The whole path for all questions: chunk, index, retrieve, assemble, answer."""
+    return answers(spark, sf_dir).select("qid", "answer", "n_chunks", F.round("coverage", 6).alias("coverage"), "tokens", "unique_sources")
