@@ -11,7 +11,7 @@ groups of about ``group_bytes`` of text.
    equal 13-word windows, wherever they start, have an anchor at the same offset.
    Each group sends its distinct anchors, packed by key range; a range's task finds
    those that several documents have and sends them back.
-2. Windows.  Only windows around a shared anchor are hashed, with 128 bits.  Each group
+2. Windows.  Only windows around a shared anchor are hashed, with 96 bits.  Each group
    sends its distinct windows with its smallest document; a range's task sends back
    the windows that a smaller document of another group has.
 
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +51,8 @@ Key = tuple[pa.Scalar, ...]
 PACKED = "bucket long, part long, h1 binary, h2 binary, docs binary"
 RETURNED = "part long, kind int, h1 binary, h2 binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
-PAIR = np.dtype([("h1", "<u8"), ("h2", "<u8")])
+#: Windows are known by 96 bits.
+PAIR = np.dtype([("h1", "<u8"), ("h2", "<u4")])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -87,7 +89,7 @@ class Doc:
         return place, keys[place]
 
     def candidates(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and 128-bit keys of the windows that hold a shared anchor (of a sorted array)."""
+        """Starts and 96-bit keys of the windows that hold a shared anchor (of a sorted array)."""
         n = len(self.hashes) - WINDOW + 1
         none = np.zeros(0, np.int64), np.zeros(0, PAIR)
         if n <= 0 or not len(shared):
@@ -102,7 +104,7 @@ class Doc:
         start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
         pair = np.empty(len(start), PAIR)
         pair["h1"] = sequence_hash(self.hashes, WINDOW, FACTORS[0])[start]
-        pair["h2"] = sequence_hash(mixed(self.hashes), WINDOW, FACTORS[1])[start]
+        pair["h2"] = sequence_hash(mixed(self.hashes), WINDOW, FACTORS[1])[start] >> np.uint64(32)
         return start, pair
 
 
@@ -151,8 +153,8 @@ def local_windows(docs: list[Doc], shared: np.ndarray):
 
 
 def returned(table: pa.Table, kind: int, field: str) -> np.ndarray:
-    rows = [x.as_py() for x in table.filter(pa.compute.equal(table["kind"], kind))[field]] if len(table) else []
-    return joined([np.frombuffer(x, "<u8") for x in rows], np.uint64)
+    rows = [x.as_py() for x in table.filter(pc.equal(table["kind"], kind))[field]] if len(table) else []
+    return joined([np.frombuffer(x, PAIR[field]) for x in rows], PAIR[field])
 
 
 def send_anchors(bits: int):
@@ -167,14 +169,15 @@ def send_anchors(bits: int):
 def shared_anchors(key: Key, table: pa.Table) -> pa.Table:
     """Of each group's anchors in a range, those that another document has too."""
     rows = [np.frombuffer(x.as_py(), "<u8") for x in table["h1"]]
-    own = [np.frombuffer(x.as_py(), np.uint8) > 0 for x in table["docs"]]
-    keys, counts = np.unique(np.concatenate(rows), return_counts=True)
-    twice = keys[counts > 1]
-    out = []
-    for part, row, more in zip(table["part"].to_pylist(), rows, own, strict=True):
-        hit = row[more | (np.isin(row, twice, kind="sort") if len(twice) else False)]
-        if len(hit):
-            out.append((part, 1, hit.tobytes(), None))
+    own = [np.frombuffer(x.as_py(), np.uint8) for x in table["docs"]]
+    keys = np.concatenate(rows)
+    _, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    hit = (counts[which] > 1) | (np.concatenate(own) > 0)
+    at, out = 0, []
+    for part, row in zip(table["part"].to_pylist(), rows, strict=True):
+        mine = slice(at, at := at + len(row))
+        if hit[mine].any():
+            out.append((part, 1, row[hit[mine]].tobytes(), None))
     return made(RETURNED, out)
 
 
@@ -191,7 +194,7 @@ def send_windows(bits: int):
 
 def earlier_windows(key: Key, table: pa.Table) -> pa.Table:
     """Of each group's windows in a range, those that a smaller document of another group has."""
-    columns = {c: [np.frombuffer(x.as_py(), t) for x in table[c]] for c, t in (("h1", "<u8"), ("h2", "<u8"), ("docs", "<i8"))}
+    columns = {c: [np.frombuffer(x.as_py(), t) for x in table[c]] for c, t in (("h1", "<u8"), ("h2", "<u4"), ("docs", "<i8"))}
     h1, h2, docs = (np.concatenate(columns[c]) for c in ("h1", "h2", "docs"))
     order = np.lexsort((docs, h2, h1))
     a, b = h1[order], h2[order]
