@@ -13,6 +13,8 @@ from quarry.functions.stopwords import STOP_WORDS
 
 #: Body of a regular expression class; the same for Java and RE2.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same characters, for functions that take a set.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Tokens: two or more letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -33,7 +35,7 @@ CONTENT_TYPES = {
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:

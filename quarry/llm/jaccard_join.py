@@ -57,7 +57,7 @@ BLOCK = 512
 COLUMNS = 4096
 
 SKETCH = "doc_id long, h1 long, h2 long, n long, mins array<int>"
-SETS = "rep long, h1 long, elements binary"
+SETS = "rep long, elements binary, copies long, cluster long, nodes array<long>, blocks int, block int"
 FOUND = "rep long, links long, root long"
 
 #: Odd multipliers, one a coordinate.
@@ -102,9 +102,16 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets in place of texts, of the rows whose text is the one that takes part."""
     for batch in batches:
-        rows = [(d.doc_id, whole_hash(d)[0], elements(d).tobytes()) for d in docs_of(pa.Table.from_batches([batch]))]
-        yield from made(SETS, rows).to_batches()
+        kept, own = [], []
+        for i, (doc, h1) in enumerate(zip(docs_of(pa.Table.from_batches([batch])), batch.column("h1").to_pylist(), strict=True)):
+            if whole_hash(doc)[0] == h1:
+                kept.append(i)
+                own.append(elements(doc).tobytes())
+        rest = batch.take(pa.array(kept, pa.int64()))
+        columns = {"rep": rest["doc_id"], "elements": pa.array(own, pa.binary())} | {c: rest[c] for c in ("copies", "cluster", "nodes", "blocks", "block")}
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def nodes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -191,33 +198,30 @@ def compared(reps: np.ndarray, copies: np.ndarray, own: list[np.ndarray], skip:
     return pa.table([pa.array(c, pa.int64()) for c in columns], names=["rep", "links", "root"])
 
 
-def sets_in(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def compare(key: Key, table: pa.Table) -> pa.Table:
+    """One task: a small node, or two blocks of a cluster."""
+    table = table.take(pa.array(np.unique(table["rep"].to_numpy(), return_index=True)[1]))
     own = [np.frombuffer(x.as_py(), "<u8") for x in table["elements"]]
-    return table["rep"].to_numpy(), table["copies"].to_numpy(), own
+    skip = node_skips(key[0].as_py(), table) if key[1].as_py() < 0 else block_skips(key[1].as_py(), key[2].as_py(), table)
+    return compared(table["rep"].to_numpy(), table["copies"].to_numpy(), own, skip)
 
 
-def compare_node(key: Key, table: pa.Table) -> pa.Table:
-    """A small node; pairs met in an earlier node or in a cluster are not counted."""
-    reps, copies, own = sets_in(table)
-    skip = np.zeros((len(reps), len(reps)), bool)
-    cluster = table["cluster"].to_pylist()
+def node_skips(node: int, table: pa.Table) -> np.ndarray | None:
+    """Pairs that an earlier node, or a cluster, holds as well."""
     shared: dict[tuple, list[int]] = {}
-    for i, (c, nodes) in enumerate(zip(cluster, table["nodes"].to_pylist(), strict=True)):
-        for name in [("node", x) for x in nodes if x < key[0].as_py()] + [("cluster", c)] * (c is not None):
+    for i, (cluster, nodes) in enumerate(zip(table["cluster"].to_pylist(), table["nodes"].to_pylist(), strict=True)):
+        for name in [("node", x) for x in nodes if x < node] + [("cluster", cluster)] * (cluster is not None):
             shared.setdefault(name, []).append(i)
+    skip = np.zeros((len(table), len(table)), bool)
     for members in shared.values():
         skip[np.ix_(members, members)] = True
-    return compared(reps, copies, own, None if not skip.any() else skip)
+    return skip if skip.any() else None
 
 
-def compare_blocks(key: Key, table: pa.Table) -> pa.Table:
-    """Two blocks of a cluster against each other, or one in itself."""
-    reps, copies, own = sets_in(table)
-    i, j = key[1].as_py(), key[2].as_py()
-    if i == j:
-        return compared(reps, copies, own, None)
+def block_skips(i: int, j: int, table: pa.Table) -> np.ndarray | None:
+    """Pairs within either of two different blocks."""
     block = table["block"].to_numpy()
-    return compared(reps, copies, own, block[:, None] == block)
+    return None if i == j else block[:, None] == block
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -234,20 +238,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     small, clusters = nodes_of(sets.select("rep", "mins"))
     nodes, clusters = saved(distinct_nodes(small)), saved(clusters)
-    wanted = nodes.select("rep").unionByName(clusters.select("rep")).distinct()
-    known = sets.select("rep", "h1", "copies").join(wanted, "rep").join(clusters, "rep", "left")
     held = nodes.groupBy("rep").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    full = own.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text").mapInArrow(set_batches, SETS)
-    full = saved(full.join(known, ["rep", "h1"]).dropDuplicates(["rep"]).join(held, "rep", "left").drop("h1"))
-
-    by_node = nodes.join(full, "rep").groupBy("node").applyInArrow(compare_node, FOUND)
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK))
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).select("cluster", blocks.cast("int").alias("blocks"))
-    dense = full.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dense = dense.select("cluster", "rep", "copies", "elements", "block", other)
-    dense = dense.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    found = saved(by_node.unionByName(dense.groupBy("cluster", "i", "j").applyInArrow(compare_blocks, FOUND)))
+    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks")
+    members = clusters.join(clusters.groupBy("cluster").agg(blocks), "cluster")
+    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    wanted = sets.select("rep", "h1", "copies").join(held.join(members, "rep", "full"), "rep")
+    wanted = wanted.withColumn("nodes", F.coalesce("nodes", F.array().cast("array<long>"))).withColumnRenamed("rep", "doc_id")
+    # Texts move once, to meet what is known of their sets; the sets move once, to their tasks.
+    full = own.join(wanted, "doc_id").mapInArrow(set_batches, SETS)
+    by_node = F.transform("nodes", lambda n: F.struct(n.alias("place"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
+    mine, other = F.col("block"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    by_block = F.transform(other, lambda o: F.struct(F.col("cluster").alias("place"), F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
+    none = F.array().cast("array<struct<place:long,i:int,j:int>>")
+    tasks = full.withColumn("task", F.explode(F.concat(by_node, F.coalesce(by_block, none))))
+    tasks = tasks.select("task.place", "task.i", "task.j", "rep", "elements", "copies", "cluster", "nodes", "block")
+    found = saved(tasks.groupBy("place", "i", "j").applyInArrow(compare, FOUND))
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = connected(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("v", "rep")

@@ -9,7 +9,8 @@ The spread comes from HyperLogLog sketches of the sites, one per line hash, merg
 by aggregation.  Lines whose estimate is within ``band`` of the threshold get an
 exact distinct count; far from it the estimate decides.
 
-Lines are known by 128 bits of hash.  Only hashes and positions are shuffled for the
+Lines are known by 128 bits of hash.  A line of any frequency is combined before it is
+shuffled for counting, and its places are split for the joins.  Only hashes and positions are shuffled for the
 counting; a document's text moves once, to meet the positions to remove.
 
 Defined cases: null texts count as empty and have one blank line; blank lines always
@@ -29,6 +30,8 @@ from quarry.llm.common import SPACES, saved, text_of
 MIN_SITES = 10
 #: Relative distance from the threshold within which spreads are counted exactly.
 BAND = 0.3
+#: A line's places are dealt into this many parts when they are joined, however common it is.
+SALTS = 16
 #: 2**12 registers: a standard error of 1.6 %, so the band is over ten of them wide.
 LOG_REGISTERS = 12
 
@@ -38,7 +41,12 @@ def line_places(docs: DataFrame) -> DataFrame:
     site = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("site")
     lines = docs.select("doc_id", site, F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
     worded = lines.where(F.btrim("line", F.lit(SPACES)) != "")
-    return worded.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "pos", "site")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    return worded.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), salt, "doc_id", "pos", "site")
+
+
+def for_each_salt(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def boilerplate(places: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
@@ -50,7 +58,8 @@ def boilerplate(places: DataFrame, min_sites: int = MIN_SITES, band: float = BAN
     spread = saved(spread.where(F.col("sites") >= min_sites * (1 - band)))
     sure = spread.where(F.col("sites") > min_sites * (1 + band))
     near = spread.where(F.col("sites") <= min_sites * (1 + band))
-    pairs = places.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct()
+    around = places.join(for_each_salt(near.select("h1", "h2")), ["h1", "h2", "salt"], "left_semi")
+    pairs = around.select("h1", "h2", "site").distinct()
     exact = pairs.groupBy("h1", "h2").count().where(F.col("count") >= min_sites)
     checked = near.join(exact.select("h1", "h2"), ["h1", "h2"], "left_semi")
     return sure.unionByName(checked).select("h1", "h2", "first")
@@ -63,7 +72,7 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> Da
     """
     docs = docs.drop("n_lines", "n_removed")
     places = saved(line_places(docs.select("doc_id", "text", "source")))
-    hits = places.join(boilerplate(places, min_sites, band), ["h1", "h2"])
+    hits = places.join(for_each_salt(boilerplate(places, min_sites, band)), ["h1", "h2", "salt"])
     hits = hits.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
     gone = hits.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("pos").alias("gone"))
     lines = F.split(text_of(), "\n")

@@ -94,11 +94,15 @@ class Model:
     """Projection into the latent space, and the labelled vectors there."""
 
     def __init__(self, matrix: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS):
+        """``matrix`` holds the labelled documents' terms, and is overwritten."""
         n = len(matrix)
         self.labels = labels.astype(np.float64)
         self.prior = float(self.labels.mean()) if n else 0.5
-        weight = (np.log((1 + n) / (1 + (matrix > 0).sum(axis=0))) + 1).astype(np.float32)
-        weighed = unit(matrix * weight)
+        weight = (np.log((1 + n) / (1 + np.count_nonzero(matrix, axis=0))) + 1).astype(np.float32)
+        weighed = matrix
+        weighed *= weight
+        norm = np.sqrt(np.einsum("ij,ij->i", weighed, weighed))[:, None]
+        weighed /= np.where(norm > 0, norm, 1)
         # Subspace iteration for the leading right singular vectors.
         basis = np.random.default_rng(1).standard_normal((matrix.shape[1], min(dimensions + 10, max(n, 1)))).astype(np.float32)
         for _ in range(5):
@@ -144,8 +148,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # At most ``sample`` ids and labels.
     joined = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("long"))
     rows = joined.mapInArrow(run, "quality long, terms binary").orderBy(F.xxhash64("terms")).limit(sample).collect()
-    matrix = np.array([np.frombuffer(r["terms"], "<f2") for r in rows], np.float32).reshape(len(rows), TERMS)
-    return Model(matrix, np.array([r["quality"] for r in rows], np.float64))
+    matrix = np.empty((len(rows), TERMS), np.float32)
+    quality = np.array([r["quality"] for r in rows], np.float64)
+    for i in range(len(rows)):
+        matrix[i] = np.frombuffer(rows[i]["terms"], "<f2")
+        rows[i] = None
+    return Model(matrix, quality)
 
 
 def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -63,9 +63,17 @@ def numbered(counts: DataFrame) -> DataFrame:
     return joined.select("doc_ord", (F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("first"))
 
 
-def chunk_table(docs: DataFrame, target: int = TARGET, ingest: bool = False) -> DataFrame:
-    """``doc_ord, id, chunk_pos, chunk_idx, chunk`` of every document ``(doc_ord, id, text)``."""
-    own = docs.select("doc_ord", "id", chunks_of(F.coalesce("text", F.lit("")), target, ingest).alias("chunks"))
-    first = numbered(own.select("doc_ord", F.size("chunks").cast("long").alias("n")))
-    rows = own.join(first, "doc_ord").select("doc_ord", "id", "first", F.posexplode("chunks").alias("chunk_pos", "chunk"))
+def folded(docs: DataFrame, target: int = TARGET, ingest: bool = False) -> DataFrame:
+    """``doc_ord, id, chunks`` of every document ``(doc_ord, id, text)``."""
+    return docs.select("doc_ord", "id", chunks_of(F.coalesce("text", F.lit("")), target, ingest).alias("chunks"))
+
+
+def exploded(folds: DataFrame) -> DataFrame:
+    """``doc_ord, id, chunk_pos, chunk_idx, chunk``: a row per chunk, numbered over all documents."""
+    first = numbered(folds.select("doc_ord", F.size("chunks").cast("long").alias("n")))
+    rows = folds.join(first, "doc_ord").select("doc_ord", "id", "first", F.posexplode("chunks").alias("chunk_pos", "chunk"))
     return rows.select("doc_ord", "id", "chunk_pos", (F.col("first") + F.col("chunk_pos")).alias("chunk_idx"), "chunk")
+
+
+def chunk_table(docs: DataFrame, target: int = TARGET, ingest: bool = False) -> DataFrame:
+    return exploded(folded(docs, target, ingest))

@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
-from quarry.operators.chunking import chunk_table
+from quarry.operators.chunking import chunk_table, exploded, folded
+
+
+def counted_terms(words: Column) -> Column:
+    """Array of ``(term, tf)``: runs of the sorted words, so counting needs no shuffle."""
+
+    def runs(s: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(s) - 1)
+        first = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        length = lambda starts: lambda i, k: F.coalesce(F.get(starts, k + 1), F.size(s)) - i
+        return F.transform(
+            F.array(first), lambda starts: F.transform(starts, lambda i, k: F.struct(s[i].alias("term"), length(starts)(i, k).cast("long").alias("tf")))
+        )[0]
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.transform(F.array(F.sort_array(words)), lambda s: F.when(F.size(s) == 0, none).otherwise(runs(s)))[0]
 
 
 def term_frequency(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term, tf``, stop words left out."""
-    terms = texts.select(key, F.explode(tokens(F.col(text))).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``key, term, tf``, stop words left out; ``key`` names one row each."""
+    return texts.select(key, F.inline(counted_terms(tokens(F.col(text)))))
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
@@ -33,6 +49,10 @@ def normalised(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return weighed.join(norms, key).select(key, "term", "tf", (F.col("raw") / F.col("norm")).alias("w"))
 
 
+#: Folder of each snapshot that this application has built.
+BUILT: dict[tuple[str, str], str] = {}
+
+
 @dataclass(frozen=True)
 class Index:
     """The tables of one state of the documents."""
@@ -54,15 +74,31 @@ class Index:
     def write(self, path: str) -> None:
         """A snapshot: each table is computed once, from what is already written."""
         spark = self.docs.sparkSession
-        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+        folded(self.docs).write.mode("overwrite").parquet(f"{path}/folds")
+        exploded(spark.read.parquet(f"{path}/folds")).write.mode("overwrite").parquet(f"{path}/chunks")
         chunks = spark.read.parquet(f"{path}/chunks")
         term_frequency(chunks, "chunk_idx", "chunk").write.mode("overwrite").parquet(f"{path}/tf")
         tf = spark.read.parquet(f"{path}/tf")
         inverse_frequency(document_frequency(tf), F.lit(chunks.count())).write.mode("overwrite").parquet(f"{path}/idf")
         idf = spark.read.parquet(f"{path}/idf")
         postings = normalised(tf, idf, "chunk_idx").select("chunk_idx", "term", "w")
-        # Sorted by term, so that a question's terms touch few row groups.
-        postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        # Sorted by term, so that a question's terms touch few row groups of each file.
+        postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+
+    @classmethod
+    def built(cls, spark: SparkSession, docs: DataFrame, key: str) -> Index:
+        """The index of ``docs``, built on first use and read from its snapshot after that.
+
+        ``key`` names the documents' state.  Snapshots live in the shared folder of
+        ``spark.checkpoint.dir`` for as long as the application.
+        """
+        known = (spark.sparkContext.applicationId, key)
+        if known not in BUILT:
+            root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-index-")
+            path = f"{root}/index-{uuid.uuid4().hex}"
+            cls.of(docs).write(path)
+            BUILT[known] = path
+        return cls.read(spark, BUILT[known], docs)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, docs: DataFrame) -> Index:

@@ -58,7 +58,8 @@ def documents(spark: SparkSession, sf_dir: str, plain: bool = False) -> DataFram
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    return Index.of(documents(spark, sf_dir))
+    """The index of the documents, built when a query first needs it."""
+    return Index.built(spark, documents(spark, sf_dir), sf_dir)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +272,8 @@ def chunk_counts(spark, sf_dir):
 
 @query(O.corpus("SELECT id, chunk_pos, chunk_idx, length(chunk) AS n FROM corpus"))
 def chunk_index(spark, sf_dir):
-    return index(spark, sf_dir).chunks.select("id", "chunk_pos", "chunk_idx", F.length("chunk").cast("long").alias("n"))
+    chunks = chunking.chunk_table(documents(spark, sf_dir))
+    return chunks.select("id", "chunk_pos", "chunk_idx", F.length("chunk").cast("long").alias("n"))
 
 
 # --- index -----------------------------------------------------------------------------
@@ -292,7 +294,7 @@ def stopword_filter(spark, sf_dir):
 
 def tables(spark, sf_dir):
     """Chunks, term counts, rarity and weights."""
-    chunks = index(spark, sf_dir).chunks
+    chunks = chunking.chunk_table(documents(spark, sf_dir))
     tf = term_frequency(chunks, "chunk_idx", "chunk")
     idf = inverse_frequency(document_frequency(tf), chunks.agg(F.count(F.lit(1))).scalar())
     return chunks, tf, idf
