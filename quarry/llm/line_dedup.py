@@ -3,7 +3,8 @@ r"""Removal of lines that are spread over many sites.
 A line is a piece between ``\n``; its site is the document's source.  Lines with a
 word that stand on at least ``min_sites`` distinct sites are boilerplate and go from
 every place but their first, so that no text is lost from the corpus.  The first
-place is the one with the smallest ``doc_id``, then the smallest position.
+place is the one with the smallest ``doc_id``, null ids last, then the smallest
+position.
 
 The spread comes from HyperLogLog sketches of the sites, one per line hash, merged
 by aggregation.  Lines whose estimate is within ``band`` of the threshold get an
@@ -15,14 +16,15 @@ counting; a document's text moves once, to meet the positions to remove.
 
 Defined cases: null texts count as empty and have one blank line; blank lines always
 stay; a null source is a site of its own; of repeated rows with one ``doc_id`` each
-keeps the first place's line; an empty table gives no rows.  Columns besides doc_id,
-text and source pass through ``clean`` unchanged, but ``n_chars`` where it exists is
-counted anew.
+keeps the first place's line; rows without ``doc_id`` lose lines as others do, each
+known by a hash of its text and source, and those with equal text and source count as
+repeated; an empty table gives no rows.  Columns besides doc_id, text and source pass
+through ``clean`` unchanged, but ``n_chars`` where it exists is counted anew.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import SPACES, saved, text_of
@@ -34,15 +36,27 @@ BAND = 0.3
 SALTS = 16
 #: 2**12 registers: a standard error of 1.6 %, so the band is over ten of them wide.
 LOG_REGISTERS = 12
+#: The columns that a row is known by.
+ROW = ["no_id", "own"]
+
+
+def site() -> Column:
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+
+
+def row_key() -> dict[str, Column]:
+    """``ROW``, never null: the ``doc_id``, or without one a hash of text and source."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_of(), site()))
+    return {"no_id": F.col("doc_id").isNull(), "own": own}
 
 
 def line_places(docs: DataFrame) -> DataFrame:
-    """Hash, document, position and site of each line with a word."""
-    site = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("site")
-    lines = docs.select("doc_id", site, F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
+    """Hash, row, position and site of each line with a word."""
+    key = [column.alias(name) for name, column in row_key().items()]
+    lines = docs.select(*key, site().alias("site"), F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
     worded = lines.where(F.btrim("line", F.lit(SPACES)) != "")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
-    return worded.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), salt, "doc_id", "pos", "site")
+    salt = F.pmod(F.xxhash64(*ROW), F.lit(SALTS)).cast("int").alias("salt")
+    return worded.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), salt, *ROW, "pos", "site")
 
 
 def for_each_salt(lines: DataFrame) -> DataFrame:
@@ -52,7 +66,7 @@ def for_each_salt(lines: DataFrame) -> DataFrame:
 def boilerplate(places: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """Hashes of the lines on ``min_sites`` sites or more, with their first place."""
     spread = places.groupBy("h1", "h2").agg(
-        F.hll_sketch_agg("site", LOG_REGISTERS).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("first")
+        F.hll_sketch_agg("site", LOG_REGISTERS).alias("sketch"), F.min(F.struct(*ROW, "pos")).alias("first")
     )
     spread = spread.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
     spread = saved(spread.where(F.col("sites") >= min_sites * (1 - band)))
@@ -73,20 +87,17 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> Da
     docs = docs.drop("n_lines", "n_removed")
     places = saved(line_places(docs.select("doc_id", "text", "source")))
     hits = places.join(for_each_salt(boilerplate(places, min_sites, band)), ["h1", "h2", "salt"])
-    hits = hits.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
-    gone = hits.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("pos").alias("gone"))
+    hits = hits.where(F.struct(*ROW, "pos") != F.col("first"))
+    gone = hits.groupBy(*(F.col(c).alias(f"quarry_{c}") for c in ROW)).agg(F.collect_set("pos").alias("quarry_gone"))
     lines = F.split(text_of(), "\n")
-    joined = docs.withColumn("n_lines", F.size(lines).cast("long")).join(
-        gone.withColumnsRenamed({"gone": "quarry_gone", "gone_id": "quarry_gone_id"}),
-        F.col("doc_id") == F.col("quarry_gone_id"),
-        "left",
-    )
+    keyed = docs.withColumns({"n_lines": F.size(lines).cast("long")} | {f"quarry_{c}": column for c, column in row_key().items()})
+    joined = keyed.join(gone, [f"quarry_{c}" for c in ROW], "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("quarry_gone"))
     kept = F.array_join(F.transform(F.array(lines), lambda own: F.transform(stay, lambda i: own[i]))[0], "\n")
     text = F.when(F.col("quarry_gone").isNull(), F.col("text")).otherwise(kept)
     removed = F.coalesce(F.size("quarry_gone"), F.lit(0))
     out = joined.withColumns({"text": text, "n_removed": F.when(F.col("quarry_gone").isNull(), 0).otherwise(removed).cast("long")})
-    out = out.drop("quarry_gone", "quarry_gone_id")
+    out = out.drop("quarry_gone", *(f"quarry_{c}" for c in ROW))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out

@@ -233,6 +233,22 @@ def test_line_dedup(spark, empty):
     assert line_dedup.clean(empty).count() == 0
 
 
+def test_line_dedup_rows_without_id(spark):
+    """They are last in line for the first place, and lose the line as all others do."""
+    common, alone = "read our terms", "only without ids"
+    rows = [(i, f"{common}\nown {i}", "en", f"s{i}", 9) for i in range(6)]
+    rows += [(None, f"{common}\nnobody {i}\n{alone}", "en", f"s{i}", 9) for i in range(6)]
+    rows += [rows[-1], (None, f"{alone}\n{alone}", "en", None, 9)]
+    out = line_dedup.clean(spark.createDataFrame(rows, SCHEMA), min_sites=5).collect()
+    assert {r["doc_id"]: r["text"] for r in out if r["doc_id"] is not None} == {i: f"{common}\nown 0" if i == 0 else f"own {i}" for i in range(6)}
+    nameless = [r["text"] for r in out if r["doc_id"] is None]
+    assert len(nameless) == 8 and not any(common in t for t in nameless)
+    assert sorted({t.split("\n")[0] for t in nameless} - {"", alone}) == [f"nobody {i}" for i in range(6)]
+    # One place keeps the line; the two equal rows count as one.
+    assert sum(t.split("\n").count(alone) for t in set(nameless)) == 1
+    assert all(r["n_removed"] == 2 - r["text"].count("\n") for r in out if r["doc_id"] is None and "nobody" in r["text"])
+
+
 # --- passages --------------------------------------------------------------------------
 
 
