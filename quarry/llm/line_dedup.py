@@ -15,8 +15,9 @@ shuffled for counting, and its places are split for the joins.  Only hashes and
 counting; a document's text moves once, to meet the positions to remove.
 
 Defined cases: null texts count as empty and have one blank line; blank lines always
-stay; a null source is a site of its own; of repeated rows with one ``doc_id`` each
-keeps the first place's line; rows without ``doc_id`` lose lines as others do, each
+stay; a null source is a site of its own; of repeated rows with one ``doc_id`` and
+text each keeps the first place's line, and rows that repeat a ``doc_id`` with another
+text are documents of their own, so that each loses its own lines only; rows without ``doc_id`` lose lines as others do, each
 known by a hash of its text and source, and those with equal text and source count as
 repeated; an empty table gives no rows.  Columns besides doc_id, text and source pass
 through ``clean`` unchanged, but ``n_chars`` where it exists is counted anew.
@@ -37,7 +38,9 @@ SALTS = 16
 #: 2**12 registers: a standard error of 1.6 %, so the band is over ten of them wide.
 LOG_REGISTERS = 12
 #: The columns that a row is known by.
-ROW = ["no_id", "own"]
+ROW = ["no_id", "own", "text_hash"]
+#: A line's place, in the order that the first is taken by.
+PLACE = ["no_id", "own", "pos", "text_hash"]
 
 
 def site() -> Column:
@@ -45,9 +48,9 @@ def site() -> Column:
 
 
 def row_key() -> dict[str, Column]:
-    """``ROW``, never null: the ``doc_id``, or without one a hash of text and source."""
+    """``ROW``, never null: the ``doc_id``, or without one a hash of text and source, and a hash of the text."""
     own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_of(), site()))
-    return {"no_id": F.col("doc_id").isNull(), "own": own}
+    return {"no_id": F.col("doc_id").isNull(), "own": own, "text_hash": F.xxhash64(F.lit(1), text_of())}
 
 
 def line_places(docs: DataFrame) -> DataFrame:
@@ -66,7 +69,7 @@ def for_each_salt(lines: DataFrame) -> DataFrame:
 def boilerplate(places: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """Hashes of the lines on ``min_sites`` sites or more, with their first place."""
     spread = places.groupBy("h1", "h2").agg(
-        F.hll_sketch_agg("site", LOG_REGISTERS).alias("sketch"), F.min(F.struct(*ROW, "pos")).alias("first")
+        F.hll_sketch_agg("site", LOG_REGISTERS).alias("sketch"), F.min(F.struct(*PLACE)).alias("first")
     )
     spread = spread.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
     spread = saved(spread.where(F.col("sites") >= min_sites * (1 - band)))
@@ -87,7 +90,7 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> Da
     docs = docs.drop("n_lines", "n_removed")
     places = saved(line_places(docs.select("doc_id", "text", "source")))
     hits = places.join(for_each_salt(boilerplate(places, min_sites, band)), ["h1", "h2", "salt"])
-    hits = hits.where(F.struct(*ROW, "pos") != F.col("first"))
+    hits = hits.where(F.struct(*PLACE) != F.col("first"))
     gone = hits.groupBy(*(F.col(c).alias(f"quarry_{c}") for c in ROW)).agg(F.collect_set("pos").alias("quarry_gone"))
     lines = F.split(text_of(), "\n")
     keyed = docs.withColumns({"n_lines": F.size(lines).cast("long")} | {f"quarry_{c}": column for c, column in row_key().items()})

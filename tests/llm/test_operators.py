@@ -249,6 +249,17 @@ def test_line_dedup_rows_without_id(spark):
     assert all(r["n_removed"] == 2 - r["text"].count("\n") for r in out if r["doc_id"] is None and "nobody" in r["text"])
 
 
+def test_line_dedup_repeated_id_with_two_texts(spark):
+    """Each row loses its own lines, at its own positions."""
+    common = "read our terms"
+    rows = [(i, f"{common}\nown {i}", "en", f"s{i}", 9) for i in range(6)]
+    rows += [(7, f"a\n{common}\nb", "en", "s7", 9), (7, f"{common}\nc\nd", "en", "s7", 9), (7, "e\nf\ng", "en", "s7", 9)]
+    rows += [(0, f"zero\nsecond\n{common}", "en", "s0", 9)]
+    out = line_dedup.clean(spark.createDataFrame(rows, SCHEMA), min_sites=5).where("doc_id IN (0, 7)").collect()
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in out)
+    assert got == [(0, f"{common}\nown 0", 0), (0, "zero\nsecond", 1), (7, "a\nb", 1), (7, "c\nd", 1), (7, "e\nf\ng", 0)]
+
+
 # --- passages --------------------------------------------------------------------------
 
 
