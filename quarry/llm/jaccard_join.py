@@ -24,8 +24,9 @@ a root it is connected with: never pairs.
 Defined cases: null texts count as empty; documents without words have no links, not
 even with each other; classes are connected components, named by their smallest
 ``doc_id``; a row without ``doc_id`` has the class of its equals, or null; rows that repeat
-a ``doc_id`` are one document, compared by one of their texts, and a row with another
-has the class of that text's equals, or its own; an empty table gives no rows; columns
+a ``doc_id`` are one document, compared by one of their texts (the smallest hash of its
+words), and a row with another has the class of that text's equals, or its own, so near
+copies of that other text alone get no link; an empty table gives no rows; columns
 besides doc_id and text are ignored.
 """
 
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import saved, text_of
@@ -56,7 +57,7 @@ BLOCK = 512
 #: Elements held as a dense 0/1 matrix at a time.
 COLUMNS = 4096
 
-SKETCH = "doc_id long, h1 long, h2 long, n long, mins array<int>"
+SKETCH = "doc_id long, text_hash long, h1 long, h2 long, n long, mins array<int>"
 SETS = "rep long, elements binary, copies long, cluster long, nodes array<long>, blocks int, block int"
 FOUND = "rep long, links long, root long"
 
@@ -92,13 +93,13 @@ def coordinates(own: np.ndarray) -> np.ndarray:
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc in docs_of(pa.Table.from_batches([batch])):
+        for doc, text_hash in zip(docs_of(pa.Table.from_batches([batch])), batch.column("text_hash").to_pylist(), strict=True):
             own = elements(doc)
-            rows.append((doc.doc_id, *whole_hash(doc), len(own), coordinates(own) if len(own) else []))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        types = [pa.int64()] * 4 + [pa.list_(pa.int32())]
+            rows.append((doc.doc_id, text_hash, *whole_hash(doc), len(own), coordinates(own) if len(own) else []))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        types = [pa.int64()] * 5 + [pa.list_(pa.int32())]
         made_of = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-        yield pa.RecordBatch.from_arrays(made_of, ["doc_id", "h1", "h2", "n", "mins"])
+        yield pa.RecordBatch.from_arrays(made_of, ["doc_id", "text_hash", "h1", "h2", "n", "mins"])
 
 
 def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,10 +225,19 @@ def block_skips(i: int, j: int, table: pa.Table) -> np.ndarray | None:
     return None if i == j else block[:, None] == block
 
 
+def text_hash() -> Column:
+    return F.xxhash64(text_of())
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links (other documents it is linked to) and copies of every document."""
+    return classes_of(docs).select("doc_id", "class_id", "n_links", "copies")
+
+
+def classes_of(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with the columns that tell rows with one ``doc_id`` apart: text_hash, h1, h2 and n."""
     own = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    sketched = saved(own.mapInArrow(sketch_batches, SKETCH))
+    sketched = saved(own.withColumn("text_hash", text_hash()).mapInArrow(sketch_batches, SKETCH))
     one = sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min_by(F.struct("h1", "h2", "mins"), F.struct("h1", "h2")).alias("x")
     )
@@ -258,24 +268,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = connected(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("v", "rep")
     named = sets.select("h1", "h2", "rep", "copies").join(links, "rep", "left").join(roots, "rep", "left")
     named = named.select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    joined = sketched.select("doc_id", "h1", "h2", "n").join(named, ["h1", "h2"], "left")
+    joined = sketched.select("doc_id", "text_hash", "h1", "h2", "n").join(named, ["h1", "h2"], "left")
     worded = (F.col("n") > 0) & F.col("copies").isNotNull()
     return joined.select(
         "doc_id",
         F.when(worded, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(worded, F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
         F.when(worded, F.col("copies")).otherwise(1).cast("long").alias("copies"),
+        "text_hash",
+        "h1",
+        "h2",
+        "n",
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without those linked to, or equal to, one with a smaller ``doc_id`` of their class.
 
-    Of rows that repeat a ``doc_id`` one stays; rows without one all stay.
+    Of rows that repeat a ``doc_id`` one stays, with the text that was compared unless that
+    is another document's, and else with a text that isn't; rows without one all stay.
     """
-    classes = near_duplicates(docs)
-    first = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    classes = classes_of(docs).where(F.col("doc_id") == F.col("class_id"))
+    # The order of hashes is the one that the text to compare is chosen by.
+    best = F.min(F.struct(F.col("n") == 0, "h1", "h2", "text_hash")).alias("best")
+    first = classes.groupBy(F.col("doc_id").alias("quarry_id")).agg(best).select("quarry_id", "best.text_hash")
+    first = first.withColumnRenamed("text_hash", "quarry_hash")
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    kept = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
+    same = (F.col("doc_id") == F.col("quarry_id")) & (text_hash() == F.col("quarry_hash"))
+    kept = docs.where(F.col("doc_id").isNotNull()).join(first, same, "left_semi")
     kept = kept.withColumn("quarry_nth", F.row_number().over(order)).where("quarry_nth = 1").drop("quarry_nth")
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -323,6 +323,17 @@ def test_jaccard_join_odd_rows(spark):
     assert 4 in kept and len(kept) == len(set(kept))
 
 
+def test_one_of_each_keeps_both_texts_of_a_repeated_id(spark):
+    """Whichever of an id's texts is compared: the one that another document has isn't kept twice, nor its other one lost."""
+    rows = []
+    for k in range(0, 40, 2):
+        a, b = prose(f"a{k}", 30), prose(f"b{k}", 30)
+        rows += [(k, a), (k + 1, a), (k + 1, b)]
+    docs = spark.createDataFrame([*rows, (50, ""), (50, prose("c", 30))], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(docs).collect()]
+    assert sorted(kept) == sorted([*rows[::3], *rows[2::3], (50, prose("c", 30))])
+
+
 def test_components(spark):
     own = random.Random(3)
     edges = [(own.randrange(300), own.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5)]
