@@ -49,6 +49,17 @@ def normalised(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return weighed.join(norms, key).select(key, "term", "tf", (F.col("raw") / F.col("norm")).alias("w"))
 
 
+def files_state(table: DataFrame) -> str:
+    """Names, sizes and modification times of the files that a table is read from."""
+    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+    found = []
+    for name in sorted(table.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return "\n".join(found)
+
+
 #: Folder of each snapshot that this application has built.
 BUILT: dict[tuple[str, str], str] = {}
 

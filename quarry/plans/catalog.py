@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import answer as A
 from quarry.operators import chunking, retrieve
-from quarry.operators.index import Index, document_frequency, inverse_frequency, normalised, term_frequency
+from quarry.operators.index import Index, document_frequency, files_state, inverse_frequency, normalised, term_frequency
 from quarry.operators.presets import preset_table
 from quarry.plans import oracle as O
 from quarry.sources import store
@@ -58,8 +58,9 @@ def documents(spark: SparkSession, sf_dir: str, plain: bool = False) -> DataFram
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of the documents, built when a query first needs it."""
-    return Index.built(spark, documents(spark, sf_dir), sf_dir)
+    """The index of the documents, built when a query first needs it, and anew once their files change."""
+    docs = documents(spark, sf_dir)
+    return Index.built(spark, docs, files_state(docs))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from quarry.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 ORACLES = __spark_entry__.oracle_sql()
@@ -35,3 +36,17 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 40
+
+
+def test_index_follows_changed_tables(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+
+    def chunks(*texts):
+        rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.mode("overwrite").parquet(path)
+        first, again = catalog.index(spark, str(tmp_path)), catalog.index(spark, str(tmp_path))
+        assert first.chunks.inputFiles() == again.chunks.inputFiles()
+        return sorted(r["chunk"] for r in first.chunks.collect())
+
+    assert chunks("granite is hard") == ["granite is hard"]
+    assert chunks("basalt is dark", "chalk is soft") == ["basalt is dark", "chalk is soft"]
