@@ -1,4 +1,8 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table by alternating large and small stars.
+
+Defined cases: repeated edges count once, loops are ignored, as are edges with a null
+end; no edges give no rows.
+"""
 
 from __future__ import annotations
 
@@ -8,22 +12,26 @@ from pyspark.sql import functions as F
 from quarry.llm.common import saved
 
 
-def star(edges: DataFrame, both_ways: bool) -> DataFrame:
+#: Edges that a task holds between two shuffles.
+TASK_EDGES = 200_000
+
+
+def star(edges: DataFrame, both_ways: bool, tasks: int) -> DataFrame:
     """One step: larger neighbours (both ways), or smaller ones, move to the smallest neighbour.
 
-    The smallest neighbour is an aggregate that is combined before the shuffle, so a
-    vertex with many edges burdens no task.
+    The smallest neighbour is an aggregate that is combined before the shuffle; the
+    edges of a vertex with very many are split by Spark's adaptive skew join.
     """
     if both_ways:
         edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = edges.join(least, "u")
+    joined = edges.join(least, "u").coalesce(tasks)
     if both_ways:
         moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         own = joined.select("u", F.col("m").alias("v"))
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own)
-    return moved.where(F.col("u") != F.col("v")).distinct()
+    return moved.where(F.col("u") != F.col("v")).distinct().coalesce(tasks)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -35,5 +43,5 @@ def connected(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == mark:
             return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
-        mark = state
-        now = saved(star(star(now, True), False))
+        mark, tasks = state, 1 + state[0] // TASK_EDGES
+        now = saved(star(star(now, True, tasks), False, tasks))

@@ -7,27 +7,32 @@ their sets' similarity is at least 0.8.
 The join follows chosen paths.  A coordinate picks one element of a set by the
 smallest value of a random hash, so that sets of similarity s pick the same one with
 probability s.  Each of ``RUNS`` runs splits all sets on its first coordinate; a node
-of more than ``LIMIT`` sets is split again on ``BRANCHES`` further coordinates, and so
-on down to ``DEPTH``.  Nodes of up to ``LIMIT`` sets are compared in full.  A pair of
-similarity 0.8 stays together at a split with probability 0.8 in a run's first and
-0.992 in any later, so 10 runs miss one such pair in some millions.
-
-A node that hardly shrinks when split holds truly similar sets; such dense nodes are
-joined, over all runs, into clusters, and each cluster is compared once, in pairs of
-blocks of about ``BLOCK`` sets, however large it is.  Nodes with the same members are
-compared once, and a pair that several nodes hold counts in the first.
+of more than ``LIMIT`` sets is split again on ``BRANCHES`` coordinates that its path
+has not used, and so on.  A pair of similarity 0.8 keeps together in some branch, down
+to any depth, with probability 0.75 a run, so 10 runs miss one such pair in a million.
+A part of a large node that keeps ``DENSE`` of it holds truly similar sets and is one
+group as it stands.
+
+In small nodes all pairs are compared by sketches, one byte a coordinate: a pair of
+similarity 0.8 agrees on ``AGREE`` of 64 bytes but for one in a million, sets that
+merely share a passage don't.  Only what agrees is joined into groups, so each set is
+sent to one group's comparison, in full and exact, not to each node it fell into.
+
+A group of more than ``BLOCK`` sets is compared in pairs of blocks.  Before that its
+members are compared with its representative, the set with the most agreements:
+members so close to it that any two of them must be linked (see ``near``) are counted
+without being compared, and only the rest meets all others.
 
 Texts with equal words are one set with a number of copies; pairs of copies are not
 formed.  Comparisons send back, for each set, how many documents it is linked to, and
 a root it is connected with: never pairs.
 
 Defined cases: null texts count as empty; documents without words have no links, not
-even with each other; classes are connected components, named by their smallest
-``doc_id``; a row without ``doc_id`` has the class of its equals, or null; rows that repeat
-a ``doc_id`` are one document, compared by one of their texts (the smallest hash of its
-words), and a row with another has the class of that text's equals, or its own, so near
-copies of that other text alone get no link; an empty table gives no rows; columns
-besides doc_id and text are ignored.
+even with each other; each row is a document, those that repeat a ``doc_id`` or have
+none too; classes are connected components, named by their smallest ``doc_id``, or
+null where none of their rows has one (so unlike texts of one repeated ``doc_id`` are
+classes that may share a name); an empty table gives no rows; columns besides doc_id
+and text are ignored.
 """
 
 from __future__ import annotations
@@ -39,30 +44,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import saved, text_of
+from quarry.llm.common import SPACES, join_groups, saved, text_of
 from quarry.llm.components import connected
-from quarry.llm.substring_dedup import FACTORS, Doc, Key, docs_of, made, mixed, sequence_hash
+from quarry.llm.substring_dedup import FACTORS, Doc, Key, docs_of, mixed, sequence_hash
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RUNS = 10
-#: Coordinates for splits after a run's first.
-MORE = 14
-BRANCHES = 3
-DEPTH = 4
-LIMIT = 256
-#: A node is dense if a split leaves this part of it together.
-DENSE = 0.5
-BLOCK = 512
+#: Coordinates, and those among them for splits after a run's first.
+COORDINATES = 64
+MORE = COORDINATES - RUNS
+BRANCHES = 2
+LIMIT = 512
+#: A part of a large node is dense if it keeps this much of it.  Splitting with two branches sends less than
+#: comparing in blocks would, up to 1 / sqrt(2).
+DENSE = 0.7
+#: Sketch bytes of COORDINATES that two sets must share to be compared.
+AGREE = 35
+BLOCK = 1024
 #: Elements held as a dense 0/1 matrix at a time.
 COLUMNS = 4096
-
-SKETCH = "doc_id long, text_hash long, h1 long, h2 long, n long, mins array<int>"
-SETS = "rep long, elements binary, copies long, cluster long, nodes array<long>, blocks int, block int"
+#: Rows of large nodes, rows of small nodes, and sets of small groups that a task holds at a time.
+LEVEL_ROWS = 50_000
+NODE_ROWS = 16_384
+GROUP_ROWS = 2048
+
+SKETCH = "doc_id long, text_hash long, h1 long, h2 long, n long, mins array<int>, sketch binary"
+SETS = "rep long, elements binary, copies long, cluster long, blocks int"
+MET = "rep long, root long, degree long"
 FOUND = "rep long, links long, root long"
 
 #: Odd multipliers, one a coordinate.
-MULTIPLIERS = mixed(np.arange(1, RUNS + MORE + 1, dtype=np.uint64)) | np.uint64(1)
+MULTIPLIERS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def elements(doc: Doc) -> np.ndarray:
@@ -95,69 +108,90 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows = []
         for doc, text_hash in zip(docs_of(pa.Table.from_batches([batch])), batch.column("text_hash").to_pylist(), strict=True):
             own = elements(doc)
-            rows.append((doc.doc_id, text_hash, *whole_hash(doc), len(own), coordinates(own) if len(own) else []))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-        types = [pa.int64()] * 5 + [pa.list_(pa.int32())]
+            mins = coordinates(own) if len(own) else np.zeros(0, np.int32)
+            rows.append((doc.doc_id, text_hash, *whole_hash(doc), len(own), mins, mins.astype(np.uint8).tobytes()))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+        types = [pa.int64()] * 5 + [pa.list_(pa.int32()), pa.binary()]
         made_of = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-        yield pa.RecordBatch.from_arrays(made_of, ["doc_id", "text_hash", "h1", "h2", "n", "mins"])
+        yield pa.RecordBatch.from_arrays(made_of, ["doc_id", "text_hash", "h1", "h2", "n", "mins", "sketch"])
 
 
 def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets in place of texts, of the rows whose text is the one that takes part."""
+    """Sets in place of texts."""
     for batch in batches:
-        kept, own = [], []
-        for i, (doc, h1) in enumerate(zip(docs_of(pa.Table.from_batches([batch])), batch.column("h1").to_pylist(), strict=True)):
-            if whole_hash(doc)[0] == h1:
-                kept.append(i)
-                own.append(elements(doc).tobytes())
-        rest = batch.take(pa.array(kept, pa.int64()))
-        columns = {"rep": rest["doc_id"], "elements": pa.array(own, pa.binary())} | {c: rest[c] for c in ("copies", "cluster", "nodes", "blocks", "block")}
+        own = [elements(doc).tobytes() for doc in docs_of(pa.Table.from_batches([batch]))]
+        columns = {"rep": batch["rep"], "elements": pa.array(own, pa.binary())} | {c: batch[c] for c in ("copies", "cluster", "blocks")}
         yield pa.RecordBatch.from_pydict(columns)
 
 
+# --- nodes -----------------------------------------------------------------------------
+
+
 def nodes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Small nodes ``(node, rep)``, and dense clusters ``(rep, cluster)``."""
-    first = F.transform(F.slice("mins", 1, RUNS), lambda value, run: F.xxhash64(run, value))
-    level = sets.select("rep", F.explode(first).alias("node"))
+    """Small nodes ``(node, rep)``, and the members of dense ones with their smallest, ``(rep, root)``."""
+    first = F.transform(F.slice("mins", 1, RUNS), lambda value, run: F.struct(run.cast("int").alias("run"), F.xxhash64(run, value).alias("node")))
+    level = sets.select("rep", F.inline(first)).withColumn("parent", F.lit(None).cast("long"))
     small, dense = None, None
-    for depth in range(DEPTH):
-        level = saved(level.distinct())
-        sizes = saved(level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-        fits = level.join(sizes.where(F.col("size") <= LIMIT), "node").select("node", "rep")
+    for depth in range(MORE // BRANCHES + 1):
+        if depth:
+            level = saved(level)
+        sizes = level.groupBy("node", "parent").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("root"))
+        sizes = saved(sizes.where("size > 1").drop("parent") if not depth else sizes.where("size > 1"))
+        held = saved(join_groups(level.drop("parent"), sizes, ["node"], "size"))
+        fits = held.where(F.col("size") <= LIMIT).select("node", "rep")
         small = fits if small is None else small.unionByName(fits)
-        large = sizes.where(F.col("size") > LIMIT)
-        if large.isEmpty():
+        large = held.where(F.col("size") > LIMIT)
+        left = large.count()
+        if not left:
             break
-        held = level.join(large, "node")
-        offset = F.pmod(F.xxhash64("node"), F.lit(MORE))
-        nth = F.array(*(F.pmod(offset + k * (MORE // BRANCHES), F.lit(MORE)) + RUNS for k in range(BRANCHES)))
-        split = held.join(sets.select("rep", "mins"), "rep").select(
-            "node", "rep", "size", F.explode(F.transform(nth, lambda c: F.struct(c.alias("c"), F.get(F.col("mins"), c.cast("int")).alias("value")))).alias("s")
-        )
-        split = saved(split.select("node", "rep", "size", "s.c", F.xxhash64("node", "s.c", "s.value").alias("child")))
-        largest = split.groupBy("node", "size", "c", "child").count().groupBy("node", "size").agg(F.max("count").alias("most"))
-        whole = (F.col("most") >= DENSE * F.col("size")) | F.lit(depth == DEPTH - 1)
-        as_dense = held.join(largest.where(whole).select("node"), "node").select("node", "rep")
-        dense = as_dense if dense is None else dense.unionByName(as_dense)
-        if depth == DEPTH - 1:
+        if depth:
+            whole = (F.col("size") >= DENSE * F.col("parent")) | F.lit(depth == MORE // BRANCHES)
+            own = large.where(whole).select("rep", "root")
+            dense = own if dense is None else dense.unionByName(own)
+            large = large.where(~whole)
+        # Runs start at different coordinates, so that a pair which one run parts may keep together in another.
+        nth = [F.pmod(F.col("run") * (MORE // RUNS) + (BRANCHES * depth + k), F.lit(MORE)) + RUNS for k in range(BRANCHES)]
+        parts = F.array(*(F.xxhash64("node", c, F.get(F.col("mins"), c)) for c in nth))
+        split = large.select("rep", "run", "node", "size").join(sets.select("rep", "mins"), "rep").coalesce(1 + left // LEVEL_ROWS)
+        level = split.select("rep", "run", F.explode(parts).alias("node"), F.col("size").alias("parent"))
+    return small, dense if dense is not None else small.select("rep", F.col("rep").alias("root")).limit(0)
+
+
+def meet(key: Key, table: pa.Table) -> pa.Table:
+    """Sets of some small nodes whose sketches agree: the smallest set of each bunch, and the agreements of each set."""
+    node, rep = table["node"].to_numpy(), table["rep"].to_numpy()
+    order = np.lexsort((rep, node))
+    node, rep = node[order], rep[order]
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, COORDINATES)[order]
+    left, right = [], []
+    for apart in range(1, len(node)):
+        at = np.flatnonzero(node[apart:] == node[:-apart])
+        if not len(at):
             break
-        level = split.join(largest.where(~whole).select("node"), "node").select("rep", F.col("child").alias("node"))
-    if dense is None:
-        return small, sets.select("rep", F.lit(0).cast("long").alias("cluster")).limit(0)
-    dense = saved(dense)
-    centre = dense.groupBy("node").agg(F.min("rep").alias("v"))
-    roots = connected(dense.join(centre, "node").select(F.col("rep").alias("u"), "v"))
-    members = dense.select("rep").distinct().join(roots.withColumnRenamed("v", "rep"), "rep", "left")
-    return small, members.select("rep", F.coalesce("root", "rep").alias("cluster"))
-
-
-def distinct_nodes(small: DataFrame) -> DataFrame:
-    """The nodes, one for each set of members."""
-    small = saved(small)
-    signs = small.groupBy("node").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("a"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("b")
-    )
-    return small.join(signs.groupBy("n", "a", "b").agg(F.min("node").alias("node")).select("node"), "node")
+        at = at[(sketch[at] == sketch[at + apart]).sum(axis=1) >= AGREE]
+        left.append(at.astype(np.int32))
+        right.append((at + apart).astype(np.int32))
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (left, right))
+    root, degree = bunches(len(node), a, b), np.bincount(np.concatenate([a, b]), minlength=len(node))
+    hit = degree > 0
+    return pa.table([pa.array(c, pa.int64()) for c in (rep[hit], rep[root[hit]], degree[hit])], names=["rep", "root", "degree"])
+
+
+def bunches(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that each of n is connected with by the pairs."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+# --- comparisons -----------------------------------------------------------------------
 
 
 def overlaps(own: list[np.ndarray]) -> np.ndarray:
@@ -173,128 +207,184 @@ def overlaps(own: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((m, m), np.float32)
     for a in range(0, int(which[-1]) + 1 if len(which) else 0, COLUMNS):
         cut = slice(*np.searchsorted(which, (a, a + COLUMNS)))
-        matrix = np.zeros((m, COLUMNS), np.float32)
+        matrix = np.zeros((m, min(COLUMNS, int(which[-1]) + 1 - a)), np.float32)
         matrix[owner[cut], which[cut] - a] = 1
         out += matrix @ matrix.T
     return out
 
 
-def compared(reps: np.ndarray, copies: np.ndarray, own: list[np.ndarray], skip: np.ndarray | None) -> pa.Table:
-    """Links and roots among the sets, without the pairs to skip."""
+def compared(reps: np.ndarray, copies: np.ndarray, own: list[np.ndarray], block: np.ndarray | None = None) -> list[np.ndarray]:
+    """Links and roots among the sets; with blocks, of the pairs between them only."""
     common = overlaps(own)
-    sizes = np.array([len(x) for x in own], np.float64)
-    linked = common / (sizes[:, None] + sizes - common) >= THRESHOLD
+    sizes = np.array([len(x) for x in own], np.float32)
+    # Sizes are exact as 32-bit floats; the quotient is taken in 64 bits.
+    linked = common / (sizes[:, None] + sizes - common).astype(np.float64) >= THRESHOLD
     np.fill_diagonal(linked, False)
-    if skip is not None:
-        linked &= ~skip
+    if block is not None:
+        linked &= block[:, None] != block
     links = linked @ copies
-    root = reps.copy()
-    while True:
-        lower = np.minimum(root, np.where(linked, root, np.iinfo(np.int64).max).min(axis=1))
-        if (lower == root).all():
-            break
-        root = lower
+    root = bunches(len(reps), *np.nonzero(linked))
     hit = links > 0
-    columns = (reps[hit], links[hit].astype(np.int64), root[hit])
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["rep", "links", "root"])
+    return [reps[hit], links[hit].astype(np.int64), reps[root[hit]]]
 
 
 def compare(key: Key, table: pa.Table) -> pa.Table:
-    """One task: a small node, or two blocks of a cluster."""
-    table = table.take(pa.array(np.unique(table["rep"].to_numpy(), return_index=True)[1]))
+    """One task: some small groups, or two blocks of a large one."""
+    i, j = key[1].as_py(), key[2].as_py()
+    table = table.sort_by([("cluster", "ascending"), ("rep", "ascending")])
     own = [np.frombuffer(x.as_py(), "<u8") for x in table["elements"]]
-    skip = node_skips(key[0].as_py(), table) if key[1].as_py() < 0 else block_skips(key[1].as_py(), key[2].as_py(), table)
-    return compared(table["rep"].to_numpy(), table["copies"].to_numpy(), own, skip)
+    reps, copies, cluster = (table[c].to_numpy() for c in ("rep", "copies", "cluster"))
+    if i >= 0:
+        found = [compared(reps, copies, own, table["block"].to_numpy() if i != j else None)]
+    else:
+        cuts = [0, *(np.flatnonzero(cluster[1:] != cluster[:-1]) + 1), len(reps)]
+        found = [compared(reps[a:b], copies[a:b], own[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["rep", "links", "root"])
+
+
+def near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each set is so near its group's representative that all such sets are linked.
 
+    With ``a`` elements of the representative L missing and ``b`` others, two such sets
+    share at least ``|L| - a1 - a2`` elements and have at most ``|L| + b1 + b2``, so
+    ``10 a + 8 b <= |L|`` of each makes a similarity of 0.8.
+    """
+    for batch in batches:
+        flags = []
+        for own, centre in zip(batch["elements"], batch["centre"], strict=True):
+            x, c = (np.frombuffer(v.as_py(), "<u8") for v in (own, centre))
+            both = len(np.intersect1d(x, c, assume_unique=True))
+            flags.append(10 * (len(c) - both) + 8 * (len(x) - both) <= len(c))
+        columns = {n: batch[n] for n in ("rep", "elements", "copies", "cluster", "blocks")}
+        yield pa.RecordBatch.from_pydict(columns | {"near": pa.array(flags, pa.bool_())})
 
-def node_skips(node: int, table: pa.Table) -> np.ndarray | None:
-    """Pairs that an earlier node, or a cluster, holds as well."""
-    shared: dict[tuple, list[int]] = {}
-    for i, (cluster, nodes) in enumerate(zip(table["cluster"].to_pylist(), table["nodes"].to_pylist(), strict=True)):
-        for name in [("node", x) for x in nodes if x < node] + [("cluster", cluster)] * (cluster is not None):
-            shared.setdefault(name, []).append(i)
-    skip = np.zeros((len(table), len(table)), bool)
-    for members in shared.values():
-        skip[np.ix_(members, members)] = True
-    return skip if skip.any() else None
 
+def large_groups(sets: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tasks ``(place, i, j, rep, elements, copies, cluster, block)`` of groups of several blocks, and what needs none.
 
-def block_skips(i: int, j: int, table: pa.Table) -> np.ndarray | None:
-    """Pairs within either of two different blocks."""
-    block = table["block"].to_numpy()
-    return None if i == j else block[:, None] == block
+    A representative is sent once to each block of its group, and each block's members
+    are compared with it there.
+    """
+    deal = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    members = sets.withColumn("block", deal)
+    degrees = met.join(sets.select("rep", "cluster", "blocks"), "rep").groupBy("cluster", "rep", "blocks").agg(F.sum("degree").alias("degree"))
+    best = degrees.groupBy("cluster").agg(F.max(F.struct("degree", "rep"))["rep"].alias("rep"))
+    centres = sets.join(best, ["cluster", "rep"]).select("cluster", F.col("elements").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    judged = members.join(centres, ["cluster", "block"]).drop("block").mapInArrow(near_batches, f"{SETS}, near boolean")
+    judged = saved(judged)
+    counted = judged.groupBy("cluster").agg(
+        F.count_if("near").alias("n"), F.count_if(~F.col("near")).alias("others"), F.sum(F.when(F.col("near"), F.col("copies"))).alias("documents"),
+        F.min(F.when(F.col("near"), F.col("rep"))).alias("root"), F.count(F.lit(1)).alias("all"),
+    )
+    counted = saved(counted)
+    known = join_groups(judged.drop("blocks"), counted, ["cluster"], "all")
+    sure = known.where("near AND n > 1").select("rep", (F.col("documents") - F.col("copies")).alias("links"), "root")
+    near_blocks, other_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "others"))
+    last = near_blocks + other_blocks - 1
+    nth = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.when(F.col("near"), near_blocks).otherwise(other_blocks)))
+    block = (F.when(F.col("near"), F.lit(0)).otherwise(near_blocks) + nth).cast("int")
+    others = F.when(F.col("near"), F.sequence(near_blocks, last)).otherwise(F.sequence(F.lit(0), last))
+    rows = known.where("others > 0").withColumn("block", block).withColumn("other", F.explode(others))
+    i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    return rows.select(F.col("cluster").alias("place"), i, j, "rep", "elements", "copies", "cluster", "block"), sure
+
+
+# --- the join --------------------------------------------------------------------------
 
 
 def text_hash() -> Column:
     return F.xxhash64(text_of())
 
 
+def row_key() -> list[Column]:
+    """``no_id, own, text_hash``, never null: what rows with equal id and text have in common."""
+    return [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("own"), text_hash().alias("text_hash")]
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links (other documents it is linked to) and copies of every document."""
     return classes_of(docs).select("doc_id", "class_id", "n_links", "copies")
 
 
+def groups_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate groups ``(rep, cluster)``, and ``(rep, root, degree)`` of the sets that met."""
+    small, dense = nodes_of(sets)
+    small = saved(small)
+    tasks = max(1, small.count() // NODE_ROWS)
+    sketched = small.join(sets.select("rep", "sketch"), "rep").withColumn("task", F.pmod(F.xxhash64("node"), F.lit(tasks)))
+    met = sketched.groupBy("task").applyInArrow(meet, MET)
+    met = saved(met.unionByName(dense.withColumn("degree", F.lit(1).cast("long"))))
+    roots = saved(connected(met.select(F.col("rep").alias("u"), F.col("root").alias("v"))))
+    own = roots.select("root").distinct().select(F.col("root").alias("rep"), F.col("root").alias("cluster"))
+    return own.unionByName(roots.select(F.col("v").alias("rep"), F.col("root").alias("cluster"))), met
+
+
+def linked_sets(own: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(rep, links, root)`` of the sets with links, from their documents' rows."""
+    clusters, met = groups_of(sets.select("rep", "mins", "sketch"))
+    clusters = saved(clusters)
+    sizes = saved(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")))
+    grouped = join_groups(clusters, sizes, ["cluster"], "size").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    wanted = sets.select("rep", "copies", "row.*").join(grouped.drop("size"), "rep")
+    # Texts move once, to meet what is known of their sets; rows with equal id and text are one here.
+    texts = own.select(*row_key(), "text").dropDuplicates(["no_id", "own", "text_hash"])
+    chosen = texts.join(wanted, ["no_id", "own", "text_hash"]).select(F.col("own").alias("doc_id"), "text", "rep", "copies", "cluster", "blocks")
+    full = saved(chosen.mapInArrow(set_batches, SETS))
+    tasks = max(1, full.count() // GROUP_ROWS)
+    in_one, none = F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("place"), F.lit(-1)
+    rows = full.where("blocks = 1").select(in_one, none.alias("i"), none.alias("j"), "rep", "elements", "copies", "cluster", none.alias("block"))
+    large = full.where("blocks > 1")
+    if large.isEmpty():
+        return rows.groupBy("place", "i", "j").applyInArrow(compare, FOUND)
+    pairs, sure = large_groups(large, met)
+    return rows.unionByName(pairs).groupBy("place", "i", "j").applyInArrow(compare, FOUND).unionByName(sure)
+
+
 def classes_of(docs: DataFrame) -> DataFrame:
-    """``near_duplicates`` with the columns that tell rows with one ``doc_id`` apart: text_hash, h1, h2 and n."""
+    """``near_duplicates`` with text_hash, and ``root``, the same in all rows of a class and null in those without words."""
     own = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     sketched = saved(own.withColumn("text_hash", text_hash()).mapInArrow(sketch_batches, SKETCH))
-    one = sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.min_by(F.struct("h1", "h2", "mins"), F.struct("h1", "h2")).alias("x")
-    )
-    texts = one.select("doc_id", "x.*").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("mins").alias("mins")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("own"), "text_hash")
+    sets = sketched.where("n > 0").groupBy("h1", "h2").agg(
+        F.min(row).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch")
     )
-    sets = saved(texts)
-
-    small, clusters = nodes_of(sets.select("rep", "mins"))
-    nodes, clusters = saved(distinct_nodes(small)), saved(clusters)
-    held = nodes.groupBy("rep").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks")
-    members = clusters.join(clusters.groupBy("cluster").agg(blocks), "cluster")
-    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    wanted = sets.select("rep", "h1", "copies").join(held.join(members, "rep", "full"), "rep")
-    wanted = wanted.withColumn("nodes", F.coalesce("nodes", F.array().cast("array<long>"))).withColumnRenamed("rep", "doc_id")
-    # Texts move once, to meet what is known of their sets; the sets move once, to their tasks.
-    full = own.join(wanted, "doc_id").mapInArrow(set_batches, SETS)
-    by_node = F.transform("nodes", lambda n: F.struct(n.alias("place"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
-    mine, other = F.col("block"), F.sequence(F.lit(0), F.col("blocks") - 1)
-    by_block = F.transform(other, lambda o: F.struct(F.col("cluster").alias("place"), F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    none = F.array().cast("array<struct<place:long,i:int,j:int>>")
-    tasks = full.withColumn("task", F.explode(F.concat(by_node, F.coalesce(by_block, none))))
-    tasks = tasks.select("task.place", "task.i", "task.j", "rep", "elements", "copies", "cluster", "nodes", "block")
-    found = saved(tasks.groupBy("place", "i", "j").applyInArrow(compare, FOUND))
+    # The numbers of the sets are fixed once this is written.
+    sets = saved(sets.withColumn("rep", F.monotonically_increasing_id()))
+    found = saved(linked_sets(own, sets))
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = connected(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("v", "rep")
-    named = sets.select("h1", "h2", "rep", "copies").join(links, "rep", "left").join(roots, "rep", "left")
-    named = named.select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    joined = sketched.select("doc_id", "text_hash", "h1", "h2", "n").join(named, ["h1", "h2"], "left")
-    worded = (F.col("n") > 0) & F.col("copies").isNotNull()
-    return joined.select(
-        "doc_id",
-        F.when(worded, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(worded, F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
-        F.when(worded, F.col("copies")).otherwise(1).cast("long").alias("copies"),
-        "text_hash",
-        "h1",
-        "h2",
-        "n",
+    doc_id = F.when(~F.col("row.no_id"), F.col("row.own")).alias("doc_id")
+    known = sets.select("h1", "h2", "rep", doc_id, "copies").join(links, "rep", "left").join(roots, "rep", "left")
+    known = saved(known.withColumn("root", F.coalesce("root", "rep")))
+    alone, joined = known.where("links IS NULL"), known.where("links IS NOT NULL")
+    names = saved(joined.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size")))
+    named = join_groups(joined, names, ["root"], "size").select("h1", "h2", "root", "class_id", "links", "copies")
+    named = saved(named.unionByName(alone.select("h1", "h2", "root", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"), "copies")))
+    worded = join_groups(sketched.where("n > 0").select("doc_id", "text_hash", "h1", "h2"), named, ["h1", "h2"], "copies")
+    worded = worded.select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "copies", "text_hash", "root")
+    nothing, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    blank = sketched.where("n = 0").select(
+        "doc_id", F.col("doc_id").alias("class_id"), nothing.alias("n_links"), one.alias("copies"), "text_hash", F.lit(None).cast("long").alias("root")
     )
+    return worded.unionByName(blank)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without those linked to, or equal to, one with a smaller ``doc_id`` of their class.
+    """One row of each class, and all rows without words.
 
-    Of rows that repeat a ``doc_id`` one stays, with the text that was compared unless that
-    is another document's, and else with a text that isn't; rows without one all stay.
+    It is the row with the smallest ``doc_id``, null last; of several texts of that id the
+    one with the smallest hash, of rows with equal id and text the first by their other columns.
     """
-    classes = classes_of(docs).where(F.col("doc_id") == F.col("class_id"))
-    # The order of hashes is the one that the text to compare is chosen by.
-    best = F.min(F.struct(F.col("n") == 0, "h1", "h2", "text_hash")).alias("best")
-    first = classes.groupBy(F.col("doc_id").alias("quarry_id")).agg(best).select("quarry_id", "best.text_hash")
-    first = first.withColumnRenamed("text_hash", "quarry_hash")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    same = (F.col("doc_id") == F.col("quarry_id")) & (text_hash() == F.col("quarry_hash"))
-    kept = docs.where(F.col("doc_id").isNotNull()).join(first, same, "left_semi")
-    kept = kept.withColumn("quarry_nth", F.row_number().over(order)).where("quarry_nth = 1").drop("quarry_nth")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("own"), "text_hash")).alias("best")
+    chosen = classes_of(docs).where("root IS NOT NULL").groupBy("root").agg(best)
+    names = [f"quarry_{c}" for c in ("no_id", "own", "text_hash")]
+    chosen = chosen.select(*(F.col(f"best.{c.removeprefix('quarry_')}").alias(c) for c in names)).withColumn("quarry_chosen", F.lit(True))
+    keyed = docs.withColumns(dict(zip(names, row_key(), strict=True)))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*(F.col(f"`{c}`") for c in others))) if others else F.lit(0)
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy(order))
+    blank = F.btrim(text_of(), F.lit(SPACES)) == ""
+    kept = keyed.join(chosen, names, "left").withColumn("quarry_nth", nth)
+    return kept.where(blank | (F.col("quarry_chosen") & (F.col("quarry_nth") == 1))).select(*(F.col(f"`{c}`") for c in docs.columns))
