@@ -1,29 +1,37 @@
 r"""Exact deduplication against a persistent index of text digests.
 
 Texts are equal when they are identical once each run of ``[\x20\x09-\x0D]`` is one
-space.  The index is a table of one row per distinct text, bucketed and sorted by
-digest.  A batch of documents is reduced to one row per digest, the digests already
-known are taken out with a sort-merge anti-join that reads the index in place, and
-the rest is appended.  Only digests are shuffled, never texts, and the copies of a
-text are counted before the shuffle.
+space.  The index is a table bucketed and sorted by digest, with one row per distinct
+text and batch, in a partition of its own for each batch.  A batch of documents is
+reduced to one row per digest, the digests already known are taken out with a
+sort-merge anti-join that reads the index in place, and the rest is appended; of known
+ones the batch's copies are appended, so that copies add up on reading.  Only digests
+are shuffled, never texts, and the copies of a text are counted before the shuffle.
+
+A batch sees the batches before it alone.  Added again under its name, it replaces its
+own partition and gives the same result, so a job that failed half-way is run again.
+The number of buckets comes from the first batch's size; once the table outgrows it,
+``compact`` rewrites it with more, as ``add`` does by itself before a new batch.
+Batches can be added again until then.  One writer at a time.
 
 Defined cases: null and empty texts equal each other, and a text of white space only
-equals ``" "``.  Within a batch the smallest ``doc_id`` stays (null ids come last);
-a text known from an earlier batch keeps that batch's id.  Repeated rows all come
-back.  An empty batch gives no rows and leaves the index as it was.  Other columns
-are ignored, whatever their names.
+equals ``" "``.  Within a batch the row with the smallest ``doc_id`` stays, null last,
+and of rows with equal text and that id any one; a text known from an earlier batch
+keeps that batch's id and none of the new rows.  Repeated rows all come back.  An
+empty batch gives no rows.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE_CLASS, saved, text_of
+from quarry.llm.common import SPACE_CLASS, join_groups, saved, text_of
 
-#: Buckets of a new index unless told otherwise; fixed for an index's life, so pick it
-#: for the size expected (about one per 128 MB of digests).
-BUCKETS = 32
+#: Rows of a bucket when the table is made, about 64 MB; it is made anew at four times as many.
+BUCKET_ROWS = 1_000_000
 
 
 def digest(text: Column) -> Column:
@@ -32,39 +40,101 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Table ``(text_sha256, keep_id, copies)`` of every distinct text seen so far."""
+    """Tables ``name_g1``, ``name_g2``, ... in the current database, of which the newest counts.
+
+    Each has ``(text_sha256, keep_id, copies, seq, batch)`` of every distinct text seen
+    in each batch.  A table is in the catalog only once it is whole, so a compaction
+    that was stopped leaves an old one beside the new one, or nothing.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.prefix, self.bucket_rows = spark, f"{name}_g", bucket_rows
+        self._drop(self._generations()[:-1])
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = BUCKETS):
-        self.spark, self.name, self.buckets = spark, name, buckets
-        if not spark.catalog.tableExists(name):
-            self._append(spark.createDataFrame([], "text_sha256 string, keep_id long, copies long"))
+    def _generations(self) -> list[int]:
+        names = (t.name.removeprefix(self.prefix.lower()) for t in self.spark.catalog.listTables(pattern=f"{self.prefix}*"))
+        return sorted(int(n) for n in names if n.isdigit())
 
-    def _append(self, rows: DataFrame) -> None:
-        # Dealt out by bucket first, so that an append adds one file to each bucket.
-        dealt = rows.repartition(self.buckets, "text_sha256")
-        writer = dealt.write.format("parquet").mode("append").bucketBy(self.buckets, "text_sha256")
-        writer.sortBy("text_sha256").saveAsTable(self.name)
+    def _drop(self, generations: list[int]) -> None:
+        for n in generations:
+            self.spark.sql(f"DROP TABLE {self.prefix}{n}")
+
+    @property
+    def name(self) -> str:
+        return f"{self.prefix}{max(self._generations(), default=1)}"
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Deduplicate a batch, append its new texts, and return a row per document.
+    def drop(self) -> None:
+        self._drop(self._generations())
+
+    def known(self, before: int | None = None) -> DataFrame:
+        """One row per text of the batches before this number: its first id, and its copies in all of them.
+
+        The buckets keep a text together, so this shuffles nothing.
+        """
+        rows = self.table() if before is None else self.table().where(F.col("seq") < before)
+        return rows.groupBy("text_sha256").agg(F.min_by("keep_id", "seq").alias("keep_id"), F.sum("copies").alias("copies"))
+
+    def _create(self, name: str, rows: DataFrame, size: int) -> None:
+        buckets = max(1, -(-size // self.bucket_rows))
+        dealt = rows.repartition(buckets, "text_sha256")
+        writer = dealt.write.format("parquet").partitionBy("seq", "batch").bucketBy(buckets, "text_sha256")
+        writer.sortBy("text_sha256").saveAsTable(name)
+
+    def _buckets(self) -> int:
+        described = self.spark.sql(f"DESCRIBE EXTENDED {self.name}").where("col_name = 'Num Buckets'")
+        return int(described.first()["data_type"])
+
+    def compact(self) -> None:
+        """One row per text, one sorted file per bucket, and buckets for the present size."""
+        old = self._generations()
+        rows = saved(self.known().withColumns({"seq": F.lit(0), "batch": F.lit("compacted")}))
+        self._create(f"{self.prefix}{old[-1] + 1}", rows, rows.count())
+        self._drop(old)
+
+    def _begin(self, batch: str, size: int) -> int:
+        """The number of this batch; makes or enlarges the table where needed."""
+        if not self._generations():
+            none = self.spark.createDataFrame([], "text_sha256 string, keep_id long, copies long, seq int, batch string")
+            self._create(self.name, none, size)
+            return 1
+        numbers = {r["batch"]: r["seq"] for r in self.table().select("batch", "seq").distinct().collect()}  # one row a batch
+        if batch in numbers:
+            return numbers[batch]
+        if self.table().count() > 4 * self.bucket_rows * self._buckets():
+            self.compact()
+            return 1
+        return 1 + max(numbers.values(), default=0)
+
+    def _append(self, rows: DataFrame, seq: int, batch: str) -> None:
+        """Write ``rows(text_sha256, keep_id, copies)`` as the batch's partition, in place of what it held."""
+        # Dealt out by bucket first, so that a batch adds one file to each bucket.
+        dealt = rows.repartition(self._buckets(), "text_sha256")
+        name = batch.replace("\\", "\\\\").replace("'", "\\'").replace("{", "{{").replace("}", "}}")
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION (seq = {seq}, batch = '{name}') SELECT * FROM {{dealt}}", dealt=dealt)
+
+    def add(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
+        """Deduplicate a batch, append it to the index, and return a row per document.
 
-        Columns: doc_id, keep_id, group_size (rows with this text so far), kept,
-        text_sha256.
+        ``batch`` names it, so that it can be added again after a failure; without a
+        name each call is a batch of its own.  Columns: doc_id, keep_id, group_size
+        (rows with this text up to and with this batch), kept, text_sha256.
         """
-        batch = saved(docs.select("doc_id", digest(text_of()).alias("text_sha256")))
-        new = batch.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
-        known = self.table().hint("merge")
-        fresh = saved(new.join(known, "text_sha256", "left_anti"))
-        seen = new.select("text_sha256", F.col("copies").alias("more")).join(known, "text_sha256")
-        groups = fresh.select("text_sha256", "keep_id", "copies", F.lit(True).alias("is_new")).unionByName(
-            seen.select("text_sha256", "keep_id", (F.col("copies") + F.col("more")).alias("copies"), F.lit(False).alias("is_new"))
-        )
-        groups = saved(groups)
-        self._append(fresh)
-        kept = F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-        return batch.join(groups, "text_sha256").select(
-            "doc_id", "keep_id", F.col("copies").alias("group_size"), kept.alias("kept"), "text_sha256"
-        )
+        batch = batch or uuid.uuid4().hex
+        row = F.monotonically_increasing_id().alias("row")
+        rows = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text_of()).alias("text_sha256"), row))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+        new = saved(rows.groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("more")))
+        seq = self._begin(batch, new.count())
+        known = self.known(seq)
+        fresh = new.join(known.hint("merge"), "text_sha256", "left_anti")
+        fresh = fresh.select("text_sha256", F.col("first.doc_id").alias("keep_id"), "first.row", "more", F.col("more").alias("all"))
+        seen = new.join(known.hint("merge"), "text_sha256")
+        seen = seen.select("text_sha256", "keep_id", F.lit(None).cast("long").alias("row"), "more", (F.col("copies") + F.col("more")).alias("all"))
+        groups = saved(fresh.unionByName(seen))
+        self._append(groups.select("text_sha256", "keep_id", F.col("more").alias("copies")), seq, batch)
+        joined = join_groups(rows, groups.withColumnRenamed("row", "kept_row"), ["text_sha256"], "more")
+        kept = F.coalesce(F.col("row") == F.col("kept_row"), F.lit(False))
+        return joined.select("doc_id", "keep_id", F.col("all").alias("group_size"), kept.alias("kept"), "text_sha256")

@@ -66,8 +66,11 @@ def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document against a new digest index."""
-    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}").add(read(spark, sf_dir, "documents"))
+    """Every document against a new digest index, which is dropped again."""
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    found = index.add(read(spark, sf_dir, "documents"))
+    index.drop()
+    return found
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
