@@ -8,10 +8,12 @@ position.
 
 The spread comes from HyperLogLog sketches of the sites, one per line hash, merged
 by aggregation.  Lines whose estimate is within ``band`` of the threshold get an
-exact distinct count; far from it the estimate decides.
+exact distinct count; far from it the estimate decides.  A line can't have more sites
+than places, so only lines with ``min_sites`` places are sketched.
 
 Lines are known by 128 bits of hash.  A line of any frequency is combined before it is
-shuffled for counting, and its places are split for the joins.  Only hashes and positions are shuffled for the
+shuffled for counting, and the places of very frequent ones stay where they are when
+they meet what is known of their line.  Only hashes and positions are shuffled for the
 counting; a document's text moves once, to meet the positions to remove.
 
 Defined cases: null texts count as empty and have one blank line; blank lines always
@@ -28,13 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACES, saved, text_of
+from quarry.llm.common import SPACES, join_groups, saved, text_of
 
 MIN_SITES = 10
 #: Relative distance from the threshold within which spreads are counted exactly.
 BAND = 0.3
-#: A line's places are dealt into this many parts when they are joined, however common it is.
-SALTS = 16
 #: 2**12 registers: a standard error of 1.6 %, so the band is over ten of them wide.
 LOG_REGISTERS = 12
 #: The columns that a row is known by.
@@ -58,28 +58,28 @@ def line_places(docs: DataFrame) -> DataFrame:
     key = [column.alias(name) for name, column in row_key().items()]
     lines = docs.select(*key, site().alias("site"), F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
     worded = lines.where(F.btrim("line", F.lit(SPACES)) != "")
-    salt = F.pmod(F.xxhash64(*ROW), F.lit(SALTS)).cast("int").alias("salt")
-    return worded.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), salt, *ROW, "pos", "site")
+    return worded.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *ROW, "pos", "site")
 
 
-def for_each_salt(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def common_places(places: DataFrame, min_sites: int) -> DataFrame:
+    """The places of lines with ``min_sites`` places or more, and ``n``, how many."""
+    counts = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    return join_groups(places, saved(counts.where(F.col("n") >= min_sites)), ["h1", "h2"], "n")
 
 
 def boilerplate(places: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
-    """Hashes of the lines on ``min_sites`` sites or more, with their first place."""
-    spread = places.groupBy("h1", "h2").agg(
+    """Hashes and ``n`` of the lines on ``min_sites`` sites or more, with their first place, from ``common_places``."""
+    spread = places.groupBy("h1", "h2", "n").agg(
         F.hll_sketch_agg("site", LOG_REGISTERS).alias("sketch"), F.min(F.struct(*PLACE)).alias("first")
     )
-    spread = spread.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
+    spread = spread.select("h1", "h2", "n", "first", F.hll_sketch_estimate("sketch").alias("sites"))
     spread = saved(spread.where(F.col("sites") >= min_sites * (1 - band)))
     sure = spread.where(F.col("sites") > min_sites * (1 + band))
     near = spread.where(F.col("sites") <= min_sites * (1 + band))
-    around = places.join(for_each_salt(near.select("h1", "h2")), ["h1", "h2", "salt"], "left_semi")
-    pairs = around.select("h1", "h2", "site").distinct()
-    exact = pairs.groupBy("h1", "h2").count().where(F.col("count") >= min_sites)
+    around = join_groups(places.drop("n"), near.select("h1", "h2", "n"), ["h1", "h2"], "n")
+    exact = around.select("h1", "h2", "site").distinct().groupBy("h1", "h2").count().where(F.col("count") >= min_sites)
     checked = near.join(exact.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    return sure.unionByName(checked).select("h1", "h2", "first")
+    return sure.unionByName(checked).select("h1", "h2", "n", "first")
 
 
 def clean(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
@@ -88,8 +88,8 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> Da
     Columns named ``n_lines`` or ``n_removed`` are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    places = saved(line_places(docs.select("doc_id", "text", "source")))
-    hits = places.join(for_each_salt(boilerplate(places, min_sites, band)), ["h1", "h2", "salt"])
+    places = saved(common_places(saved(line_places(docs.select("doc_id", "text", "source"))), min_sites))
+    hits = join_groups(places.drop("n"), saved(boilerplate(places, min_sites, band)), ["h1", "h2"], "n")
     hits = hits.where(F.struct(*PLACE) != F.col("first"))
     gone = hits.groupBy(*(F.col(c).alias(f"quarry_{c}") for c in ROW)).agg(F.collect_set("pos").alias("quarry_gone"))
     lines = F.split(text_of(), "\n")
