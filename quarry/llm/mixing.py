@@ -13,9 +13,11 @@ while at least half of them fits.  So the taken words miss the target by at most
 half a document.  Keys depend on the row alone, so reruns agree.
 
 A source may hold any part of the rows: the prefix sums run within (source, key
-range), over ``ranges`` ranges a source, on top of the ranges' totals.
+range) on top of the ranges' totals, and the number of ranges grows with the rows.
+There may be any number of sources: their order's sums run over ranges likewise.
 
-Defined cases: null and empty texts have size 0 and are taken 0 words.  Null is a
+Defined cases: null and empty texts have size 0 and are taken 0 words; no row is taken
+more than ``cap`` times.  A row without ``doc_id`` has a key by its text.  Null is a
 source of its own.  Repeated rows count each by itself.  An empty table gives no
 rows.  Other columns are ignored.
 """
@@ -25,21 +27,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import saved, text_of, words_of
+from quarry.llm.common import join_groups, prefix_sums, saved, text_of, words_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-#: Key ranges a source; a range's rows meet in one task.
-RANGES = 1024
+#: Rows of a key range when one source has all; a range's rows meet in one task.
+RANGE_ROWS = 65_536
 #: Characters that count against a document's quality.
 SYMBOLS = "[#*$%&|<>]+"
 
 
-def sampling_key(doc_id: Column, quality: Column) -> Column:
-    """Exponential variate of rate ``quality`` from a hash of the id."""
-    draw = F.conv(F.substring(F.md5(doc_id.cast("string")), 1, 13), 16, 10).cast("double")
-    return -F.ln((F.coalesce(draw, F.lit(0.0)) + 0.5) / F.lit(float(2**52))) / quality
+def sampling_key(name: Column, quality: Column) -> Column:
+    """Exponential variate of rate ``quality`` from a hash of the row's name."""
+    draw = F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double")
+    return -F.ln((draw + 0.5) / F.lit(float(2**52))) / quality
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -48,68 +50,77 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     A level L exists with target = min(cap, L * weight).  Ordered by cap / weight,
     the sources below the level are capped; the first that is not gives L.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    nth = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1)
-    weighed = sizes.withColumn("weight", nth.cast("long")).withColumn("cap", F.col("source_size") * cap)
+    ordered = prefix_sums(sizes.withColumn("one", F.lit(1)), ["no_source", "source"], {"one": "nth"})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int")).cast("long")
+    weighed = ordered.withColumn("weight", weight).withColumn("cap", F.col("source_size") * cap)
     weighed = weighed.withColumn("ratio", F.col("cap") / F.col("weight"))
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    beyond = F.sum("weight").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    whole = Window.partitionBy()
-    level = (F.sum("source_size").over(whole) * share - before) / beyond
-    levelled = weighed.withColumn("level", level).withColumn(
-        "level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(whole)["level"]
-    )
+    by_ratio = saved(prefix_sums(weighed, ["ratio", "no_source", "source"], {"cap": "before", "weight": "lighter"}))
+    # One row of sums over all sources, then one with the level.
+    sums = by_ratio.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    level = (F.col("all_size") * share - F.col("before")) / (F.col("all_weight") - F.col("lighter"))
+    levels = by_ratio.crossJoin(F.broadcast(sums)).select("ratio", level.alias("level")).where("level <= ratio")
+    first = levels.agg(F.min(F.struct("ratio", "level"))["level"].alias("level"))
     target = F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))
-    return levelled.select("source", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
+    levelled = by_ratio.crossJoin(F.broadcast(first))
+    return levelled.select("no_source", "source", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, ranges: int = RANGES) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, range_rows: int = RANGE_ROWS) -> DataFrame:
     """How many words the mix takes of each document.
 
     Columns: doc_id, source, size, source_size, target, taken (words, repeats
     counted), copies (times the document is in the mix).
     """
+    return counted(docs.select("doc_id", "source", "text"), weights, share, cap, range_rows).select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
+    )
+
+
+def counted(docs: DataFrame, weights, share: float, cap: int, range_rows: int) -> DataFrame:
+    """``mix`` with ``text_hash``, which tells rows that repeat a ``doc_id`` apart."""
     words = F.size(words_of(text_of())).cast("long")
     marks = F.length(text_of()) - F.length(F.regexp_replace(text_of(), SYMBOLS, ""))
-    measured = docs.select("doc_id", "source", words.alias("size"), marks.alias("marks"))
+    no_source, source = F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source")
+    measured = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), no_source, source, words.alias("size"), marks.alias("marks"))
     quality = F.greatest(F.col("size"), F.lit(1)) / (F.greatest(F.col("size"), F.lit(1)) + F.col("marks"))
-    keyed = measured.select("doc_id", "source", "size", sampling_key(F.col("doc_id"), quality).alias("key"))
+    key = sampling_key(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), "text_hash")), quality).alias("key")
+    keyed = saved(measured.select("doc_id", "text_hash", "no_source", "source", "size", key))
     # exp(-key) is even for even quality, so the ranges are about as large as each other.
-    keyed = saved(keyed.withColumn("part", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int")))
+    ranges = 1 + keyed.count() // range_rows
+    keyed = keyed.withColumn("part", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int"))
 
-    parts = keyed.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
-    sizes = parts.groupBy("source").agg(F.sum("part_size").alias("source_size"))
+    parts = saved(keyed.groupBy("no_source", "source", "part").agg(F.sum("size").alias("part_size"), F.count(F.lit(1)).alias("n")))
+    sizes = parts.groupBy("no_source", "source").agg(F.sum("part_size").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = targets.withColumn("epochs", epochs.cast("long")).withColumn(
         "rest", F.col("target") - F.col("epochs") * F.col("source_size")
     )
-    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.withColumn("start", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)))
-    starts = starts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
-    starts = starts.select("p.source", "part", "start", "source_size", "target", "epochs", "rest")
-
-    here = F.col("k.source").eqNullSafe(F.col("s.source")) & (F.col("k.part") == F.col("s.part"))
-    joined = keyed.alias("k").join(starts.alias("s"), here).select(
-        "doc_id", "k.source", "k.part", "size", "key", "start", "source_size", "target", "epochs", "rest"
-    )
-    within = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    of_source, of_range = ["no_source", "source"], ["no_source", "source", "part"]
+    earlier = Window.partitionBy(*of_source).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.withColumn("start", F.coalesce(F.sum("part_size").over(earlier), F.lit(0))).drop("part_size")
+    starts = saved(starts.join(targets, of_source))
+
+    joined = join_groups(keyed, starts, of_range, "n")
+    within = Window.partitionBy(*of_range).orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     chosen = (ahead + F.col("size") / 2 <= F.col("rest")).cast("long")
-    counted = joined.withColumn("copies", F.col("epochs") + chosen)
-    return counted.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
-    )
+    copies = F.least(F.lit(cap).cast("long"), F.col("epochs") + chosen).alias("copies")
+    own = F.when(~F.col("no_source"), F.col("source")).alias("source")
+    return joined.select("doc_id", "text_hash", own, "size", "source_size", "target", copies)
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """The mix itself: each document's row as often as it is taken.
 
-    Rows that repeat a ``doc_id`` are taken as often as the one taken most.
+    Rows with equal id, source and text are taken as often as the one taken most.
     """
-    copies = mix(docs, weights, share, cap).where("copies > 0").groupBy(F.col("doc_id").alias("quarry_id"))
-    copies = copies.agg(F.max("copies").cast("int").alias("quarry_copies"))
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("quarry_id")))
-    times = F.explode(F.sequence(F.lit(1), F.col("quarry_copies")))
-    return joined.withColumn("quarry_nth", times).select(*docs.columns)
+    names = {"quarry_no_id": F.col("doc_id").isNull(), "quarry_id": F.coalesce("doc_id", F.lit(0))}
+    names |= {"quarry_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "quarry_hash": F.xxhash64(text_of())}
+    taken = counted(docs.select("doc_id", "source", "text"), weights, share, cap, RANGE_ROWS)
+    taken = taken.withColumn("quarry_hash", F.col("text_hash")).where("copies > 0")
+    taken = taken.withColumns({k: v for k, v in names.items() if k != "quarry_hash"})
+    times = taken.groupBy(*names).agg(F.max("copies").cast("int").alias("quarry_copies"))
+    joined = docs.withColumns(names).join(times, list(names))
+    repeated = joined.withColumn("quarry_nth", F.explode(F.sequence(F.lit(1), F.col("quarry_copies"))))
+    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
