@@ -10,8 +10,10 @@ cut is off its target by at most half of one text's copies.
 A text may have any number of copies: these are counted before the shuffle, and the
 rows of one text are numbered within ``SALTS`` parts by a hash of the id.
 
-Defined cases: null texts count as empty; repeated rows take a slot each; an empty
-table gives no rows; other columns are ignored by ``assign``.
+Defined cases: null texts count as empty; repeated rows, and rows without ``doc_id``
+(first among their equals), take a slot each; an empty table gives no rows; other
+columns are ignored by ``assign`` and written by ``write_shards``, which replaces ones
+named ``shard`` or ``slot``.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ SHARDS = 8
 #: Digest ranges: a fixed number, so that their totals are a small table at any scale.
 RANGES = 4096
 SALTS = 1024
+FILE_BYTES = 128 << 20
 
 
 def running(column: str, window) -> F.Column:
@@ -38,7 +41,13 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     Columns: doc_id, size, text_crc32, law, shard, slot (from 0 without gaps in each
     shard), grown_shard (null: the law is ``bytes``).
     """
+    return placed(docs.select("doc_id", "text", F.lit(0).alias("row")), shards).drop("row")
+
+
+def placed(docs: DataFrame, shards: int) -> DataFrame:
+    """``assign`` of ``docs(doc_id, text, row)``, with ``row`` passed through."""
     rows = docs.select(
+        "row",
         "doc_id",
         (F.octet_length(text_of()) + 1).cast("long").alias("size"),
         F.crc32(text_of().cast("binary")).alias("text_crc32"),
@@ -77,8 +86,9 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     places = places.join(F.broadcast(shard_rows), "shard").select(
         "digest", "salt", "shard", (F.col("first_row") + F.col("salt_start") - F.col("shard_start")).alias("slot_start")
     )
-    nth = F.row_number().over(Window.partitionBy("digest", "salt").orderBy("doc_id")) - 1
+    nth = F.row_number().over(Window.partitionBy("digest", "salt").orderBy("doc_id", "row")) - 1
     return rows.join(places, ["digest", "salt"]).select(
+        "row",
         "doc_id",
         "size",
         "text_crc32",
@@ -89,9 +99,17 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write the documents as Parquet, a folder for each shard, ordered by slot within files."""
-    where = assign(docs, shards).select(F.col("doc_id").alias("quarry_id"), "shard", "slot").dropDuplicates(["quarry_id"])
-    clean = docs.drop("shard", "slot")
-    out = clean.join(where, F.col("doc_id").eqNullSafe(F.col("quarry_id"))).drop("quarry_id")
-    out.repartition("shard", F.pmod(F.col("slot"), F.lit(64))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, file_bytes: int = FILE_BYTES) -> None:
+    """Write the documents as Parquet, a folder for each shard, files of about ``file_bytes`` of text in slot order.
+
+    Rows are numbered in a first copy of the documents, so that each gets its own slot.
+    """
+    numbered = saved(docs.drop("shard", "slot").withColumn("quarry_row", F.monotonically_increasing_id()))
+    where = saved(placed(numbered.select("doc_id", "text", F.col("quarry_row").alias("row")), shards))
+    totals = where.agg(F.sum("size"), F.count(F.lit(1))).first()
+    files = max(1, -(-(totals[0] or 0) // (shards * file_bytes)))
+    per_file = max(1, -(-(totals[1] or 0) // (shards * files)))
+    own = where.select(F.col("row").alias("quarry_row"), "shard", "slot", F.floor(F.col("slot") / per_file).alias("quarry_file"))
+    out = numbered.join(own, "quarry_row").drop("quarry_row")
+    dealt = out.repartition(shards * files, "shard", "quarry_file").drop("quarry_file")
+    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
