@@ -51,9 +51,16 @@ def byte_characters() -> list[str]:
 
 
 class Tables:
-    """A tokenizer file as arrays: what a task needs to encode and decode."""
+    """A tokenizer file as arrays: what a task needs to encode and decode.
 
-    def __init__(self, path: str):
+    ``vars`` of one are plain data, which is what is broadcast: executors without this
+    package make their own object of them.
+    """
+
+    def __init__(self, path: str | None = None, **known):
+        if path is None:
+            self.__dict__ |= known
+            return
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -170,10 +177,10 @@ class Encoder:
 
 def encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ``ids``, the tokens of the whole text, for each document."""
-    tables = spark.sparkContext.broadcast(Tables(path))  # a vocabulary, whatever the corpus
+    tables = spark.sparkContext.broadcast(vars(Tables(path)))  # a vocabulary, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tables.value)
+        encoder = Encoder(Tables(**tables.value))
         for batch in batches:
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder.encode(batch.column("text").to_pylist())]
             lists = pa.array(ids, pa.list_(pa.int32()))
@@ -185,10 +192,10 @@ def encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
 
 def decode(spark: SparkSession, encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and ``text`` of the ids; null ids count as none."""
-    tables = spark.sparkContext.broadcast(Tables(path))
+    tables = spark.sparkContext.broadcast(vars(Tables(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Encoder(tables.value)
+        decoder = Encoder(Tables(**tables.value))
         for batch in batches:
             texts = pa.array([decoder.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], ["doc_id", "text"])
@@ -202,10 +209,10 @@ def round_trip(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
 
     The same as ``decode(encode(docs))``, without sending the ids between tasks.
     """
-    tables = spark.sparkContext.broadcast(Tables(path))
+    tables = spark.sparkContext.broadcast(vars(Tables(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tables.value)
+        encoder = Encoder(Tables(**tables.value))
         for batch in batches:
             rows = []
             for ids in encoder.encode(batch.column("text").to_pylist()):

@@ -91,10 +91,17 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Projection into the latent space, and the labelled vectors there."""
+    """Projection into the latent space, and the labelled vectors there.
 
-    def __init__(self, matrix: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS):
+    ``vars`` of one are plain data, which is what is broadcast: executors without this
+    package make their own object of them.
+    """
+
+    def __init__(self, matrix: np.ndarray | None = None, labels: np.ndarray | None = None, dimensions: int = DIMENSIONS, **known):
         """``matrix`` holds the labelled documents' terms, and is overwritten."""
+        if matrix is None:
+            self.__dict__ |= known | {"labels": labels}
+            return
         n = len(matrix)
         self.labels = labels.astype(np.float64)
         self.prior = float(self.labels.mean()) if n else 0.5
@@ -158,12 +165,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    model = spark.sparkContext.broadcast(fit(docs, labels))
+    fitted = spark.sparkContext.broadcast(vars(fit(docs, labels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(**fitted.value)
         for batch in batches:
             for ids, rows in blocks(batch):
-                found = pa.array(model.value.score(rows), pa.float64())
+                found = pa.array(model.score(rows), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), found], ["doc_id", "score"])
 
     own = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
