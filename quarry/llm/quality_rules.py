@@ -13,8 +13,8 @@ nested SQL conditional.
 
 Defined cases: null and empty texts have all counts 0 and fail the base rule; texts
 without labels, an empty label table or labels of one kind give an empty list, which
-keeps all; null labels are not used; repeated rows count each; columns besides
-doc_id and text are ignored.
+keeps all; null labels are not used, nor are rows without ``doc_id``, which are judged
+like others; repeated rows count each; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE_CLASS, SPACES, let, saved, text_of, words_of
+from quarry.llm.common import SPACE_CLASS, SPACES, let, saved, text_of, words_of, written
 
 WINDOW = 5
 SYMBOLS = "[#*$%&|<>]+"
@@ -235,8 +235,15 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of the documents that the rules keep, all columns; texts are not shuffled."""
-    rules = learn(saved(measure(docs)), labels)
-    count = lambda name: F.col(f"quarry_counts.{name}")
+    """The rows of the documents that the rules keep, all columns.
+
+    Each text is counted once: rows and counts are written together, learning reads the
+    counts alone, and texts are not shuffled.
+    """
+    names = {c: f"quarry_{c}" for c in COUNTS}
     counted = docs.withColumn("quarry_counts", counts_of(text_of()))
-    return counted.where(~base_failed(count) & verdict(rules, count)).drop("quarry_counts")
+    counted = counted.withColumns({new: F.col(f"quarry_counts.{c}") for c, new in names.items()}).drop("quarry_counts")
+    counted = written(counted)
+    rules = learn(counted.select("doc_id", *(F.col(new).alias(c) for c, new in names.items())), labels)
+    count = lambda name: F.col(names[name])
+    return counted.where(~base_failed(count) & verdict(rules, count)).select(*(F.col(f"`{c}`") for c in docs.columns))
