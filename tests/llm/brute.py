@@ -1,9 +1,13 @@
 """Plain Python models of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
+import struct
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -69,3 +73,129 @@ def near_classes(docs, threshold=0.8):
             if low < root[a]:
                 root[a], changed = low, True
     return {d: (root[d], len(links[d])) for d in ids}
+
+
+def number_hash(value):
+    """Spark's xxhash64 of a long."""
+    h = xxhash.xxh64_intdigest(struct.pack("<q", value), seed=42)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def shards(docs, n=8, salts=1024):
+    """Shard and slot by running sums over the texts in digest order."""
+    texts = defaultdict(list)
+    for doc_id, text in docs:
+        raw = (text or "").encode()
+        texts[hashlib.md5(raw).hexdigest()].append((number_hash(doc_id) % salts, doc_id, len(raw) + 1))
+    total, ahead, slots, out = sum(x[2] for own in texts.values() for x in own), 0, Counter(), {}
+    for key in sorted(texts):
+        own = sorted(texts[key])
+        size = sum(x[2] for x in own)
+        shard = min(n - 1, int((ahead + size / 2) * n / total))
+        ahead += size
+        for _, doc_id, _ in own:
+            out[doc_id] = (shard, slots[shard])
+            slots[shard] += 1
+    return out
+
+
+def base_failed(c):
+    return c["n_words"] < 10 or 100 * c["n_repeat_words"] > 20 * c["n_words"]
+
+
+def statistics(c):
+    n = max(1, c["n_words"])
+    return [float(c["n_words"]), *(c[k] / n for k in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_echo_words"))]
+
+
+def learned(labelled, cuts, max_rules=8, max_conditions=3):
+    """Rules ``[(statistic, above, threshold), ...]`` from ``(doc_id, counts, bad)`` and the cuts of each statistic."""
+    rows = [(statistics(c), bad, number_hash(d) % 3 == 0) for d, c, bad in labelled if not base_failed(c)]
+    holds = lambda s, rule: all((s[k] > t) == above for k, above, t in rule)
+    rules = []
+    while len(rules) < max_rules:
+        rule = []
+        while len(rule) < max_conditions:
+            grow = [(s, bad) for s, bad, prune in rows if not prune and holds(s, rule)]
+            n, hit = len(grow), sum(bad for _, bad in grow)
+            if not hit or hit == n:
+                break
+            best = (0.0, 0.0, None)
+            for k, values in enumerate(cuts):
+                for t in values:
+                    for above in (True, False):
+                        own = [bad for s, bad in grow if (s[k] > t) == above]
+                        if sum(own):
+                            gain = sum(own) * (math.log2(sum(own) / len(own)) - math.log2(hit / n))
+                            if gain > 0 and (gain, t if above else -t) > best[:2]:
+                                best = (gain, t if above else -t, (k, above, t))
+            if best[2] is None:
+                break
+            rule.append(best[2])
+        if not rule:
+            break
+        scored = []
+        for k in range(1, len(rule) + 1):
+            own = [bad for s, bad, prune in rows if prune and holds(s, rule[:k])]
+            scored.append(((2 * sum(own) - len(own)) / max(1, len(own)), -k, sum(own), len(own)))
+        _, k, bad, n = max(scored)
+        if bad < 3 or bad < 0.9 * n:
+            break
+        rules.append(rule[:-k])
+        rows = [r for r in rows if not holds(r[0], rules[-1])]
+    return rules
+
+
+def good(counted, rules):
+    s = statistics(counted)
+    return not base_failed(counted) and not any(all((s[k] > t) == above for k, above, t in rule) for rule in rules)
+
+
+def without_common_lines(docs, min_sites=10):
+    """``(doc_id, text, source)`` without lines on many sites, but in their first place."""
+    sites, first = defaultdict(set), {}
+    for doc_id, text, source in docs:
+        for i, line in enumerate(text.split("\n")):
+            if WORD.search(line):
+                sites[line].add(source)
+                first[line] = min(first.get(line, (doc_id, i)), (doc_id, i))
+    gone = lambda d, i, line: len(sites[line]) >= min_sites and first[line] != (d, i)
+    return [(d, "\n".join(x for i, x in enumerate(t.split("\n")) if not gone(d, i, x)), s) for d, t, s in docs]
+
+
+def targets(sizes, weights=(5, 2, 1)):
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    left, free, target = 1.5 * sum(sizes.values()), set(sizes), {}
+    while free:
+        total = sum(weight[s] for s in free)
+        over = {s for s in free if left * weight[s] / total > 2 * sizes[s]}
+        if not over:
+            target |= {s: left * weight[s] / total for s in free}
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+        left -= sum(target[s] for s in over)
+        free -= over
+    return target
+
+
+def copies_in_mix(docs):
+    """How often each of ``(doc_id, text, source)`` is taken."""
+    sizes = Counter()
+    for _, text, source in docs:
+        sizes[source] += len(words(text))
+    target, out = targets(sizes), {}
+    for source in sizes:
+        keyed = []
+        for doc_id, text, own in docs:
+            if own == source:
+                n, marks = max(1, len(words(text))), len(re.findall(r"[#*$%&|<>]", text))
+                draw = int(hashlib.md5(str(doc_id).encode()).hexdigest()[:13], 16)
+                keyed.append((-math.log((draw + 0.5) / 2**52) / (n / (n + marks)), doc_id, len(words(text))))
+        epochs = int(target[source] // sizes[source]) if sizes[source] else 0
+        rest, ahead = target[source] - epochs * sizes[source], 0
+        for _, doc_id, n in sorted(keyed):
+            out[doc_id] = min(2, epochs + (ahead + n / 2 <= rest))
+            ahead += n
+    return out

@@ -92,7 +92,7 @@ def normal(text):
 
 
 def test_exact_dedup_and_later_batches(spark, docs, rows, empty):
-    index = exact_dedup.DigestIndex(spark, "digests_a", buckets=4)
+    index = exact_dedup.DigestIndex(spark, "digests_a", bucket_rows=20)
     groups = {}
     for r in rows:
         groups.setdefault(normal(r[1]), []).append(r[0])
@@ -109,14 +109,50 @@ def test_exact_dedup_and_later_batches(spark, docs, rows, empty):
     out = by_id(index.add(later))
     assert (out[-5]["keep_id"], out[-5]["kept"], out[-5]["group_size"]) == (0, False, len(groups[normal(rows[0][1])]) + 1)
     assert out[200]["kept"] and not out[None]["kept"] and out[None]["keep_id"] == 200
-    assert index.table().count() == len(groups) + 1
+    assert index.known().count() == len(groups) + 1
+
+
+def test_exact_dedup_batches_add_up_and_can_be_run_again(spark):
+    index = exact_dedup.DigestIndex(spark, "digests_c", bucket_rows=2)
+    batch = lambda *ids: spark.createDataFrame([(i, "the same") for i in ids] + [(100 + ids[0], f"own {ids[0]}")], "doc_id long, text string")
+    state = lambda df: sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in df.collect())
+    first, second, third = batch(5, 4), batch(1, 2, 3), batch(9)
+    assert state(index.add(first, "a")) == [(4, 4, 2, True), (5, 4, 2, False), (105, 105, 1, True)]
+    assert state(index.add(second, "b")) == [(1, 4, 5, False), (2, 4, 5, False), (3, 4, 5, False), (101, 101, 1, True)]
+    expected = [(9, 4, 6, False), (109, 109, 1, True)]
+    assert state(index.add(third, "c")) == expected
+    # A batch that is added again gives what it gave, the first one too.
+    assert state(index.add(third, "c")) == expected
+    assert state(index.add(first, "a")) == [(4, 4, 2, True), (5, 4, 2, False), (105, 105, 1, True)]
+    assert state(exact_dedup.DigestIndex(spark, "digests_c").add(batch(50), "it's {d}\\"))[0] == (50, 4, 7, False)
+    rows = index.known().count()
+    index.compact()
+    assert index.table().count() == rows == index.known().count()
+    assert state(index.add(batch(60), "e")) == [(60, 4, 8, False), (160, 160, 1, True)]
+    # A compaction that was stopped before its last step leaves an old table.
+    spark.sql("CREATE TABLE digests_c_g1 AS SELECT 1 AS x")
+    assert state(exact_dedup.DigestIndex(spark, "digests_c").add(batch(70), "f"))[0] == (70, 4, 9, False)
+
+
+def test_exact_dedup_grows(spark):
+    index = exact_dedup.DigestIndex(spark, "digests_d", bucket_rows=2)
+    for k in range(6):
+        index.add(spark.createDataFrame([(20 * k + i, f"text {k} {i}") for i in range(8)], "doc_id long, text string"))
+    assert index._buckets() > 4 and index.known().count() == 48
+
+
+def test_exact_dedup_keeps_one_row_of_each_text(spark):
+    rows = [(7, "a"), (7, "a"), (None, "a"), (None, "b"), (None, "b"), (None, "b"), (3, None), (3, ""), (3, "c")]
+    out = exact_dedup.DigestIndex(spark, "digests_e").add(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"]) for r in out if r["kept"])
+    assert len(out) == len(rows) and kept == [("3", "3", 1), ("3", "3", 2), ("7", "7", 3), ("None", "None", 3)]
 
 
 def test_exact_dedup_merges_in_place(spark, docs):
-    index = exact_dedup.DigestIndex(spark, "digests_b", buckets=4)
+    index = exact_dedup.DigestIndex(spark, "digests_b", bucket_rows=20)
     index.add(docs)
     new = docs.select(exact_dedup.digest(F.coalesce("text", F.lit(""))).alias("text_sha256")).groupBy("text_sha256").count()
-    plan = new.join(index.table().hint("merge"), "text_sha256", "left_anti")._jdf.queryExecution().toString()
+    plan = new.join(index.known(9).hint("merge"), "text_sha256", "left_anti")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
 
 
@@ -142,8 +178,19 @@ def test_sharding_balance_order_and_repeats(spark, empty, tmp_path):
     total = sum(r["b"] for r in got)
     assert len(got) == 8 and all(abs(r["b"] - total / 8) < 0.02 * total and r["m"] == r["n"] - 1 for r in got)
     assert sharding.assign(empty).count() == 0
-    sharding.write_shards(even, str(tmp_path / "shards"))
-    assert spark.read.parquet(str(tmp_path / "shards")).select("shard").distinct().count() == 8
+    docs = even.withColumn("slot", F.lit("x")).unionByName(spark.createDataFrame([(None, "nobody"), (None, "else")], "doc_id long, text string"), allowMissingColumns=True)
+    sharding.write_shards(docs, str(tmp_path / "shards"), file_bytes=20_000)
+    out = spark.read.parquet(str(tmp_path / "shards"))
+    assert out.columns == ["doc_id", "text", "slot", "shard"]
+    wrote, wanted = out.collect(), sharding.assign(docs).collect()
+    assert sorted((r["shard"], r["slot"], r["doc_id"] or -1) for r in wrote) == sorted((r["shard"], r["slot"], r["doc_id"] or -1) for r in wanted)
+    assert len({(r["shard"], r["slot"]) for r in wrote}) == len(wrote) == 805
+    assert Counter((r["doc_id"], r["text"]) for r in wrote) == Counter((r["doc_id"], r["text"]) for r in docs.collect())
+
+
+def test_sharding_matches_running_sums(spark, docs, rows):
+    expected = brute.shards([(r[0], r[1]) for r in rows])
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.assign(docs).collect()} == expected
 
 
 # --- quality rules ---------------------------------------------------------------------
@@ -173,34 +220,18 @@ def test_rules_learn_symbols_and_keep_clean_text(spark, empty):
 # --- mixing ----------------------------------------------------------------------------
 
 
-def model_targets(sizes, weights=(5, 2, 1)):
-    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[i % 3] for i, s in enumerate(order)}
-    left, free, target = 1.5 * sum(sizes.values()), set(sizes), {}
-    while free:
-        total = sum(weight[s] for s in free)
-        over = {s for s in free if left * weight[s] / total > 2 * sizes[s]}
-        if not over:
-            target |= {s: left * weight[s] / total for s in free}
-            break
-        for s in over:
-            target[s] = 2.0 * sizes[s]
-        left -= sum(target[s] for s in over)
-        free -= over
-    return target
-
-
 def test_mixing(docs, rows, empty):
     sizes, largest = Counter(), Counter()
     for r in rows:
         sizes[r[3]] += len(brute.words(r[1]))
         largest[r[3]] = max(largest[r[3]], len(brute.words(r[1])))
-    target = model_targets(sizes)
-    first, again = by_id(mixing.mix(docs)), by_id(mixing.mix(docs, ranges=4))
-    taken = Counter()
+    target = brute.targets(sizes)
+    first, again = by_id(mixing.mix(docs)), by_id(mixing.mix(docs, range_rows=5))
+    taken, copies = Counter(), brute.copies_in_mix([(r[0], r[1] or "", r[3]) for r in rows])
     for r in rows:
         got = first[r[0]]
         assert got["taken"] == again[r[0]]["taken"] <= 2 * got["size"]
+        assert got["copies"] == copies[r[0]], r[0]
         assert (got["size"], got["source_size"]) == (len(brute.words(r[1])), sizes[r[3]])
         assert got["target"] == pytest.approx(target[r[3]])
         taken[r[3]] += got["taken"]
@@ -211,6 +242,22 @@ def test_mixing(docs, rows, empty):
     assert mixed.count() == sum(r["copies"] for r in first.values())
 
 
+def test_mixing_odd_rows(spark):
+    """Empty rows are taken twice at most; rows that repeat an id, or have none, count and come back each."""
+    rows = [(i, prose(i, 20), "en", "a", 1) for i in range(8)] + [(20 + i, "", "en", "empty", 0) for i in range(3)]
+    rows += [(3, prose("other", 20), "en", "b", 1), (3, prose(3, 20), "en", "a", 1), (None, prose("x", 9), "en", None, 1), (None, prose("y", 9), "en", None, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(rows) and all(r["copies"] <= 2 for r in out)
+    key = lambda r: (r["doc_id"], r["source"])
+    taken = Counter({k: 0 for k in map(key, out)})
+    for r in out:
+        taken[key(r)] += r["copies"]
+    mixed = Counter(map(key, mixing.mixed(docs).collect()))
+    assert {k: n for k, n in taken.items() if n and k != (3, "a")} == {k: n for k, n in mixed.items() if k != (3, "a")}
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
 # --- line dedup ------------------------------------------------------------------------
 
 
@@ -295,43 +342,82 @@ def test_jaccard_join(docs, rows, empty):
     assert kept == {d for d, (c, _) in expected.items() if c == d}
 
 
-def test_jaccard_join_splits_and_clusters(spark, monkeypatch):
-    """Nodes over the limit, dense clusters in several blocks, and chance meetings."""
-    monkeypatch.setattr(jaccard_join, "LIMIT", 8)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
-    base, rows = prose("base", 120).split(" "), []
-    own = random.Random(1)
-    for i in range(60):
+def clustered(n, edits, length=120):
+    """Edited copies of one text, texts that share a passage, and texts in equal pairs."""
+    base, rows, own = prose("base", length).split(" "), [], random.Random(1)
+    for i in range(n):
         w = list(base)
-        for _ in range(own.randint(0, 4)):
+        for _ in range(own.randint(0, edits)):
             w[own.randrange(len(w))] = f"edit{i}"
         rows.append((i, " ".join(w)))
     shared = prose("shared", 30)
-    rows += [(100 + i, f"{shared} {prose(1000 + i, 12)}") for i in range(40)]
-    rows += [(200 + i, prose(2000 + i // 2, 50)) for i in range(20)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(5000 + i, f"{shared} {prose(1000 + i, 12)}") for i in range(40)]
+    return rows + [(6000 + i, prose(2000 + i // 2, 50)) for i in range(20)]
+
+
+@pytest.mark.parametrize("edits, limit, dense", [(4, 8, 0.7), (8, 8, 0.3), (1, 8, 0.7)])
+def test_jaccard_join_splits_and_clusters(spark, monkeypatch, edits, limit, dense):
+    """Nodes over the limit, dense nodes, groups in several blocks with and without near members, and chance meetings."""
+    for name, value in {"LIMIT": limit, "DENSE": dense, "BLOCK": 16, "NODE_ROWS": 50, "GROUP_ROWS": 20}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = clustered(60, edits)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near_classes(rows)
+
+
+def test_jaccard_join_finds_the_links_of_a_large_cluster(spark):
+    """With production parameters: 1,100 different near copies are more than a node or a block holds."""
+    rows = clustered(1100, 12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(docs).collect()}
     assert got == brute.near_classes(rows)
 
 
+def test_near_members_are_linked():
+    """Whatever two sets pass the test against one representative, their similarity is 0.8 or more."""
+    import pyarrow as pa
+
+    own = random.Random(5)
+    centre = sorted(own.sample(range(10**6), 90))
+    made = [centre]
+    for _ in range(200):
+        lost = own.randint(0, 9)
+        made.append(sorted(set(own.sample(centre, 90 - lost)) | {own.randrange(10**6, 10**7) for _ in range(own.randint(0, 12))}))
+    packed = [np.array(x, "<u8").tobytes() for x in made]
+    n = len(made)
+    batch = pa.RecordBatch.from_pydict({
+        "rep": list(range(n)), "elements": pa.array(packed, pa.binary()), "copies": [1] * n, "cluster": [0] * n,
+        "blocks": [2] * n, "centre": pa.array([packed[0]] * n, pa.binary()),
+    })
+    flags = next(jaccard_join.near_batches(iter([batch])))["near"].to_pylist()
+    near = [set(x) for x, flag in zip(made, flags, strict=True) if flag]
+    assert flags[0] and 10 < len(near) < n
+    assert all(10 * len(a & b) >= 8 * len(a | b) for a in near for b in near)
+
+
 def test_jaccard_join_odd_rows(spark):
-    text = prose("n", 30)
-    docs = spark.createDataFrame([(4, text), (4, text), (None, text), (None, None), (4, prose("m", 30)), (9, text)], "doc_id long, text string")
-    out = sorted((str(r["doc_id"]), str(r["class_id"])) for r in jaccard_join.near_duplicates(docs).collect())
-    assert len(out) == 6 and ("None", "None") in out
-    kept = [r["doc_id"] for r in jaccard_join.one_of_each(docs).where("doc_id IS NOT NULL").collect()]
-    assert 4 in kept and len(kept) == len(set(kept))
+    """Each row is a document: with a repeated id or none, its links and class count as any other's."""
+    text, other, third = prose("n", 30), prose("m", 30), prose("o", 30)
+    rows = [(4, text), (4, text), (None, text), (None, None), (4, other), (9, text), (None, third), (None, third + " x"), (8, other + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"], r["copies"]) for r in jaccard_join.near_duplicates(docs).collect())
+    assert out == sorted(
+        [("4", "4", 3, 4)] * 2 + [("None", "4", 3, 4), ("9", "4", 3, 4), ("None", "None", 0, 1), ("4", "4", 1, 1), ("8", "4", 1, 1)] + [("None", "None", 1, 1)] * 2
+    )
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(docs).collect()]
+    assert len(kept) == 4 and {(4, text), (4, other), (None, None)} < set(kept)
+    assert sum(d is None and t is not None for d, t in kept) == 1
 
 
 def test_one_of_each_keeps_both_texts_of_a_repeated_id(spark):
-    """Whichever of an id's texts is compared: the one that another document has isn't kept twice, nor its other one lost."""
+    """Each different text stays once, in the row with the smallest id; rows without words all stay."""
     rows = []
     for k in range(0, 40, 2):
         a, b = prose(f"a{k}", 30), prose(f"b{k}", 30)
         rows += [(k, a), (k + 1, a), (k + 1, b)]
     docs = spark.createDataFrame([*rows, (50, ""), (50, prose("c", 30))], "doc_id long, text string")
     kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(docs).collect()]
-    assert sorted(kept) == sorted([*rows[::3], *rows[2::3], (50, prose("c", 30))])
+    assert sorted(kept) == sorted([*rows[::3], *rows[2::3], (50, ""), (50, prose("c", 30))])
 
 
 def test_components(spark):
@@ -436,21 +522,30 @@ def test_quality_knn_held_out(spark):
     assert quality_knn.scores(spark, docs.limit(0), labels).count() == 0
 
 
-# --- pipeline --------------------------------------------------------------------------
-
-
-def test_pipeline_stages_follow_each_other(spark, rows, tmp_path):
-    import corpus_pipeline
+def test_quality_knn_is_an_exact_vote(spark, docs, rows):
+    """Scores against a plain vote over all labelled vectors of the fitted model."""
+    import math
 
-    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    names = docs.columns
-    for nth, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = stage(spark, docs, str(tmp_path))
-        if nth < 4:
-            assert docs.columns == names
-    final = docs.collect()
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(final)
-    good = {r[0] for r in rows if brute.counts(r[1])["n_words"] >= 10 and brute.counts(r[1])["n_repeat_words"] * 5 <= brute.counts(r[1])["n_words"]}
-    assert {r["doc_id"] for r in final} <= good
+    # Equal texts have equal labels, so that it doesn't matter which of them are neighbours.
+    labels = spark.createDataFrame([(r[0], len(r[1] or "") % 2) for r in rows], "doc_id long, quality int")
+    model = quality_knn.fit(docs, labels)
+    out = by_id(quality_knn.scores(spark, docs, labels))
+    assert len(model.labels) == len({r[0] for r in rows if out[r[0]]["held_out"] is False})
+    for r in rows:
+        raw = (r[1] or "").encode()
+        kinds = [int(quality_knn.KIND[b]) for b in raw]
+        n = quality_knn.KINDS
+        grams = Counter((a * n + b) * n + c for a, b, c in zip(kinds, kinds[1:], kinds[2:]))
+        term = {k: math.log1p(c * 1000 / len(raw)) for k, c in grams.items()}
+        w = raw.split()
+        if len(w) > 1:
+            term[quality_knn.GRAMS] = math.log1p(quality_knn.REPEATED * sum(a == b for a, b in zip(w, w[1:])) / (len(w) - 1))
+        for k, length in ((1, 2), (2, 5)):
+            runs = [tuple(w[i : i + length]) for i in range(len(w) - length + 1)]
+            if runs:
+                term[quality_knn.GRAMS + k] = math.log1p(quality_knn.REPEATED * (1 - len(set(runs)) / len(runs)))
+        own = sum((v * model.projection[k].astype(float) for k, v in term.items()), np.zeros(model.projection.shape[1]))
+        cosine = sorted(((float(own @ v) / (np.linalg.norm(own) or 1), float(y)) for v, y in zip(model.vectors, model.labels)), reverse=True)[: quality_knn.NEIGHBOURS]
+        total = sum(max(c, 0) for c, _ in cosine)
+        expected = sum(max(c, 0) * y for c, y in cosine) / total if total else model.prior
+        assert out[r[0]]["score"] == pytest.approx(expected, abs=2e-3), r[0]
