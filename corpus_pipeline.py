@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import bpe, jaccard_join, line_dedup, mixing, quality_rules
-from quarry.llm.common import read, saved
+from quarry.llm.common import read, written
 from quarry.llm.queries import vocabulary
 
 
@@ -52,10 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written out before the next one."""
+    """All stages over ``documents``; what a stage returns is written as Parquet and read again by the next one."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = saved(docs)
+            docs = written(docs)
     return docs
