@@ -123,7 +123,7 @@ class Engine:
         version = self.documents.version()
         docs = self.documents.read()
         path = f"{self.path}/index/v{version:08d}"
-        ready = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/postings/_SUCCESS")
+        ready = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/blocks/_SUCCESS")
         if not ready.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(ready):
             Index.of(docs).write(path)
         return Index.read(self.spark, path, docs)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import word_count
 from quarry.operators.index import Index
-from quarry.operators.retrieve import coverage, cosine_scores, evidence, top_k
+from quarry.operators.retrieve import coverage, evidence, top_k
 from quarry.sources.config import Retrieval
 
 FALLBACK_K = 3
@@ -29,13 +29,11 @@ def planned(questions: DataFrame, retrieval: Retrieval) -> DataFrame:
 
 
 def step_hits(plan: DataFrame, index: Index) -> DataFrame:
-    """``qid, step, chunk_idx, score, rank``: all steps of all questions in one join."""
+    """``qid, step, chunk_idx, score, rank``: all steps of all questions at once."""
     steps = plan.select("qid", F.posexplode("steps").alias("step", "s")).select(
         "qid", "step", F.struct("qid", "step").alias("key"), F.col("s.query").alias("question"), F.col("s.dense_k").alias("k")
     )
-    scores = cosine_scores(steps.select("key", "question"), index, "key")
-    wanted = scores.join(steps.select("key", "k"), "key")
-    return top_k(wanted, F.col("k"), "key").select("key.qid", "key.step", "chunk_idx", "score", "rank")
+    return top_k(steps.select("key", "question", "k"), index, F.col("k"), "key").select("key.qid", "key.step", "chunk_idx", "score", "rank")
 
 
 def first_of_each(hits: DataFrame) -> DataFrame:
@@ -49,7 +47,7 @@ def first_of_each(hits: DataFrame) -> DataFrame:
 def with_fallback(plan: DataFrame, hits: DataFrame, index: Index) -> DataFrame:
     """Questions without a hit get the best three for the question itself."""
     bare = plan.select("qid", "question").join(hits.select("qid"), "qid", "left_anti")
-    more = top_k(cosine_scores(bare, index), FALLBACK_K)
+    more = top_k(bare, index, FALLBACK_K)
     more = more.select("qid", F.lit(0).alias("step"), "chunk_idx", "score", "rank", F.col("rank").alias("nth"))
     return hits.select("qid", "step", "chunk_idx", "score", "rank", "nth").unionByName(more)
 

@@ -6,31 +6,23 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokens
+from quarry.functions.layout import spread
+from quarry.functions.stopwords import STOP_WORDS
+from quarry.functions.text import all_tokens
 from quarry.operators.chunking import chunk_table, exploded, folded
 
 
-def counted_terms(words: Column) -> Column:
-    """Array of ``(term, tf)``: runs of the sorted words, so counting needs no shuffle."""
-
-    def runs(s: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(s) - 1)
-        first = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        length = lambda starts: lambda i, k: F.coalesce(F.get(starts, k + 1), F.size(s)) - i
-        return F.transform(
-            F.array(first), lambda starts: F.transform(starts, lambda i, k: F.struct(s[i].alias("term"), length(starts)(i, k).cast("long").alias("tf")))
-        )[0]
-
-    none = F.array().cast("array<struct<term:string,tf:bigint>>")
-    return F.transform(F.array(F.sort_array(words)), lambda s: F.when(F.size(s) == 0, none).otherwise(runs(s)))[0]
+#: Chunks that are scored together.
+BLOCK = 2048
 
 
 def term_frequency(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``key, term, tf``, stop words left out; ``key`` names one row each."""
-    return texts.select(key, F.inline(counted_terms(tokens(F.col(text)))))
+    words = texts.select(key, F.explode(all_tokens(F.col(text))).alias("term")).where(~F.col("term").isin(*STOP_WORDS))
+    return words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
@@ -45,8 +37,14 @@ def inverse_frequency(df: DataFrame, n: Column) -> DataFrame:
 def normalised(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """``key, term, tf, w``: weights of unit length for each key; unknown terms are dropped first."""
     weighed = tf.join(idf.select("term", "idf"), "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighed.join(norms, key).select(key, "term", "tf", (F.col("raw") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return weighed.select(key, "term", "tf", (F.col("raw") / norm).alias("w"))
+
+
+def blocked(postings: DataFrame) -> DataFrame:
+    """``block, term, postings``: the postings of a term within a block of chunks as one row."""
+    block = F.floor(F.col("chunk_idx") / BLOCK).alias("block")
+    return postings.groupBy(block, "term").agg(F.collect_list(F.struct("chunk_idx", "w")).alias("postings"))
 
 
 def files_state(table: DataFrame) -> str:
@@ -71,7 +69,12 @@ class Index:
     docs: DataFrame
     chunks: DataFrame
     idf: DataFrame
-    postings: DataFrame
+    blocks: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        """``chunk_idx, term, w``."""
+        return self.blocks.select("term", F.inline("postings"))
 
     @classmethod
     def of(cls, docs: DataFrame) -> Index:
@@ -80,21 +83,21 @@ class Index:
         n = chunks.agg(F.count(F.lit(1))).scalar()
         tf = term_frequency(chunks, "chunk_idx", "chunk")
         idf = inverse_frequency(document_frequency(tf), n)
-        return cls(docs, chunks, idf, normalised(tf, idf, "chunk_idx"))
+        return cls(docs, chunks, idf, blocked(normalised(tf, idf, "chunk_idx")))
 
     def write(self, path: str) -> None:
         """A snapshot: each table is computed once, from what is already written."""
         spark = self.docs.sparkSession
-        folded(self.docs).write.mode("overwrite").parquet(f"{path}/folds")
+        folded(spread(self.docs)).write.mode("overwrite").parquet(f"{path}/folds")
         exploded(spark.read.parquet(f"{path}/folds")).write.mode("overwrite").parquet(f"{path}/chunks")
         chunks = spark.read.parquet(f"{path}/chunks")
         term_frequency(chunks, "chunk_idx", "chunk").write.mode("overwrite").parquet(f"{path}/tf")
         tf = spark.read.parquet(f"{path}/tf")
         inverse_frequency(document_frequency(tf), F.lit(chunks.count())).write.mode("overwrite").parquet(f"{path}/idf")
         idf = spark.read.parquet(f"{path}/idf")
-        postings = normalised(tf, idf, "chunk_idx").select("chunk_idx", "term", "w")
+        blocks = blocked(normalised(tf, idf, "chunk_idx"))
         # Sorted by term, so that a question's terms touch few row groups of each file.
-        postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        blocks.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/blocks")
 
     @classmethod
     def built(cls, spark: SparkSession, docs: DataFrame, key: str) -> Index:
@@ -105,7 +108,7 @@ class Index:
         """
         known = (spark.sparkContext.applicationId, key)
         if known not in BUILT:
-            root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-index-")
+            root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-index-")
             path = f"{root}/index-{uuid.uuid4().hex}"
             cls.of(docs).write(path)
             BUILT[known] = path
@@ -113,5 +116,5 @@ class Index:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, docs: DataFrame) -> Index:
-        chunks, idf, postings = (spark.read.parquet(f"{path}/{t}") for t in ("chunks", "idf", "postings"))
-        return cls(docs, chunks, idf, postings)
+        chunks, idf, blocks = (spark.read.parquet(f"{path}/{t}") for t in ("chunks", "idf", "blocks"))
+        return cls(docs, chunks, idf, blocks)

@@ -1,7 +1,15 @@
-"""Cosine retrieval for whole tables of questions at once."""
+"""Cosine retrieval for whole tables of questions at once.
+
+The best chunks are found a block of chunks at a time: a block's postings and a group
+of question vectors meet in one task, which multiplies them as sparse matrices and
+keeps each question's best.  So what is shuffled are postings and ``k`` rows a question
+and block, never a row for each pair of question and chunk.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +18,8 @@ from quarry.operators.index import Index, normalised, term_frequency
 
 #: Scores are ordered by this many decimals, so that the order of summation doesn't matter.
 DIGITS = 9
+#: Questions that meet a block at once: a matrix of this many rows and ``index.BLOCK`` columns fits a task.
+GROUP = 1024
 
 
 def question_vectors(questions: DataFrame, index: Index, key: str = "qid") -> DataFrame:
@@ -27,14 +37,57 @@ def cosine_scores(questions: DataFrame, index: Index, key: str = "qid") -> DataF
     return scores.where("score > 0")
 
 
-def top_k(scores: DataFrame, k: int | Column, key: str = "qid") -> DataFrame:
-    """The best ``k`` of each question, with ``rank`` from 1; equal scores go to the later chunk."""
-    order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("chunk_idx"))
+def best_of_block(table: pa.Table) -> pa.Table:
+    """The best chunks of one block for one group of questions: ``name, k, chunk_idx, score``.
+
+    A row is a term with its postings in the block and its weight in each question.
+    """
+    places, asked = (table[c].combine_chunks() for c in ("postings", "asked"))
+    sizes, counts = (np.diff(x.offsets.to_numpy()) for x in (places, asked))
+    chunks, weights = (np.asarray(places.flatten().field(c)) for c in ("chunk_idx", "w"))
+    own, qw, wanted = (asked.flatten().field(c) for c in ("name", "qw", "k"))
+    own = own.dictionary_encode()
+    names, question, qw = own.dictionary, np.asarray(own.indices), np.asarray(qw)
+    k = np.zeros(len(names), np.int64)
+    k[question] = np.asarray(wanted)
+    known, column = np.unique(chunks, return_inverse=True)
+    scores = np.zeros((len(names), len(known)))
+    a = b = 0
+    for n, m in zip(sizes.tolist(), counts.tolist(), strict=True):
+        # Within a term each question and each chunk comes once.
+        scores[question[b : b + m, None], column[a : a + n]] += qw[b : b + m, None] * weights[a : a + n]
+        a, b = a + n, b + m
+    scores = np.round(scores, DIGITS)
+    most = min(int(k.max()), len(known))
+    least = -np.partition(-scores, most - 1, axis=1)[:, most - 1]
+    row, at = np.nonzero((scores >= least[:, None]) & (scores > 0))
+    # Columns are in order of chunk_idx; of equal scores the later chunk wins.
+    order = np.lexsort((-at, -scores[row, at], row))
+    row, at = row[order], at[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, np.arange(len(names)))[row] < k[row]
+    row, at = row[kept], at[kept]
+    return pa.table({"name": names.take(pa.array(row)), "k": k[row], "chunk_idx": known[at], "score": scores[row, at]})
+
+
+def top_k(questions: DataFrame, index: Index, k: int | Column, key: str = "qid") -> DataFrame:
+    """``key, chunk_idx, score, rank``: the best ``k`` chunks of each question, with ``rank`` from 1.
+
+    ``k`` may be a column of ``questions``; equal scores go to the later chunk.
+    """
     if isinstance(k, int):
         if k < 0:
             raise ValueError("k must not be negative")
         k = F.lit(k)
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    name = F.to_json(F.struct(key)).alias("name")
+    wanted = questions.select(key, k.cast("long").alias("k")).where("k > 0")
+    asked = question_vectors(questions, index, key).join(wanted, key).select(name, "term", "qw", "k")
+    groups = F.greatest(F.lit(1), F.ceil(questions.agg(F.count(F.lit(1))).scalar() / GROUP))
+    asked = asked.groupBy(F.pmod(F.xxhash64("name"), groups).alias("group"), "term").agg(F.collect_list(F.struct("name", "qw", "k")).alias("asked"))
+    tasks = index.blocks.join(asked, "term").groupBy("block", "group")
+    found = tasks.applyInArrow(best_of_block, "name string, k long, chunk_idx long, score double")
+    order = Window.partitionBy("name").orderBy(F.desc("score"), F.desc("chunk_idx"))
+    ranked = found.withColumn("score", F.round("score", DIGITS)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k"))
+    return ranked.select(F.from_json("name", questions.select(key).schema)[key].alias(key), "chunk_idx", "score", "rank")
 
 
 def evidence(hits: DataFrame, index: Index) -> DataFrame:
@@ -52,7 +105,7 @@ def coverage(found: Column, k: Column) -> Column:
 
 def gathered(questions: DataFrame, index: Index, k: int, key: str = "qid") -> DataFrame:
     """``qid, chunks, coverage, tokens`` for every question, those without evidence too."""
-    found = evidence(top_k(cosine_scores(questions, index, key), k, key), index)
+    found = evidence(top_k(questions, index, k, key), index)
     sums = found.groupBy(key).agg(F.count(F.lit(1)).alias("chunks"), F.sum(word_count(F.col("snippet"))).alias("tokens"))
     joined = questions.select(key).join(sums, key, "left")
     chunks, tokens = (F.coalesce(c, F.lit(0)) for c in ("chunks", "tokens"))

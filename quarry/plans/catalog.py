@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.functions.layout import spread
 from quarry.operators import answer as A
 from quarry.operators import chunking, retrieve
 from quarry.operators.index import Index, document_frequency, files_state, inverse_frequency, normalised, term_frequency
@@ -48,7 +49,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str, plain: bool = False) -> DataFrame:
     """``doc_ord, id, title, text, metadata``."""
     raw = F.coalesce("text", F.lit(""))
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("doc_ord"),
         F.col("doc_id").cast("string").alias("id"),
         F.col("source").alias("title"),
@@ -349,20 +350,20 @@ def cosine_scores(spark, sf_dir):
 @query(O.asked("SELECT rank, chunk_idx, round(score, 6) AS score FROM top WHERE qid = 3"))
 def topk_single(spark, sf_dir):
     one = questions(spark, sf_dir).where("qid = 3")
-    best = retrieve.top_k(retrieve.cosine_scores(one, index(spark, sf_dir)), K)
+    best = retrieve.top_k(one, index(spark, sf_dir), K)
     return best.select(F.col("rank").cast("long").alias("rank"), "chunk_idx", F.round("score", 6).alias("score"))
 
 
 @query(O.asked("SELECT qid, rank, chunk_idx, round(score, 6) AS score FROM top"))
 def topk_batch(spark, sf_dir):
-    best = retrieve.top_k(retrieve.cosine_scores(questions(spark, sf_dir), index(spark, sf_dir)), K)
+    best = retrieve.top_k(questions(spark, sf_dir), index(spark, sf_dir), K)
     return best.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_idx", F.round("score", 6).alias("score"))
 
 
 @query(O.asked("SELECT qid, rank, c.id || '-' || t.chunk_idx AS chunk_id, c.title, c.chunk AS snippet FROM top t JOIN corpus c ON c.chunk_idx = t.chunk_idx"))
 def chunk_doc_join(spark, sf_dir):
     own = index(spark, sf_dir)
-    found = retrieve.evidence(retrieve.top_k(retrieve.cosine_scores(questions(spark, sf_dir), own), K), own)
+    found = retrieve.evidence(retrieve.top_k(questions(spark, sf_dir), own, K), own)
     return found.select("qid", F.col("rank").cast("long").alias("rank"), F.col("id").alias("chunk_id"), "title", "snippet")
 
 

@@ -123,13 +123,13 @@ def test_scores_and_ties(spark, small):
     assert scores.keys() == expected.keys() and all(scores[k] == pytest.approx(expected[k], abs=2e-9) for k in scores)
     for k in (0, 1, 3, 10, 1000):
         best = defaultdict(list)
-        for r in retrieve.top_k(retrieve.cosine_scores(asked, index), k).orderBy("qid", "rank").collect():
+        for r in retrieve.top_k(asked, index, k).orderBy("qid", "rank").collect():
             best[r["qid"]].append(r["chunk_idx"])
         for q, _ in questions:
             own = sorted((i for p, i in scores if p == q), key=lambda i: (-scores[q, i], -i))
             assert best[q] == own[:k]
     with pytest.raises(ValueError):
-        retrieve.top_k(retrieve.cosine_scores(asked, index), -1)
+        retrieve.top_k(asked, index, -1)
 
 
 def test_snapshot_gives_the_same_answers(spark, small, tmp_path):
