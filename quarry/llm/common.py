@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.layout import spread
+
 #: ASCII white space, as a regular expression class body and as plain characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
@@ -90,5 +92,5 @@ def prefix_sums(df: DataFrame, order: list[str], columns: dict[str, str]) -> Dat
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the data folder."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the data folder, over all cores even where it is a single file."""
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
