@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import time
 import uuid
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import title_from_name, with_defaults
-from quarry.operators.answer import answer, evaluation
+from quarry.operators.answer import concluded, evaluation, retrieved
 from quarry.operators.chunking import canonical, chunks_of
-from quarry.operators.generate import Client, discover_models, local_providers
+from quarry.operators.generate import LOCAL, Client, discover_models, local_providers
 from quarry.operators.index import Index
 from quarry.operators.presets import preset_table
 from quarry.sources.config import Config, ConfigStore
@@ -29,8 +29,8 @@ class Engine:
     Spark and may be in any store that it reaches.
     """
 
-    def __init__(self, spark: SparkSession, path: str, config_path: str | None = None, provider=None):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, config_path: str | None = None, provider=None, servers=LOCAL):
+        self.spark, self.path, self.servers = spark, path, servers
         self.documents = DocumentStore(spark, f"{path}/documents")
         self.traces_store = TraceStore(spark, f"{path}/traces")
         self.config_store = ConfigStore(config_path or f"{path.removeprefix('file:')}/config.json")
@@ -64,7 +64,8 @@ class Engine:
         return discover_models(config)
 
     def local_providers(self) -> DataFrame:
-        return local_providers(self.spark)
+        """The local servers ``(kind, name, address)`` that the engine was given, with their models."""
+        return local_providers(self.spark, self.servers)
 
     def client(self):
         """The provider given to the engine, else the configured one, else none."""
@@ -129,38 +130,50 @@ class Engine:
         return Index.read(self.spark, path, docs)
 
     def ask_all(self, questions: DataFrame) -> DataFrame:
-        """Answers to ``questions(qid, question)`` in one plan, each recorded as a trace.
+        """Answers to ``questions(qid, question)``, each recorded as a trace.
 
-        The answers are written out once; traces and result read that.
+        All questions go through each step together, so the times of a step are the
+        batch's.  What a step gives is written out once and read by the next.
         """
         config, began = self.config(), datetime.now(UTC)
-        start = time.perf_counter()
-        rows = answer(questions, self.index(), config.retrieval, self.client())
+        clock = [time.perf_counter()]
         staged = f"{self.path}/answers/{uuid.uuid4().hex}"
-        rows.withColumn("trace_id", F.uuid()).write.parquet(staged)
-        spent = (time.perf_counter() - start) * 1000
-        ready = self.spark.read.parquet(staged)
+        provider, index = self.client(), self.index()
+        clock.append(time.perf_counter())
+        retrieved(questions, index, config.retrieval).withColumn("trace_id", F.uuid()).write.parquet(f"{staged}/retrieved")
+        clock.append(time.perf_counter())
+        concluded(self.spark.read.parquet(f"{staged}/retrieved"), provider).write.parquet(f"{staged}/answered")
+        clock.append(time.perf_counter())
+        ready = self.spark.read.parquet(f"{staged}/answered")
+        spent = [round((b - a) * 1000, 2) for a, b in zip(clock, clock[1:], strict=False)]
         metrics = F.create_map(
             F.lit("chunks"), F.col("n_chunks").cast("double"), F.lit("coverage"), F.col("coverage"),
-            F.lit("tokens"), F.col("tokens").cast("double"), F.lit("duration_ms"), F.lit(round(spent, 2)),
+            F.lit("tokens"), F.col("tokens").cast("double"), F.lit("duration_ms"), F.lit(round(sum(spent), 2)),
         )
+        failed = F.col("status") == "error"
+        if provider is None:
+            generation = F.struct(F.lit("none").alias("provider"), F.lit(True).alias("fallback"))
+        else:
+            generation = F.struct(
+                F.lit(getattr(provider, "base_url", "unknown")).alias("provider"), F.lit(getattr(provider, "model", "unknown")).alias("model"),
+                F.col("tokens").alias("context_tokens"), F.when(failed, "error").otherwise("success").alias("status"), F.when(failed, F.col("answer")).alias("error"),
+            )
         details = {
             "planning": F.to_json(F.struct(F.lit(1).alias("num_steps"), F.lit(config.retrieval.target_tokens).alias("target_tokens"), F.lit(config.retrieval.coverage_target).alias("coverage_target"), F.array("question").alias("queries"))),
             "retrieval": F.to_json(F.struct(F.col("n_chunks").alias("total_chunks"), "unique_sources")),
-            "generation": F.to_json(F.struct(F.col("status"), F.col("tokens").alias("context_tokens"))),
+            "generation": F.to_json(generation),
         }
-        began, ended = F.lit(began), F.lit(datetime.now(UTC))
-        # One plan answers a whole batch, so its duration stands with the last step.
+        times = [began + timedelta(seconds=x - clock[0]) for x in clock]
         steps = F.array(
             *(
                 F.struct(
-                    F.lit(name).alias("name"), began.alias("started_at"), ended.alias("completed_at"),
-                    F.lit(round(spent, 2) if name == "generation" else 0.0).alias("duration_ms"), own.alias("details"),
-                    (F.col("status") if name == "generation" else F.lit("completed")).alias("status"),
+                    F.lit(name).alias("name"), F.lit(times[i]).alias("started_at"), F.lit(times[i + 1]).alias("completed_at"),
+                    F.lit(spent[i]).alias("duration_ms"), own.alias("details"), (F.col("status") if name == "generation" else F.lit("completed")).alias("status"),
                 )
-                for name, own in details.items()
+                for i, (name, own) in enumerate(details.items())
             )
         )
+        began, ended = F.lit(began), F.lit(times[-1])
         done = ready.select(
             "qid", "question", "answer", "chunks", "trace_id", metrics.alias("metrics"), steps.alias("steps"), "coverage", "tokens", "status"
         )

@@ -30,6 +30,25 @@ CONTENT_TYPES = {
     ".htm": "text/html",
     ".csv": "text/csv",
     ".json": "application/json",
+    ".xml": "text/xml",
+    ".css": "text/css",
+    ".js": "text/javascript",
+    ".py": "text/x-python",
+    ".tsv": "text/tab-separated-values",
+    ".rtf": "application/rtf",
+    ".zip": "application/zip",
+    ".png": "image/png",
+    ".jpg": "image/jpeg",
+    ".jpeg": "image/jpeg",
+    ".gif": "image/gif",
+    ".svg": "image/svg+xml",
+    ".mp3": "audio/mpeg",
+    ".mp4": "video/mp4",
+    ".xls": "application/vnd.ms-excel",
+    ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    ".ppt": "application/vnd.ms-powerpoint",
+    ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    ".epub": "application/epub+zip",
 }
 
 
@@ -57,11 +76,6 @@ def tokens(text: Column) -> Column:
     return F.filter(all_tokens(text), lambda t: ~t.isin(*STOP_WORDS))
 
 
-def decode_utf8(content: Column) -> Column:
-    """Bytes as text, broken sequences left out (and U+FFFD itself)."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
-
-
 def plain_markdown(text: Column) -> Column:
     """Without the signs ``#``, ``*``, backtick and ``>``, then without ``"- "``."""
     return F.replace(F.translate(text, "#*`>", ""), F.lit("- "), F.lit(""))

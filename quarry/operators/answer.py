@@ -86,11 +86,14 @@ def without_provider(context: F.Column) -> F.Column:
     return F.when(F.length(context) > 0, F.concat(F.lit(NO_PROVIDER), context)).otherwise(NO_DOCUMENTS)
 
 
-def answer(questions: DataFrame, index: Index, retrieval: Retrieval, provider=None) -> DataFrame:
-    """Answers ``questions(qid, question[, steps])`` with evidence and metrics, in one plan."""
+def retrieved(questions: DataFrame, index: Index, retrieval: Retrieval) -> DataFrame:
+    """Evidence, context and metrics of ``questions(qid, question[, steps])``."""
     plan = planned(questions, retrieval)
-    hits = with_fallback(plan, first_of_each(step_hits(plan, index)), index)
-    rows = assembled(plan, hits, index)
+    return assembled(plan, with_fallback(plan, first_of_each(step_hits(plan, index)), index), index)
+
+
+def concluded(rows: DataFrame, provider=None) -> DataFrame:
+    """Adds answer and status to ``retrieved`` rows."""
     if provider is None:
         return rows.withColumns({"answer": without_provider(F.col("context")), "status": F.lit("completed")})
     from quarry.operators.generate import generated
@@ -98,6 +101,11 @@ def answer(questions: DataFrame, index: Index, retrieval: Retrieval, provider=No
     return generated(rows, provider)
 
 
+def answer(questions: DataFrame, index: Index, retrieval: Retrieval, provider=None) -> DataFrame:
+    """Answers ``questions(qid, question[, steps])`` with evidence and metrics, in one plan."""
+    return concluded(retrieved(questions, index, retrieval), provider)
+
+
 def evaluation(answers: DataFrame) -> DataFrame:
     """Mean coverage and tokens over all questions, those without evidence too."""
     return answers.agg(

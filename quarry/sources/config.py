@@ -29,6 +29,7 @@ class Retrieval:
             raise ValueError("dense_k must not be negative")
 
 
+# The presets, and above the names and defaults of the settings.
 PRESETS = {
     "fast": Retrieval(dense_k=3, sparse_k=5, top_n=3, target_tokens=800, coverage_target=0.5, max_context_tokens=2048),
     "balanced": Retrieval(),

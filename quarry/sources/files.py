@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import extension, plain_markdown, title_from_name, uploadable
+from quarry.functions.text import extension, plain_markdown, uploadable
 
 WORD_SPACE = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 EXTRACTED = "path string, name string, content binary, ext string, text string, status string"
@@ -98,9 +98,3 @@ def read_files(spark: SparkSession, path: str, all_kinds: bool = False) -> DataF
     """Files under a path or glob; by default those of the kinds that the upload form takes."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files if all_kinds else files.where(uploadable(F.col("path")))
-
-
-def titles(files: DataFrame) -> DataFrame:
-    return files.withColumn("title", title_from_name(F.element_at(F.split("path", "/"), -1)))
-
-

@@ -1,12 +1,17 @@
-"""Documents and traces as versioned Parquet snapshots.
-
-A change writes a whole new version and then appends its number to a small table of
-versions; readers take the largest.  A writer that dies leaves the last version in
-place, and a query reads one version from start to end.
+"""Documents and traces in Parquet.
+
+A change of the documents writes what it changes, deletions as marked rows, and then
+appends its number to a small table of versions.  Readers take the last whole snapshot
+and the changes after it; every ``COMPACT_AFTER`` changes a new snapshot is written.  A
+writer that dies before its number is published leaves the last version in place, and a
+query reads one version from start to end.  Writers take turns: each first creates the
+claim file of its version, which only one can.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +19,27 @@ from pyspark.sql import functions as F
 from quarry.functions.schemas import DOCUMENT, STORED, TRACE
 
 
-def read_documents_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of documents, in order; of equal ids the last wins, in the first one's place."""
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.from_json("value", f"array<struct<{DOCUMENT.replace(' string', ':string').replace(' map', ':map')}>>")))
+#: Changes after which the whole table is written anew.
+COMPACT_AFTER = 16
+
+
+def documents_of_json(arrays: DataFrame) -> DataFrame:
+    """``id, title, text, metadata, doc_ord`` of JSON arrays ``(value)``; of equal ids in an array the last wins, in the first one's place."""
+    schema = f"array<struct<{DOCUMENT.replace(' string', ':string').replace(' map', ':map')}>>"
+    rows = arrays.select(F.posexplode(F.from_json("value", schema)))
     flat = rows.select(F.col("pos").cast("long").alias("doc_ord"), "col.*")
     return flat.groupBy("id").agg(
         F.max_by(F.struct("title", "text", "metadata"), "doc_ord").alias("last"), F.min("doc_ord").alias("doc_ord")
     ).select("id", "last.*", "doc_ord")
 
 
-def read_traces_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of traces; missing steps and metrics are empty, missing status is ``completed``."""
-    traces = spark.read.schema(TRACE).option("multiLine", True).json(path)
+def read_documents_json(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON array of documents, in order; of equal ids the last wins, in the first one's place."""
+    return documents_of_json(spark.read.text(path, wholetext=True))
+
+
+def with_trace_defaults(traces: DataFrame) -> DataFrame:
+    """Missing steps and metrics are empty, missing durations 0, missing status is ``completed``."""
     steps = F.transform(
         F.coalesce("steps", F.array()),
         lambda s: s.withField("duration_ms", F.coalesce(s["duration_ms"], F.lit(0.0))).withField("status", F.coalesce(s["status"], F.lit("completed"))),
@@ -34,59 +47,71 @@ def read_traces_json(spark: SparkSession, path: str) -> DataFrame:
     return traces.withColumns({"steps": steps, "metrics": F.coalesce("metrics", F.create_map().cast("map<string,double>"))})
 
 
-def upserted(stored: DataFrame, changed: DataFrame) -> DataFrame:
-    """Changed documents replace their namesakes in place; new ones come last, in their given order.
+def read_traces_json(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON array of traces."""
+    return with_trace_defaults(spark.read.schema(TRACE).option("multiLine", True).json(path))
+
+
+def changed_rows(stored: DataFrame, changed: DataFrame) -> DataFrame:
+    """The changed documents at their places: their namesakes', or the end in their given order.
 
     ``changed`` has the columns of a document and ``nth``, its order: distinct numbers
-    from 0, gaps allowed, so that no task needs to see all rows to number them.
+    from 0, gaps allowed, so that no task needs to see all rows to number them.  Of
+    equal ids the last counts, in the first one's place.
     """
-    last = stored.agg(F.coalesce(F.max("doc_ord"), F.lit(-1)).alias("last"))
-    places = changed.join(stored.select("id", F.col("doc_ord").alias("place")), "id", "left").crossJoin(F.broadcast(last))
-    new = F.col("last") + 1 + F.col("nth")
-    moved = places.select("id", "title", "text", "metadata", F.coalesce("place", new).alias("doc_ord"))
-    return stored.join(changed.select("id"), "id", "left_anti").select("id", "title", "text", "metadata", "doc_ord").unionByName(moved)
+    once = changed.groupBy("id").agg(F.max_by(F.struct("title", "text", "metadata"), "nth").alias("last"), F.min("nth").alias("nth"))
+    last = stored.agg(F.coalesce(F.max("doc_ord"), F.lit(-1)).alias("end"))
+    places = once.join(stored.select("id", F.col("doc_ord").alias("place")), "id", "left").crossJoin(F.broadcast(last))
+    return places.select("id", "last.*", F.coalesce("place", F.col("end") + 1 + F.col("nth")).alias("doc_ord"))
+
+
+def upserted(stored: DataFrame, changed: DataFrame) -> DataFrame:
+    """Changed documents replace their namesakes in place; new ones come last."""
+    kept = stored.join(changed.select("id"), "id", "left_anti").select("id", "title", "text", "metadata", "doc_ord")
+    return kept.unionByName(changed_rows(stored, changed))
 
 
 def deleted(stored: DataFrame, ids: DataFrame) -> DataFrame:
     return stored.join(ids.select("id"), "id", "left_anti")
 
 
-class Snapshots:
-    """A table kept as numbered Parquet folders."""
+class StoreBusyError(RuntimeError):
+    """Another writer holds the claim of the next version."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
 
-    def version(self) -> int:
-        """The current version; 0 where nothing was written."""
-        try:
-            found = self.spark.read.schema("version long").parquet(f"{self.path}/versions")
-        except AnalysisException:
-            return 0
-        return found.agg(F.max("version")).first()[0] or 0
+class DocumentStore:
+    """Documents as snapshots and changes."""
 
-    def folder(self, version: int | None = None) -> str:
-        return f"{self.path}/v{self.version() if version is None else version:08d}"
+    def __init__(self, spark: SparkSession, path: str, patience: float = 60.0):
+        self.spark, self.path, self.patience = spark, path, patience
 
-    def read(self) -> DataFrame:
-        version = self.version()
-        if not version:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.folder(version))
+    # --- reading -----------------------------------------------------------------
 
-    def publish(self, version: int) -> None:
-        self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+    def versions(self) -> tuple[int, int]:
+        """The current version, and that of its last snapshot; 0 where nothing was written."""
+        try:
+            found = self.spark.read.schema("version long, whole boolean").parquet(f"{self.path}/versions")
+            row = found.agg(F.max("version").alias("now"), F.max(F.when(F.col("whole"), F.col("version"))).alias("whole")).first()
+        except AnalysisException:
+            return 0, 0
+        return row["now"] or 0, row["whole"] or 0
 
-    def replace(self, rows: DataFrame) -> int:
-        version = self.version() + 1
-        rows.write.mode("overwrite").parquet(self.folder(version))
-        self.publish(version)
-        return version
+    def version(self) -> int:
+        return self.versions()[0]
 
+    def folder(self, version: int) -> str:
+        return f"{self.path}/v{version:08d}"
 
-class DocumentStore(Snapshots):
-    def __init__(self, spark: SparkSession, path: str):
-        super().__init__(spark, path, STORED)
+    def read(self) -> DataFrame:
+        now, whole = self.versions()
+        base = self.spark.read.schema(STORED).parquet(self.folder(whole)) if whole else self.spark.createDataFrame([], STORED)
+        if now == whole:
+            return base
+        folders = [self.folder(v) for v in range(whole + 1, now + 1)]  # COMPACT_AFTER at most
+        rows = self.spark.read.schema(f"{STORED}, version long, deleted boolean").parquet(*folders)
+        columns = base.columns
+        last = rows.groupBy("id").agg(F.max_by(F.struct(*columns[1:], "deleted"), "version").alias("last")).select("id", "last.*")
+        return base.join(last.select("id"), "id", "left_anti").unionByName(last.where(~F.col("deleted")).select(*columns))
 
     def list(self) -> DataFrame:
         return self.read().orderBy("doc_ord")
@@ -94,15 +119,65 @@ class DocumentStore(Snapshots):
     def get(self, doc_id: str) -> DataFrame:
         return self.read().where(F.col("id") == doc_id).limit(1)
 
+    # --- writing -----------------------------------------------------------------
+
+    def _claim(self, version: int):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/v{version:08d}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def begin(self) -> int:
+        """Claim the next version, waiting for a writer that has it."""
+        end = time.monotonic() + self.patience
+        while True:
+            version = self.version() + 1
+            path, files = self._claim(version)
+            if files.createNewFile(path):
+                return version
+            if time.monotonic() >= end:
+                raise StoreBusyError(f"version {version} is being written; release() frees it if its writer is gone")
+            time.sleep(0.2)
+
+    def release(self) -> None:
+        """Give up the claim of the next version: for a writer that failed, or one that is known to be gone."""
+        path, files = self._claim(self.version() + 1)
+        files.delete(path, False)
+
+    def _write(self, version: int, rows: DataFrame, whole: bool) -> None:
+        rows.write.mode("overwrite").parquet(self.folder(version))
+        published = self.spark.createDataFrame([(version, whole)], "version long, whole boolean")
+        published.coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+
+    def change(self, rows_of) -> int:
+        """Publish ``rows_of(stored)``, documents with ``doc_ord`` and ``deleted``, as the next version."""
+        version = self.begin()
+        try:
+            stored = self.read()
+            self._write(version, rows_of(stored).withColumn("version", F.lit(version).cast("long")), False)
+        except BaseException:
+            self.release()
+            raise
+        if version - self.versions()[1] >= COMPACT_AFTER:
+            self.compact()
+        return version
+
+    def compact(self) -> None:
+        """Write the present state as a snapshot."""
+        version = self.begin()
+        try:
+            self._write(version, self.read(), True)
+        except BaseException:
+            self.release()
+            raise
+
     def upsert(self, documents: DataFrame) -> int:
         """``documents`` has the document columns and ``nth``; it must not change between readings."""
-        return self.replace(upserted(self.read(), documents))
+        return self.change(lambda stored: changed_rows(stored.select("id", "doc_ord"), documents).withColumn("deleted", F.lit(False)))
 
     def delete(self, doc_id: str) -> bool:
         """False for an unknown id, which changes nothing."""
         if self.get(doc_id).isEmpty():
             return False
-        self.replace(self.read().where(F.col("id") != doc_id))
+        self.change(lambda stored: stored.where(F.col("id") == doc_id).withColumn("deleted", F.lit(True)))
         return True
 
 

@@ -133,6 +133,36 @@ def test_store_keeps_places(spark, tmp_path):
     docs.upsert(spark.createDataFrame([("c", "C", "3", {}, 0), ("a", "A2", "4", {}, 1)], schema))
     assert [(r["id"], r["title"]) for r in docs.list().collect()] == [("a", "A2"), ("b", "B"), ("c", "C")]
     assert docs.get("b").first()["text"] == "2" and docs.delete("b") and docs.list().count() == 2
+    # Of ids that repeat in a change the last counts.
+    docs.upsert(spark.createDataFrame([("d", "D", "5", {}, 0), ("d", "D2", "6", {}, 1), ("b", "B2", "7", {}, 2)], schema))
+    assert [(r["id"], r["title"]) for r in docs.list().collect()] == [("a", "A2"), ("c", "C"), ("d", "D2"), ("b", "B2")]
+
+
+def test_store_writes_changes_and_compacts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "COMPACT_AFTER", 3)
+    docs = store.DocumentStore(spark, str(tmp_path / "docs"), patience=0.5)
+    schema = "id string, title string, text string, metadata map<string,string>, nth long"
+    for i in range(7):
+        docs.upsert(spark.createDataFrame([(f"d{i}", f"t{i}", "x", {}, 0), ("same", f"t{i}", "y", {}, 1)], schema))
+    now, whole = docs.versions()
+    assert whole > 0 and now - whole < 3
+    assert [r["title"] for r in docs.list().collect()] == ["t0", "t6", *(f"t{i}" for i in range(1, 7))]
+    # A change holds its own rows alone.
+    assert spark.read.parquet(docs.folder(1)).count() == 2
+
+
+def test_store_writers_take_turns(spark, tmp_path):
+    schema = "id string, title string, text string, metadata map<string,string>, nth long"
+    one, other = (store.DocumentStore(spark, str(tmp_path / "docs"), patience=0.5) for _ in range(2))
+    rows = spark.createDataFrame([("a", "A", "1", {}, 0)], schema)
+    one.begin()
+    with pytest.raises(store.StoreBusyError):
+        other.upsert(rows)
+    one.release()
+    assert other.upsert(rows) == 1
+    with pytest.raises(Exception):
+        other.change(lambda stored: stored.select("nothing"))
+    assert one.delete("a") and one.list().count() == 0
 
 
 def test_json_sources(spark, tmp_path):
@@ -155,7 +185,7 @@ def test_json_sources(spark, tmp_path):
 def test_clients_speak_each_protocol():
     seen = []
 
-    def fake(url, payload=None, key=None, timeout=0):
+    def fake(url, payload=None, key=None, timeout=0, label=""):
         seen.append((url, payload, key))
         return {"message": {"content": "m"}, "response": "r", "choices": [{"message": {"content": "c"}, "text": "t"}]}
 
@@ -194,5 +224,7 @@ def test_discovery_and_probes(spark):
 
 
 def test_unreachable_server_is_a_provider_error():
-    with pytest.raises(generate.ProviderError):
-        generate.fetch("http://127.0.0.1:9/", timeout=1)
+    with pytest.raises(generate.ProviderError, match="Cloud provider request failed"):
+        generate.Client("openai", "http://127.0.0.1:9").chat([])
+    with pytest.raises(generate.ProviderError, match="^Provider request failed"):
+        generate.Client("ollama", "http://127.0.0.1:9").complete("x")
