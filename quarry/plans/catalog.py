@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.layout import spread
+from quarry.functions.schemas import TRACE
 from quarry.operators import answer as A
 from quarry.operators import chunking, retrieve
 from quarry.operators.index import Index, document_frequency, files_state, inverse_frequency, normalised, term_frequency
 from quarry.operators.presets import preset_table
 from quarry.plans import oracle as O
-from quarry.sources import store
+from quarry.sources import files, store
 from quarry.sources.config import PRESETS, Retrieval
 
 QUERIES: dict = {}
@@ -133,6 +134,50 @@ def metadata_defaults(spark, sf_dir):
     return rows.select("page_id", *(F.col("m")[k].alias(k) for k in keys), F.size("m").alias("entries"))
 
 
+@query("""
+    WITH r AS (SELECT doc_id // 64 AS b, source, length(text) AS n, row_number() OVER (PARTITION BY doc_id // 64 ORDER BY doc_id) - 1 AS pos FROM documents)
+    SELECT b || '-' || source AS id, min(pos) AS doc_ord, arg_max(n, pos) AS n FROM r GROUP BY b, source""")
+def document_json(spark, sf_dir):
+    """JSON arrays of 64 documents in which ids repeat: the last wins, in the first one's place."""
+    block = F.floor(F.col("doc_id") / 64).cast("string").alias("block")
+    own = F.struct(F.concat_ws("-", block, "source").alias("id"), F.col("source").alias("title"), "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
+    entries = F.array_sort(F.collect_list(F.struct("doc_id", F.to_json(own).alias("d"))))
+    arrays = read(spark, sf_dir, "documents").groupBy(block).agg(F.concat(F.lit("["), F.array_join(F.transform(entries, lambda x: x["d"]), ","), F.lit("]")).alias("value"))
+    return store.documents_of_json(arrays).select("id", "doc_ord", F.length("text").cast("long").alias("n"))
+
+
+@query("""
+    SELECT event_id AS id, event_type AS prompt, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS n_steps,
+           CASE WHEN event_id % 3 <> 0 THEN CASE WHEN event_id % 2 = 0 THEN 'error' ELSE 'completed' END END AS status,
+           CASE WHEN event_id % 3 <> 0 THEN CASE WHEN event_id % 2 = 0 THEN 1.5 ELSE 0.0 END END::DOUBLE AS duration_ms,
+           CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END AS n_metrics FROM events""")
+def trace_json(spark, sf_dir):
+    """Traces as JSON, with and without steps, times, status and metrics."""
+    step = F.when(F.col("event_id") % 2 == 0, F.lit('{"name":"planning","duration_ms":1.5,"status":"error"}')).otherwise('{"name":"planning"}')
+    steps = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit(',"steps":['), step, F.lit("]")))
+    metrics = F.when(F.col("event_id") % 5 == 0, "").otherwise(',"metrics":{"coverage":0.5}')
+    text = F.concat(F.lit('{"id":"'), F.col("event_id").cast("string"), F.lit('","prompt":"'), "event_type", F.lit('"'), steps, metrics, F.lit("}"))
+    parsed = read(spark, sf_dir, "events").select(F.from_json(text, TRACE).alias("t")).select("t.*")
+    traces = store.with_trace_defaults(parsed)
+    first = F.get("steps", F.lit(0))
+    return traces.select(
+        F.col("id").cast("long").alias("id"), "prompt", F.size("steps").alias("n_steps"), first["status"].alias("status"),
+        first["duration_ms"].alias("duration_ms"), F.size("metrics").alias("n_metrics"),
+    )
+
+
+@query("""
+    SELECT page_id, CASE page_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' ELSE '.bin' END AS ext, 'ok' AS status,
+           md5(CASE WHEN page_id % 3 = 0 THEN replace(translate(html, '#*`>', ''), '- ', '') ELSE html END) AS digest FROM pages""")
+def file_text(spark, sf_dir):
+    """Files by kind: bytes that aren't UTF-8 are left out, Markdown loses its signs."""
+    kind = F.get(F.array(F.lit(".md"), F.lit(".txt"), F.lit(".bin")), (F.col("page_id") % 3).cast("int"))
+    broken = F.concat(F.unhex(F.lit("ff")), F.encode("html", "UTF-8"), F.unhex(F.lit("e282")))
+    pages = read(spark, sf_dir, "pages").select(F.concat(F.lit("in/"), F.col("page_id").cast("string"), kind).alias("path"), broken.alias("content"))
+    found = files.extracted(pages)
+    return found.select(F.regexp_extract("name", r"^\d+", 0).cast("long").alias("page_id"), "ext", "status", F.md5("text").alias("digest"))
+
+
 @query("""
     SELECT event_id AS id, event_type AS prompt, round(value, 4) AS coverage, 1 AS n_steps, 0 AS n_monitoring_steps FROM events""")
 def trace_projection(spark, sf_dir):
@@ -194,6 +239,12 @@ def number_format(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", T.number(value).alias("shown"))
 
 
+@query("SELECT event_id, printf('%.0f', (event_id % 97) / 97.0::DOUBLE * 100) AS whole, printf('%.1f', (event_id % 97) / 97.0::DOUBLE * 100) AS tenths FROM events")
+def percent_format(spark, sf_dir):
+    share = F.col("event_id") % 97
+    return read(spark, sf_dir, "events").select("event_id", T.percent(share / 97).alias("whole"), T.percent(share / 97, 1).alias("tenths"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'Unknown' ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS shown FROM events")
 def date_time_format(spark, sf_dir):
     iso = F.when(F.col("event_id") % 20 == 0, F.lit("no date")).when(F.col("event_id") % 10 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
@@ -384,6 +435,14 @@ def token_estimate(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("tokens"))
 
 
+@query("SELECT item_id AS qid, 0::BIGINT AS chunks, 0.0::DOUBLE AS coverage, 0::BIGINT AS tokens FROM benchmark")
+def empty_corpus(spark, sf_dir):
+    """Nothing is found in a collection without documents."""
+    none = Index.of(documents(spark, sf_dir).limit(0))
+    found = retrieve.gathered(questions(spark, sf_dir), none, K)
+    return found.select("qid", F.col("chunks").cast("long").alias("chunks"), "coverage", F.col("tokens").cast("long").alias("tokens"))
+
+
 # --- plans and answers -----------------------------------------------------------------
 
 
@@ -471,3 +530,43 @@ def evaluation_avg(spark, sf_dir):
 def answer_all(spark, sf_dir):
     """The whole path for all questions: chunk, index, retrieve, assemble, answer."""
     return answers(spark, sf_dir).select("qid", "answer", "n_chunks", F.round("coverage", 6).alias("coverage"), "tokens", "unique_sources")
+
+
+class Echo:
+    """A model that repeats the question, and fails at some."""
+
+    def chat(self, messages: list[dict]) -> str:
+        question = messages[-1]["content"].split("\n\nQuestion: ")[-1]
+        if len(question) % 7 == 0:
+            raise ValueError("no luck")
+        return f"echo: {question}"
+
+
+@query(O.answered("""SELECT a.qid, CASE WHEN length(question) % 7 = 0 THEN 'Provider error: no luck' ELSE 'echo: ' || question END AS answer,
+    CASE WHEN length(question) % 7 = 0 THEN 'error' ELSE 'completed' END AS status, n_chunks FROM answers a JOIN q ON q.qid = a.qid"""))
+def model_answer(spark, sf_dir):
+    """Answers of a model, one call a question; failures leave the other questions."""
+    found = A.answer(questions(spark, sf_dir), index(spark, sf_dir), Retrieval(), Echo())
+    return found.select("qid", "answer", "status", "n_chunks")
+
+
+@query(O.answered("""SELECT a.qid, q.question, answer, 'completed' AS status, round(coverage, 6) AS coverage, tokens,
+    coalesce((SELECT string_agg(c.id || '-' || t.chunk_idx || ' ' || c.title || ' ' || printf('%.6f', score), '|' ORDER BY rank)
+              FROM top t JOIN corpus c ON c.chunk_idx = t.chunk_idx WHERE t.qid = a.qid), '') AS evidence
+    FROM answers a JOIN q ON q.qid = a.qid"""))
+def answer_record(spark, sf_dir):
+    """Question, answer, evidence in order, metrics and status of each question."""
+    shown = lambda x: F.concat_ws(" ", x["id"], x["title"], F.format_string("%.6f", x["score"]))
+    return answers(spark, sf_dir).select(
+        "qid", "question", "answer", "status", F.round("coverage", 6).alias("coverage"), "tokens", F.array_join(F.transform("chunks", shown), "|").alias("evidence")
+    )
+
+
+@query(O.answered("""SELECT qid, answer, round(avg(coverage) OVER (), 6) AS average_coverage, round(avg(tokens) OVER (), 4) AS average_tokens
+    FROM answers""", blank=True))
+def evaluation_responses(spark, sf_dir):
+    """Every response of an evaluation, with the means over all of them."""
+    asked = questions(spark, sf_dir).withColumn("question", F.when(F.col("qid") % 5 == 0, F.when(F.col("qid") % 2 == 0, " ").otherwise("the of and")).otherwise(F.col("question")))
+    found = answers(spark, sf_dir, asked)
+    means = A.evaluation(found).select(F.round("average_coverage", 6).alias("average_coverage"), F.round("average_tokens", 4).alias("average_tokens"))
+    return found.select("qid", "answer").crossJoin(F.broadcast(means))
