@@ -77,7 +77,9 @@ def top_k(questions: DataFrame, index: Index, k: int | Column, key: str = "qid")
     if isinstance(k, int):
         if k < 0:
             raise ValueError("k must not be negative")
-        k = F.lit(k)
+    # A fixed k lets Spark cut each task's rows before the last shuffle.
+    limit = F.lit(k) if isinstance(k, int) else F.col("k")
+    k = F.lit(k) if isinstance(k, int) else k
     name = F.to_json(F.struct(key)).alias("name")
     wanted = questions.select(key, k.cast("long").alias("k")).where("k > 0")
     asked = question_vectors(questions, index, key).join(wanted, key).select(name, "term", "qw", "k")
@@ -86,7 +88,7 @@ def top_k(questions: DataFrame, index: Index, k: int | Column, key: str = "qid")
     tasks = index.blocks.join(asked, "term").groupBy("block", "group")
     found = tasks.applyInArrow(best_of_block, "name string, k long, chunk_idx long, score double")
     order = Window.partitionBy("name").orderBy(F.desc("score"), F.desc("chunk_idx"))
-    ranked = found.withColumn("score", F.round("score", DIGITS)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k"))
+    ranked = found.withColumn("score", F.round("score", DIGITS)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return ranked.select(F.from_json("name", questions.select(key).schema)[key].alias(key), "chunk_idx", "score", "rank")
 
 

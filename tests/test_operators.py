@@ -102,7 +102,7 @@ def model_scores(chunks, questions):
 
 
 @pytest.fixture(scope="module")
-def small(spark):
+def small(spark, tmp_path_factory):
     own = random.Random(2)
     words = [f"w{i}" for i in range(40)] + ["the", "of"]
     texts = ["\n\n".join(" ".join(own.choices(words, k=own.randint(1, 90))) for _ in range(own.randint(1, 6))) for _ in range(30)]
@@ -110,7 +110,9 @@ def small(spark):
     docs = spark.createDataFrame([(3 * i, f"d{i}", f"t{i % 7}", t) for i, t in enumerate(texts)], "doc_ord long, id string, title string, text string")
     chunks = [(f"d{i}", c) for i, t in enumerate(texts) for c in model_chunks(t, ingest=False)]
     questions = [(0, "w1 w2 unknown"), (1, "the of"), (2, "  "), (3, texts[3]), (4, "unknown"), (5, "w5 w5 w6")]
-    return docs, chunks, questions, Index.of(docs)
+    path = str(tmp_path_factory.mktemp("index"))
+    Index.of(docs).write(path)
+    return docs, chunks, questions, Index.read(spark, path, docs)
 
 
 def test_scores_and_ties(spark, small):
@@ -132,10 +134,9 @@ def test_scores_and_ties(spark, small):
         retrieve.top_k(asked, index, -1)
 
 
-def test_snapshot_gives_the_same_answers(spark, small, tmp_path):
-    docs, _, questions, index = small
-    index.write(str(tmp_path / "index"))
-    again = Index.read(spark, str(tmp_path / "index"), docs)
+def test_snapshot_gives_the_same_answers(spark, small):
+    docs, _, questions, again = small
+    index = Index.of(docs)
     asked = spark.createDataFrame(questions, "qid long, question string")
     a, b = (A.answer(asked, i, Retrieval()).orderBy("qid").select("answer", "tokens", "coverage").collect() for i in (index, again))
     assert a == b and all(0 <= r["coverage"] <= 1 for r in a)
