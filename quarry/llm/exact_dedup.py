@@ -10,7 +10,7 @@ are shuffled, never texts, and the copies of a text are counted before the shuff
 
 A batch sees the batches before it alone.  Added again under its name, it replaces its
 own partition and gives the same result, so a job that failed half-way is run again.
-The number of buckets comes from the first batch's size; once the table outgrows it,
+The number of buckets comes from the first batch's size, one a core at least; once the table outgrows it,
 ``compact`` rewrites it with more, as ``add`` does by itself before a new batch.
 Batches can be added again until then.  One writer at a time.
 
@@ -78,7 +78,7 @@ class DigestIndex:
         return rows.groupBy("text_sha256").agg(F.min_by("keep_id", "seq").alias("keep_id"), F.sum("copies").alias("copies"))
 
     def _create(self, name: str, rows: DataFrame, size: int) -> None:
-        buckets = max(1, -(-size // self.bucket_rows))
+        buckets = max(self.spark.sparkContext.defaultParallelism, -(-size // self.bucket_rows))
         dealt = rows.repartition(buckets, "text_sha256")
         writer = dealt.write.format("parquet").partitionBy("seq", "batch").bucketBy(buckets, "text_sha256")
         writer.sortBy("text_sha256").saveAsTable(name)
