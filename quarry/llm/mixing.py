@@ -33,7 +33,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 #: Rows of a key range when one source has all; a range's rows meet in one task.
-RANGE_ROWS = 8192
+RANGE_ROWS = 2048
 #: Characters that count against a document's quality.
 SYMBOLS = "[#*$%&|<>]+"
 
