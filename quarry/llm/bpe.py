@@ -37,8 +37,9 @@ from quarry.llm.common import text_of
 
 #: Pieces remembered by a task, at most about 100 MB.
 MEMORY = 200_000
-#: Characters of text handled at a time.
-BLOCK = 1_000_000
+#: Characters that are split at a time, and pieces that are merged at a time.
+STRETCH = 1_000_000
+BLOCK = 250_000
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -86,17 +87,24 @@ class Encoder:
     def __init__(self, tables: Tables, memory: int = MEMORY):
         self.tables, self.memory, self.known = tables, memory, {}
         self.pieces = regex.compile(tables.pattern).findall
+        self.space = regex.compile(r"\s").search
         self.cut = regex.compile("(" + "|".join(map(regex.escape, tables.special)) + ")").split if tables.special else None
 
-    def split(self, text: str) -> list[str]:
-        """Pieces of a text; special tokens stand for themselves."""
-        if self.cut is None or not any(s in text for s in self.tables.special):
-            return self.pieces(self.normal(text))
-        out: list[str] = []
-        for i, part in enumerate(self.cut(text)):
-            # A NUL cannot begin a piece of letters, so it marks specials among the pieces.
-            out += [f"\0{part}"] if i % 2 else self.pieces(self.normal(part))
-        return out
+    def split(self, text: str) -> Iterator[list[str]]:
+        """Pieces of a text, stretch by stretch; special tokens stand for themselves."""
+        special = self.cut is not None and any(s in text for s in self.tables.special)
+        for i, part in enumerate(self.cut(text) if special else [text]):
+            if i % 2:
+                # A NUL cannot begin a piece of letters, so it marks specials among the pieces.
+                yield [f"\0{part}"]
+                continue
+            part, at = self.normal(part), 0
+            while at < len(part):
+                # No piece holds white space, so a stretch may end before any.
+                space = self.space(part, at + STRETCH)
+                end = space.start() if space else len(part)
+                yield self.pieces(part, at, end)
+                at = end
 
     @staticmethod
     def normal(text: str) -> str:
@@ -155,21 +163,27 @@ class Encoder:
         if plain:
             self.known |= zip(plain, (x.astype("<u4").tobytes() for x in self.merge(plain)), strict=True)
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as bytes."""
-        block: list[list[str]] = []
-        size = 0
+    def encode(self, texts: list[str]) -> Iterator[bytearray]:
+        """Ids of each text as bytes; a block may hold many texts, and a text may span many blocks."""
+        block: list[list[str]] = [[]]
+        begun, size = bytearray(), 0
         for text in texts:
-            if block and size + len(text) > BLOCK:
-                yield from self.joined(block)
-                block, size = [], 0
-            block.append(self.split(text))
-            size += len(text)
-        yield from self.joined(block)
-
-    def joined(self, block: list[list[str]]) -> list[bytes]:
+            for pieces in self.split(text):
+                if size and size + len(pieces) > BLOCK:
+                    *done, begun = self.joined(block, begun)
+                    yield from done
+                    block, size = [[]], 0
+                block[-1] += pieces
+                size += len(pieces)
+            block.append([])
+        yield from self.joined(block, begun)[:-1]
+
+    def joined(self, block: list[list[str]], begun: bytearray) -> list[bytearray]:
+        """Ids of each text's pieces in the block; the first goes on from those begun before."""
         self.learn({p for pieces in block for p in pieces})
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in block]
+        first, *others = (bytearray().join(map(self.known.__getitem__, pieces)) for pieces in block)
+        begun += first
+        return [begun, *others]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.tables.strings.__getitem__, ids))
