@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = b"<|im_start|>", b"<|im_end|>\n"
+#: Bytes that are scattered at a time; each needs an index of 8 bytes.
+SLICE = 1 << 20
 MASKED_ROLE = "assistant"
 
 FORMATTED = "conv_id long, turn long, role string, text string, formatted string, loss_start long, loss_end long"
@@ -77,15 +79,20 @@ def assemble(segments: list) -> tuple[pa.Array, list[np.ndarray]]:
     ends = np.cumsum(within[-1])
     offsets = np.concatenate([np.zeros(1, np.int64), ends])
     out = np.empty(int(offsets[-1]), np.uint8)
-    for segment, length, shift in zip(segments, lengths, within, strict=False):
-        starts = offsets[:-1] + shift
+    for segment, before in zip(segments, within, strict=False):
+        starts = offsets[:-1] + before
         if isinstance(segment, bytes):
             out[starts[:, None] + np.arange(len(segment))] = np.frombuffer(segment, np.uint8)
         else:
             data, source = raw_bytes(segment)
-            index = np.repeat(starts - (source[:-1] - source[0]), length)
-            index += np.arange(len(index))
-            out[index] = data[source[0] : source[-1]]
+            shift = starts - source[:-1]
+            for a in range(int(source[0]), int(source[-1]), SLICE):
+                b = min(a + SLICE, int(source[-1]))
+                # Rows that have bytes in the slice, and how many.
+                i, j = np.searchsorted(source, a, "right") - 1, np.searchsorted(source, b, "left")
+                index = np.repeat(shift[i:j], np.diff(np.clip(source[i : j + 1], a, b)))
+                index += np.arange(a, b)
+                out[index] = data[a:b]
     joined = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(out))
     return joined, list(within)
 
