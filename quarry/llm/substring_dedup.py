@@ -4,7 +4,7 @@ Words are ``[^\x20\x09-\x0D]+``, unchanged.  A word goes if it lies in a window
 words whose sequence also starts in a document with a smaller ``doc_id``.
 
 Finding the windows takes two rounds of the same kind.  Documents are dealt into
-groups of about ``group_bytes`` of text.
+groups of about ``group_bytes`` of text (see ``group_size``).
 
 1. Anchors.  7-word sequences are hashed only where the position modulo 7 lies in
    {0, 1, 3}.  The differences of these numbers are all residues modulo 7, so any two
@@ -27,6 +27,7 @@ gives no rows; columns besides doc_id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,10 @@ PERIOD = 7
 #: A difference cover of PERIOD.
 COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-GROUP_BYTES = 4 << 20
+#: Text of a group, least and most.
+GROUP_BYTES, MOST_GROUP_BYTES = 4 << 20, 16 << 20
+#: Text of which the least groups' packed rows hold about 70 keys.
+GROUP_CORPUS = 16 << 30
 
 #: Odd multipliers of the two window hashes.
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -242,11 +246,22 @@ def mark(key: Key, table: pa.Table, back: pa.Table) -> pa.Table:
     return made(RESULT, rows)
 
 
-def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def group_size(size: int) -> int:
+    """Bytes of text a group should have in a corpus of ``size`` bytes.
+
+    A group sends one packed row to each of about as many ranges as there are groups,
+    so the keys in a row are as the square of a group's size over the corpus.  Groups
+    grow with the root of the corpus to keep these rows filled, up to 256 GB, where a
+    group is as large as a task should hold.
+    """
+    return min(MOST_GROUP_BYTES, int(GROUP_BYTES * max(1.0, sqrt(size / GROUP_CORPUS))))
+
+
+def remove_repeats(docs: DataFrame, group_bytes: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (words joined by one space) of every document."""
     own = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, size // group_bytes + 1)
+    parts = size // (group_bytes or group_size(size)) + 1
     bits = (parts - 1).bit_length()
     dealt = own.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
     groups = dealt.groupBy("part")
