@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, jaccard_join, line_dedup, mixing, quality_knn, quality_rules, sharding, substring_dedup
+from quarry.llm import bpe, chat, collocations, jaccard_join, line_dedup, merkle, mixing, quality_knn, quality_rules, sharding, simhash, substring_dedup
 from quarry.llm.common import read, text_of
 from quarry.llm.exact_dedup import DigestIndex
 
@@ -79,6 +79,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(text_of(), 256).alias("kept_sha256"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_components(read(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, checked after tampering."""
+    return merkle.Manifest(read(spark, sf_dir, "documents")).verify()
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
@@ -90,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_knn": op8_quality_knn,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_simhash": op11_simhash,
+    "op12_merkle": op12_merkle,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -187,4 +205,29 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op13_collocations": r"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w, count(*) AS copies FROM d GROUP BY lang, w),
+        t AS (SELECT lang, sum(len(w) * copies)::BIGINT AS n FROM p GROUP BY lang),
+        s AS (SELECT lang, w, copies, unnest(generate_series(1, len(w))) AS i FROM p),
+        g AS (SELECT lang, w[i:i + k - 1] AS w, copies FROM s, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w)),
+        f AS (SELECT lang, w, sum(copies)::BIGINT AS f FROM g GROUP BY lang, w HAVING sum(copies) >= 100),
+        c AS (SELECT lang, w, f AS a, unnest(generate_series(1, len(w) - 1)) AS k FROM f WHERE len(w) > 1),
+        x AS (
+            SELECT c.lang, c.w, c.a, c.k, l.f AS l, r.f AS r, t.n, (1000::HUGEINT * c.a * t.n // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM c JOIN f l ON l.lang = c.lang AND l.w = c.w[1:c.k]
+            JOIN f r ON r.lang = c.lang AND r.w = c.w[c.k + 1:] JOIN t ON t.lang = c.lang),
+        b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+        y AS (SELECT lang, w, f, unnest(generate_series(2, len(w) - 1)) AS m FROM f WHERE len(w) > 2),
+        z AS (SELECT lang, w, f, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM y),
+        o AS (SELECT lang, w[i:i + m - 1] AS w, max(f) AS longer FROM z GROUP BY 1, 2),
+        q AS (
+            SELECT b.lang, array_to_string(b.w, ' ') AS phrase, a, l, r, n, score FROM b
+            LEFT JOIN o ON o.lang = b.lang AND o.w = b.w WHERE longer IS NULL OR 100 * longer < 100 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM q QUALIFY rank <= 2000""",
 }
