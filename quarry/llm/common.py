@@ -31,6 +31,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The frame cut off from its lineage: written to, and reread from, the checkpoint folder.
 
@@ -45,7 +53,11 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate results, which driver and executors share."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-checkpoint-")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="quarry-checkpoint-")
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 

@@ -12,28 +12,27 @@ filled by Efraimidis-Spirakis sampling: the key of a document is ``-ln(u) / q``
 while at least half of them fits.  So the taken words miss the target by at most
 half a document.  Keys depend on the row alone, so reruns agree.
 
-A source may hold any part of the rows: the prefix sums run within (source, key
-range) on top of the ranges' totals, and the number of ranges grows with the rows.
+A source may hold any part of the rows, and any number of rows may have one key: the
+prefix sums run over ranges of (source, key, row number) on top of the ranges' totals.
 There may be any number of sources: their order's sums run over ranges likewise.
 
 Defined cases: null and empty texts have size 0 and are taken 0 words; no row is taken
 more than ``cap`` times.  A row without ``doc_id`` has a key by its text.  Null is a
-source of its own.  Repeated rows count each by itself.  An empty table gives no
-rows.  Other columns are ignored.
+source of its own.  Repeated rows count each by itself, in ``mix`` and in ``mixed``
+alike.  An empty table gives no rows.  Other columns are ignored, and kept by ``mixed``,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import join_groups, prefix_sums, saved, text_of, words_of
+from quarry.llm.common import join_groups, prefix_sums, saved, text_of, unused, words_of, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-#: Rows of a key range when one source has all; a range's rows meet in one task.
-RANGE_ROWS = 2048
 #: Characters that count against a document's quality.
 SYMBOLS = "[#*$%&|<>]+"
 
@@ -65,62 +64,55 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return levelled.select("no_source", "source", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, range_rows: int = RANGE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """How many words the mix takes of each document.
 
     Columns: doc_id, source, size, source_size, target, taken (words, repeats
     counted), copies (times the document is in the mix).
     """
-    return counted(docs.select("doc_id", "source", "text"), weights, share, cap, range_rows).select(
+    numbered = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("row"))
+    return counted(numbered, weights, share, cap).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
 
 
-def counted(docs: DataFrame, weights, share: float, cap: int, range_rows: int) -> DataFrame:
-    """``mix`` with ``text_hash``, which tells rows that repeat a ``doc_id`` apart."""
+def counted(docs: DataFrame, weights, share: float, cap: int) -> DataFrame:
+    """``mix`` of ``docs(doc_id, source, text, row)``, with ``row``, which tells all rows apart."""
     words = F.size(words_of(text_of())).cast("long")
     marks = F.length(text_of()) - F.length(F.regexp_replace(text_of(), SYMBOLS, ""))
     no_source, source = F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source")
-    measured = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), no_source, source, words.alias("size"), marks.alias("marks"))
+    measured = docs.select("row", "doc_id", F.xxhash64(text_of()).alias("text_hash"), no_source, source, words.alias("size"), marks.alias("marks"))
     quality = F.greatest(F.col("size"), F.lit(1)) / (F.greatest(F.col("size"), F.lit(1)) + F.col("marks"))
     key = sampling_key(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), "text_hash")), quality).alias("key")
-    keyed = saved(measured.select("doc_id", "text_hash", "no_source", "source", "size", key))
-    # exp(-key) is even for even quality, so the ranges are about as large as each other.
-    ranges = 1 + keyed.count() // range_rows
-    keyed = keyed.withColumn("part", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int"))
-
-    parts = saved(keyed.groupBy("no_source", "source", "part").agg(F.sum("size").alias("part_size"), F.count(F.lit(1)).alias("n")))
-    sizes = parts.groupBy("no_source", "source").agg(F.sum("part_size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, cap)
+    keyed = saved(measured.select("row", "doc_id", "text_hash", "no_source", "source", "size", key))
+
+    of_source = ["no_source", "source"]
+    sizes = saved(keyed.groupBy(*of_source).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
+    targets = source_targets(sizes.drop("n"), weights, share, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = targets.withColumn("epochs", epochs.cast("long")).withColumn(
         "rest", F.col("target") - F.col("epochs") * F.col("source_size")
     )
-    of_source, of_range = ["no_source", "source"], ["no_source", "source", "part"]
-    earlier = Window.partitionBy(*of_source).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.withColumn("start", F.coalesce(F.sum("part_size").over(earlier), F.lit(0))).drop("part_size")
+    starts = prefix_sums(sizes, of_source, {"source_size": "start"}).select(*of_source, "start", "n")
     starts = saved(starts.join(targets, of_source))
 
-    joined = join_groups(keyed, starts, of_range, "n")
-    within = Window.partitionBy(*of_range).orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    summed = saved(prefix_sums(keyed, [*of_source, "key", "doc_id", "size", "text_hash", "row"], {"size": "before"}))
+    joined = join_groups(summed, starts, of_source, "n")
+    ahead = F.col("before") - F.col("start")
     chosen = (ahead + F.col("size") / 2 <= F.col("rest")).cast("long")
     copies = F.least(F.lit(cap).cast("long"), F.col("epochs") + chosen).alias("copies")
     own = F.when(~F.col("no_source"), F.col("source")).alias("source")
-    return joined.select("doc_id", "text_hash", own, "size", "source_size", "target", copies)
+    return joined.select("row", "doc_id", own, "size", "source_size", "target", copies)
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """The mix itself: each document's row as often as it is taken.
+    """The mix itself: each row as often as it is taken.
 
-    Rows with equal id, source and text are taken as often as the one taken most.
+    The rows are written once with a number, by which each finds what was decided on it.
     """
-    names = {"quarry_no_id": F.col("doc_id").isNull(), "quarry_id": F.coalesce("doc_id", F.lit(0))}
-    names |= {"quarry_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "quarry_hash": F.xxhash64(text_of())}
-    taken = counted(docs.select("doc_id", "source", "text"), weights, share, cap, RANGE_ROWS)
-    taken = taken.withColumn("quarry_hash", F.col("text_hash")).where("copies > 0")
-    taken = taken.withColumns({k: v for k, v in names.items() if k != "quarry_hash"})
-    times = taken.groupBy(*names).agg(F.max("copies").cast("int").alias("quarry_copies"))
-    joined = docs.withColumns(names).join(times, list(names))
-    repeated = joined.withColumn("quarry_nth", F.explode(F.sequence(F.lit(1), F.col("quarry_copies"))))
-    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+    row, times = unused(docs, "quarry_row"), unused(docs, "quarry_times")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    own = counted(numbered.select("doc_id", "source", "text", F.col(row).alias("row")), weights, share, cap)
+    taken = own.where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(times))
+    repeated = numbered.join(taken, row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return repeated.drop(row, times)

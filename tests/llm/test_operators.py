@@ -226,7 +226,7 @@ def test_mixing(docs, rows, empty):
         sizes[r[3]] += len(brute.words(r[1]))
         largest[r[3]] = max(largest[r[3]], len(brute.words(r[1])))
     target = brute.targets(sizes)
-    first, again = by_id(mixing.mix(docs)), by_id(mixing.mix(docs, range_rows=5))
+    first, again = by_id(mixing.mix(docs)), by_id(mixing.mix(docs.repartition(7)))
     taken, copies = Counter(), brute.copies_in_mix([(r[0], r[1] or "", r[3]) for r in rows])
     for r in rows:
         got = first[r[0]]
@@ -254,10 +254,27 @@ def test_mixing_odd_rows(spark):
     for r in out:
         taken[key(r)] += r["copies"]
     mixed = Counter(map(key, mixing.mixed(docs).collect()))
-    assert {k: n for k, n in taken.items() if n and k != (3, "a")} == {k: n for k, n in mixed.items() if k != (3, "a")}
+    assert {k: n for k, n in taken.items() if n} == mixed
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_mixing_equal_rows(spark):
+    """A third of the rows are equal and have no id: the mix takes what it says, and any number of them is one source's."""
+    rows = [(None, prose("same", 10), "en", "a", 1)] * 400 + [(i, prose(i, 10), "en", f"s{i % 3}", 1) for i in range(800)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4).withColumns({"quarry_row": F.lit("x"), "quarry_times": F.lit("y"), "row": F.lit("z")})
+    out = mixing.mix(docs).collect()
+    targets = {r["source"]: r["target"] for r in out}
+    taken = Counter()
+    for r in out:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - targets[s]) <= 5 for s in targets)
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    assert mixed.count() == sum(r["copies"] for r in out)
+    nine = spark.createDataFrame([(7, "a b c", "en", "s", 1)] * 9 + [(8, "a b", "en", "t", 1)] * 9, SCHEMA)
+    assert mixing.mixed(nine).count() == sum(r["copies"] for r in mixing.mix(nine).collect())
+
+
 # --- line dedup ------------------------------------------------------------------------
 
 
