@@ -12,7 +12,9 @@ A batch sees the batches before it alone.  Added again under its name, it replac
 own partition and gives the same result, so a job that failed half-way is run again.
 The number of buckets comes from the first batch's size, one a core at least; once the table outgrows it,
 ``compact`` rewrites it with more, as ``add`` does by itself before a new batch.
-Batches can be added again until then.  One writer at a time.
+A compaction keeps the rows of the last ``HORIZON`` batches apart, which can still be
+added again, and makes one of all older ones.  Their names are kept in the table
+``name_merged``; a batch of such a name is refused, as it was counted.  One writer at a time.
 
 Defined cases: null and empty texts equal each other, and a text of white space only
 equals ``" "``.  Within a batch the row with the smallest ``doc_id`` stays, null last,
@@ -32,6 +34,8 @@ from quarry.llm.common import SPACE_CLASS, join_groups, saved, text_of
 
 #: Rows of a bucket when the table is made, about 64 MB; it is made anew at four times as many.
 BUCKET_ROWS = 1_000_000
+#: Batches that a compaction keeps apart, so that they can be added again.
+HORIZON = 64
 
 
 def digest(text: Column) -> Column:
@@ -52,7 +56,7 @@ class DigestIndex:
         self._drop(self._generations()[:-1])
 
     def _generations(self) -> list[int]:
-        names = (t.name.removeprefix(self.prefix.lower()) for t in self.spark.catalog.listTables(pattern=f"{self.prefix}*"))
+        names = (t.name.lower().removeprefix(self.prefix.lower()) for t in self.spark.catalog.listTables(pattern=f"{self.prefix}*"))
         return sorted(int(n) for n in names if n.isdigit())
 
     def _drop(self, generations: list[int]) -> None:
@@ -68,6 +72,15 @@ class DigestIndex:
 
     def drop(self) -> None:
         self._drop(self._generations())
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.merged}")
+
+    @property
+    def merged(self) -> str:
+        """The table ``(batch)`` of the batches that a compaction made one of."""
+        return f"{self.prefix[:-2]}_merged"
+
+    def _was_merged(self, batch: str) -> bool:
+        return self.spark.catalog.tableExists(self.merged) and not self.spark.table(self.merged).where(F.col("batch") == batch).isEmpty()
 
     def known(self, before: int | None = None) -> DataFrame:
         """One row per text of the batches before this number: its first id, and its copies in all of them.
@@ -87,10 +100,16 @@ class DigestIndex:
         described = self.spark.sql(f"DESCRIBE EXTENDED {self.name}").where("col_name = 'Num Buckets'")
         return int(described.first()["data_type"])
 
-    def compact(self) -> None:
-        """One row per text, one sorted file per bucket, and buckets for the present size."""
+    def compact(self, keep: int = HORIZON) -> None:
+        """One row per text of all batches but the last ``keep``, one sorted file per bucket and batch, and buckets for the present size."""
         old = self._generations()
-        rows = saved(self.known().withColumns({"seq": F.lit(0), "batch": F.lit("compacted")}))
+        newest = self.table().agg(F.max("seq")).first()[0] or 0
+        recent = self.table().where(F.col("seq") > newest - keep)
+        merged = self.table().where((F.col("seq") <= newest - keep) & (F.col("seq") > 0)).select("batch").distinct()
+        rows = self.known(newest - keep + 1).withColumns({"seq": F.lit(0), "batch": F.lit("compacted")})
+        rows = saved(rows.unionByName(recent))
+        # The names go first: a compaction that stops here refuses batches that are still whole, and may be run again.
+        merged.write.format("parquet").mode("append").saveAsTable(self.merged)
         self._create(f"{self.prefix}{old[-1] + 1}", rows, rows.count())
         self._drop(old)
 
@@ -100,12 +119,13 @@ class DigestIndex:
             none = self.spark.createDataFrame([], "text_sha256 string, keep_id long, copies long, seq int, batch string")
             self._create(self.name, none, size)
             return 1
+        if self._was_merged(batch):
+            raise ValueError(f"batch {batch!r} was counted, and is older than the last {HORIZON}")
         numbers = {r["batch"]: r["seq"] for r in self.table().select("batch", "seq").distinct().collect()}  # one row a batch
         if batch in numbers:
             return numbers[batch]
         if self.table().count() > 4 * self.bucket_rows * self._buckets():
             self.compact()
-            return 1
         return 1 + max(numbers.values(), default=0)
 
     def _append(self, rows: DataFrame, seq: int, batch: str) -> None:

@@ -73,6 +73,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def exact_dedup_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in two batches by id, so that the second meets the first one's digests."""
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    docs = read(spark, sf_dir, "documents")
+    odd = F.col("doc_id") % 2 == 1
+    found = index.add(docs.where(~odd), "even").unionByName(index.add(docs.where(odd), "odd"))
+    index.drop()
+    return found
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, removed lines and remaining text's digest of every document."""
     cleaned = line_dedup.clean(read(spark, sf_dir, "documents"))
@@ -104,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat": op7_chat,
     "op8_quality_knn": op8_quality_knn,
     "op9_exact_dedup": op9_exact_dedup,
+    "exact_dedup_batches": exact_dedup_batches,
     "op10_line_dedup": op10_line_dedup,
     "op11_simhash": op11_simhash,
     "op12_merkle": op12_merkle,
@@ -193,6 +204,16 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "exact_dedup_batches": r"""
+        WITH d AS (
+            SELECT doc_id, doc_id % 2 AS batch, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+            FROM documents),
+        g AS (SELECT *, min(doc_id) OVER (PARTITION BY text_sha256, batch) AS own, count(*) OVER (PARTITION BY text_sha256, batch) AS n FROM d),
+        b AS (SELECT text_sha256, min(own) AS even, any_value(n) AS copies FROM g WHERE batch = 0 GROUP BY text_sha256)
+        SELECT doc_id, CASE WHEN batch = 1 THEN coalesce(even, own) ELSE own END AS keep_id,
+               CASE WHEN batch = 1 THEN n + coalesce(copies, 0) ELSE n END AS group_size,
+               doc_id = own AND (batch = 0 OR even IS NULL) AS kept, g.text_sha256
+        FROM g LEFT JOIN b ON b.text_sha256 = g.text_sha256""",
     "op10_line_dedup": r"""
         WITH s AS (SELECT doc_id, coalesce(source, chr(0)) AS source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM s),

@@ -126,4 +126,4 @@ def test_operators_on_workers_without_the_package(tmp_path):
     script.write_text(CHILD.format(repo=REPO))
     run = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env | {"PYTHONPATH": vocabularies}, capture_output=True, text=True, timeout=600)
     rows = {x.split()[1]: int(x.split()[2]) for x in run.stdout.splitlines() if x.startswith("ROWS")}
-    assert run.returncode == 0 and len(rows) == 10 and all(n > 0 for n in rows.values()), run.stderr[-3000:]
+    assert run.returncode == 0 and len(rows) == 14 and all(n > 0 for n in rows.values()), run.stderr[-3000:]

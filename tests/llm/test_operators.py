@@ -125,9 +125,15 @@ def test_exact_dedup_batches_add_up_and_can_be_run_again(spark):
     assert state(index.add(third, "c")) == expected
     assert state(index.add(first, "a")) == [(4, 4, 2, True), (5, 4, 2, False), (105, 105, 1, True)]
     assert state(exact_dedup.DigestIndex(spark, "digests_c").add(batch(50), "it's {d}\\"))[0] == (50, 4, 7, False)
-    rows = index.known().count()
+    # A compaction leaves the last batches as they are, which can be added again after it.
+    rows, texts = index.table().count(), index.known().count()
     index.compact()
-    assert index.table().count() == rows == index.known().count()
+    assert index.table().count() == rows and index.known().count() == texts
+    assert state(index.add(third, "c")) == expected
+    index.compact(keep=0)
+    assert index.table().count() == texts == index.known().count()
+    with pytest.raises(ValueError, match="counted"):
+        index.add(third, "c")
     assert state(index.add(batch(60), "e")) == [(60, 4, 8, False), (160, 160, 1, True)]
     # A compaction that was stopped before its last step leaves an old table.
     spark.sql("CREATE TABLE digests_c_g1 AS SELECT 1 AS x")
