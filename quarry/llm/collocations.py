@@ -7,15 +7,12 @@ that explains it best.  Candidates that a longer one contains as often are dropp
 
 1. Equal pieces become one with a multiplicity, within batches first.  Distinct pieces
    are dealt into groups of some megabytes by their hash.
-2. Each group counts its own runs of words, length by length, and sends them as hashed
-   keys with counts, one packed row for each hash bucket.  A bucket's task adds the
-   counts up in duckdb, out of core, and sends each group its keys that are frequent.
-   A run can only be frequent if its first and its last words, one less, are, so each
-   length sends few keys beyond the second.  A hash shared by two runs lets one through
-   too many, never too few.
-3. The runs let through are counted by their words, again in duckdb per hash bucket, so
-   all counts are exact.
-4. The counts of a candidate's parts come from lookup requests that are shuffled to them,
+2. Each group counts its own runs of words, length by length, and sends them as keys of
+   96 bits with counts, one packed row for each hash bucket.  A bucket's task adds the
+   counts up in duckdb, out of core, tells each group which of its keys are frequent,
+   and one group of each key to send its words.  A run can only be frequent if its first
+   and its last words, one less, are, so beyond two words each length sends few keys.
+3. The counts of a candidate's parts come from lookup requests that are shuffled to them,
    the requests for one part counted beforehand, as some words are part of very many.
 
 Numbers are exact: the scores' products are decimals of 38 digits.
@@ -36,7 +33,6 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,8 +60,10 @@ SENT, STATE, PHRASE, TOTAL = range(4)
 #: SENT: bucket, keys, counts. STATE: lang, words, ids, counts (copies of each run). PHRASE: lang, words, n. TOTAL: lang, n.
 STEP = "kind int, part long, bucket long, lang string, words binary, ids binary, keys binary, counts binary, n long"
 KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-FREQUENT = "part long, keys binary"
-COUNTED = "lang string, phrase string, f long"
+FREQUENT = "part long, keys binary, named binary"
+#: A key, and one with its number of occurrences.
+PAIR = np.dtype([("h1", "<u8"), ("h2", "<u4")])
+NAMED = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("f", "<i8")])
 
 Key = tuple[pa.Scalar, ...]
 
@@ -100,9 +98,9 @@ def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Distinct keys, ascending, with the sums of their weights."""
     if not len(keys):
         return keys, weights
-    order = np.argsort(keys, kind="stable")
+    order = np.lexsort((keys["h2"], keys["h1"]))
     keys, weights = keys[order], weights[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    first = np.flatnonzero(np.append(True, (keys["h1"][1:] != keys["h1"][:-1]) | (keys["h2"][1:] != keys["h2"][:-1])))
     return keys[first], np.add.reduceat(weights, first)
 
 
@@ -122,9 +120,8 @@ class Runs:
 
     def __init__(self, lang: str, words: list[bytes], ids: np.ndarray, copies: np.ndarray):
         self.lang, self.words, self.ids, self.copies = lang, words, ids, copies
-        seed = xxhash.xxh3_64_intdigest(lang.encode())
-        digest = xxhash.xxh3_64_intdigest
-        self.hashes = np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
+        seed, digest = xxhash.xxh3_64_intdigest(lang.encode()), xxhash.xxh3_128_digest
+        self.hashes = np.frombuffer(b"".join(digest(w, seed) for w in words), "<u8").reshape(-1, 2)
 
     @classmethod
     def of_pieces(cls, lang: str, pieces: Counter) -> Runs:
@@ -148,20 +145,16 @@ class Runs:
         return np.flatnonzero(end[length : length + n] == end[:n])
 
     def keys(self, start: np.ndarray, length: int) -> np.ndarray:
-        """Hash of the words from each start."""
-        hashes = self.hashes[self.ids] if len(self.words) else np.zeros(len(self.ids), np.uint64)
-        return sequence_hash(hashes, length, FACTORS[0])[start] if len(start) else np.zeros(0, np.uint64)
-
-    def counts(self, start: np.ndarray, length: int) -> list[tuple[bytes, int]]:
-        """The different phrases from these starts, with their numbers."""
-        code = self.ids[start].astype(np.int64)
-        for k in range(1, length):
-            code = np.unique(code, return_inverse=True)[1] * len(self.words) + self.ids[start + k]
-        _, first, which = np.unique(code, return_index=True, return_inverse=True)
-        sums = np.zeros(len(first), np.int64)
-        np.add.at(sums, which, self.weights()[start])
-        own = (self.ids[start[first] + k].tolist() for k in range(length))
-        return [(b" ".join(self.words[i] for i in ids), n) for ids, n in zip(zip(*own, strict=True), sums.tolist(), strict=True)]
+        """Keys of the words from each start."""
+        out = np.empty(len(start), PAIR)
+        if len(start):
+            first, second = (self.hashes[:, k][self.ids] for k in (0, 1))
+            out["h1"] = sequence_hash(first, length, FACTORS[0])[start]
+            out["h2"] = sequence_hash(second, length, FACTORS[1])[start] >> np.uint64(32)
+        return out
+
+    def phrase(self, start: int, length: int) -> bytes:
+        return b" ".join(self.words[i] for i in self.ids[start : start + length].tolist())
 
     def cut(self, start: np.ndarray, length: int) -> Runs:
         """Only the words within ``length`` from these starts, as runs of their own where words between are gone."""
@@ -192,11 +185,11 @@ def runs_of(table: pa.Table) -> list[Runs]:
 
 def sent(part: int, bits: int, runs: list[tuple[Runs, np.ndarray]], length: int) -> list[dict]:
     """The group's counts of the runs of ``length`` words from the given starts, a row for each hash bucket."""
-    keys = joined([r.keys(start, length) for r, start in runs], np.uint64)
+    keys = joined([r.keys(start, length) for r, start in runs], PAIR)
     keys, counts = summed(keys, joined([r.weights()[start] for r, start in runs], np.int64))
     if not len(keys):
         return []
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    bucket = (keys["h1"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(keys)]
     spans = zip(edges[:-1], edges[1:], strict=True)
     return [{"kind": SENT, "part": part, "bucket": int(bucket[a]), "keys": keys[a:b].tobytes(), "counts": counts[a:b].tobytes()} for a, b in spans]
@@ -215,17 +208,21 @@ def advance(bits: int, length: int) -> Callable[[Key, pa.Table, pa.Table], pa.Ta
 
     def run(key: Key, table: pa.Table, back: pa.Table) -> pa.Table:
         part, rows, longer = key[0].as_py(), [], []
-        known = np.sort(joined([np.frombuffer(k.as_py(), "<u8") for k in back["keys"]] if len(back) else [], np.uint64))
+        known = np.sort(received(back, "keys", "<u8"))
+        named = {(x["h1"], x["h2"]): x["f"] for x in received(back, "named", NAMED)}
         for r in runs_of(table) if length == 1 else map(loaded, table.to_pylist()):
             start = r.starts(length)
             if length == 1:
                 rows.append({"kind": TOTAL, "part": part, "lang": r.lang, "n": int(r.weights()[start].sum())})
-            start = start[among(r.keys(start, length), known)]
-            rows += [{"kind": PHRASE, "part": part, "lang": r.lang, "words": w, "n": n} for w, n in r.counts(start, length)]
+            keys = r.keys(start, length)
+            hit = among(keys["h1"], known)
+            start, keys = start[hit], keys[hit]
+            own = among(keys["h1"], np.array(sorted(h1 for h1, _ in named), np.uint64))
+            for k, at in zip(*(x[own].tolist() for x in (keys, start)), strict=True):
+                if (n := named.pop(k, None)) is not None:
+                    rows.append({"kind": PHRASE, "part": part, "lang": r.lang, "words": r.phrase(at, length), "n": int(n)})
             # Where the next start is one as well, a longer run begins.
             start = start[:-1][np.diff(start) == 1] if length < LONGEST else start[:0]
-            if length == 1 and len(start):
-                start = start[r.ids[start + 1] >= 0]
             if len(start):
                 left = r.cut(start, length + 1)
                 rows.append({"kind": STATE, "part": part, "lang": r.lang, "words": b"\n".join(left.words), "ids": left.ids.tobytes(), "counts": left.copies.tobytes()})
@@ -235,6 +232,11 @@ def advance(bits: int, length: int) -> Callable[[Key, pa.Table, pa.Table], pa.Ta
     return run
 
 
+def received(back: pa.Table, field: str, kind) -> np.ndarray:
+    """What the buckets sent a group."""
+    return joined([np.frombuffer(x.as_py(), kind) for x in back[field]] if len(back) else [], np.dtype(kind))
+
+
 def loaded(row: dict) -> Runs:
     return Runs(row["lang"], row["words"].split(b"\n"), np.frombuffer(row["ids"], np.int32), np.frombuffer(row["counts"], np.int64))
 
@@ -256,44 +258,34 @@ def database():
 
 
 def frequent_keys(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each group's keys in a task's buckets, those that have ``least`` occurrences in all groups."""
+    """Of each group's keys in a task's buckets, those that have ``least`` occurrences in all groups.
+
+    The smallest group that has a key gets its number of occurrences with it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with database() as db:
-            db.execute("CREATE TABLE sent (part BIGINT, h UBIGINT, c BIGINT)")
+            db.execute("CREATE TABLE sent (part BIGINT, h1 UBIGINT, h2 UINTEGER, c BIGINT)")
             for batch in batches:
-                keys = [np.frombuffer(x, "<u8") for x in batch.column("keys").to_pylist()]
+                keys = [np.frombuffer(x, PAIR) for x in batch.column("keys").to_pylist()]
                 counts = [np.frombuffer(x, "<i8") for x in batch.column("counts").to_pylist()]
                 part = np.repeat(batch.column("part").to_numpy(zero_copy_only=False), [len(k) for k in keys])
-                rows = pa.table({"part": part, "h": joined(keys, np.uint64), "c": joined(counts, np.int64)})
-                db.register("rows", rows)
-                db.execute("INSERT INTO sent SELECT part, h, c FROM rows")
-                db.unregister("rows")
-            # The few keys that no group alone can rule out.
-            query = f"SELECT part, h FROM sent WHERE h IN (SELECT h FROM sent GROUP BY h HAVING sum(c) >= {least}) ORDER BY part"
+                pair = joined(keys, PAIR)
+                own = {"part": part, "h1": np.ascontiguousarray(pair["h1"]), "h2": np.ascontiguousarray(pair["h2"]), "c": joined(counts, np.int64)}
+                db.register("own", pa.table(own))
+                db.execute("INSERT INTO sent SELECT part, h1, h2, c FROM own")
+                db.unregister("own")
+            query = f"""
+                WITH g AS (SELECT h1, h2, sum(c)::BIGINT AS f, min(part) AS first FROM sent GROUP BY h1, h2 HAVING sum(c) >= {least})
+                SELECT part, h1, h2, CASE WHEN part = first THEN f ELSE 0 END AS f FROM sent JOIN g USING (h1, h2) ORDER BY part"""
             for found in db.sql(query).to_arrow_reader(BATCH):
-                part, keys = found.column(0).to_numpy(), found.column(1).to_numpy()
+                part, h1, h2, f = (found.column(i).to_numpy() for i in range(4))
+                named = np.empty(len(part), NAMED)
+                named["h1"], named["h2"], named["f"] = h1, h2, f
                 edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() + [len(part)]
-                spans = list(zip(edges[:-1], edges[1:], strict=True)) if len(part) else []
-                yield from table_of(FREQUENT, [{"part": int(part[a]), "keys": keys[a:b].tobytes()} for a, b in spans]).to_batches()
-
-    return run
-
-
-def frequent_phrases(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The exact number of each phrase of a task's buckets that has ``least`` occurrences."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with database() as db:
-            db.execute("CREATE TABLE sent (lang VARCHAR, phrase BLOB, n BIGINT)")
-            for batch in batches:
-                db.register("rows", pa.Table.from_batches([batch]))
-                db.execute("INSERT INTO sent SELECT lang, phrase, n FROM rows")
-                db.unregister("rows")
-            query = f"SELECT lang, phrase, sum(n)::BIGINT AS f FROM sent GROUP BY lang, phrase HAVING sum(n) >= {least}"
-            for found in db.sql(query).to_arrow_reader(BATCH):
-                phrase = found.column(1).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([found.column(0).cast(pa.string()), pc.cast(phrase, pa.string()), found.column(2)], ["lang", "phrase", "f"])
+                spans = zip(edges[:-1], edges[1:], strict=True) if len(part) else ()
+                rows = [{"part": int(part[a]), "keys": h1[a:b].tobytes(), "named": named[a:b][f[a:b] > 0].tobytes()} for a, b in spans]
+                yield from table_of(FREQUENT, rows).to_batches()
 
     return run
 
@@ -325,10 +317,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, group_bytes: int = GROUP_
     phrases = steps[0]
     for more in steps[1:]:
         phrases = phrases.unionByName(more)
-    found = phrases.where(F.col("kind") == PHRASE).select("lang", F.col("words").alias("phrase"), "n")
-    counts = found.repartition(tasks_for(docs), "lang", "phrase").mapInArrow(frequent_phrases(least), COUNTED)
+    counts = phrases.where(F.col("kind") == PHRASE).select("lang", F.col("words").cast("string").alias("phrase"), F.col("n").alias("f"))
     totals = steps[0].where(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("n").alias("n"))
-    return saved(counts), totals
+    return counts, totals
 
 
 # Scores.
