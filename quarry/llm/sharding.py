@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import saved, text_of
+from quarry.llm.repeats import told_apart
 
 SHARDS = 8
 #: Digest ranges: a fixed number, so that their totals are a small table at any scale.
@@ -52,9 +53,10 @@ def placed(docs: DataFrame, shards: int) -> DataFrame:
         (F.octet_length(text_of()) + 1).cast("long").alias("size"),
         F.crc32(text_of().cast("binary")).alias("text_crc32"),
         F.md5(text_of().cast("binary")).alias("digest"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
     )
-    rows = saved(rows)
+    # Rows equal in id and text, of which there may be any number, get different salts.
+    salt = F.pmod(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) + F.col("nth"), F.lit(SALTS)).cast("int")
+    rows = saved(told_apart(rows, ["doc_id", "digest"], "nth").withColumn("salt", salt).drop("nth"))
     units = rows.groupBy("digest", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     texts = units.groupBy("digest").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
     texts = saved(texts.withColumn("part", F.conv(F.substring("digest", 1, 3), 16, 10).cast("int")))

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import text_of
+from quarry.llm.repeats import told_apart
 
 WINDOW = 13
 PERIOD = 7
@@ -257,14 +258,19 @@ def group_size(size: int) -> int:
     return min(MOST_GROUP_BYTES, int(GROUP_BYTES * max(1.0, sqrt(size / GROUP_CORPUS))))
 
 
+def dealt(own: DataFrame, parts: int) -> DataFrame:
+    """Adds part; rows equal in id and text, of which there may be any number, go to many parts."""
+    deal = F.pmod(F.xxhash64("doc_id", "text", "nth"), F.lit(parts))
+    return told_apart(own, ["doc_id", "text"], "nth").withColumn("part", deal).drop("nth")
+
+
 def remove_repeats(docs: DataFrame, group_bytes: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (words joined by one space) of every document."""
     own = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = size // (group_bytes or group_size(size)) + 1
     bits = (parts - 1).bit_length()
-    dealt = own.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
-    groups = dealt.groupBy("part")
+    groups = dealt(own, parts).groupBy("part")
     anchors = groups.applyInArrow(send_anchors(bits), PACKED).groupBy("bucket").applyInArrow(shared_anchors, RETURNED)
     windows = groups.cogroup(anchors.groupBy("part")).applyInArrow(send_windows(bits), PACKED)
     earlier = windows.groupBy("bucket").applyInArrow(earlier_windows, RETURNED)

@@ -348,6 +348,20 @@ def test_substring_dedup_odd_rows(spark, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_equal_rows_without_id_go_to_many_groups(spark):
+    same = prose("same", 40)
+    rows = [(None, same)] * 400 + [(i, prose(i, 20)) for i in range(600)] + [(7000, f"x {same}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    parts = substring_dedup.dealt(docs, 64).groupBy("part").count().collect()
+    assert max(r["count"] for r in parts) < 60
+    out = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs, 2000).collect())
+    assert out[7000, 41, 0] == 1 and out[None, 40, 40] == 400 and len(out) == 602
+    places = sharding.assign(docs).collect()
+    slots = Counter((r["shard"], r["slot"]) for r in places)
+    assert max(slots.values()) == 1 and len({r["shard"] for r in places if r["doc_id"] is None}) == 1
+    assert all((s, n - 1) in slots for s, n in Counter(r["shard"] for r in places).items())
+
+
 def test_groups_keep_their_rows_filled():
     sizes = [0, 1 << 20, 16 << 30, 64 << 30, 256 << 30, 100 << 40]
     assert [substring_dedup.group_size(x) >> 20 for x in sizes] == [4, 4, 4, 8, 16, 16]
