@@ -1,15 +1,23 @@
 r"""Quality scores by voting of the nearest labelled documents in a latent space.
 
-A text's terms are the 3-grams of its characters' kinds (letters, capitals, digits,
-spaces, each common sign) and three measures of repetition.  Terms are weighted by
-damped frequency and rarity, and a truncated singular value decomposition of the
-labelled documents' matrix gives the latent space.  Every document, whole, is
-projected into it; blocks of documents are multiplied with all labelled vectors, and
-the labels of the ``NEIGHBOURS`` most similar ones are averaged by similarity.
+A text's terms are of three kinds: the 3-grams of its characters' kinds (letters,
+capitals, digits, spaces, each common sign) with three measures of repetition; hashed
+4-grams of its lower-cased bytes, which hold the words; and pairs of the shapes of
+neighbouring words (capital or not, at the end of a sentence, a clause or neither),
+which hold their order.  Terms are weighted by damped frequency and, in the first two
+kinds, by rarity; each kind has unit length times its ``SHARES``.  A truncated singular
+value decomposition of the labelled documents' matrix gives the latent space.  Every
+document, whole, is projected into it; blocks of documents are multiplied with all
+labelled vectors, and the labels of the ``NEIGHBOURS`` most similar ones are averaged by
+similarity.
+
+Labelled rows may all look like text, so nothing would tell the vote what does not.
+Therefore of the rows of label 1 one in ``NOISE`` has a twin with random letters, and
+another one a twin with its words in random order, both of label 0.
 
 Only the model is fitted on a sample: at most ``SAMPLE`` labelled rows, those with the
-smallest hash of their id.  So the vectors that are broadcast have a fixed bound
-(``SAMPLE`` x ``DIMENSIONS`` numbers, and ``TERMS`` x ``DIMENSIONS`` for the
+smallest hash of their id, and their twins.  So the vectors that are broadcast have a fixed bound
+(9/8 of ``SAMPLE`` x ``DIMENSIONS`` numbers, and ``TERMS`` x ``DIMENSIONS`` for the
 projection).  Rows with ``crc32(doc_id) mod 4 = 2`` are held out from fitting.
 
 Defined cases: null texts count as empty; a text without similar neighbours, as the
@@ -24,15 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_of
+from quarry.llm.common import SPACES, text_of
 from quarry.llm.substring_dedup import FACTORS, Doc, docs_of, sequence_hash
 
 SAMPLE = 4000
-DIMENSIONS = 48
+DIMENSIONS = 64
 NEIGHBOURS = 15
+#: Rows of label 1 for each twin of a kind.
+NOISE = 32
 #: Documents scored together.
 BLOCK = 256
 ACCEPTED = 0.7
@@ -48,22 +59,56 @@ KIND[ord("0") : ord("9") + 1] = DIGIT
 KIND[[9, 11, 12, 13, 32]] = BLANK
 KIND[list(SIGNS)] = np.arange(len(SIGNS))
 
+#: Shapes of words: the first a capital or not, by the last sign.
+ENDS = np.zeros(256, np.int32)
+ENDS[list(b".!?")], ENDS[list(b",;:")] = 1, 2
+SHAPES = 6
+
 GRAMS = KINDS**3
 REPETITION = 3
-TERMS = GRAMS + REPETITION
+HASH_BITS = 12
+#: Where each kind of terms starts, and their number.
+HASHED = GRAMS + REPETITION
+SHAPED = HASHED + (1 << HASH_BITS)
+TERMS = SHAPED + SHAPES**2
+KIND_TERMS = (slice(0, HASHED), slice(HASHED, SHAPED), slice(SHAPED, TERMS))
+#: Length of each kind's part of a vector.
+SHARES = (0.6, 0.8, 1.2)
 #: Occurrences that a wholly repetitive text counts for.
 REPEATED = 20_000
+#: Bytes of a text that are hashed at a time.
+STRETCH = 1 << 20
 
 SCORES = "doc_id long, score double"
 
 
+def hashed_grams(text: bytes) -> np.ndarray:
+    """How often each hash of a 4-gram of the lower-cased bytes occurs."""
+    raw, out = np.frombuffer(text.lower(), np.uint8), np.zeros(1 << HASH_BITS, np.int64)
+    for a in range(0, len(raw) - 3, STRETCH):
+        b = raw[a : a + STRETCH + 3].astype(np.uint64)
+        code = b[:-3] | b[1:-2] << np.uint64(8) | b[2:-1] << np.uint64(16) | b[3:] << np.uint64(24)
+        out += np.bincount((code * FACTORS[0] >> np.uint64(64 - HASH_BITS)).astype(np.int64), minlength=len(out))
+    return out
+
+
+def shape_pairs(text: bytes) -> np.ndarray:
+    """How often a word of one shape is followed by one of another."""
+    raw = np.frombuffer(text, np.uint8)
+    blank = np.concatenate([[True], np.isin(raw, list(SPACES.encode())), [True]])
+    first, last = np.flatnonzero(~blank[1:-1] & blank[:-2]), np.flatnonzero(~blank[1:-1] & blank[2:])
+    shape = 3 * (KIND[raw[first]] == UPPER) + ENDS[raw[last]]
+    return np.bincount(shape[:-1] * SHAPES + shape[1:], minlength=SHAPES**2)
+
+
 def terms(doc: Doc, text: bytes) -> np.ndarray:
-    """Damped frequency of each term, per thousand characters."""
+    """Damped frequency of each term: of grams per thousand characters, of pairs of shapes among all."""
     kinds = KIND[np.frombuffer(text, np.uint8)]
     out = np.zeros(TERMS, np.float32)
     if len(kinds) > 2:
         grams = (kinds[:-2] * KINDS + kinds[1:-1]) * KINDS + kinds[2:]
         out[:GRAMS] = np.bincount(grams, minlength=GRAMS) * (1000 / len(kinds))
+        out[KIND_TERMS[1]] = hashed_grams(text) * (1000 / len(kinds))
     h = doc.hashes
     if len(h) > 1:
         out[GRAMS] = np.mean(h[1:] == h[:-1]) * REPEATED
@@ -71,7 +116,26 @@ def terms(doc: Doc, text: bytes) -> np.ndarray:
         runs = sequence_hash(h, length, FACTORS[0])
         if len(runs):
             out[GRAMS + k] = (1 - len(np.unique(runs)) / len(runs)) * REPEATED
-    return np.log1p(out, out=out)
+    np.log1p(out, out=out)
+    if len(h) > 1:
+        out[KIND_TERMS[2]] = np.sqrt(shape_pairs(text) / (len(h) - 1))
+    return out
+
+
+def twins(text: bytes) -> list[bytes]:
+    """What noise makes of one text in ``NOISE``, and in another way of one more; the same at each call."""
+    seed = xxhash.xxh3_64_intdigest(text)
+    own = np.random.default_rng(seed)
+    if seed % NOISE == 0:
+        raw = np.frombuffer(text, np.uint8).copy()
+        for low, high in (b"az", b"AZ"):
+            letters = (raw >= low) & (raw <= high)
+            raw[letters] = own.integers(low, high + 1, letters.sum())
+        return [raw.tobytes()]
+    if seed % NOISE == 1:
+        words = text.split(b" ")
+        return [b" ".join(words[i] for i in own.permutation(len(words)))]
+    return []
 
 
 def blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray]]:
@@ -105,11 +169,9 @@ class Model:
         n = len(matrix)
         self.labels = labels.astype(np.float64)
         self.prior = float(self.labels.mean()) if n else 0.5
-        weight = (np.log((1 + n) / (1 + np.count_nonzero(matrix, axis=0))) + 1).astype(np.float32)
-        weighed = matrix
-        weighed *= weight
-        norm = np.sqrt(np.einsum("ij,ij->i", weighed, weighed))[:, None]
-        weighed /= np.where(norm > 0, norm, 1)
+        self.rarity = (np.log((1 + n) / (1 + np.count_nonzero(matrix, axis=0))) + 1).astype(np.float32)
+        self.rarity[KIND_TERMS[2]] = 1
+        weighed = self.weighed(matrix)
         # Subspace iteration for the leading right singular vectors.
         basis = np.random.default_rng(1).standard_normal((matrix.shape[1], min(dimensions + 10, max(n, 1)))).astype(np.float32)
         for _ in range(5):
@@ -117,14 +179,23 @@ class Model:
         if n:
             _, _, turn = np.linalg.svd(weighed @ basis, full_matrices=False)
             basis = basis @ turn.T[:, :dimensions]
-        self.projection = weight[:, None] * basis
+        self.projection = basis
         self.vectors = unit(weighed @ basis)
 
+    def weighed(self, matrix: np.ndarray) -> np.ndarray:
+        """Terms with their rarity, each kind with its share of a vector's length; overwrites the matrix."""
+        matrix *= self.rarity
+        for kind, share in zip(KIND_TERMS, SHARES, strict=True):
+            norm = np.sqrt(np.einsum("ij,ij->i", matrix[:, kind], matrix[:, kind]))[:, None]
+            matrix[:, kind] *= share / np.where(norm > 0, norm, 1)
+        return matrix
+
     def score(self, matrix: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
+        """The vote on each row; overwrites the matrix."""
         k = min(neighbours, len(self.labels))
         if not k:
             return np.full(len(matrix), self.prior)
-        cosine = unit(matrix @ self.projection) @ self.vectors.T
+        cosine = unit(self.weighed(matrix) @ self.projection) @ self.vectors.T
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64)
         total = weight.sum(axis=1)
@@ -144,17 +215,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for ids, rows in blocks(batch):
-                packed = [r.astype("<f2").tobytes() for r in rows]
-                quality = batch.column("quality").slice(at, len(ids))
-                at += len(ids)
-                yield pa.RecordBatch.from_arrays([quality, pa.array(packed, pa.binary())], ["quality", "terms"])
+            for text, quality in zip(batch.column("text").cast(pa.binary()), batch.column("quality").to_pylist(), strict=True):
+                own = text.as_py()
+                versions = [(own, quality)] + [(t, 0) for t in (twins(own) if quality else [])]
+                packed = [terms(Doc(None, t), t).astype("<f2").tobytes() for t, _ in versions]
+                yield pa.RecordBatch.from_arrays([pa.array([q for _, q in versions], pa.int64()), pa.array(packed, pa.binary())], ["quality", "terms"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     # At most ``sample`` ids and labels.
     joined = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("long"))
-    rows = joined.mapInArrow(run, "quality long, terms binary").orderBy(F.xxhash64("terms")).limit(sample).collect()
+    rows = joined.mapInArrow(run, "quality long, terms binary").orderBy(F.xxhash64("terms")).limit(sample + sample // 8).collect()
     matrix = np.empty((len(rows), TERMS), np.float32)
     quality = np.array([r["quality"] for r in rows], np.float64)
     for i in range(len(rows)):

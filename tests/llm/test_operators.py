@@ -589,6 +589,36 @@ def test_quality_knn_held_out(spark):
     assert quality_knn.scores(spark, docs.limit(0), labels).count() == 0
 
 
+def test_quality_knn_reads_the_words(spark):
+    """Good texts with random letters, or with their words in random order, aren't good texts any more."""
+    own = random.Random(4)
+
+    def sentences(seed):
+        words = prose(seed, 60 + seed % 50).split(" ")
+        return " ".join((w.capitalize() if i % 8 == 0 else w) + ("." if i % 8 == 7 else "," if i % 8 == 3 else "") for i, w in enumerate(words))
+
+    def gibberish(text):
+        return "".join(own.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() and c.islower() else c for c in text)
+
+    def shuffled(text):
+        words = text.split(" ")
+        own.shuffle(words)
+        return " ".join(words)
+
+    good = [(i, sentences(i)) for i in range(1200)]
+    bad = [(i, " ".join(w + "$%" for w in sentences(i).split(" "))) for i in range(1200, 1400)]
+    other = [(2000 + i, gibberish(sentences(5000 + i))) for i in range(60)] + [(3000 + i, shuffled(sentences(6000 + i))) for i in range(60)]
+    docs = spark.createDataFrame([*good, *bad, *other], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 1200)) for i, _ in good + bad], "doc_id long, quality int")
+    out = by_id(quality_knn.scores(spark, docs, labels))
+    held = [r for r in out.values() if r["held_out"]]
+    assert sum(r["predicted"] for r in held if r["doc_id"] < 1200) >= 0.97 * sum(r["doc_id"] < 1200 for r in held)
+    assert not any(r["predicted"] for r in held if 1200 <= r["doc_id"] < 1400)
+    for first in (2000, 3000):
+        scores = [out[first + i]["score"] for i in range(60)]
+        assert np.mean(scores) < 0.5 and sum(x < 0.7 for x in scores) >= 50, first
+
+
 def test_quality_knn_is_an_exact_vote(spark, docs, rows):
     """Scores against a plain vote over all labelled vectors of the fitted model."""
     import math
@@ -597,13 +627,19 @@ def test_quality_knn_is_an_exact_vote(spark, docs, rows):
     labels = spark.createDataFrame([(r[0], len(r[1] or "") % 2) for r in rows], "doc_id long, quality int")
     model = quality_knn.fit(docs, labels)
     out = by_id(quality_knn.scores(spark, docs, labels))
-    assert len(model.labels) == len({r[0] for r in rows if out[r[0]]["held_out"] is False})
+    fitted = [r for r in rows if not out[r[0]]["held_out"]]
+    n_twins = sum(len(quality_knn.twins((r[1] or "").encode())) for r in fitted if len(r[1] or "") % 2)
+    assert len(model.labels) == len(fitted) + n_twins
     for r in rows:
         raw = (r[1] or "").encode()
         kinds = [int(quality_knn.KIND[b]) for b in raw]
         n = quality_knn.KINDS
         grams = Counter((a * n + b) * n + c for a, b, c in zip(kinds, kinds[1:], kinds[2:]))
         term = {k: math.log1p(c * 1000 / len(raw)) for k, c in grams.items()}
+        low = raw.lower()
+        codes = (int.from_bytes(low[i : i + 4], "little") for i in range(len(low) - 3))
+        for k, c in Counter((x * int(quality_knn.FACTORS[0]) % 2**64) >> (64 - quality_knn.HASH_BITS) for x in codes).items():
+            term[quality_knn.HASHED + k] = math.log1p(c * 1000 / len(raw))
         w = raw.split()
         if len(w) > 1:
             term[quality_knn.GRAMS] = math.log1p(quality_knn.REPEATED * sum(a == b for a, b in zip(w, w[1:])) / (len(w) - 1))
@@ -611,7 +647,15 @@ def test_quality_knn_is_an_exact_vote(spark, docs, rows):
             runs = [tuple(w[i : i + length]) for i in range(len(w) - length + 1)]
             if runs:
                 term[quality_knn.GRAMS + k] = math.log1p(quality_knn.REPEATED * (1 - len(set(runs)) / len(runs)))
-        own = sum((v * model.projection[k].astype(float) for k, v in term.items()), np.zeros(model.projection.shape[1]))
+        shape = [3 * x[:1].isupper() + (1 if x[-1:] in b".!?" else 2 if x[-1:] in b",;:" else 0) for x in w]
+        for (a, b), c in Counter(zip(shape, shape[1:])).items():
+            term[quality_knn.SHAPED + a * quality_knn.SHAPES + b] = math.sqrt(c / (len(w) - 1))
+        vector = np.zeros(quality_knn.TERMS)
+        for k, v in term.items():
+            vector[k] = v * model.rarity[k]
+        for kind, share in zip(quality_knn.KIND_TERMS, quality_knn.SHARES):
+            vector[kind] *= share / (np.linalg.norm(vector[kind]) or 1)
+        own = vector @ model.projection
         cosine = sorted(((float(own @ v) / (np.linalg.norm(own) or 1), float(y)) for v, y in zip(model.vectors, model.labels)), reverse=True)
         # The operator works in 32 bits, so of neighbours as near as the last one any may count.
         last = cosine[quality_knn.NEIGHBOURS - 1][0]
