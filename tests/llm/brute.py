@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import struct
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -199,3 +200,101 @@ def copies_in_mix(docs):
             out[doc_id] = min(2, epochs + (ahead + n / 2 <= rest))
             ahead += n
     return out
+
+
+def lowered(text):
+    """A-Z only."""
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def fingerprint(text):
+    w = words(lowered(text))
+    shingled = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingled]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(prints, radius=2):
+    """A name of each fingerprint's component."""
+    root = {p: p for p in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in root:
+            low = min(root[b] for b in root if (a ^ b).bit_count() <= radius)
+            if low < root[a]:
+                root[a], changed = low, True
+    return root
+
+
+def digest(parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(row):
+    return digest("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row)
+
+
+def levels(hashes, fanout=3):
+    out = [hashes]
+    while len(out[-1]) > 1:
+        out.append([digest(out[-1][i : i + fanout]) for i in range(0, len(out[-1]), fanout)])
+    return out
+
+
+def siblings(tree, i, fanout=3):
+    """Position in its run and the run's others, level by level."""
+    out = []
+    for level in tree[:-1]:
+        first = i // fanout * fanout
+        out.append((i - first, [h for j, h in enumerate(level[first : first + fanout], first) if j != i]))
+        i //= fanout
+    return out
+
+
+def manifest(rows):
+    """``(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified)`` of ``(doc_id, source, lang, n_chars, text)``."""
+    sources = defaultdict(list)
+    for r in rows:
+        sources[r[1]].append((r[0] is not None, r[0] or 0, leaf(r), r))
+    order = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    own = {s: sorted(sources[s], key=lambda x: x[:3]) for s in order}
+    trees = {s: levels([x[2] for x in own[s]]) for s in order}
+    top = levels([trees[s][-1][0] for s in order])
+    out = []
+    for k, s in enumerate(order):
+        for i, (known, doc_id, h, r) in enumerate(own[s]):
+            path = siblings(trees[s], i) + siblings(top, k)
+            tampered = known and zlib.crc32(str(doc_id).encode()) % 2 == 0 and r[4] is not None
+            now = leaf((*r[:4], r[4].replace("\n", ""))) if tampered else h
+            for position, others in path:
+                now = digest([*others[:position], now, *others[position:]])
+            out.append((r[0], h, trees[s][-1][0], top[-1][0], digest(x for _, others in path for x in others), now, now == top[-1][0]))
+    return out
+
+
+def collocations(rows, least, limit):
+    """``(lang, rank, phrase, a, l, r, n, score)`` of ``(lang, text)``."""
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang or "und"] += len(w)
+            f.update((lang or "und", tuple(w[i : i + k])) for k in range(1, 6) for i in range(len(w) - k + 1))
+    found = {p: c for p, c in f.items() if len(p[1]) > 1 and c >= least}
+    inside = Counter()
+    for (lang, w), c in found.items():
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                inside[lang, w[i : i + k]] = max(inside[lang, w[i : i + k]], c)
+    out = defaultdict(list)
+    for (lang, w), a in found.items():
+        if inside[lang, w] < a:
+            cuts = ((f[lang, w[:k]], f[lang, w[k:]], k) for k in range(1, len(w)))
+            score, _, left, right = min((1000 * a * n[lang] // (x * y), k, x, y) for x, y, k in cuts)
+            out[lang].append((-score, -a, " ".join(w).encode(), left, right))
+    return [
+        (lang, rank, phrase.decode(), -a, left, right, n[lang], -score)
+        for lang, own in out.items()
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(own)[:limit], 1)
+    ]
