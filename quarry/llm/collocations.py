@@ -6,12 +6,14 @@ with ``least`` occurrences is a candidate; its score is that of the cut into two
 that explains it best.  Candidates that a longer one contains as often are dropped.
 
 1. Equal pieces become one with a multiplicity, within batches first.  Distinct pieces
-   are dealt into groups of some megabytes by their hash.
+   are dealt into groups of some megabytes by their hash, packed by group.
 2. Each group counts its own runs of words, length by length, and sends them as keys of
    96 bits with counts, one packed row for each hash bucket.  A bucket's task adds the
    counts up in duckdb, out of core, tells each group which of its keys are frequent,
    and one group of each key to send its words.  A run can only be frequent if its first
    and its last words, one less, are, so beyond two words each length sends few keys.
+   Of two words there are most; these are screened by shorter keys first, which let
+   some pass too many, but none too few.
 3. The counts of a candidate's parts come from lookup requests that are shuffled to them,
    the requests for one part counted beforehand, as some words are part of very many.
 
@@ -29,7 +31,7 @@ import tempfile
 from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,12 +57,15 @@ RANKED_TOGETHER, MERGED = 50_000, 16
 #: Ends of pieces become line feeds.
 ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 
-PIECES = "lang string, piece binary, copies long"
-SENT, STATE, PHRASE, TOTAL = range(4)
-#: SENT: bucket, keys, counts. STATE: lang, words, ids, counts (copies of each run). PHRASE: lang, words, n. TOTAL: lang, n.
-STEP = "kind int, part long, bucket long, lang string, words binary, ids binary, keys binary, counts binary, n long"
+PIECES = "part long, lang string, pieces binary, copies binary"
+STATE, PHRASE, TOTAL = range(3)
+#: STATE: lang, words, ids, copies of each run. PHRASE: lang, words, n. TOTAL: lang, n.
+STEP = "kind int, part long, lang string, words binary, ids binary, copies binary, n long"
+SENT = "bucket long, part long, keys binary, counts binary"
 KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 FREQUENT = "part long, keys binary, named binary"
+#: Keys are screened by this many bits below those that name the bucket.
+SCREEN = np.dtype("<u4")
 #: A key, and one with its number of occurrences.
 PAIR = np.dtype([("h1", "<u8"), ("h2", "<u4")])
 NAMED = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("f", "<i8")])
@@ -76,19 +81,40 @@ def table_of(schema: str, rows: list[dict]) -> pa.Table:
 # Pieces.
 
 
-def distinct_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, piece and its copies within the batch."""
-    for batch in batches:
-        found: dict[str, Counter] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            pieces = text.as_py().lower().translate(ENDS).split(b"\n")  # bytes: A-Z only
-            found.setdefault(lang, Counter()).update(p.strip(b" \t") for p in pieces)
-        for lang, counts in found.items():
-            counts.pop(b"", None)
-            items = iter(counts.items())
-            while part := list(islice(items, BATCH)):
-                pieces, copies = zip(*part, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(pieces, pa.binary()), pa.array(copies, pa.int64())], ["lang", "piece", "copies"])
+def distinct_pieces(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The batch's different pieces of each language, packed by group, with their copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, Counter] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                pieces = text.as_py().lower().translate(ENDS).split(b"\n")  # bytes: A-Z only
+                found.setdefault(lang, Counter()).update(p.strip(b" \t") for p in pieces)
+            for lang, counts in found.items():
+                counts.pop(b"", None)
+                yield from table_of(PIECES, packed_pieces(lang, counts, parts)).to_batches(BATCH)
+
+    return run
+
+
+def packed_pieces(lang: str, counts: Counter, parts: int) -> list[dict]:
+    pieces, copies = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+    seed, digest = xxhash.xxh3_64_intdigest(lang.encode()), xxhash.xxh3_64_intdigest
+    part = (np.fromiter((digest(p, seed) for p in pieces), np.uint64, len(pieces)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    rows = []
+    for a, b in runs_between(part[order]):
+        own = order[a:b]
+        rows.append({"part": int(part[own[0]]), "lang": lang, "pieces": b"\n".join([pieces[i] for i in own.tolist()]), "copies": copies[own].tobytes()})
+    return rows
+
+
+def runs_between(values: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal values."""
+    if not len(values):
+        return []
+    edges = np.flatnonzero(np.append(True, values[1:] != values[:-1])).tolist() + [len(values)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
 
 
 # A group's runs of words.
@@ -175,59 +201,112 @@ class Runs:
         )
 
 
-def runs_of(table: pa.Table) -> list[Runs]:
+def runs_of(table: pa.Table) -> Iterator[Runs]:
     """A group's pieces by language, equal ones as one."""
     found: dict[str, Counter] = {}
-    for lang, piece, copies in zip(*(table[c].to_pylist() for c in ("lang", "piece", "copies")), strict=True):
-        found.setdefault(lang, Counter())[piece] += copies
-    return [Runs.of_pieces(lang, pieces) for lang, pieces in found.items()]
+    for lang, pieces, copies in zip(table["lang"].to_pylist(), table["pieces"], table["copies"], strict=True):
+        own = found.setdefault(lang, Counter())
+        for piece, n in zip(pieces.as_py().split(b"\n"), np.frombuffer(copies.as_py(), "<i8").tolist(), strict=True):
+            own[piece] += n
+    while found:
+        yield Runs.of_pieces(*found.popitem())
 
 
-def sent(part: int, bits: int, runs: list[tuple[Runs, np.ndarray]], length: int) -> list[dict]:
-    """The group's counts of the runs of ``length`` words from the given starts, a row for each hash bucket."""
-    keys = joined([r.keys(start, length) for r, start in runs], PAIR)
-    keys, counts = summed(keys, joined([r.weights()[start] for r, start in runs], np.int64))
-    if not len(keys):
-        return []
-    bucket = (keys["h1"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(keys)]
-    spans = zip(edges[:-1], edges[1:], strict=True)
-    return [{"kind": SENT, "part": part, "bucket": int(bucket[a]), "keys": keys[a:b].tobytes(), "counts": counts[a:b].tobytes()} for a, b in spans]
+def runs_left(table: pa.Table) -> Iterator[Runs]:
+    """The runs that an earlier length left to a group."""
+    for row in table.to_pylist():
+        yield Runs(row["lang"], row["words"].split(b"\n"), np.frombuffer(row["ids"], np.int32), np.frombuffer(row["copies"], np.int64))
+
+
+def counted(runs: Iterator[Runs], length: int, screened: np.ndarray | None = None, bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a group's runs of ``length`` words, with counts; only of those that the screen let pass, if there is one."""
+    found = []
+    for r in runs:
+        start = r.starts(length)
+        keys, weights = r.keys(start, length), r.weights()[start]
+        if screened is not None:
+            hit = among(short(keys["h1"], bits), screened)
+            keys, weights = keys[hit], weights[hit]
+        found.append(summed(keys, weights))
+    # Runs of two languages have no key in common.
+    keys, counts = joined([k for k, _ in found], PAIR), joined([c for _, c in found], np.int64)
+    order = np.argsort(keys["h1"], kind="stable")
+    return keys[order], counts[order]
+
+
+def short(h1: np.ndarray, bits: int) -> np.ndarray:
+    """The highest bits: those of the bucket, and 32 more."""
+    return h1 >> np.uint64(32 - bits)
+
+
+def sent(part: int, bits: int, h1: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """A row for each hash bucket of some keys, which are ordered by h1."""
+    bucket = (h1 >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h1), np.int64)
+    rows = [{"bucket": int(bucket[a]), "part": part, "keys": keys[a:b].tobytes(), "counts": counts[a:b].tobytes()} for a, b in runs_between(bucket)]
+    return table_of(SENT, rows)
 
 
 def send_words(bits: int) -> Callable[[Key, pa.Table], pa.Table]:
     def run(key: Key, table: pa.Table) -> pa.Table:
-        runs = [(r, r.starts(1)) for r in runs_of(table)]
-        return table_of(STEP, sent(key[0].as_py(), bits, runs, 1))
+        keys, counts = counted(runs_of(table), 1)
+        return sent(key[0].as_py(), bits, keys["h1"], keys, counts)
+
+    return run
+
+
+def send_longer(bits: int, length: int) -> Callable[[Key, pa.Table], pa.Table]:
+    def run(key: Key, table: pa.Table) -> pa.Table:
+        keys, counts = counted(runs_left(table), length)
+        return sent(key[0].as_py(), bits, keys["h1"], keys, counts)
+
+    return run
+
+
+def send_short(bits: int, length: int) -> Callable[[Key, pa.Table], pa.Table]:
+    """Short keys, for the screen."""
+
+    def run(key: Key, table: pa.Table) -> pa.Table:
+        keys, counts = counted(runs_left(table), length)
+        return sent(key[0].as_py(), bits, keys["h1"], short(keys["h1"], bits).astype(SCREEN), counts)
 
     return run
 
 
-def advance(bits: int, length: int) -> Callable[[Key, pa.Table, pa.Table], pa.Table]:
-    """The group's phrases of this length that may be frequent, what is left for longer ones, and the keys of the next length."""
+def send_screened(bits: int, length: int) -> Callable[[Key, pa.Table, pa.Table], pa.Table]:
+    """Keys of which the short ones passed the screen."""
 
     def run(key: Key, table: pa.Table, back: pa.Table) -> pa.Table:
-        part, rows, longer = key[0].as_py(), [], []
+        keys, counts = counted(runs_left(table), length, np.sort(received(back, "keys", "<u8")), bits)
+        return sent(key[0].as_py(), bits, keys["h1"], keys, counts)
+
+    return run
+
+
+def advance(length: int) -> Callable[[Key, pa.Table, pa.Table], pa.Table]:
+    """The group's share of the frequent phrases of this length, and what is left for longer ones."""
+
+    def run(key: Key, table: pa.Table, back: pa.Table) -> pa.Table:
+        part, rows = key[0].as_py(), []
         known = np.sort(received(back, "keys", "<u8"))
-        named = {(x["h1"], x["h2"]): x["f"] for x in received(back, "named", NAMED)}
-        for r in runs_of(table) if length == 1 else map(loaded, table.to_pylist()):
+        named = np.sort(received(back, "named", NAMED), order=["h1", "h2"])
+        told = dict(zip(zip(named["h1"].tolist(), named["h2"].tolist(), strict=True), named["f"].tolist(), strict=True))
+        for r in runs_of(table) if length == 1 else runs_left(table):
             start = r.starts(length)
             if length == 1:
                 rows.append({"kind": TOTAL, "part": part, "lang": r.lang, "n": int(r.weights()[start].sum())})
             keys = r.keys(start, length)
             hit = among(keys["h1"], known)
             start, keys = start[hit], keys[hit]
-            own = among(keys["h1"], np.array(sorted(h1 for h1, _ in named), np.uint64))
-            for k, at in zip(*(x[own].tolist() for x in (keys, start)), strict=True):
-                if (n := named.pop(k, None)) is not None:
-                    rows.append({"kind": PHRASE, "part": part, "lang": r.lang, "words": r.phrase(at, length), "n": int(n)})
+            own = among(keys["h1"], named["h1"])
+            for k, at in zip(keys[own].tolist(), start[own].tolist(), strict=True):
+                if (n := told.pop(k, None)) is not None:
+                    rows.append({"kind": PHRASE, "part": part, "lang": r.lang, "words": r.phrase(at, length), "n": n})
             # Where the next start is one as well, a longer run begins.
             start = start[:-1][np.diff(start) == 1] if length < LONGEST else start[:0]
             if len(start):
                 left = r.cut(start, length + 1)
-                rows.append({"kind": STATE, "part": part, "lang": r.lang, "words": b"\n".join(left.words), "ids": left.ids.tobytes(), "counts": left.copies.tobytes()})
-                longer.append((left, left.starts(length + 1)))
-        return table_of(STEP, rows + sent(part, bits, longer, length + 1))
+                rows.append({"kind": STATE, "part": part, "lang": r.lang, "words": b"\n".join(left.words), "ids": left.ids.tobytes(), "copies": left.copies.tobytes()})
+        return table_of(STEP, rows)
 
     return run
 
@@ -237,10 +316,6 @@ def received(back: pa.Table, field: str, kind) -> np.ndarray:
     return joined([np.frombuffer(x.as_py(), kind) for x in back[field]] if len(back) else [], np.dtype(kind))
 
 
-def loaded(row: dict) -> Runs:
-    return Runs(row["lang"], row["words"].split(b"\n"), np.frombuffer(row["ids"], np.int32), np.frombuffer(row["counts"], np.int64))
-
-
 # Counts in duckdb.
 
 
@@ -257,34 +332,43 @@ def database():
             found.close()
 
 
-def frequent_keys(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def stored(db, batches: Iterator[pa.RecordBatch], kind: np.dtype, bits: int) -> None:
+    """Fills the table ``sent`` with a task's keys; short ones get back the bits of their bucket."""
+    db.execute("CREATE TABLE sent (part BIGINT, h1 UBIGINT, h2 UINTEGER, c BIGINT)")
+    for batch in batches:
+        keys = [np.frombuffer(x, kind) for x in batch.column("keys").to_pylist()]
+        sizes = [len(k) for k in keys]
+        part, bucket = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("part", "bucket"))
+        keys = joined(keys, kind)
+        if kind == PAIR:
+            h1, h2 = np.ascontiguousarray(keys["h1"]), np.ascontiguousarray(keys["h2"])
+        else:
+            h1, h2 = bucket.astype(np.uint64) << np.uint64(32) | keys, np.zeros(len(keys), np.uint32)
+        counts = joined([np.frombuffer(x, "<i8") for x in batch.column("counts").to_pylist()], np.int64)
+        db.register("own", pa.table({"part": part, "h1": h1, "h2": h2, "c": counts}))
+        db.execute("INSERT INTO sent SELECT part, h1, h2, c FROM own")
+        db.unregister("own")
+
+
+def frequent_keys(least: int, kind: np.dtype, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of each group's keys in a task's buckets, those that have ``least`` occurrences in all groups.
 
-    The smallest group that has a key gets its number of occurrences with it.
+    One group of those that have a key, any one, gets its number of occurrences with it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with database() as db:
-            db.execute("CREATE TABLE sent (part BIGINT, h1 UBIGINT, h2 UINTEGER, c BIGINT)")
-            for batch in batches:
-                keys = [np.frombuffer(x, PAIR) for x in batch.column("keys").to_pylist()]
-                counts = [np.frombuffer(x, "<i8") for x in batch.column("counts").to_pylist()]
-                part = np.repeat(batch.column("part").to_numpy(zero_copy_only=False), [len(k) for k in keys])
-                pair = joined(keys, PAIR)
-                own = {"part": part, "h1": np.ascontiguousarray(pair["h1"]), "h2": np.ascontiguousarray(pair["h2"]), "c": joined(counts, np.int64)}
-                db.register("own", pa.table(own))
-                db.execute("INSERT INTO sent SELECT part, h1, h2, c FROM own")
-                db.unregister("own")
+            stored(db, batches, kind, bits)
             query = f"""
-                WITH g AS (SELECT h1, h2, sum(c)::BIGINT AS f, min(part) AS first FROM sent GROUP BY h1, h2 HAVING sum(c) >= {least})
-                SELECT part, h1, h2, CASE WHEN part = first THEN f ELSE 0 END AS f FROM sent JOIN g USING (h1, h2) ORDER BY part"""
+                WITH g AS (
+                    SELECT h1, h2, sum(c)::BIGINT AS f, arg_min(part, hash(part, h1)) AS namer
+                    FROM sent GROUP BY h1, h2 HAVING sum(c) >= {least})
+                SELECT part, h1, h2, CASE WHEN part = namer THEN f ELSE 0 END AS f FROM sent JOIN g USING (h1, h2) ORDER BY part"""
             for found in db.sql(query).to_arrow_reader(BATCH):
                 part, h1, h2, f = (found.column(i).to_numpy() for i in range(4))
                 named = np.empty(len(part), NAMED)
                 named["h1"], named["h2"], named["f"] = h1, h2, f
-                edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() + [len(part)]
-                spans = zip(edges[:-1], edges[1:], strict=True) if len(part) else ()
-                rows = [{"part": int(part[a]), "keys": h1[a:b].tobytes(), "named": named[a:b][f[a:b] > 0].tobytes()} for a, b in spans]
+                rows = [{"part": int(part[a]), "keys": h1[a:b].tobytes(), "named": named[a:b][f[a:b] > 0].tobytes()} for a, b in runs_between(part)]
                 yield from table_of(FREQUENT, rows).to_batches()
 
     return run
@@ -300,19 +384,21 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, group_bytes: int = GROUP_
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = size // group_bytes + 1
     bits = (parts - 1).bit_length()
-    pieces = own.mapInArrow(distinct_pieces, PIECES)
-    groups = pieces.withColumn("part", F.pmod(F.xxhash64("lang", "piece"), F.lit(parts))).groupBy("part")
+    groups = own.mapInArrow(distinct_pieces(parts), PIECES).groupBy("part")
 
-    def frequent(rows: DataFrame) -> DataFrame:
-        keys = rows.where(F.col("kind") == SENT).select("bucket", "part", "keys", "counts")
-        return keys.repartition(tasks_for(docs), "bucket").mapInArrow(frequent_keys(least), FREQUENT)
+    def frequent(keys: DataFrame, kind: np.dtype = PAIR) -> DataFrame:
+        return keys.repartition(tasks_for(docs), "bucket").mapInArrow(frequent_keys(least, kind, bits), FREQUENT).groupBy("part")
 
-    back = frequent(groups.applyInArrow(send_words(bits), STEP))
-    steps = [written(groups.cogroup(back.groupBy("part")).applyInArrow(advance(bits, 1), STEP))]
+    back = frequent(groups.applyInArrow(send_words(bits), SENT))
+    steps = [written(groups.cogroup(back).applyInArrow(advance(1), STEP))]
     for length in range(2, LONGEST + 1):
-        state = steps[-1].where(F.col("kind") == STATE).select("part", "lang", "words", "ids", "counts")
-        after = state.groupBy("part").cogroup(frequent(steps[-1]).groupBy("part")).applyInArrow(advance(bits, length), STEP)
-        steps.append(written(after))
+        left = steps[-1].where(F.col("kind") == STATE).select("part", "lang", "words", "ids", "copies").groupBy("part")
+        if length == 2:
+            passed = frequent(left.applyInArrow(send_short(bits, length), SENT), SCREEN)
+            keys = left.cogroup(passed).applyInArrow(send_screened(bits, length), SENT)
+        else:
+            keys = left.applyInArrow(send_longer(bits, length), SENT)
+        steps.append(written(left.cogroup(frequent(keys)).applyInArrow(advance(length), STEP)))
 
     phrases = steps[0]
     for more in steps[1:]:
