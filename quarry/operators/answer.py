@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.shared import written
 from quarry.functions.text import word_count
 from quarry.operators.index import Index
 from quarry.operators.retrieve import coverage, evidence, top_k
 from quarry.sources.config import Retrieval
 
 FALLBACK_K = 3
+
+# Answers without a model, and without any evidence.
 NO_PROVIDER = "(No provider configured.) Context summary:\n"
 NO_DOCUMENTS = "No documents ingested yet."
 
 
 def planned(questions: DataFrame, retrieval: Retrieval) -> DataFrame:
-    """``qid, question, steps``: one step with the question as it is, unless steps are given."""
+    """``qid, question, steps``: one step with the question as it is, unless steps are given.
+
+    ``row`` names each question from here on, so that ``qid`` may be null or repeated.
+    """
     step = F.struct(
         F.col("question").alias("query"),
         F.lit(retrieval.dense_k).alias("dense_k"),
@@ -25,51 +31,55 @@ def planned(questions: DataFrame, retrieval: Retrieval) -> DataFrame:
         F.lit(retrieval.compression).alias("compression"),
     )
     own = questions if "steps" in questions.columns else questions.withColumn("steps", F.array(step))
-    return own.withColumns({"target_tokens": F.lit(retrieval.target_tokens), "coverage_target": F.lit(retrieval.coverage_target)})
+    targets = {"target_tokens": F.lit(retrieval.target_tokens), "coverage_target": F.lit(retrieval.coverage_target)}
+    return written(own.withColumns(targets | {"row": F.monotonically_increasing_id()}))
 
 
 def step_hits(plan: DataFrame, index: Index) -> DataFrame:
-    """``qid, step, chunk_idx, score, rank``: all steps of all questions at once."""
-    steps = plan.select("qid", F.posexplode("steps").alias("step", "s")).select(
-        "qid", "step", F.struct("qid", "step").alias("key"), F.col("s.query").alias("question"), F.col("s.dense_k").alias("k")
+    """``row, qid, step, chunk_idx, score, rank`` and the chunk's place: all steps of all questions at once."""
+    steps = plan.select("row", "qid", F.posexplode("steps").alias("step", "s")).select(
+        F.struct("row", "qid", "step").alias("key"), F.col("s.query").alias("question"), F.col("s.dense_k").alias("k")
     )
-    return top_k(steps.select("key", "question", "k"), index, F.col("k"), "key").select("key.qid", "key.step", "chunk_idx", "score", "rank")
+    return top_k(steps, index, F.col("k"), "key").select("key.*", "chunk_idx", "score", "rank", "doc_ord", "chunk_pos")
 
 
 def first_of_each(hits: DataFrame) -> DataFrame:
     """One row per question and chunk, its first; ``nth`` numbers them in order."""
-    again = Window.partitionBy("qid", "chunk_idx").orderBy("step", "rank")
-    order = Window.partitionBy("qid").orderBy("step", "rank")
+    again = Window.partitionBy("row", "chunk_idx").orderBy("step", "rank")
+    order = Window.partitionBy("row").orderBy("step", "rank")
     once = hits.withColumn("again", F.row_number().over(again)).where("again = 1").drop("again")
     return once.withColumn("nth", F.row_number().over(order))
 
 
 def with_fallback(plan: DataFrame, hits: DataFrame, index: Index) -> DataFrame:
     """Questions without a hit get the best three for the question itself."""
-    bare = plan.select("qid", "question").join(hits.select("qid"), "qid", "left_anti")
-    more = top_k(bare, index, FALLBACK_K)
-    more = more.select("qid", F.lit(0).alias("step"), "chunk_idx", "score", "rank", F.col("rank").alias("nth"))
-    return hits.select("qid", "step", "chunk_idx", "score", "rank", "nth").unionByName(more)
+    hits = written(hits)
+    bare = plan.select(F.struct("row", "qid").alias("key"), "question", "row").join(hits.select("row"), "row", "left_anti")
+    more = top_k(bare.select("key", "question"), index, FALLBACK_K, "key")
+    columns = ("chunk_idx", "score", "rank", "doc_ord", "chunk_pos")
+    more = more.select("key.*", F.lit(0).alias("step"), *columns, F.col("rank").alias("nth"))
+    return hits.select("row", "qid", "step", *columns, "nth").unionByName(more)
 
 
 def assembled(plan: DataFrame, hits: DataFrame, index: Index) -> DataFrame:
     """A row per question with its evidence in order, context and metrics.
 
-    Columns: qid, question, chunks (array of evidence), context, n_chunks,
+    Columns: row, qid, question, chunks (array of evidence), context, n_chunks,
     unique_sources, tokens, coverage.
     """
     found = evidence(hits, index)
     chunk = F.struct("nth", "id", "title", "snippet", "score")
-    grouped = found.groupBy("qid").agg(
+    grouped = found.groupBy("row").agg(
         F.array_sort(F.collect_list(chunk)).alias("own"),
         F.count(F.lit(1)).alias("n"),
         F.countDistinct("title").alias("sources"),
         F.sum(word_count(F.col("snippet"))).alias("words"),
     )
-    joined = plan.join(grouped, "qid", "left")
+    joined = plan.join(grouped, "row", "left")
     own = F.coalesce("own", F.array().cast("array<struct<nth:int,id:string,title:string,snippet:string,score:double>>"))
     n = F.coalesce("n", F.lit(0))
     return joined.select(
+        "row",
         "qid",
         "question",
         F.transform(own, lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"), x["snippet"].alias("snippet"), x["score"].alias("score"))).alias("chunks"),
@@ -86,19 +96,34 @@ def without_provider(context: F.Column) -> F.Column:
     return F.when(F.length(context) > 0, F.concat(F.lit(NO_PROVIDER), context)).otherwise(NO_DOCUMENTS)
 
 
+def found_by_step(plan: DataFrame, hits: DataFrame) -> DataFrame:
+    """``row, sub_queries``: each step's question, wanted number of chunks, and found ones, in order."""
+    counts = hits.groupBy("row", "step").agg(F.count(F.lit(1)).alias("chunks_found"))
+    steps = plan.select("row", F.posexplode("steps").alias("step", "s")).join(counts, ["row", "step"], "left")
+    own = F.struct("step", F.col("s.query").alias("query"), F.col("s.dense_k").alias("top_k"), F.coalesce("chunks_found", F.lit(0)).alias("chunks_found"))
+    ordered = F.array_sort(F.collect_list(own))  # as many as a plan has steps
+    return steps.groupBy("row").agg(F.transform(ordered, lambda x: x.dropFields("step")).alias("sub_queries"))
+
+
+def retrieved_for(plan: DataFrame, index: Index) -> DataFrame:
+    """Evidence, context and metrics of a plan's questions, and what each of their steps found."""
+    hits = written(step_hits(plan, index))
+    rows = assembled(plan, with_fallback(plan, first_of_each(hits), index), index)
+    return rows.join(found_by_step(plan, hits), "row", "left").drop("row")
+
+
 def retrieved(questions: DataFrame, index: Index, retrieval: Retrieval) -> DataFrame:
     """Evidence, context and metrics of ``questions(qid, question[, steps])``."""
-    plan = planned(questions, retrieval)
-    return assembled(plan, with_fallback(plan, first_of_each(step_hits(plan, index)), index), index)
+    return retrieved_for(planned(questions, retrieval), index)
 
 
-def concluded(rows: DataFrame, provider=None) -> DataFrame:
+def concluded(rows: DataFrame, provider=None, log: str | None = None) -> DataFrame:
     """Adds answer and status to ``retrieved`` rows."""
     if provider is None:
         return rows.withColumns({"answer": without_provider(F.col("context")), "status": F.lit("completed")})
     from quarry.operators.generate import generated
 
-    return generated(rows, provider)
+    return generated(rows, provider, log)
 
 
 def answer(questions: DataFrame, index: Index, retrieval: Retrieval, provider=None) -> DataFrame:

@@ -63,9 +63,9 @@ def numbered(counts: DataFrame) -> DataFrame:
     return joined.select("doc_ord", (F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("first"))
 
 
-def folded(docs: DataFrame, target: int = TARGET, ingest: bool = False) -> DataFrame:
-    """``doc_ord, id, chunks`` of every document ``(doc_ord, id, text)``."""
-    return docs.select("doc_ord", "id", chunks_of(F.coalesce("text", F.lit("")), target, ingest).alias("chunks"))
+def folded(docs: DataFrame, target: int = TARGET, ingest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_ord, id, chunks`` of every document ``(doc_ord, id, text)``, with the columns to ``keep``."""
+    return docs.select("doc_ord", "id", *keep, chunks_of(F.coalesce("text", F.lit("")), target, ingest).alias("chunks"))
 
 
 def exploded(folds: DataFrame) -> DataFrame:

@@ -1,22 +1,72 @@
-"""The TF-IDF index as tables: term counts, rarity, normalised postings."""
+"""The TF-IDF index: blocks of chunks in segments, to which changes of the documents add.
+
+A segment holds the chunks that one build or change brought in.  It is cut into blocks
+of ``BLOCK`` chunks; a row of ``blocks`` is a term with its places and numbers in one
+block.  Rarity isn't stored but applied when a question is asked, so a change needs no
+posting to be written anew.  What does depend on it is each chunk's norm: with
+
+    idf = L - d,  L = ln(1 + n) + 1,  d = ln(1 + df)
+
+the squared norm of a chunk is ``A L^2 - 2 B L + C`` for the sums A, B and C of ``tf^2``,
+``tf^2 d`` and ``tf^2 d^2`` over its terms.  A segment stores these three; a change
+stores, for older blocks, how much B and C moved for the chunks with a term whose ``df``
+changed, and which chunks are gone.  So a change costs work by its own documents and by
+the postings of their terms, and gives the scores that a full build would.
+
+``top`` of a term in a block is the highest ``tf / norm`` when its segment was written.
+Norms may have shrunk since, by no more than the smallest ratio ``rho`` of a term's new
+and old rarity, which is kept for each segment; so ``top / rho`` stays a bound.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.layout import spread
+from quarry.functions.shared import shared_folder
 from quarry.functions.stopwords import STOP_WORDS
 from quarry.functions.text import all_tokens
-from quarry.operators.chunking import chunk_table, exploded, folded
+from quarry.operators.chunking import folded
+
+#: Chunks of a block.
+BLOCK = 512
+#: Chunks of a document have so many bits behind its order number in a chunk's key.
+POSITION_BITS = 24
+#: Rows of a frequent term that meet a question in one task.
+TERM_BLOCKS = 4096
+#: Folders of an index before its changes are merged, and the share of the base that these may have by then.
+MOST_FOLDERS = 8
+MERGED_SHARE = 0.25
+#: Documents whose chunks are counted together.
+RANGE = 1024
+
+#: Kinds of rows in ``blocks``: a term's places and numbers; a block's keys with A, B, C; changes of B and C; places that are gone.
+TERM, HEAD, MOVED, GONE = range(4)
+COUNTED = "doc_ord long, block long, n long"
+COUNTS = f"segment int, {COUNTED}"
+RAW = "block long, term string, places binary, counts binary, n int"
+ROWS = "segment int, block long, kind int, term string, salt int, places binary, counts binary, n int, top double"
+KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
 
+Key = tuple[pa.Scalar, ...]
 
-#: Chunks that are scored together.
-BLOCK = 2048
+
+def table_of(schema: str, rows: list[dict]) -> pa.Table:
+    fields = pa.schema([(name, KINDS[kind]) for name, kind in (f.split() for f in schema.split(", "))])
+    return pa.Table.from_pylist(rows, schema=fields)
+
+
+# --- the index as plain tables ---------------------------------------------------------
 
 
 def term_frequency(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -41,21 +91,140 @@ def normalised(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return weighed.select(key, "term", "tf", (F.col("raw") / norm).alias("w"))
 
 
-def blocked(postings: DataFrame) -> DataFrame:
-    """``block, term, postings``: the postings of a term within a block of chunks as one row."""
-    block = F.floor(F.col("chunk_idx") / BLOCK).alias("block")
-    return postings.groupBy(block, "term").agg(F.collect_list(F.struct("chunk_idx", "w")).alias("postings"))
+# --- blocks ----------------------------------------------------------------------------
+
+
+def chunk_rows(docs: DataFrame) -> DataFrame:
+    """``doc_ord, id, title, chunk_pos, chunk`` of ``docs(doc_ord, id, title, text)``."""
+    return folded(docs, keep=("title",)).select("doc_ord", "id", "title", F.posexplode("chunks").alias("chunk_pos", "chunk"))
+
+
+def key_of(doc_ord: Column, chunk_pos: Column) -> Column:
+    """A chunk's key; keys are in the order of the chunks."""
+    return F.shiftleft(doc_ord.cast("long"), POSITION_BITS).bitwiseOR(chunk_pos.cast("long"))
+
+
+def place_of(key: Column) -> tuple[Column, Column]:
+    """``doc_ord`` and ``chunk_pos`` of a key."""
+    return F.shiftright(key, POSITION_BITS).alias("doc_ord"), key.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int").alias("chunk_pos")
+
+
+def binary_of(values: np.ndarray, edges: np.ndarray) -> pa.BinaryArray:
+    """One binary value for each stretch of ``values`` between two edges."""
+    offsets = (edges * values.itemsize).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def values_of(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """All values of a column of binary values, one after another."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def rows_of_block(block: int, keys: np.ndarray, tokens: pa.ListArray) -> pa.RecordBatch:
+    """A block's terms with places and numbers, and its keys in a row without a term."""
+    sizes = np.diff(tokens.offsets.to_numpy())
+    words = tokens.flatten().dictionary_encode()
+    stop = pc.is_in(words.dictionary, pa.array(STOP_WORDS)).to_numpy(zero_copy_only=False)
+    code, place = words.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(keys)), sizes)
+    used = ~stop[code] if len(code) else np.zeros(0, bool)
+    both, counts = np.unique(code[used] * BLOCK + place[used], return_counts=True)
+    code, place = both // BLOCK, (both % BLOCK).astype("<i4")
+    start = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else code
+    edges = np.append(start, len(code))
+    terms, n = words.dictionary.take(pa.array(code[start])), np.diff(edges)
+    places = pa.concat_arrays([binary_of(place, edges), pa.array([keys.astype("<i8").tobytes()], pa.binary())])
+    numbers = pa.concat_arrays([binary_of(counts.astype("<i4"), edges), pa.array([b""], pa.binary())])
+    columns = [pa.array(np.full(len(n) + 1, block)), pa.concat_arrays([terms.cast(pa.string()), pa.array([None], pa.string())]), places, numbers]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.append(n, len(keys)).astype(np.int32))], ["block", "term", "places", "counts", "n"])
+
+
+def packed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a task's chunks ``(key, tokens)``, in the order in which they come."""
+    first, nth = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        for a in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(a, BLOCK)
+            yield rows_of_block(first + nth, part.column(0).to_numpy(), pa.concat_arrays([part.column(1)]))
+            nth += 1
+
+
+def raw_blocks(chunks: DataFrame) -> DataFrame:
+    key = key_of(F.col("doc_ord"), F.col("chunk_pos")).alias("key")
+    return chunks.select(key, all_tokens(F.col("chunk")).alias("tokens")).mapInArrow(packed_blocks, RAW)
+
+
+def weighed(segment: int, n: int):
+    """A block with its sums A, B, C and its terms' tops, from its raw rows with the terms' df among ``n`` chunks."""
+    level = np.log(1 + n) + 1
+
+    def run(key: Key, table: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        head, own = table.filter(pc.is_null(table["term"])), table.filter(pc.is_valid(table["term"]))
+        size, n = head["n"][0].as_py(), own["n"].to_numpy()
+        at, tf = values_of(own["places"], "<i4"), values_of(own["counts"], "<i4").astype(float)
+        d = np.repeat(np.log(1 + own["df"].to_numpy()), n)
+        sums = np.array([np.bincount(at, weights=tf * tf * x, minlength=size) for x in (1.0, d, d * d)])
+        top = np.maximum.reduceat(tf / norms(*sums, level)[at], np.cumsum(n) - n) if len(n) else np.zeros(0)
+        m = len(n)
+        columns = {
+            "segment": pa.array(np.full(m + 1, segment, np.int32)), "block": pa.array(np.full(m + 1, block)), "kind": pa.array(np.append(np.full(m, TERM), HEAD).astype(np.int32)),
+            "term": pa.concat_arrays([*own["term"].chunks, pa.array([None], pa.string())]), "salt": pa.array(np.append(block % own["spread"].to_numpy().astype(np.int64), 0).astype(np.int32)),
+            "places": pa.concat_arrays([*own["places"].chunks, *head["places"].chunks]), "counts": pa.concat_arrays([*own["counts"].chunks, pa.array([sums.tobytes()], pa.binary())]),
+            "n": pa.array(np.append(n, size).astype(np.int32)), "top": pa.array(np.append(top, 0.0)),
+        }
+        return pa.table(columns)
+
+    return run
+
+
+def norms(a: np.ndarray, b: np.ndarray, c: np.ndarray, level: float) -> np.ndarray:
+    """Norms of chunks; 1 for those without a term."""
+    square = a * level * level - 2 * b * level + c
+    return np.sqrt(np.where(a > 0, np.maximum(square, 1e-12), 1.0))
+
+
+def moved(key: Key, table: pa.Table) -> pa.Table:
+    """How far B and C of a block's chunks move, from its rows of terms with old and new d."""
+    places, moves = [], []
+    for r in table.to_pylist():
+        at, square = np.frombuffer(r["places"], "<i4"), np.frombuffer(r["counts"], "<i4").astype(float) ** 2
+        places.append(at)
+        moves.append(np.array([square * (r["d_new"] - r["d_old"]), square * (r["d_new"] ** 2 - r["d_old"] ** 2)]))
+    at, back = np.unique(np.concatenate(places), return_inverse=True)
+    both = np.zeros((2, len(at)))
+    for k in (0, 1):
+        np.add.at(both[k], back, np.concatenate([m[k] for m in moves]))
+    own = {"segment": key[0].as_py(), "block": key[1].as_py(), "kind": MOVED, "places": at.astype("<i4").tobytes(), "counts": both.tobytes(), "n": len(at)}
+    return table_of(ROWS, [own])
+
+
+def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many chunks each document has in a block, from the rows with the block's keys."""
+    for batch in batches:
+        rows = []
+        for block, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = np.unique(np.frombuffer(keys, "<i8") >> POSITION_BITS, return_counts=True)
+            rows += [{"doc_ord": d, "block": block, "n": n} for d, n in zip(*(x.tolist() for x in found), strict=True)]
+        yield from table_of(COUNTED, rows).to_batches()
+
+
+def gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of a block's chunks whose documents are gone."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            at = np.flatnonzero(np.isin(np.frombuffer(r["places"], "<i8") >> POSITION_BITS, r["dead"])).astype("<i4")
+            rows.append({"segment": r["segment"], "block": r["block"], "kind": GONE, "places": at.tobytes(), "counts": b"", "n": len(at)})
+        yield from table_of(ROWS, rows).to_batches()
+
+
+# --- the index -------------------------------------------------------------------------
 
 
 def files_state(table: DataFrame) -> str:
-    """Names, sizes and modification times of the files that a table is read from."""
-    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
-    found = []
-    for name in sorted(table.inputFiles()):
-        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
-        status = path.getFileSystem(conf).getFileStatus(path)
-        found.append(f"{name} {status.getLen()} {status.getModificationTime()}")
-    return "\n".join(found)
+    """Names, sizes and modification times of the files that a table is read from, as Spark's own listing has them."""
+    files = table.sparkSession.read.format("binaryFile").load(table.inputFiles()).select("path", "length", "modificationTime")
+    return "\n".join(sorted(f"{r['path']} {r['length']} {r['modificationTime']}" for r in files.collect()))
 
 
 #: Folder of each snapshot that this application has built.
@@ -63,41 +232,158 @@ BUILT: dict[tuple[str, str], str] = {}
 
 
 @dataclass(frozen=True)
+class Part:
+    """A folder of an index: what one build or change wrote."""
+
+    segment: int
+    folder: str
+    #: Chunks that it added, less those that it ended.
+    n: int
+    #: How far its norms may have shrunk since.
+    rho: float = 1.0
+
+
+PART = "segment int, folder string, n long, rho double"
+
+
 class Index:
     """The tables of one state of the documents."""
 
-    docs: DataFrame
-    chunks: DataFrame
-    idf: DataFrame
-    blocks: DataFrame
-
-    @property
-    def postings(self) -> DataFrame:
-        """``chunk_idx, term, w``."""
-        return self.blocks.select("term", F.inline("postings"))
+    def __init__(self, spark: SparkSession, parts: list[Part] | None = None, docs: DataFrame | None = None):
+        self.spark, self.docs, self._parts = spark, docs, parts
 
     @classmethod
     def of(cls, docs: DataFrame) -> Index:
-        """The index as a plan over ``docs(doc_ord, id, title, text, ...)``; nothing runs yet."""
-        chunks = chunk_table(docs)
-        n = chunks.agg(F.count(F.lit(1))).scalar()
-        tf = term_frequency(chunks, "chunk_idx", "chunk")
-        idf = inverse_frequency(document_frequency(tf), n)
-        return cls(docs, chunks, idf, blocked(normalised(tf, idf, "chunk_idx")))
-
-    def write(self, path: str) -> None:
-        """A snapshot: each table is computed once, from what is already written."""
-        spark = self.docs.sparkSession
-        folded(spread(self.docs)).write.mode("overwrite").parquet(f"{path}/folds")
-        exploded(spark.read.parquet(f"{path}/folds")).write.mode("overwrite").parquet(f"{path}/chunks")
-        chunks = spark.read.parquet(f"{path}/chunks")
-        term_frequency(chunks, "chunk_idx", "chunk").write.mode("overwrite").parquet(f"{path}/tf")
-        tf = spark.read.parquet(f"{path}/tf")
-        inverse_frequency(document_frequency(tf), F.lit(chunks.count())).write.mode("overwrite").parquet(f"{path}/idf")
-        idf = spark.read.parquet(f"{path}/idf")
-        blocks = blocked(normalised(tf, idf, "chunk_idx"))
+        """The index of ``docs(doc_ord, id, title, text, ...)``, built when it is first asked."""
+        return cls(docs.sparkSession, None, docs)
+
+    @property
+    def parts(self) -> list[Part]:
+        if self._parts is None:
+            self.write(f"{shared_folder(self.spark)}/index-{uuid.uuid4().hex}")
+        return self._parts
+
+    # --- writing -----------------------------------------------------------------
+
+    def write(self, path: str) -> Index:
+        """Build all of it, and list its one part under ``path/parts``."""
+        folder = f"{path}/base-{uuid.uuid4().hex}"
+        self._parts = [self._segment(folder, 0, spread(self.docs, "doc_ord"), [])]
+        return self.listed(path)
+
+    def listed(self, path: str) -> Index:
+        rows = [(p.segment, p.folder, p.n, p.rho) for p in self.parts]
+        self.spark.createDataFrame(rows, PART).coalesce(1).write.mode("overwrite").parquet(f"{path}/parts")
+        return self
+
+    def _segment(self, folder: str, segment: int, docs: DataFrame, before: list[Part]) -> Part:
+        """Write the chunks of ``docs`` as a segment, weighed among these and the chunks of the parts before."""
+        spark, own = self.spark, F.lit(segment).alias("segment")
+        chunk_rows(docs).withColumn("segment", own).write.parquet(f"{folder}/chunks")
+        chunks = spark.read.parquet(f"{folder}/chunks")
+        raw_blocks(chunks).write.parquet(f"{folder}/raw")
+        raw = spark.read.schema(RAW).parquet(f"{folder}/raw")
+        counts = raw.groupBy("term").agg(F.sum("n").cast("long").alias("df"), F.count(F.lit(1)).alias("blocks"))
+        counts.write.parquet(f"{folder}/counted")
+        counted = spark.read.schema("term string, df long, blocks long").parquet(f"{folder}/counted")
+        n = counted.where("term IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+        terms = counted.where("term IS NOT NULL")
+        all_df, total = terms.select("term", "df"), n + sum(p.n for p in before)
+        if before:
+            # Only the segment's own terms are looked up among the others.
+            others = Index(spark, before).terms.groupBy("term").agg(F.sum("df").alias("more"))
+            all_df = all_df.join(others, "term", "left").select("term", (F.col("df") + F.coalesce("more", F.lit(0))).alias("df"))
+        width = (1 + F.expr(f"blocks div {TERM_BLOCKS}")).cast("int").alias("spread")
+        known = all_df.join(terms.select("term", width), "term")
+        rows = raw.join(known, "term", "left").groupBy("block").applyInArrow(weighed(segment, total), ROWS)
         # Sorted by term, so that a question's terms touch few row groups of each file.
-        blocks.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/blocks")
+        rows.sortWithinPartitions("kind", "term").write.parquet(f"{folder}/blocks")
+        tops = spark.read.schema(ROWS).parquet(f"{folder}/blocks").where(F.col("kind") == TERM).groupBy("term").agg(F.max("top").alias("top"))
+        joined = tops.join(terms.select("term", "df", width), "term")
+        joined.select(own, "term", "df", "top", "spread").write.parquet(f"{folder}/terms")
+        raw.where("term IS NULL").select("block", "places").mapInArrow(chunk_counts, COUNTED).withColumn("segment", own).write.parquet(f"{folder}/counts")
+        return Part(segment, folder, n)
+
+    def changed(self, path: str, ids: DataFrame, docs: DataFrame) -> Index:
+        """The index after documents ``ids(id)`` have become ``docs``, or gone where they aren't in it; listed under ``path/parts``.
+
+        Reads of the older parts only the chunks of these documents, the postings of
+        their terms and the blocks' ranges.
+        """
+        spark, folder, segment = self.spark, f"{path}/change-{uuid.uuid4().hex}", max(p.segment for p in self.parts) + 1
+        ids.select("id").distinct().write.parquet(f"{folder}/ids")
+        ids = spark.read.schema("id string").parquet(f"{folder}/ids")
+        dying = self.live_chunks.join(ids, "id", "left_semi")
+        dying.select("segment", "doc_ord", "chunk_pos", "chunk").write.parquet(f"{folder}/ended")
+        ended = spark.read.schema("segment int, doc_ord long, chunk_pos int, chunk string").parquet(f"{folder}/ended")
+        fewer = ended.count()
+
+        part = self._segment(folder, segment, docs, self.parts)
+        n_old = sum(p.n for p in self.parts)
+        n_new = n_old + part.n - fewer
+        lost = term_frequency(ended.withColumn("key", F.struct("segment", "doc_ord", "chunk_pos")), "key", "chunk").groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+        lost.select(F.lit(segment).alias("segment"), "term", "df", F.lit(0.0).alias("top"), F.lit(0).alias("spread")).write.mode("append").parquet(f"{folder}/terms")
+        dead = ended.groupBy("segment", "doc_ord").agg(F.count(F.lit(1)).alias("chunks"))
+        dead.write.parquet(f"{folder}/dead")
+        dead = spark.read.schema(DEAD).parquet(f"{folder}/dead")
+        dead.select("segment", "doc_ord", F.lit(None).cast("long").alias("block"), (-F.col("chunks")).alias("n")).write.mode("append").parquet(f"{folder}/counts")
+
+        # Terms of older blocks whose number of chunks is another now.
+        now = spark.read.schema(TERMS).parquet(f"{folder}/terms")
+        shift = now.groupBy("term").agg(F.sum("df").alias("shift")).where("shift <> 0")
+        old = self.terms.join(shift, "term").groupBy("term").agg(F.sum("df").alias("df"), F.max("shift").alias("shift"))
+        old.select("term", F.log(1 + F.col("df")).alias("d_old"), F.log(1 + F.col("df") + F.col("shift")).alias("d_new")).write.parquet(f"{folder}/shifts")
+        d = spark.read.schema("term string, d_old double, d_new double").parquet(f"{folder}/shifts")
+        older = self.blocks.where(F.col("kind") == TERM).select("segment", "block", "term", "places", "counts")
+        rows = older.join(d, "term").groupBy("segment", "block").applyInArrow(moved, ROWS)
+        if fewer:
+            # The new blocks were weighed with the chunks that are ended here, too.
+            many = F.coalesce("old", F.lit(0)) + F.col("own")
+            gains = now.groupBy("term").agg(F.sum(F.when(F.col("spread") > 0, F.col("df"))).alias("own"), F.sum(F.when(F.col("spread") == 0, F.col("df"))).alias("lost"))
+            late = gains.where("own IS NOT NULL AND lost IS NOT NULL").join(self.terms.groupBy("term").agg(F.sum("df").alias("old")), "term", "left")
+            late = late.select("term", F.log(1 + many).alias("d_old"), F.log(1 + many + F.col("lost")).alias("d_new"))
+            new = spark.read.schema(ROWS).parquet(f"{folder}/blocks").where(F.col("kind") == TERM).select("segment", "block", "term", "places", "counts")
+            rows = rows.unionByName(new.join(late, "term").groupBy("segment", "block").applyInArrow(moved, ROWS))
+            where = self._table("counts", COUNTS).where("block IS NOT NULL").join(dead, ["segment", "doc_ord"])
+            hit = where.groupBy("segment", "block").agg(F.collect_set("doc_ord").alias("dead"))  # as many as a block has documents
+            heads = self.blocks.where(F.col("kind") == HEAD).select("segment", "block", "places").join(hit, ["segment", "block"])
+            rows = rows.unionByName(heads.mapInArrow(gone, ROWS))
+        rows.write.mode("append").parquet(f"{folder}/blocks")
+
+        level = float(np.log(1 + n_new) + 1)
+        old_level = float(np.log(1 + n_old) + 1)
+        ratio = d.agg(F.min((F.lit(level) - F.col("d_new")) / (F.lit(old_level) - F.col("d_old")))).first()[0]
+        step = min(1.0, ratio or 1.0, 1 + min(0.0, level - old_level))
+        # The new segment was weighed before the ended chunks went.
+        among = float(np.log(1 + n_old + part.n) + 1)
+        own_step = min(1.0, 1 + min(0.0, level - among))
+        parts = [Part(p.segment, p.folder, p.n, p.rho * step) for p in self.parts]
+        return Index(spark, [*parts, Part(segment, folder, part.n - fewer, own_step)]).listed(path)
+
+    @property
+    def due(self) -> bool:
+        """Whether there are so many changes that they should become one."""
+        return len(self.parts) > MOST_FOLDERS
+
+    def changed_ids(self) -> DataFrame:
+        """Ids of all documents that changed since the base."""
+        return self.spark.read.schema("id string").parquet(*(f"{p.folder}/ids" for p in self.parts[1:])).distinct()
+
+    @property
+    def base(self) -> Index:
+        """The index as it was before any change."""
+        return Index(self.spark, [Part(p.segment, p.folder, p.n) for p in self.parts[:1]])
+
+    def share_changed(self) -> float:
+        """Chunks that changes added, over those of the base."""
+        return sum(max(0, p.n) for p in self.parts[1:]) / max(1, self.parts[0].n)
+
+    # --- reading -----------------------------------------------------------------
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, docs: DataFrame | None = None) -> Index:
+        rows = spark.read.schema(PART).parquet(f"{path}/parts").orderBy("segment").collect()  # MOST_FOLDERS or so
+        return cls(spark, [Part(*r) for r in rows], docs)
 
     @classmethod
     def built(cls, spark: SparkSession, docs: DataFrame, key: str) -> Index:
@@ -108,13 +394,73 @@ class Index:
         """
         known = (spark.sparkContext.applicationId, key)
         if known not in BUILT:
-            root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-index-")
-            path = f"{root}/index-{uuid.uuid4().hex}"
+            path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
             cls.of(docs).write(path)
             BUILT[known] = path
         return cls.read(spark, BUILT[known], docs)
 
-    @classmethod
-    def read(cls, spark: SparkSession, path: str, docs: DataFrame) -> Index:
-        chunks, idf, blocks = (spark.read.parquet(f"{path}/{t}") for t in ("chunks", "idf", "blocks"))
-        return cls(docs, chunks, idf, blocks)
+    def _table(self, name: str, schema: str, parts: list[Part] | None = None) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{p.folder}/{name}" for p in (self.parts if parts is None else parts)))
+
+    @property
+    def n(self) -> int:
+        return sum(p.n for p in self.parts)
+
+    @property
+    def level(self) -> float:
+        return float(np.log(1 + self.n) + 1)
+
+    @property
+    def terms(self) -> DataFrame:
+        """``segment, term, df, top, spread``; a term's numbers add up, negative ones of ended chunks too."""
+        return self._table("terms", TERMS)
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self._table("blocks", ROWS)
+
+    @cached_property
+    def idf(self) -> DataFrame:
+        """``term, df, idf, top, shares``; top bounds ``tf / norm`` in all blocks, shares has each segment's number of them."""
+        top, share = F.col("top") / self.rho(), F.struct("segment", "spread")
+        if len(self.parts) == 1:
+            summed = self.terms.select("term", "df", top.alias("top"), F.array(share).alias("shares"))
+        else:
+            own = F.collect_list(F.when(F.col("spread") > 0, share)).alias("shares")  # as many as there are segments
+            summed = self.terms.groupBy("term").agg(F.sum("df").alias("df"), F.max(top).alias("top"), own).where("df > 0")
+        return summed.select("term", "df", (F.log((F.lit(1.0) + self.n) / (1 + F.col("df"))) + 1).alias("idf"), "top", "shares")
+
+    def rho(self) -> Column:
+        """Each segment's ``rho``, by its number."""
+        known = F.create_map(*(x for p in self.parts for x in (F.lit(p.segment), F.lit(p.rho))))
+        return known[F.col("segment")]
+
+    @property
+    def live_chunks(self) -> DataFrame:
+        """``doc_ord, id, title, chunk_pos, chunk, segment`` of the present documents."""
+        rows = self._table("chunks", "doc_ord long, id string, title string, chunk_pos int, chunk string, segment int")
+        if len(self.parts) == 1:
+            return rows
+        return rows.join(self._table("dead", DEAD, self.parts[1:]), ["segment", "doc_ord"], "left_anti")
+
+    @property
+    def firsts(self) -> DataFrame:
+        """``doc_ord, first``: how many chunks the documents before have.
+
+        Ranges of RANGE order numbers are summed up first, so that no task sees all documents.
+        """
+        counts = self._table("counts", COUNTS).groupBy(F.expr(f"doc_ord div {RANGE}").alias("range"), "doc_ord").agg(F.sum("n").alias("n"))
+        before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        totals = counts.groupBy("range").agg(F.sum("n").alias("all"))
+        starts = totals.select("range", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("start"))
+        within = Window.partitionBy("range").orderBy("doc_ord").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.join(starts, "range").select("doc_ord", (F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("first"))
+
+    @property
+    def chunks(self) -> DataFrame:
+        """``doc_ord, id, title, chunk_pos, chunk_idx, chunk`` of all present documents."""
+        return self.live_chunks.join(self.firsts, "doc_ord").select("doc_ord", "id", "title", "chunk_pos", (F.col("first") + F.col("chunk_pos")).alias("chunk_idx"), "chunk")
+
+
+TERMS = "segment int, term string, df long, top double, spread int"
+DEAD = "segment int, doc_ord long, chunks long"

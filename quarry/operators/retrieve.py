@@ -1,9 +1,15 @@
-"""Cosine retrieval for whole tables of questions at once.
-
-The best chunks are found a block of chunks at a time: a block's postings and a group
-of question vectors meet in one task, which multiplies them as sparse matrices and
-keeps each question's best.  So what is shuffled are postings and ``k`` rows a question
-and block, never a row for each pair of question and chunk.
+"""Cosine retrieval for whole tables of questions at once, skipping blocks that can't matter.
+
+A question's score in a block is bounded by the sum of its terms' highest weights there.
+First each question is compared in full with the few blocks that its strongest terms
+promise most; its k-th best score so far is its threshold.  Terms that together can't
+reach it need not be looked up, and only blocks whose bound reaches it are compared.
+
+A block's postings and the questions that want it meet in one task, which multiplies
+them as sparse matrices and keeps each question's best.  Blocks are sent once for each
+``GROUP`` questions that want them, as counted, and a frequent term's blocks are looked up
+in shares.  So what is shuffled are the bounds of blocks, the postings of wanted ones and
+``k`` rows a question and block, never a row for each pair of question and chunk.
 """
 
 from __future__ import annotations
@@ -13,13 +19,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.shared import written
 from quarry.functions.text import is_blank, word_count
-from quarry.operators.index import Index, normalised, term_frequency
+from quarry.operators.index import GONE, HEAD, MOVED, TERM, Index, Key, norms, normalised, place_of, term_frequency
 
 #: Scores are ordered by this many decimals, so that the order of summation doesn't matter.
 DIGITS = 9
+#: Less than any difference of ordered scores.
+SLACK = 1e-8
 #: Questions that meet a block at once: a matrix of this many rows and ``index.BLOCK`` columns fits a task.
 GROUP = 1024
+#: Terms and blocks by which a question gets its threshold.
+STRONGEST, FIRST_BLOCKS = 4, 4
+
+FOUND = "row long, key long, score double, k long"
 
 
 def question_vectors(questions: DataFrame, index: Index, key: str = "qid") -> DataFrame:
@@ -30,74 +43,138 @@ def question_vectors(questions: DataFrame, index: Index, key: str = "qid") -> Da
 
 
 def cosine_scores(questions: DataFrame, index: Index, key: str = "qid") -> DataFrame:
-    """``qid, chunk_idx, score`` of all pairs that share a term."""
-    vectors = question_vectors(questions, index, key)
-    shared = index.postings.join(vectors, "term")
+    """``qid, chunk_idx, score`` of all pairs that share a term, straight from the chunks: a model for tests."""
+    postings = normalised(term_frequency(index.chunks, "chunk_idx", "chunk"), index.idf, "chunk_idx")
+    shared = postings.join(question_vectors(questions, index, key), "term")
     scores = shared.groupBy(key, "chunk_idx").agg(F.round(F.sum(F.col("w") * F.col("qw")), DIGITS).alias("score"))
     return scores.where("score > 0")
 
 
-def best_of_block(table: pa.Table) -> pa.Table:
-    """The best chunks of one block for one group of questions: ``name, k, chunk_idx, score``.
+def best_of_block(level: float):
+    """The best chunks of one block for some questions.
+
+    ``asked`` has a question's terms and weights in a row, ``rows`` the block's rows of all
+    kinds; ``level`` is L of the index.
+    """
 
-    A row is a term with its postings in the block and its weight in each question.
+    def run(key: Key, asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found = {name: [] for name in ("row", "key", "score", "k")}
+        own = rows.to_pylist() if len(asked) else []
+        head = next((r for r in own if r["kind"] == HEAD), None)
+        if head is not None:
+            keys = np.frombuffer(head["places"], "<i8")
+            a, b, c = np.frombuffer(head["counts"], "<f8").reshape(3, -1).copy()
+            alive = np.ones(len(keys), bool)
+            for r in own:
+                at = np.frombuffer(r["places"], "<i4") if r["kind"] in (MOVED, GONE) else None
+                if r["kind"] == MOVED:
+                    b[at], c[at] = (x[at] + y for x, y in zip((b, c), np.frombuffer(r["counts"], "<f8").reshape(2, -1), strict=True))
+                elif r["kind"] == GONE:
+                    alive[at] = False
+            scores = multiplied(asked, {r["term"]: r for r in own if r["kind"] == TERM}, len(keys))
+            scores = np.round(scores / norms(a, b, c, level), DIGITS) * alive
+            for row, k, score in zip(asked["row"].to_pylist(), asked["k"].to_pylist(), scores, strict=True):
+                at = np.flatnonzero(score > 0)
+                # Of equal scores the later chunk wins.
+                at = at[np.lexsort((-keys[at], -score[at]))[:k]]
+                for name, values in (("row", np.full(len(at), row)), ("key", keys[at]), ("score", score[at]), ("k", np.full(len(at), k))):
+                    found[name].append(values)
+        kinds = {"row": np.int64, "key": np.int64, "score": np.float64, "k": np.int64}
+        return pa.table({name: np.concatenate([*v, np.zeros(0, kinds[name])]).astype(kinds[name]) for name, v in found.items()})
+
+    return run
+
+
+def multiplied(asked: pa.Table, terms: dict[str, dict], n: int) -> np.ndarray:
+    """Sums of weight times number over the terms of each question, for each of ``n`` chunks."""
+    lists = asked["terms"].combine_chunks()
+    question = np.repeat(np.arange(len(asked)), np.diff(lists.offsets.to_numpy()))
+    words = lists.flatten().dictionary_encode()
+    weights, codes = asked["weights"].combine_chunks().flatten().to_numpy(), words.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    edges = np.searchsorted(codes[order], np.arange(len(words.dictionary) + 1))
+    out = np.zeros((len(asked), n))
+    for code, term in enumerate(words.dictionary.to_pylist()):
+        if (own := terms.get(term)) is not None:
+            who = order[edges[code] : edges[code + 1]]
+            # A question has a term once, and a term a chunk.
+            out[question[who, None], np.frombuffer(own["places"], "<i4")] += weights[who, None] * np.frombuffer(own["counts"], "<i4")
+    return out
+
+
+def compared(pairs: DataFrame, packed: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
+    """``row, key, score, k``: the best chunks of each pair ``(segment, block, row)``; of a block only the asked ``terms`` are sent."""
+    wanted = pairs.groupBy("segment", "block").agg(F.count(F.lit(1)).alias("wanted"))
+    groups = F.ceil(F.col("wanted") / GROUP).cast("int")
+    rows = index.blocks.select("segment", "block", "kind", "term", "places", "counts")
+    rows = rows.where(F.col("kind") == TERM).join(terms, "term", "left_semi").select(*rows.columns).unionByName(rows.where(F.col("kind") != TERM))
+    blocks = rows.join(wanted, ["segment", "block"])
+    blocks = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), groups - 1))).drop("wanted")
+    asked = pairs.join(wanted, ["segment", "block"]).withColumn("group", F.pmod(F.xxhash64("row"), groups).cast("int")).drop("wanted").join(packed, "row")
+    place = ["segment", "block", "group"]
+    return asked.groupBy(*place).cogroup(blocks.groupBy(*place)).applyInArrow(best_of_block(index.level), FOUND)
+
+
+def bounds(terms: DataFrame, index: Index) -> DataFrame:
+    """``segment, block, row, bound`` of the blocks that share one of ``terms(row, term, weight, shares)``.
+
+    A frequent term is looked up in as many shares as its segment has for it.
     """
-    places, asked = (table[c].combine_chunks() for c in ("postings", "asked"))
-    sizes, counts = (np.diff(x.offsets.to_numpy()) for x in (places, asked))
-    chunks, weights = (np.asarray(places.flatten().field(c)) for c in ("chunk_idx", "w"))
-    own, qw, wanted = (asked.flatten().field(c) for c in ("name", "qw", "k"))
-    own = own.dictionary_encode()
-    names, question, qw = own.dictionary, np.asarray(own.indices), np.asarray(qw)
-    k = np.zeros(len(names), np.int64)
-    k[question] = np.asarray(wanted)
-    known, column = np.unique(chunks, return_inverse=True)
-    scores = np.zeros((len(names), len(known)))
-    a = b = 0
-    for n, m in zip(sizes.tolist(), counts.tolist(), strict=True):
-        # Within a term each question and each chunk comes once.
-        scores[question[b : b + m, None], column[a : a + n]] += qw[b : b + m, None] * weights[a : a + n]
-        a, b = a + n, b + m
-    scores = np.round(scores, DIGITS)
-    most = min(int(k.max()), len(known))
-    least = -np.partition(-scores, most - 1, axis=1)[:, most - 1]
-    row, at = np.nonzero((scores >= least[:, None]) & (scores > 0))
-    # Columns are in order of chunk_idx; of equal scores the later chunk wins.
-    order = np.lexsort((-at, -scores[row, at], row))
-    row, at = row[order], at[order]
-    kept = np.arange(len(row)) - np.searchsorted(row, np.arange(len(names)))[row] < k[row]
-    row, at = row[kept], at[kept]
-    return pa.table({"name": names.take(pa.array(row)), "k": k[row], "chunk_idx": known[at], "score": scores[row, at]})
+    looked = terms.select("row", "term", "weight", F.inline("shares")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("spread") - 1))).drop("spread")
+    tops = index.blocks.where(F.col("kind") == TERM).select("segment", "term", "salt", "block", (F.col("top") / index.rho()).alias("top"))
+    return tops.join(looked, ["segment", "term", "salt"]).groupBy("segment", "block", "row").agg(F.sum(F.col("top") * F.col("weight")).alias("bound"))
 
 
 def top_k(questions: DataFrame, index: Index, k: int | Column, key: str = "qid") -> DataFrame:
-    """``key, chunk_idx, score, rank``: the best ``k`` chunks of each question, with ``rank`` from 1.
+    """``key, chunk_idx, score, rank, doc_ord, chunk_pos``: the best ``k`` chunks of each question, with ``rank`` from 1.
 
-    ``k`` may be a column of ``questions``; equal scores go to the later chunk.
+    ``k`` may be a column of ``questions``; equal scores go to the later chunk.  Each row is
+    a question of its own, with whatever key: null, or that of another row.
     """
-    if isinstance(k, int):
-        if k < 0:
-            raise ValueError("k must not be negative")
+    if isinstance(k, int) and k < 0:
+        raise ValueError("k must not be negative")
     # A fixed k lets Spark cut each task's rows before the last shuffle.
     limit = F.lit(k) if isinstance(k, int) else F.col("k")
     k = F.lit(k) if isinstance(k, int) else k
-    name = F.to_json(F.struct(key)).alias("name")
-    wanted = questions.select(key, k.cast("long").alias("k")).where("k > 0")
-    asked = question_vectors(questions, index, key).join(wanted, key).select(name, "term", "qw", "k")
-    groups = F.greatest(F.lit(1), F.ceil(questions.agg(F.count(F.lit(1))).scalar() / GROUP))
-    asked = asked.groupBy(F.pmod(F.xxhash64("name"), groups).alias("group"), "term").agg(F.collect_list(F.struct("name", "qw", "k")).alias("asked"))
-    tasks = index.blocks.join(asked, "term").groupBy("block", "group")
-    found = tasks.applyInArrow(best_of_block, "name string, k long, chunk_idx long, score double")
-    order = Window.partitionBy("name").orderBy(F.desc("score"), F.desc("chunk_idx"))
-    ranked = found.withColumn("score", F.round("score", DIGITS)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    return ranked.select(F.from_json("name", questions.select(key).schema)[key].alias(key), "chunk_idx", "score", "rank")
+    rows = written(questions.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key_"), "question", k.cast("long").alias("k")))
+    known = question_vectors(rows.where("k > 0").select("row", "question"), index, "row").join(index.idf, "term")
+    terms = written(known.select("row", "term", (F.col("qw") * F.col("idf")).alias("weight"), (F.col("qw") * F.col("idf") * F.col("top")).alias("most"), "shares"))
+    packed = terms.groupBy("row").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")).join(rows.select("row", "k"), "row")
+
+    asked = terms.select("term").distinct()
+
+    by_row = Window.partitionBy("row")
+    strongest = terms.withColumn("nth", F.row_number().over(by_row.orderBy(F.desc("most"), "term"))).where(F.col("nth") <= STRONGEST)
+    promised = bounds(strongest, index)
+    nth = F.row_number().over(by_row.orderBy(F.desc("bound"), "segment", "block"))
+    first = written(promised.withColumn("nth", nth).where(F.col("nth") <= FIRST_BLOCKS).select("segment", "block", "row"))
+    hits = written(compared(first, packed, asked, index))
+    nth = F.row_number().over(by_row.orderBy(F.desc("score"), F.desc("key")))
+    thresholds = hits.withColumn("nth", nth).where(F.col("nth") == F.col("k")).select("row", F.col("score").alias("threshold"))
+
+    # From the weakest term on, those are left out that can't reach the threshold together.
+    judged = terms.join(thresholds, "row", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)) - SLACK)
+    weaker = F.sum("most").over(by_row.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
+    judged = judged.withColumn("left_out", weaker < F.col("threshold"))
+    rest = F.sum(F.when(F.col("left_out"), F.col("most")).otherwise(0.0)).over(by_row)
+    judged = written(judged.withColumn("rest", rest).where("NOT left_out").select("row", "term", "weight", "shares", "threshold", "rest"))
+    needed = judged.groupBy("row").agg(F.max("threshold").alias("threshold"), F.max("rest").alias("rest"))
+    reached = bounds(judged, index).join(needed, "row").where(F.col("bound") + F.col("rest") >= F.col("threshold"))
+    others = reached.select("segment", "block", "row").join(first, ["segment", "block", "row"], "left_anti")
+    found = hits.unionByName(compared(written(others), packed, asked, index))
+
+    order = by_row.orderBy(F.desc("score"), F.desc("key"))
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    placed = ranked.select("row", "score", "rank", *place_of(F.col("key")))
+    placed = placed.join(index.firsts, "doc_ord").join(rows.select("row", F.col("key_").alias(key)), "row")
+    return placed.select(key, (F.col("first") + F.col("chunk_pos")).alias("chunk_idx"), "score", "rank", "doc_ord", "chunk_pos")
 
 
 def evidence(hits: DataFrame, index: Index) -> DataFrame:
-    """Hits with chunk id, title and snippet; chunks of documents that are gone are dropped."""
-    titles = index.docs.select("id", "title")
-    joined = hits.join(index.chunks.select("chunk_idx", "id", "chunk"), "chunk_idx").join(titles, "id")
-    chunk_id = F.concat_ws("-", "id", F.col("chunk_idx").cast("string"))
-    return joined.withColumns({"doc_id": F.col("id"), "id": chunk_id, "snippet": F.col("chunk")}).drop("chunk")
+    """Hits with chunk id, title and snippet."""
+    chunks = index.live_chunks.select("doc_ord", "chunk_pos", F.col("id").alias("doc_id"), "title", F.col("chunk").alias("snippet"))
+    chunk_id = F.concat_ws("-", "doc_id", F.col("chunk_idx").cast("string"))
+    return hits.join(chunks, ["doc_ord", "chunk_pos"]).withColumn("id", chunk_id)
 
 
 def coverage(found: Column, k: Column) -> Column:
@@ -107,8 +184,9 @@ def coverage(found: Column, k: Column) -> Column:
 
 def gathered(questions: DataFrame, index: Index, k: int, key: str = "qid") -> DataFrame:
     """``qid, chunks, coverage, tokens`` for every question, those without evidence too."""
-    found = evidence(top_k(questions, index, k, key), index)
-    sums = found.groupBy(key).agg(F.count(F.lit(1)).alias("chunks"), F.sum(word_count(F.col("snippet"))).alias("tokens"))
-    joined = questions.select(key).join(sums, key, "left")
+    rows = written(questions.select(key, "question", F.monotonically_increasing_id().alias("question_row")))
+    found = evidence(top_k(rows, index, k, "question_row"), index)
+    sums = found.groupBy("question_row").agg(F.count(F.lit(1)).alias("chunks"), F.sum(word_count(F.col("snippet"))).alias("tokens"))
+    joined = rows.select(key, "question_row").join(sums, "question_row", "left")
     chunks, tokens = (F.coalesce(c, F.lit(0)) for c in ("chunks", "tokens"))
     return joined.select(key, chunks.alias("chunks"), coverage(chunks, F.lit(k)).alias("coverage"), tokens.alias("tokens"))

@@ -8,12 +8,15 @@ that texts fall into several chunks.  ``benchmark`` gives questions, the user tu
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.layout import spread
 from quarry.functions.schemas import TRACE
+from quarry.functions.shared import shared_folder, written
 from quarry.operators import answer as A
 from quarry.operators import chunking, retrieve
 from quarry.operators.index import Index, document_frequency, files_state, inverse_frequency, normalised, term_frequency
@@ -94,10 +97,23 @@ def doc_lookup(spark, sf_dir):
     return documents(spark, sf_dir, plain=True).where("id = '17'").select("id", "title", "text").limit(1)
 
 
+def stored(spark: SparkSession, docs: DataFrame) -> store.DocumentStore:
+    """A new document store in the shared folder with the documents, at the places that they have."""
+    found = store.DocumentStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=8)
+    found.upsert(written(docs.select("id", "title", "text", "metadata", F.col("doc_ord").alias("nth"))))
+    return found
+
+
 @query("SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def doc_delete(spark, sf_dir):
+    """The toxic documents are deleted in two changes of a store, which is compacted between them, and the rest is read back."""
     toxic = read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("id"))
-    return store.deleted(documents(spark, sf_dir, plain=True), toxic).select("id")
+    docs = stored(spark, documents(spark, sf_dir, plain=True))
+    odd = F.col("id").cast("long") % 2 == 1
+    docs.delete_all(toxic.where(odd))
+    docs.compact()
+    docs.delete_all(toxic.where(~odd))
+    return docs.read().select("id")
 
 
 @query("""
@@ -114,8 +130,10 @@ def doc_upsert(spark, sf_dir):
     bench = read(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000000).alias("doc_id"), F.lit("bench").alias("title"), "text")
     empty = F.create_map().cast("map<string,string>")
     changed = new.unionByName(bench).select(F.col("doc_id").cast("string").alias("id"), "title", "text", empty.alias("metadata"), F.col("doc_id").alias("nth"))
-    after = store.upserted(documents(spark, sf_dir, plain=True), changed)
-    return after.select("id", "title", "doc_ord", F.length("text").cast("long").alias("n"))
+    docs = stored(spark, documents(spark, sf_dir, plain=True))
+    docs.compact()
+    docs.upsert(changed)
+    return docs.read().select("id", "title", "doc_ord", F.length("text").cast("long").alias("n"))
 
 
 @query(rf"""

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from quarry.functions.text import extension, plain_markdown, uploadable
 
 WORD_SPACE = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+#: What decoding puts for bytes that aren't UTF-8, and what stands in for a genuine one.
+REPLACEMENT, STAND_IN = "\ufffd", "\U0010fffe"
 EXTRACTED = "path string, name string, content binary, ext string, text string, status string"
 
 
@@ -77,11 +79,14 @@ def extract_binary(rows: DataFrame, extractors=None) -> DataFrame:
 
 
 def plain_text(rows: DataFrame) -> DataFrame:
-    """Text of the other files: Markdown loses its signs, the rest is decoded as it is."""
-    decode = F.udf(decoded, "string", useArrow=True)
-    # SQL's decoding drops a genuine U+FFFD too; files that hold one go through Python.
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    exact = F.when(text.contains("�"), decode("content")).otherwise(text)
+    """Text of the other files: Markdown loses its signs, the rest is decoded as it is.
+
+    Bytes that aren't UTF-8 are left out.  SQL's decoding marks them by U+FFFD, so a
+    genuine one is kept under a noncharacter meanwhile, in files that have both.
+    """
+    raw = F.col("content").cast("string")
+    kept = F.replace(F.make_valid_utf8(F.replace(raw, F.lit(REPLACEMENT), F.lit(STAND_IN))), F.lit(REPLACEMENT), F.lit(""))
+    exact = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(kept, F.lit(STAND_IN), F.lit(REPLACEMENT)))
     shown = F.when(F.col("ext").isin(".md", ".markdown"), plain_markdown(exact)).otherwise(exact)
     return rows.select("path", "name", "content", "ext", shown.alias("text"), F.lit("ok").alias("status"))
 

@@ -1,26 +1,38 @@
 """Documents and traces in Parquet.
 
-A change of the documents writes what it changes, deletions as marked rows, and then
-appends its number to a small table of versions.  Readers take the last whole snapshot
-and the changes after it; every ``COMPACT_AFTER`` changes a new snapshot is written.  A
-writer that dies before its number is published leaves the last version in place, and a
+Documents lie in buckets by a hash of their id.  A change writes its own rows, deletions
+as marked ones, and then appends its number to a small table of versions.  Readers take
+each bucket's last whole copy and the changes after it; a bucket that ``COMPACT_AFTER``
+changes have touched is written anew, alone.  So one document is read from one bucket,
+and a change's place among the others is looked up in the buckets that it touches.
+
+A writer that dies before its number is published leaves the last version in place, and a
 query reads one version from start to end.  Writers take turns: each first creates the
-claim file of its version, which only one can.
+claim file of its version, which only one can.  What no present version needs any more
+goes with ``expire``, unless it is young or a reader holds a lease on its version.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
+from datetime import datetime
 
+import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.schemas import DOCUMENT, STORED, TRACE
+from quarry.sources.files_api import Files
 
-
-#: Changes after which the whole table is written anew.
+#: Changes of a bucket after which it is written anew.
 COMPACT_AFTER = 16
+#: Buckets of a new store: about one for a core's share of the documents.
+BUCKETS = 32
 
 
 def documents_of_json(arrays: DataFrame) -> DataFrame:
@@ -52,149 +64,320 @@ def read_traces_json(spark: SparkSession, path: str) -> DataFrame:
     return with_trace_defaults(spark.read.schema(TRACE).option("multiLine", True).json(path))
 
 
-def changed_rows(stored: DataFrame, changed: DataFrame) -> DataFrame:
+def changed_rows(stored: DataFrame, changed: DataFrame, last: int | None = None) -> DataFrame:
     """The changed documents at their places: their namesakes', or the end in their given order.
 
     ``changed`` has the columns of a document and ``nth``, its order: distinct numbers
     from 0, gaps allowed, so that no task needs to see all rows to number them.  Of
-    equal ids the last counts, in the first one's place.
+    equal ids the last counts, in the first one's place.  ``last`` is the highest place
+    in use, where that is known; ``stored`` need then hold the namesakes only.
     """
     once = changed.groupBy("id").agg(F.max_by(F.struct("title", "text", "metadata"), "nth").alias("last"), F.min("nth").alias("nth"))
-    last = stored.agg(F.coalesce(F.max("doc_ord"), F.lit(-1)).alias("end"))
-    places = once.join(stored.select("id", F.col("doc_ord").alias("place")), "id", "left").crossJoin(F.broadcast(last))
+    end = stored.agg(F.coalesce(F.max("doc_ord"), F.lit(-1)).alias("end")) if last is None else stored.sparkSession.range(1).select(F.lit(last).alias("end"))
+    places = once.join(stored.select("id", F.col("doc_ord").alias("place")), "id", "left").crossJoin(F.broadcast(end))
     return places.select("id", "last.*", F.coalesce("place", F.col("end") + 1 + F.col("nth")).alias("doc_ord"))
 
 
-def upserted(stored: DataFrame, changed: DataFrame) -> DataFrame:
-    """Changed documents replace their namesakes in place; new ones come last."""
-    kept = stored.join(changed.select("id"), "id", "left_anti").select("id", "title", "text", "metadata", "doc_ord")
-    return kept.unionByName(changed_rows(stored, changed))
+class StoreBusyError(RuntimeError):
+    """Another writer holds the claim of the next version."""
 
 
-def deleted(stored: DataFrame, ids: DataFrame) -> DataFrame:
-    return stored.join(ids.select("id"), "id", "left_anti")
+#: A row a version; one with ``summary`` holds all that the rows up to it say.
+SUMMARY = "array<struct<bucket:int,whole:long,changes:array<long>>>"
+VERSION = f"version long, bucket_count int, last long, whole array<int>, touched array<int>, summary {SUMMARY}"
+CHANGED = f"{STORED}, version long, deleted boolean, bucket int"
+WHOLE = f"{STORED}, bucket int"
 
 
-class StoreBusyError(RuntimeError):
-    """Another writer holds the claim of the next version."""
+@dataclass(frozen=True)
+class State:
+    """What a version is made of."""
+
+    version: int = 0
+    buckets: int = BUCKETS
+    #: The highest place in use.
+    last: int = -1
+    #: The version of each bucket's last whole copy, and of the changes to it since.
+    whole: dict[int, int] = field(default_factory=dict)
+    changes: dict[int, list[int]] = field(default_factory=dict)
+
+    def needed(self) -> set[int]:
+        """Versions whose folders are read."""
+        return {*self.whole.values(), *(v for own in self.changes.values() for v in own)}
 
 
 class DocumentStore:
-    """Documents as snapshots and changes."""
+    """Documents as whole buckets and changes."""
 
-    def __init__(self, spark: SparkSession, path: str, patience: float = 60.0):
-        self.spark, self.path, self.patience = spark, path, patience
+    def __init__(self, spark: SparkSession, path: str, patience: float = 60.0, buckets: int = BUCKETS):
+        self.spark, self.path, self.patience, self.buckets = spark, path, patience, buckets
+        self.files = Files(spark)
 
     # --- reading -----------------------------------------------------------------
 
-    def versions(self) -> tuple[int, int]:
-        """The current version, and that of its last snapshot; 0 where nothing was written."""
+    def state(self, at: int | None = None) -> State:
+        """The current version, or an older one that hasn't expired; a row a version is read."""
         try:
-            found = self.spark.read.schema("version long, whole boolean").parquet(f"{self.path}/versions")
-            row = found.agg(F.max("version").alias("now"), F.max(F.when(F.col("whole"), F.col("version"))).alias("whole")).first()
+            rows = self.spark.read.schema(VERSION).parquet(f"{self.path}/versions")
+            rows = rows if at is None else rows.where(F.col("version") <= at)
+            rows = sorted(rows.collect(), key=lambda r: (r["version"], r["summary"] is not None))
         except AnalysisException:
-            return 0, 0
-        return row["now"] or 0, row["whole"] or 0
+            rows = []
+        whole: dict[int, int] = {}
+        changes: dict[int, list[int]] = {}
+        for r in rows:
+            if r["summary"] is not None:
+                whole = {x["bucket"]: x["whole"] for x in r["summary"] if x["whole"] is not None}
+                changes = {x["bucket"]: list(x["changes"]) for x in r["summary"] if x["changes"]}
+                continue
+            for b in r["whole"]:
+                whole[b] = r["version"]
+                changes.pop(b, None)
+            for b in r["touched"]:
+                changes.setdefault(b, []).append(r["version"])
+        if not rows:
+            return State(buckets=self.buckets)
+        return State(rows[-1]["version"], rows[-1]["bucket_count"], rows[-1]["last"], whole, changes)
 
     def version(self) -> int:
-        return self.versions()[0]
+        return self.state().version
 
     def folder(self, version: int) -> str:
-        return f"{self.path}/v{version:08d}"
-
-    def read(self) -> DataFrame:
-        now, whole = self.versions()
-        base = self.spark.read.schema(STORED).parquet(self.folder(whole)) if whole else self.spark.createDataFrame([], STORED)
-        if now == whole:
-            return base
-        folders = [self.folder(v) for v in range(whole + 1, now + 1)]  # COMPACT_AFTER at most
-        rows = self.spark.read.schema(f"{STORED}, version long, deleted boolean").parquet(*folders)
-        columns = base.columns
+        return f"{self.path}/data/v={version:08d}"
+
+    def bucket(self, state: State, doc_id: Column) -> Column:
+        return F.pmod(F.xxhash64(doc_id), F.lit(state.buckets)).cast("int")
+
+    def bucket_of(self, state: State, doc_id: str) -> int:
+        """The bucket of one id, as the column has it: its hash as a signed number."""
+        h = xxhash.xxh64_intdigest(doc_id.encode(), 42)
+        return (h - 2**64 if h >= 2**63 else h) % state.buckets
+
+    def read(self, state: State | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The documents, or those of some buckets, whose folders alone are read."""
+        state = self.state() if state is None else state
+        columns = [c.split(" ")[0] for c in STORED.split(", ")]
+        wanted = lambda of: [b for b in of if buckets is None or b in buckets]
+        by_version: dict[int, list[int]] = {}
+        for b in wanted(state.whole):
+            by_version.setdefault(state.whole[b], []).append(b)
+        out = self.spark.createDataFrame([], STORED)
+        for version, own in sorted(by_version.items()):
+            rows = self.spark.read.schema(WHOLE).parquet(self.folder(version))
+            out = out.unionByName(rows.where(F.col("bucket").isin(own)).select(*columns))
+        touched = wanted(state.changes)
+        if not touched:
+            return out
+        # A bucket has COMPACT_AFTER changes or so at most.
+        folders = sorted({v for b in touched for v in state.changes[b]})
+        rows = self.spark.read.schema(CHANGED).option("basePath", f"{self.path}/data").parquet(*(f"{self.folder(v)}" for v in folders))
+        since = F.create_map(*(F.lit(x) for b in touched for x in (b, min(state.changes[b]))))
+        rows = rows.where(F.col("bucket").isin(touched) & (F.col("version") >= since[F.col("bucket")]))
         last = rows.groupBy("id").agg(F.max_by(F.struct(*columns[1:], "deleted"), "version").alias("last")).select("id", "last.*")
-        return base.join(last.select("id"), "id", "left_anti").unionByName(last.where(~F.col("deleted")).select(*columns))
+        return out.join(last.select("id"), "id", "left_anti").unionByName(last.where(~F.col("deleted")).select(*columns))
 
     def list(self) -> DataFrame:
         return self.read().orderBy("doc_ord")
 
     def get(self, doc_id: str) -> DataFrame:
-        return self.read().where(F.col("id") == doc_id).limit(1)
+        """One document, from its bucket."""
+        state = self.state()
+        return self.read(state, [self.bucket_of(state, doc_id)]).where(F.col("id") == doc_id).limit(1)
+
+    def changed_ids(self, since: int) -> DataFrame | None:
+        """``id`` of the documents changed after a version; None if not all these changes are kept."""
+        now = self.version()
+        versions = self.spark.read.schema(VERSION).parquet(f"{self.path}/versions").where((F.col("version") > since) & F.col("summary").isNull()).collect() if now else []
+        changes = [r["version"] for r in versions if r["touched"]]
+        if len(versions) < now - since or not all(self.files.exists(f"{self.folder(v)}/_SUCCESS") for v in changes):
+            return None
+        if not changes:
+            return self.spark.createDataFrame([], "id string")
+        return self.spark.read.schema(CHANGED).option("basePath", f"{self.path}/data").parquet(*map(self.folder, changes)).select("id").distinct()
+
+    @contextmanager
+    def lease(self) -> Iterator[State]:
+        """The current version, whose folders stay until the reader is done."""
+        state = self.state()
+        file = f"{self.path}/leases/v{state.version:08d}-{uuid.uuid4().hex}"
+        self.files.create(file)
+        try:
+            yield state
+        finally:
+            self.files.remove(file)
 
     # --- writing -----------------------------------------------------------------
 
-    def _claim(self, version: int):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/v{version:08d}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _claim(self, version: int) -> str:
+        return f"{self.path}/claims/v{version:08d}"
 
     def begin(self) -> int:
         """Claim the next version, waiting for a writer that has it."""
         end = time.monotonic() + self.patience
         while True:
             version = self.version() + 1
-            path, files = self._claim(version)
-            if files.createNewFile(path):
+            if self.files.create(self._claim(version)):
                 return version
             if time.monotonic() >= end:
-                raise StoreBusyError(f"version {version} is being written; release() frees it if its writer is gone")
+                raise StoreBusyError(f"version {version} is being written; release({version}) frees it if its writer is gone")
             time.sleep(0.2)
 
-    def release(self) -> None:
-        """Give up the claim of the next version: for a writer that failed, or one that is known to be gone."""
-        path, files = self._claim(self.version() + 1)
-        files.delete(path, False)
+    def release(self, version: int | None = None) -> None:
+        """Give up the claim of a version that wasn't published: for a writer that failed, or one that is known to be gone."""
+        now = self.version()
+        version = now + 1 if version is None else version
+        if version > now:
+            self.files.remove(self._claim(version))
 
-    def _write(self, version: int, rows: DataFrame, whole: bool) -> None:
-        rows.write.mode("overwrite").parquet(self.folder(version))
-        published = self.spark.createDataFrame([(version, whole)], "version long, whole boolean")
-        published.coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+    def _publish(self, state: State, version: int, last: int, whole: list[int], touched: list[int]) -> None:
+        row = [(version, state.buckets, last, whole, touched, None)]
+        self.spark.createDataFrame(row, VERSION).coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
 
-    def change(self, rows_of) -> int:
-        """Publish ``rows_of(stored)``, documents with ``doc_ord`` and ``deleted``, as the next version."""
+    @contextmanager
+    def _turn(self) -> Iterator[tuple[int, State]]:
+        """A claimed version and the state before it; the claim is given up if the version isn't published."""
         version = self.begin()
         try:
-            stored = self.read()
-            self._write(version, rows_of(stored).withColumn("version", F.lit(version).cast("long")), False)
+            yield version, self.state()
         except BaseException:
-            self.release()
+            self.release(version)
             raise
-        if version - self.versions()[1] >= COMPACT_AFTER:
-            self.compact()
-        return version
 
-    def compact(self) -> None:
-        """Write the present state as a snapshot."""
-        version = self.begin()
-        try:
-            self._write(version, self.read(), True)
-        except BaseException:
-            self.release()
-            raise
+    def _change(self, version: int, state: State, rows: DataFrame) -> None:
+        """Write documents with ``doc_ord`` and ``deleted`` as a change, and publish it."""
+        own = rows.withColumns({"version": F.lit(version).cast("long"), "bucket": self.bucket(state, F.col("id"))})
+        dealt = own.repartition(min(state.buckets, self.spark.sparkContext.defaultParallelism * 4), "bucket")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(self.folder(version))
+        found = self.spark.read.schema(CHANGED).parquet(self.folder(version))
+        seen = found.groupBy("bucket").agg(F.max("doc_ord").alias("last")).collect()  # a row a bucket
+        self._publish(state, version, max([state.last, *(r["last"] for r in seen)]), [], sorted(r["bucket"] for r in seen))
 
     def upsert(self, documents: DataFrame) -> int:
         """``documents`` has the document columns and ``nth``; it must not change between readings."""
-        return self.change(lambda stored: changed_rows(stored.select("id", "doc_ord"), documents).withColumn("deleted", F.lit(False)))
+        with self._turn() as (version, state):
+            touched = [r["b"] for r in documents.select(self.bucket(state, F.col("id")).alias("b")).distinct().collect()]
+            namesakes = self.read(state, touched).select("id", "doc_ord")
+            self._change(version, state, changed_rows(namesakes, documents, state.last).withColumn("deleted", F.lit(False)))
+        self._compact_due()
+        return version
 
     def delete(self, doc_id: str) -> bool:
         """False for an unknown id, which changes nothing."""
         if self.get(doc_id).isEmpty():
             return False
-        self.change(lambda stored: stored.where(F.col("id") == doc_id).withColumn("deleted", F.lit(True)))
-        return True
+        return self.delete_all(self.spark.createDataFrame([(doc_id,)], "id string")) > 0
+
+    def delete_all(self, ids: DataFrame) -> int:
+        """Delete the documents ``ids(id)``; the number of the version."""
+        with self._turn() as (version, state):
+            touched = [r["b"] for r in ids.select(self.bucket(state, F.col("id")).alias("b")).distinct().collect()]
+            rows = self.read(state, touched).join(ids.select("id").distinct(), "id", "left_semi")
+            self._change(version, state, rows.withColumn("deleted", F.lit(True)))
+        self._compact_due()
+        return version
+
+    def _compact_due(self) -> None:
+        state = self.state()
+        due = [b for b, own in state.changes.items() if len(own) >= COMPACT_AFTER]
+        if due:
+            self.compact(due)
+
+    def compact(self, buckets: list[int] | None = None) -> None:
+        """Write some buckets, or all that changed, anew."""
+        with self._turn() as (version, state):
+            own = sorted(state.changes if buckets is None else buckets)
+            rows = self.read(state, own).withColumn("bucket", self.bucket(state, F.col("id")))
+            # At least one row group a bucket, and a file for each, whatever its size.
+            rows.repartition(max(1, len(own)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(self.folder(version))
+            self._publish(state, version, state.last, own, [])
+
+    def expire(self, age: float) -> list[str]:
+        """Remove folders and claims that are older than ``age`` seconds and that neither the current nor a leased version needs.
+
+        Leases count while they are younger than ``age``, so those of readers that died
+        don't hold anything for ever.  Returns what it removed.
+        """
+        state = self.state()
+        kept = {state.version, *state.needed()}
+        leased = False
+        for lease in self.files.entries(f"{self.path}/leases"):
+            if lease.age <= age:
+                leased = True
+                kept |= self.state(int(lease.name.removeprefix("v").split("-")[0])).needed()
+            else:
+                self.files.remove(lease.path)
+        gone = []
+        for entry in [*self.files.entries(f"{self.path}/data"), *self.files.entries(f"{self.path}/claims")]:
+            number = entry.name.lstrip("v=")
+            if number.isdigit() and int(number) <= state.version and int(number) not in kept and entry.age > age:
+                self.files.remove(entry.path)
+                gone.append(entry.path)
+        old = [e for e in self.files.entries(f"{self.path}/versions") if e.name.startswith("part-")]
+        if len(old) > 1 and not leased:
+            # One row says what the older rows said; those that come after the listing stay.
+            with self._turn() as (version, state):
+                summary = [(b, state.whole.get(b), state.changes.get(b, [])) for b in sorted({*state.whole, *state.changes})]
+                row = [(state.version, state.buckets, state.last, [], [], summary)]
+                self.spark.createDataFrame(row, VERSION).coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+                for entry in old:
+                    self.files.remove(entry.path)
+                self.release(version)
+        return gone
 
 
 class TraceStore:
-    """Traces, appended."""
+    """Traces in a folder for each day, appended.
+
+    Each question adds small files to its day; ``tidy`` makes one file of each past day's
+    many.  A reader of a span of time reads the folders of its days alone.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.files = spark, path, Files(spark)
 
     def record(self, traces: DataFrame) -> None:
-        traces.write.mode("append").parquet(self.path)
+        dated = traces.withColumn("day", F.to_date("started_at"))
+        dated.write.mode("append").partitionBy("day").parquet(f"{self.path}/days")
 
-    def list(self) -> DataFrame:
+    def read(self, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+        """Traces that started from ``since`` to before ``until``, from the folders of these days."""
         try:
-            return self.spark.read.schema(TRACE).parquet(self.path).orderBy("started_at", "id")
+            rows = self.spark.read.schema(f"{TRACE}, day date").parquet(f"{self.path}/days")
         except AnalysisException:
             return self.spark.createDataFrame([], TRACE)
+        for limit, late in ((since, False), (until, True)):
+            if limit is not None:
+                at = F.lit(limit)
+                rows = rows.where((F.col("day") <= F.to_date(at)) & (F.col("started_at") < at) if late else (F.col("day") >= F.to_date(at)) & (F.col("started_at") >= at))
+        return rows.drop("day")
+
+    def list(self, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+        return self.read(since, until).orderBy("started_at", "id")
+
+    def tidy(self, most: int = 8) -> list[str]:
+        """Make one file of each day's, where there are more than ``most``; the days.
+
+        A day is written beside its folder first and then takes its place; one whose
+        folder went in between is put back by the next call.
+        """
+        done, beside = [], f"{self.path}/tidied"
+        for entry in self.files.entries(beside):
+            if not self.files.exists(f"{self.path}/days/{entry.name}") and self.files.exists(f"{entry.path}/_SUCCESS"):
+                self.files.move(entry.path, f"{self.path}/days/{entry.name}")
+        for day in self.files.entries(f"{self.path}/days"):
+            if day.name.startswith("day=") and sum(e.name.startswith("part-") for e in self.files.entries(day.path)) > most:
+                self.spark.read.schema(TRACE).parquet(day.path).coalesce(1).write.mode("overwrite").parquet(f"{beside}/{day.name}")
+                self.files.remove(day.path)
+                self.files.move(f"{beside}/{day.name}", day.path)
+                done.append(day.name.removeprefix("day="))
+        return done
+
+    def expire(self, before: datetime) -> list[str]:
+        """Remove the folders of days before a date; the days."""
+        old = [d for d in self.files.entries(f"{self.path}/days") if d.name.startswith("day=") and d.name.removeprefix("day=") < before.date().isoformat()]
+        for day in old:
+            self.files.remove(day.path)
+        return [d.name.removeprefix("day=") for d in old]
 
 
 def monitoring(traces: DataFrame) -> DataFrame:

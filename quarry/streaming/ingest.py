@@ -14,15 +14,15 @@ def file_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> Data
     return reader.load(folder).select("path", "content")
 
 
-def ingest_stream(engine, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Ingest each batch with ``engine``; the index is rebuilt once a batch.
+def ingest_stream(engine, folder: str, checkpoint: str, once: bool = False, strict: bool = False) -> StreamingQuery:
+    """Ingest each batch with ``engine``, whose queue shows what became of each file.
 
-    A batch that is run again after a failure replaces its own documents, as their ids
-    come from the files' paths.
+    A batch that came to its end isn't done again.  One that failed before that replaces
+    its own documents, as their ids come from the files' paths.
     """
 
-    def batch(files: DataFrame, _: int) -> None:
-        engine.ingest_file_table(files, stable_ids=True)
+    def batch(files: DataFrame, number: int) -> None:
+        engine.ingest_batch(files, number, strict)
 
     writer = file_stream(engine.spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
