@@ -41,10 +41,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACES, join_groups, saved, text_of
+from quarry.llm.common import SPACES, join_groups, saved, text_of, unused
 from quarry.llm.components import connected
 from quarry.llm.substring_dedup import FACTORS, Doc, Key, docs_of, mixed, sequence_hash
 
@@ -379,12 +379,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("own"), "text_hash")).alias("best")
     chosen = classes_of(docs).where("root IS NOT NULL").groupBy("root").agg(best)
-    names = [f"quarry_{c}" for c in ("no_id", "own", "text_hash")]
-    chosen = chosen.select(*(F.col(f"best.{c.removeprefix('quarry_')}").alias(c) for c in names)).withColumn("quarry_chosen", F.lit(True))
-    keyed = docs.withColumns(dict(zip(names, row_key(), strict=True)))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = F.to_json(F.struct(*(F.col(f"`{c}`") for c in others))) if others else F.lit(0)
-    nth = F.row_number().over(Window.partitionBy(*names).orderBy(order))
+    names = {c: unused(docs, f"quarry_{c}") for c in ("no_id", "own", "text_hash")}
+    chosen = chosen.select(*(F.col(f"best.{c}").alias(new) for c, new in names.items()))
     blank = F.btrim(text_of(), F.lit(SPACES)) == ""
-    kept = keyed.join(chosen, names, "left").withColumn("quarry_nth", nth)
-    return kept.where(blank | (F.col("quarry_chosen") & (F.col("quarry_nth") == 1))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.where(~blank).withColumns(dict(zip(names.values(), row_key(), strict=True))).join(chosen, list(names.values()), "left_semi")
+    # Any number of rows may have equal id and text; the first of them is taken before the shuffle.
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit(0)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = keyed.groupBy(*names.values()).agg(F.min_by(row, order).alias("row"))
+    return one.select("row.*").unionByName(docs.where(blank))

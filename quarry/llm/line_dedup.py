@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACES, join_groups, saved, text_of
+from quarry.llm.common import SPACES, join_groups, saved, text_of, unused
 
 MIN_SITES = 10
 #: Relative distance from the threshold within which spreads are counted exactly.
@@ -91,16 +91,17 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> Da
     places = saved(common_places(saved(line_places(docs.select("doc_id", "text", "source"))), min_sites))
     hits = join_groups(places.drop("n"), saved(boilerplate(places, min_sites, band)), ["h1", "h2"], "n")
     hits = hits.where(F.struct(*PLACE) != F.col("first"))
-    gone = hits.groupBy(*(F.col(c).alias(f"quarry_{c}") for c in ROW)).agg(F.collect_set("pos").alias("quarry_gone"))
+    names, goes = {c: unused(docs, f"quarry_{c}") for c in ROW}, unused(docs, "quarry_gone")
+    gone = hits.groupBy(*(F.col(c).alias(names[c]) for c in ROW)).agg(F.collect_set("pos").alias(goes))
     lines = F.split(text_of(), "\n")
-    keyed = docs.withColumns({"n_lines": F.size(lines).cast("long")} | {f"quarry_{c}": column for c, column in row_key().items()})
-    joined = keyed.join(gone, [f"quarry_{c}" for c in ROW], "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("quarry_gone"))
+    keyed = docs.withColumns({"n_lines": F.size(lines).cast("long")} | {names[c]: column for c, column in row_key().items()})
+    joined = keyed.join(gone, [names[c] for c in ROW], "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(goes))
     kept = F.array_join(F.transform(F.array(lines), lambda own: F.transform(stay, lambda i: own[i]))[0], "\n")
-    text = F.when(F.col("quarry_gone").isNull(), F.col("text")).otherwise(kept)
-    removed = F.coalesce(F.size("quarry_gone"), F.lit(0))
-    out = joined.withColumns({"text": text, "n_removed": F.when(F.col("quarry_gone").isNull(), 0).otherwise(removed).cast("long")})
-    out = out.drop("quarry_gone", *(f"quarry_{c}" for c in ROW))
+    text = F.when(F.col(goes).isNull(), F.col("text")).otherwise(kept)
+    removed = F.coalesce(F.size(goes), F.lit(0))
+    out = joined.withColumns({"text": text, "n_removed": F.when(F.col(goes).isNull(), 0).otherwise(removed).cast("long")})
+    out = out.drop(goes, *names.values())
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out

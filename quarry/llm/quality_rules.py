@@ -25,7 +25,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE_CLASS, SPACES, let, saved, text_of, words_of, written
+from quarry.llm.common import SPACES, SPACE_CLASS, let, saved, text_of, unused, words_of, written
 
 WINDOW = 5
 SYMBOLS = "[#*$%&|<>]+"
@@ -240,9 +240,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Each text is counted once: rows and counts are written together, learning reads the
     counts alone, and texts are not shuffled.
     """
-    names = {c: f"quarry_{c}" for c in COUNTS}
-    counted = docs.withColumn("quarry_counts", counts_of(text_of()))
-    counted = counted.withColumns({new: F.col(f"quarry_counts.{c}") for c, new in names.items()}).drop("quarry_counts")
+    names, all_counts = {c: unused(docs, f"quarry_{c}") for c in COUNTS}, unused(docs, "quarry_counts")
+    counted = docs.withColumn(all_counts, counts_of(text_of()))
+    counted = counted.withColumns({new: F.col(f"{all_counts}.{c}") for c, new in names.items()}).drop(all_counts)
     counted = written(counted)
     rules = learn(counted.select("doc_id", *(F.col(new).alias(c) for c, new in names.items())), labels)
     count = lambda name: F.col(names[name])

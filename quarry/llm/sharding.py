@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import saved, text_of
+from quarry.llm.common import saved, text_of, unused
 from quarry.llm.repeats import told_apart
 
 SHARDS = 8
@@ -106,12 +106,13 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, file_bytes: i
 
     Rows are numbered in a first copy of the documents, so that each gets its own slot.
     """
-    numbered = saved(docs.drop("shard", "slot").withColumn("quarry_row", F.monotonically_increasing_id()))
-    where = saved(placed(numbered.select("doc_id", "text", F.col("quarry_row").alias("row")), shards))
+    row, file = unused(docs, "quarry_row"), unused(docs, "quarry_file")
+    numbered = saved(docs.drop("shard", "slot").withColumn(row, F.monotonically_increasing_id()))
+    where = saved(placed(numbered.select("doc_id", "text", F.col(row).alias("row")), shards))
     totals = where.agg(F.sum("size"), F.count(F.lit(1))).first()
     files = max(1, -(-(totals[0] or 0) // (shards * file_bytes)))
     per_file = max(1, -(-(totals[1] or 0) // (shards * files)))
-    own = where.select(F.col("row").alias("quarry_row"), "shard", "slot", F.floor(F.col("slot") / per_file).alias("quarry_file"))
-    out = numbered.join(own, "quarry_row").drop("quarry_row")
-    dealt = out.repartition(shards * files, "shard", "quarry_file").drop("quarry_file")
+    own = where.select(F.col("row").alias(row), "shard", "slot", F.floor(F.col("slot") / per_file).alias(file))
+    out = numbered.join(own, row).drop(row)
+    dealt = out.repartition(shards * files, "shard", file).drop(file)
     dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

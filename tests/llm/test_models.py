@@ -6,6 +6,8 @@ import subprocess
 import sys
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quarry.llm import quality_rules
 from tests.llm import brute
@@ -93,6 +95,27 @@ def test_pipeline_matches_plain_stages(spark, tmp_path):
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in final) == ids and all(r["n_tokens"] == len(r["ids"]) for r in final)
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows and columns with the operators' own names."""
+    path = str(tmp_path)
+    rows = [(i, prose(i, 40), "en", f"s{i % 3}", None) for i in range(30)]
+    rows += [(None, prose(100, 40), None, None, None)] * 3 + [(5, prose(5, 40), "en", "s2", None)] * 4 + [(6, prose(200, 40), "en", "s0", 1)]
+    rows += [(40, None, None, "s1", None), (None, None, None, None, None), (41, "", "en", None, 0)]
+    clashing = ["quarry_row", "quarry_times", "quarry_gone", "quarry_own", "quarry_no_id", "quarry_text_hash", "quarry_counts", "quarry_n_words", "row", "kept", "size"]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumns({c: F.lit(c) for c in clashing})
+    spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    kept = [Counter(rows)]
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        columns = docs.columns
+        docs = stage(spark, docs, path).cache()
+        assert docs.columns == columns and all(r[c] == c for r in docs.collect() for c in clashing)
+        kept.append(Counter((r["doc_id"], r["text"]) for r in docs.collect()))
+    assert set(kept[1]) == {(r[0], r[1]) for r in rows if r[1]} and kept[2] == kept[1]
+    assert set(kept[3]) == set(kept[1]) and set(kept[3].values()) == {1}
+    assert set(kept[4]) <= set(kept[3]) and max(kept[4].values()) <= 2
+    assert corpus_pipeline.STAGES[4][1](spark, docs, path).count() == sum(kept[4].values())
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     path = str(tmp_path)
     spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
