@@ -1,7 +1,15 @@
 """A corpus from raw documents to token ids, in five stages.
 
 Each stage is a function ``(spark, docs, sf_dir) -> DataFrame`` over all rows that the
-stage before it kept.  The first four return the columns of ``documents``.
+stage before it kept.  The first four return the columns of ``documents``, and further
+ones that ``docs`` has, whatever their names.
+
+Defined cases, as the operators have them: null texts count as empty and, as all texts of
+under ten words, go in the first stage.  Rows without ``doc_id`` are documents like others;
+of near duplicates the smallest ``doc_id`` stays, null last.  Rows that repeat an id are a
+document each: equal ones are near duplicates of each other, unlike ones stay.  A null
+source is a source of its own.  Ties are broken by id, text and then the other columns, so
+reruns agree.  An empty table gives no rows.
 """
 
 from __future__ import annotations
