@@ -31,8 +31,8 @@ class IngestQueue:
     def table(self) -> DataFrame:
         """``path, state, error, batch, at``: each file's last event."""
         nth = F.array_position(F.array(*map(F.lit, STATES)), F.col("state"))
-        last = F.max(F.struct("batch", nth.alias("nth"), "state", "error", "at")).alias("last")
-        return self.events().groupBy("path").agg(last).select("path", "last.state", "last.error", "last.batch", "last.at")
+        last = F.max(F.struct("at", nth.alias("nth"), "state", "error", "batch")).alias("last")
+        return self.events().where("path IS NOT NULL").groupBy("path").agg(last).select("path", "last.state", "last.error", "last.batch", "last.at")
 
     def finished(self, batch: int) -> bool:
         """Whether a batch of this number came to its end."""
