@@ -8,14 +8,17 @@ that texts fall into several chunks.  ``benchmark`` gives questions, the user tu
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.engine import Engine
 from quarry.functions import text as T
 from quarry.functions.layout import spread
-from quarry.functions.schemas import TRACE
+from quarry.functions.schemas import STEP, TRACE
 from quarry.functions.shared import shared_folder, written
 from quarry.operators import answer as A
 from quarry.operators import chunking, retrieve
@@ -94,7 +97,10 @@ def doc_scan(spark, sf_dir):
 
 @query("SELECT doc_id::VARCHAR AS id, source AS title, text FROM documents WHERE doc_id = 17")
 def doc_lookup(spark, sf_dir):
-    return documents(spark, sf_dir, plain=True).where("id = '17'").select("id", "title", "text").limit(1)
+    """One document of a store, which is read from its bucket."""
+    docs = stored(spark, documents(spark, sf_dir, plain=True))
+    docs.compact()
+    return docs.get("17").select("id", "title", "text")
 
 
 def stored(spark: SparkSession, docs: DataFrame) -> store.DocumentStore:
@@ -104,6 +110,61 @@ def stored(spark: SparkSession, docs: DataFrame) -> store.DocumentStore:
     return found
 
 
+def new_engine(spark: SparkSession) -> Engine:
+    """An engine of its own in the shared folder."""
+    name = f"engine-{uuid.uuid4().hex}"
+    return Engine(spark, f"{shared_folder(spark)}/{name}", config_path=f"{tempfile.gettempdir()}/{name}.json")
+
+
+@query(O.corpus("""
+    SELECT doc_ord::VARCHAR AS id, row_number() OVER (ORDER BY doc_ord) - 1 AS doc_ord, any_value(title) AS title, count(*) AS chunk_count,
+           md5(string_agg(chunk, chr(10) || chr(10) ORDER BY chunk_pos)) AS digest
+    FROM chunks JOIN d USING (doc_ord) GROUP BY doc_ord""", ingest=True))
+def ingest_documents(spark, sf_dir):
+    """Documents that come in as text, and what the engine has stored of them."""
+    engine = new_engine(spark)
+    rows = documents(spark, sf_dir).select("id", "title", "text", "metadata", F.col("doc_ord").alias("nth"))
+    told = engine.ingest_table(rows).select("id", "chunk_count")
+    return engine.documents.read().join(told, "id").select("id", "doc_ord", "title", "chunk_count", F.md5("text").alias("digest"))
+
+
+@query("""
+    SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'error' ELSE 'done' END AS state, page_id % 5 <> 0 AS stored,
+           CASE WHEN page_id % 5 = 0 THEN 'BadZipFile' END AS reason FROM pages""")
+def ingest_states(spark, sf_dir):
+    """Pages as a batch of files, every fifth under a name that it doesn't keep to: what the queue says of each, and what is stored."""
+    kind = F.when(F.col("page_id") % 5 == 0, ".docx").otherwise(".txt")
+    path = F.concat(F.lit("in/"), F.col("page_id").cast("string"), kind).alias("path")
+    files_in = read(spark, sf_dir, "pages").select(path, F.encode("html", "UTF-8").alias("content"))
+    engine = new_engine(spark)
+    engine.ingest_batch(files_in, 0, strict=True)
+    engine.ingest_batch(files_in, 0, strict=True)
+    ids = engine.documents.read().select(F.col("id").alias("doc_id"))
+    states = engine.queue.table().join(ids, F.sha2("path", 256) == F.col("doc_id"), "left")
+    number = F.regexp_extract("path", r"(\d+)\.", 1).cast("long")
+    reason = F.when(F.col("error").isNotNull(), F.regexp_extract("error", r"fallback: (\w+)", 1))
+    return states.select(number.alias("page_id"), "state", F.col("doc_id").isNotNull().alias("stored"), reason.alias("reason"))
+
+
+@query("""
+    WITH b AS (SELECT date_trunc('day', min(ts)) AS first FROM events)
+    SELECT event_id::VARCHAR AS id, event_type AS prompt, round(value, 4) AS coverage FROM events, b
+    WHERE ts >= first + INTERVAL 36 HOUR AND ts < first + INTERVAL 5 DAY""")
+def trace_days(spark, sf_dir):
+    """Traces recorded by day in two parts, put in order, and read back for a span of time."""
+    events = read(spark, sf_dir, "events")
+    metrics = F.create_map(F.lit("coverage"), F.col("value")).cast("map<string,double>")
+    columns = {"id": F.col("event_id").cast("string"), "started_at": F.col("ts"), "completed_at": F.col("ts"), "prompt": F.col("event_type"), "answer": F.lit(""), "metrics": metrics}
+    made = events.select(*(c.cast("timestamp").alias(n) if n.endswith("_at") else c.alias(n) for n, c in columns.items()), F.from_json(F.lit("[]"), f"array<{STEP}>").alias("steps"))
+    log = store.TraceStore(spark, f"{shared_folder(spark)}/traces-{uuid.uuid4().hex}")
+    odd = F.col("id").cast("long") % 2 == 1
+    log.record(made.where(odd))
+    log.record(made.where(~odd))
+    log.tidy(most=1)
+    first = events.agg(F.date_trunc("day", F.min("ts")).cast("timestamp")).first()[0]
+    return log.read(first + timedelta(hours=36), first + timedelta(days=5)).select("id", "prompt", F.round(F.col("metrics")["coverage"], 4).alias("coverage"))
+
+
 @query("SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def doc_delete(spark, sf_dir):
     """The toxic documents are deleted in two changes of a store, which is compacted between them, and the rest is read back."""
@@ -429,6 +490,23 @@ def topk_batch(spark, sf_dir):
     return best.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_idx", F.round("score", 6).alias("score"))
 
 
+@query(O.asked("SELECT qid, rank, chunk_idx, round(score, 6) AS score FROM top"))
+def topk_after_changes(spark, sf_dir):
+    """All documents again, the toxic ones replaced and every tenth one added to the index of the others by changes."""
+    docs = documents(spark, sf_dir)
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("id"))
+    late = F.col("doc_ord") % 10 == 3
+    before = docs.where(~late).join(toxic.withColumn("toxic", F.lit(True)), "id", "left")
+    before = before.withColumn("text", F.when(F.col("toxic"), F.concat(F.lit("another text "), "text")).otherwise(F.col("text")))
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    built = Index.of(before.select("doc_ord", "id", "title", "text")).write(f"{path}/v0")
+    own = docs.select("doc_ord", "id", "title", "text")
+    built = built.changed(f"{path}/v1", toxic, own.where(~late).join(toxic, "id", "left_semi"))
+    built = built.changed(f"{path}/v2", own.where(late).select("id"), own.where(late))
+    best = retrieve.top_k(questions(spark, sf_dir), built, K)
+    return best.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_idx", F.round("score", 6).alias("score"))
+
+
 @query(O.asked("SELECT qid, rank, c.id || '-' || t.chunk_idx AS chunk_id, c.title, c.chunk AS snippet FROM top t JOIN corpus c ON c.chunk_idx = t.chunk_idx"))
 def chunk_doc_join(spark, sf_dir):
     own = index(spark, sf_dir)
