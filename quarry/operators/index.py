@@ -419,6 +419,11 @@ class Index:
     def blocks(self) -> DataFrame:
         return self._table("blocks", ROWS)
 
+    @cached_property
+    def places(self) -> list[tuple[int, int]]:
+        """Segment and number of each block; for an index of few."""
+        return [tuple(r) for r in self.blocks.where(F.col("kind") == HEAD).select("segment", "block").collect()]
+
     @cached_property
     def idf(self) -> DataFrame:
         """``term, df, idf, top, shares``; top bounds ``tf / norm`` in all blocks, shares has each segment's number of them."""

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.shared import written
 from quarry.functions.text import is_blank, word_count
-from quarry.operators.index import GONE, HEAD, MOVED, TERM, Index, Key, norms, normalised, place_of, term_frequency
+from quarry.operators.index import BLOCK, GONE, HEAD, MOVED, TERM, Index, Key, norms, normalised, place_of, term_frequency
 
 #: Scores are ordered by this many decimals, so that the order of summation doesn't matter.
 DIGITS = 9
@@ -29,6 +29,8 @@ DIGITS = 9
 SLACK = 1e-8
 #: Questions that meet a block at once: a matrix of this many rows and ``index.BLOCK`` columns fits a task.
 GROUP = 1024
+#: Blocks of an index of which none are skipped: looking up their bounds would take longer.
+FEW_BLOCKS = 256
 #: Terms and blocks by which a question gets its threshold.
 STRONGEST, FIRST_BLOCKS = 4, 4
 
@@ -125,24 +127,8 @@ def bounds(terms: DataFrame, index: Index) -> DataFrame:
     return tops.join(looked, ["segment", "term", "salt"]).groupBy("segment", "block", "row").agg(F.sum(F.col("top") * F.col("weight")).alias("bound"))
 
 
-def top_k(questions: DataFrame, index: Index, k: int | Column, key: str = "qid") -> DataFrame:
-    """``key, chunk_idx, score, rank, doc_ord, chunk_pos``: the best ``k`` chunks of each question, with ``rank`` from 1.
-
-    ``k`` may be a column of ``questions``; equal scores go to the later chunk.  Each row is
-    a question of its own, with whatever key: null, or that of another row.
-    """
-    if isinstance(k, int) and k < 0:
-        raise ValueError("k must not be negative")
-    # A fixed k lets Spark cut each task's rows before the last shuffle.
-    limit = F.lit(k) if isinstance(k, int) else F.col("k")
-    k = F.lit(k) if isinstance(k, int) else k
-    rows = written(questions.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key_"), "question", k.cast("long").alias("k")))
-    known = question_vectors(rows.where("k > 0").select("row", "question"), index, "row").join(index.idf, "term")
-    terms = written(known.select("row", "term", (F.col("qw") * F.col("idf")).alias("weight"), (F.col("qw") * F.col("idf") * F.col("top")).alias("most"), "shares"))
-    packed = terms.groupBy("row").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")).join(rows.select("row", "k"), "row")
-
-    asked = terms.select("term").distinct()
-
+def best_found(rows: DataFrame, terms: DataFrame, packed: DataFrame, asked: DataFrame, index: Index) -> DataFrame:
+    """``compared`` over the blocks that can hold one of a question's best chunks."""
     by_row = Window.partitionBy("row")
     strongest = terms.withColumn("nth", F.row_number().over(by_row.orderBy(F.desc("most"), "term"))).where(F.col("nth") <= STRONGEST)
     promised = bounds(strongest, index)
@@ -157,12 +143,39 @@ def top_k(questions: DataFrame, index: Index, k: int | Column, key: str = "qid")
     weaker = F.sum("most").over(by_row.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
     judged = judged.withColumn("left_out", weaker < F.col("threshold"))
     rest = F.sum(F.when(F.col("left_out"), F.col("most")).otherwise(0.0)).over(by_row)
-    judged = written(judged.withColumn("rest", rest).where("NOT left_out").select("row", "term", "weight", "shares", "threshold", "rest"))
+    judged = judged.withColumn("rest", rest).where("NOT left_out").select("row", "term", "weight", "shares", "threshold", "rest")
     needed = judged.groupBy("row").agg(F.max("threshold").alias("threshold"), F.max("rest").alias("rest"))
     reached = bounds(judged, index).join(needed, "row").where(F.col("bound") + F.col("rest") >= F.col("threshold"))
     others = reached.select("segment", "block", "row").join(first, ["segment", "block", "row"], "left_anti")
-    found = hits.unionByName(compared(written(others), packed, asked, index))
+    return hits.unionByName(compared(written(others), packed, asked, index))
+
 
+def top_k(questions: DataFrame, index: Index, k: int | Column, key: str = "qid") -> DataFrame:
+    """``key, chunk_idx, score, rank, doc_ord, chunk_pos``: the best ``k`` chunks of each question, with ``rank`` from 1.
+
+    ``k`` may be a column of ``questions``; equal scores go to the later chunk.  Each row is
+    a question of its own, with whatever key: null, or that of another row.
+    """
+    if isinstance(k, int) and k < 0:
+        raise ValueError("k must not be negative")
+    # A fixed k lets Spark cut each task's rows before the last shuffle.
+    limit = F.lit(k) if isinstance(k, int) else F.col("k")
+    k = F.lit(k) if isinstance(k, int) else k
+    rows = written(questions.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key_"), "question", k.cast("long").alias("k")))
+    asked = rows.where((F.col("k") > 0) & ~is_blank(F.col("question")))
+    known = term_frequency(asked, "row", "question").join(index.idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("row")))
+    weight = F.col("raw") / norm * F.col("idf")
+    terms = written(known.select("row", "term", weight.alias("weight"), (weight * F.col("top")).alias("most"), "shares"))
+    packed = terms.groupBy("row").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")).join(rows.select("row", "k"), "row")
+
+    asked = terms.select("term").distinct()
+    by_row = Window.partitionBy("row")
+    if index.n <= FEW_BLOCKS * BLOCK and len(places := index.places) <= FEW_BLOCKS:
+        every = F.array(*(F.struct(F.lit(s).alias("segment"), F.lit(b).alias("block")) for s, b in places)) if places else F.array().cast("array<struct<segment:int,block:long>>")
+        found = compared(rows.where("k > 0").select("row", F.inline(every)), packed, asked, index)
+    else:
+        found = best_found(rows, terms, packed, asked, index)
     order = by_row.orderBy(F.desc("score"), F.desc("key"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     placed = ranked.select("row", "score", "rank", *place_of(F.col("key")))

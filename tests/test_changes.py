@@ -34,6 +34,7 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(index, "TERM_BLOCKS", 2)
     monkeypatch.setattr(index, "RANGE", 4)
     monkeypatch.setattr(retrieve, "GROUP", 2)
+    monkeypatch.setattr(retrieve, "FEW_BLOCKS", 0)
 
 
 def test_changes_give_what_a_full_build_gives(spark, tmp_path, small_blocks):
@@ -107,6 +108,8 @@ def test_blocks_that_cannot_matter_are_skipped(spark, tmp_path, monkeypatch, sma
     scores = {}
     for r in retrieve.cosine_scores(asked, found).collect():
         scores.setdefault(r["qid"], []).append((-r["score"], -r["chunk_idx"]))
+    monkeypatch.setattr(retrieve, "FEW_BLOCKS", 256)
+    assert hits(asked, found, 2) == best
     assert {(q, rank, i) for q, rank, i, _ in best} == {(q, n + 1, -i) for q, s in scores.items() for n, (_, i) in enumerate(sorted(s)[:2])}
 
 
