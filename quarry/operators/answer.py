@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.shared import written
 from quarry.functions.text import word_count
 from quarry.operators.index import Index
-from quarry.operators.retrieve import coverage, evidence, top_k
+from quarry.operators.retrieve import coverage, evidence, named_documents, top_k
 from quarry.sources.config import Retrieval
 
 FALLBACK_K = 3
@@ -61,13 +61,13 @@ def with_fallback(plan: DataFrame, hits: DataFrame, index: Index) -> DataFrame:
     return hits.select("row", "qid", "step", *columns, "nth").unionByName(more)
 
 
-def assembled(plan: DataFrame, hits: DataFrame, index: Index) -> DataFrame:
+def assembled(plan: DataFrame, hits: DataFrame, index: Index, documents: list[int] | None = None) -> DataFrame:
     """A row per question with its evidence in order, context and metrics.
 
     Columns: row, qid, question, chunks (array of evidence), context, n_chunks,
     unique_sources, tokens, coverage.
     """
-    found = evidence(hits, index)
+    found = evidence(hits, index, documents)
     chunk = F.struct("nth", "id", "title", "snippet", "score")
     grouped = found.groupBy("row").agg(
         F.array_sort(F.collect_list(chunk)).alias("own"),
@@ -108,7 +108,8 @@ def found_by_step(plan: DataFrame, hits: DataFrame) -> DataFrame:
 def retrieved_for(plan: DataFrame, index: Index) -> DataFrame:
     """Evidence, context and metrics of a plan's questions, and what each of their steps found."""
     hits = written(step_hits(plan, index))
-    rows = assembled(plan, with_fallback(plan, first_of_each(hits), index), index)
+    chosen = written(with_fallback(plan, first_of_each(hits), index))
+    rows = assembled(plan, chosen, index, named_documents(chosen))
     return rows.join(found_by_step(plan, hits), "row", "left").drop("row")
 
 

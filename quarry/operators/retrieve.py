@@ -31,6 +31,8 @@ SLACK = 1e-8
 GROUP = 1024
 #: Blocks of an index of which none are skipped: looking up their bounds would take longer.
 FEW_BLOCKS = 256
+#: Documents of hits that are named in the scan of the chunks, rather than joined alone.
+FEW_DOCUMENTS = 500
 #: Terms and blocks by which a question gets its threshold.
 STRONGEST, FIRST_BLOCKS = 4, 4
 
@@ -183,9 +185,17 @@ def top_k(questions: DataFrame, index: Index, k: int | Column, key: str = "qid")
     return placed.select(key, (F.col("first") + F.col("chunk_pos")).alias("chunk_idx"), "score", "rank", "doc_ord", "chunk_pos")
 
 
-def evidence(hits: DataFrame, index: Index) -> DataFrame:
-    """Hits with chunk id, title and snippet."""
-    chunks = index.live_chunks.select("doc_ord", "chunk_pos", F.col("id").alias("doc_id"), "title", F.col("chunk").alias("snippet"))
+def named_documents(hits: DataFrame) -> list[int] | None:
+    """The order numbers of the documents of written hits, if they are few."""
+    found = [r["doc_ord"] for r in hits.select("doc_ord").distinct().limit(FEW_DOCUMENTS + 1).collect()]
+    return found if len(found) <= FEW_DOCUMENTS else None
+
+
+def evidence(hits: DataFrame, index: Index, documents: list[int] | None = None) -> DataFrame:
+    """Hits with chunk id, title and snippet; with the ``documents`` named, only row groups that may hold them are read."""
+    chunks = index.live_chunks
+    chunks = chunks if documents is None else chunks.where(F.col("doc_ord").isin(documents))
+    chunks = chunks.select("doc_ord", "chunk_pos", F.col("id").alias("doc_id"), "title", F.col("chunk").alias("snippet"))
     chunk_id = F.concat_ws("-", "doc_id", F.col("chunk_idx").cast("string"))
     return hits.join(chunks, ["doc_ord", "chunk_pos"]).withColumn("id", chunk_id)
 

@@ -124,6 +124,17 @@ def test_questions_without_or_with_one_key(spark, tmp_path):
     assert counts == [0, 1, 1, 1, 1]
 
 
+def test_evidence_reads_the_chunks_of_its_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"d{i}", "t", f"granite{i} is hard") for i in range(50)], DOC)
+    found = Index.of(docs).write(str(tmp_path / "i"))
+    asked = spark.createDataFrame([(0, "granite7")], "qid long, question string")
+    hits = retrieve.written(retrieve.top_k(asked, found, 1))
+    assert retrieve.named_documents(hits) == [7]
+    own = retrieve.evidence(hits, found, [7])
+    assert [r["snippet"] for r in own.collect()] == ["granite7 is hard"]
+    assert "EqualTo(doc_ord,7)" in own._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_engine_adds_to_its_index(spark, tmp_path, monkeypatch):
     built = []
     plain = Index.write
