@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.shared import written
 from quarry.functions.text import is_blank, word_count
-from quarry.operators.index import BLOCK, GONE, HEAD, MOVED, TERM, Index, Key, norms, normalised, place_of, term_frequency
+from quarry.operators.index import BLOCK, GONE, HEAD, MOVED, TERM, Index, Key, normalised, norms, place_of, table_of, term_frequency, values_of
 
 #: Scores are ordered by this many decimals, so that the order of summation doesn't matter.
 DIGITS = 9
@@ -37,6 +38,8 @@ FEW_DOCUMENTS = 500
 STRONGEST, FIRST_BLOCKS = 4, 4
 
 FOUND = "row long, key long, score double, k long"
+#: Products that are summed up at a time.
+PRODUCTS = 1 << 20
 
 
 def question_vectors(questions: DataFrame, index: Index, key: str = "qid") -> DataFrame:
@@ -62,55 +65,59 @@ def best_of_block(level: float):
     """
 
     def run(key: Key, asked: pa.Table, rows: pa.Table) -> pa.Table:
-        found = {name: [] for name in ("row", "key", "score", "k")}
-        own = rows.to_pylist() if len(asked) else []
-        head = next((r for r in own if r["kind"] == HEAD), None)
-        if head is not None:
-            keys = np.frombuffer(head["places"], "<i8")
-            a, b, c = np.frombuffer(head["counts"], "<f8").reshape(3, -1).copy()
-            alive = np.ones(len(keys), bool)
-            for r in own:
-                at = np.frombuffer(r["places"], "<i4") if r["kind"] in (MOVED, GONE) else None
-                if r["kind"] == MOVED:
-                    b[at], c[at] = (x[at] + y for x, y in zip((b, c), np.frombuffer(r["counts"], "<f8").reshape(2, -1), strict=True))
-                elif r["kind"] == GONE:
-                    alive[at] = False
-            scores = multiplied(asked, {r["term"]: r for r in own if r["kind"] == TERM}, len(keys))
-            scores = np.round(scores / norms(a, b, c, level), DIGITS) * alive
-            for row, k, score in zip(asked["row"].to_pylist(), asked["k"].to_pylist(), scores, strict=True):
-                at = np.flatnonzero(score > 0)
-                # Of equal scores the later chunk wins.
-                at = at[np.lexsort((-keys[at], -score[at]))[:k]]
-                for name, values in (("row", np.full(len(at), row)), ("key", keys[at]), ("score", score[at]), ("k", np.full(len(at), k))):
-                    found[name].append(values)
-        kinds = {"row": np.int64, "key": np.int64, "score": np.float64, "k": np.int64}
-        return pa.table({name: np.concatenate([*v, np.zeros(0, kinds[name])]).astype(kinds[name]) for name, v in found.items()})
+        head = rows.filter(pc.equal(rows["kind"], HEAD))
+        if not len(asked) or not len(head):
+            return table_of(FOUND, [])
+        keys = values_of(head["places"], "<i8")
+        a, b, c = values_of(head["counts"], "<f8").reshape(3, -1).copy()
+        alive = np.ones(len(keys), bool)
+        for r in rows.filter(pc.is_in(rows["kind"], pa.array([MOVED, GONE], pa.int32()))).to_pylist():
+            at = np.frombuffer(r["places"], "<i4")
+            if r["kind"] == GONE:
+                alive[at] = False
+            else:
+                b[at], c[at] = (x[at] + y for x, y in zip((b, c), np.frombuffer(r["counts"], "<f8").reshape(2, -1), strict=True))
+        scores = multiplied(asked, rows.filter(pc.equal(rows["kind"], TERM)), len(keys))
+        scores = np.round(scores / norms(a, b, c, level), DIGITS) * alive
+        k = asked["k"].to_numpy()
+        most = min(int(k.max()), len(keys))
+        least = -np.partition(-scores, most - 1, axis=1)[:, most - 1]
+        row, at = np.nonzero((scores >= least[:, None]) & (scores > 0))
+        # Of equal scores the later chunk wins.
+        order = np.lexsort((-keys[at], -scores[row, at], row))
+        row, at = row[order], at[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, np.arange(len(k)))[row] < k[row]
+        row, at = row[kept], at[kept]
+        return pa.table({"row": asked["row"].to_numpy()[row], "key": keys[at], "score": scores[row, at], "k": k[row]})
 
     return run
 
 
-def multiplied(asked: pa.Table, terms: dict[str, dict], n: int) -> np.ndarray:
+def multiplied(asked: pa.Table, terms: pa.Table, n: int) -> np.ndarray:
     """Sums of weight times number over the terms of each question, for each of ``n`` chunks."""
     lists = asked["terms"].combine_chunks()
     question = np.repeat(np.arange(len(asked)), np.diff(lists.offsets.to_numpy()))
-    words = lists.flatten().dictionary_encode()
-    weights, codes = asked["weights"].combine_chunks().flatten().to_numpy(), words.indices.to_numpy()
-    order = np.argsort(codes, kind="stable")
-    edges = np.searchsorted(codes[order], np.arange(len(words.dictionary) + 1))
-    out = np.zeros((len(asked), n))
-    for code, term in enumerate(words.dictionary.to_pylist()):
-        if (own := terms.get(term)) is not None:
-            who = order[edges[code] : edges[code + 1]]
-            # A question has a term once, and a term a chunk.
-            out[question[who, None], np.frombuffer(own["places"], "<i4")] += weights[who, None] * np.frombuffer(own["counts"], "<i4")
-    return out
+    weights = asked["weights"].combine_chunks().flatten().to_numpy()
+    known = pc.index_in(lists.flatten(), terms["term"].combine_chunks()).fill_null(-1).to_numpy()
+    question, weights, known = (x[known >= 0] for x in (question, weights, known))
+    places, counts, size = values_of(terms["places"], "<i4"), values_of(terms["counts"], "<i4"), terms["n"].to_numpy().astype(np.int64)
+    first, many = (np.cumsum(size) - size)[known], size[known]
+    out = np.zeros(len(asked) * n)
+    # Each of a question's terms with each of its postings, some of them at a time.
+    edges = [*np.searchsorted(np.cumsum(many), np.arange(0, many.sum(), PRODUCTS)).tolist(), len(many)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        own = many[a:b]
+        which = np.repeat(np.arange(a, b), own)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(own) - own, own) + first[which]
+        out += np.bincount(question[which] * n + places[at], weights=weights[which] * counts[at], minlength=len(out))
+    return out.reshape(len(asked), n)
 
 
 def compared(pairs: DataFrame, packed: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
     """``row, key, score, k``: the best chunks of each pair ``(segment, block, row)``; of a block only the asked ``terms`` are sent."""
     wanted = pairs.groupBy("segment", "block").agg(F.count(F.lit(1)).alias("wanted"))
     groups = F.ceil(F.col("wanted") / GROUP).cast("int")
-    rows = index.blocks.select("segment", "block", "kind", "term", "places", "counts")
+    rows = index.blocks.select("segment", "block", "kind", "term", "places", "counts", "n")
     rows = rows.where(F.col("kind") == TERM).join(terms, "term", "left_semi").select(*rows.columns).unionByName(rows.where(F.col("kind") != TERM))
     blocks = rows.join(wanted, ["segment", "block"])
     blocks = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), groups - 1))).drop("wanted")
