@@ -21,7 +21,12 @@ sent to one group's comparison, in full and exact, not to each node it fell into
 A group of more than ``BLOCK`` sets is compared in pairs of blocks.  Before that its
 members are compared with its representative, the set with the most agreements:
 members so close to it that any two of them must be linked (see ``near``) are counted
-without being compared, and only the rest meets all others.
+without being compared, and only the rest meets all others.  Where that rest is itself
+more than a block, the group is first taken apart (see ``parts_of``): in any order of
+elements that both follow, two sets of similarity 0.8 share one of the first ninth of
+the smaller and the first fifth of the larger.  With the elements last that most of
+``SPREAD`` members hold, sets that merely share a passage have nothing in common there
+and fall away, and no link is lost.
 
 Texts with equal words are one set with a number of copies; pairs of copies are not
 formed.  Comparisons send back, for each set, how many documents it is linked to, and
@@ -38,6 +43,7 @@ and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +68,8 @@ DENSE = 0.7
 #: Sketch bytes of COORDINATES that two sets must share to be compared.
 AGREE = 35
 BLOCK = 1024
+#: Members of a large group that tell which elements are common there: a matter of order only.
+SPREAD = 16
 #: Elements held as a dense 0/1 matrix at a time.
 COLUMNS = 4096
 #: Rows of large nodes, rows of small nodes, and sets of small groups that a task holds at a time.
@@ -71,6 +79,9 @@ GROUP_ROWS = 2048
 
 SKETCH = "doc_id long, text_hash long, h1 long, h2 long, n long, mins array<int>, sketch binary"
 SETS = "rep long, elements binary, copies long, cluster long, blocks int"
+SET_COLUMNS = ("rep", "elements", "copies", "cluster", "blocks")
+CENTRES = "cluster long, blocks int, centre binary, common binary, holders binary"
+JUDGED = f"{SETS}, near boolean, marks array<long>"
 MET = "rep long, root long, degree long"
 FOUND = "rep long, links long, root long"
 
@@ -249,36 +260,71 @@ def near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     With ``a`` elements of the representative L missing and ``b`` others, two such sets
     share at least ``|L| - a1 - a2`` elements and have at most ``|L| + b1 + b2``, so
     ``10 a + 8 b <= |L|`` of each makes a similarity of 0.8.
+
+    ``marks`` are the first elements of each set, by the chosen members that hold them.  Of
+    two sets with a similarity of 0.8 the larger has at most a fifth of its own that the
+    other lacks, and the smaller at most a ninth; so with one more of each they have a
+    mark in common, which is one of the smaller's first ``|x| // 9 + 1``.
     """
     for batch in batches:
-        flags = []
-        for own, centre in zip(batch["elements"], batch["centre"], strict=True):
-            x, c = (np.frombuffer(v.as_py(), "<u8") for v in (own, centre))
-            both = len(np.intersect1d(x, c, assume_unique=True))
+        flags, marks = [], []
+        for row in zip(*(batch[n] for n in ("elements", "centre", "common", "holders")), strict=True):
+            x, c, common, holders = (np.frombuffer(v.as_py(), kind) for v, kind in zip(row, ("<u8", "<u8", "<u8", np.uint8), strict=True))
+            both = int(np.isin(x, c, assume_unique=True).sum())
             flags.append(10 * (len(c) - both) + 8 * (len(x) - both) <= len(c))
-        columns = {n: batch[n] for n in ("rep", "elements", "copies", "cluster", "blocks")}
-        yield pa.RecordBatch.from_pydict(columns | {"near": pa.array(flags, pa.bool_())})
+            times = np.zeros(len(x), np.uint8)
+            _, own, there = np.intersect1d(x, common, assume_unique=True, return_indices=True)
+            times[own] = holders[there]
+            marks.append(x[np.argsort(times, kind="stable")[: len(x) // 5 + 1]].view(np.int64))
+        columns = {n: batch[n] for n in SET_COLUMNS}
+        yield pa.RecordBatch.from_pydict(columns | {"near": pa.array(flags, pa.bool_()), "marks": pa.array(marks, pa.list_(pa.int64()))})
+
+
+def common_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements that more than one of a group's chosen members holds, and how many do, in place of these."""
+    for batch in batches:
+        common, holders = [], []
+        for members in batch["members"]:
+            values, counts = np.unique(np.concatenate([np.frombuffer(m.as_py(), "<u8") for m in members]), return_counts=True)
+            common.append(values[counts > 1].tobytes())
+            holders.append(counts[counts > 1].astype(np.uint8).tobytes())
+        columns = {n: batch[n] for n in ("cluster", "blocks", "centre")}
+        yield pa.RecordBatch.from_pydict(columns | {"common": pa.array(common, pa.binary()), "holders": pa.array(holders, pa.binary())})
+
+
+def centres_of(sets: DataFrame, met: DataFrame) -> DataFrame:
+    """``(cluster, blocks, centre, common, holders)``: each group's set with the most agreements, and elements common there."""
+    degrees = met.join(sets.select("rep", "cluster"), "rep").groupBy("cluster", "rep").agg(F.sum("degree").alias("degree"))
+    # Of each share of the members one is taken, whichever; the shares' best make the group's.
+    chance = F.xxhash64("rep", F.lit(1))
+    shares = degrees.groupBy("cluster", F.pmod(F.xxhash64("rep"), F.lit(SPREAD)).alias("share")).agg(
+        F.max(F.struct("degree", "rep")).alias("best"), F.min_by("rep", chance).alias("one")
+    )
+    chosen = shares.groupBy("cluster").agg(F.max("best")["rep"].alias("best"), F.collect_set("one").alias("ones"))
+    rep = F.explode(F.array_union(F.array("best"), F.col("ones"))).alias("rep")
+    chosen = chosen.select("cluster", "best", rep).select("cluster", "rep", (F.col("rep") == F.col("best")).alias("first"))
+    held = sets.join(chosen, ["cluster", "rep"]).groupBy("cluster", "blocks")
+    return held.agg(F.max_by("elements", "first").alias("centre"), F.collect_list("elements").alias("members")).mapInArrow(common_batches, CENTRES)
 
 
-def large_groups(sets: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tasks ``(place, i, j, rep, elements, copies, cluster, block)`` of groups of several blocks, and what needs none.
+def judged_groups(sets: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets with ``near`` and ``marks``; and of each group: members, near ones, others, the near ones' documents and root.
 
     A representative is sent once to each block of its group, and each block's members
     are compared with it there.
     """
-    deal = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    members = sets.withColumn("block", deal)
-    degrees = met.join(sets.select("rep", "cluster", "blocks"), "rep").groupBy("cluster", "rep", "blocks").agg(F.sum("degree").alias("degree"))
-    best = degrees.groupBy("cluster").agg(F.max(F.struct("degree", "rep"))["rep"].alias("rep"))
-    centres = sets.join(best, ["cluster", "rep"]).select("cluster", F.col("elements").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    judged = members.join(centres, ["cluster", "block"]).drop("block").mapInArrow(near_batches, f"{SETS}, near boolean")
-    judged = saved(judged)
+    members = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    centres = centres_of(sets, met).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    judged = saved(members.join(centres, ["cluster", "block"]).drop("block").mapInArrow(near_batches, JUDGED))
     counted = judged.groupBy("cluster").agg(
         F.count_if("near").alias("n"), F.count_if(~F.col("near")).alias("others"), F.sum(F.when(F.col("near"), F.col("copies"))).alias("documents"),
         F.min(F.when(F.col("near"), F.col("rep"))).alias("root"), F.count(F.lit(1)).alias("all"),
     )
-    counted = saved(counted)
-    known = join_groups(judged.drop("blocks"), counted, ["cluster"], "all")
+    return judged.drop("blocks"), counted
+
+
+def block_pairs(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tasks ``(place, i, j, rep, elements, copies, cluster, block)`` of judged groups, and the links that need none."""
     sure = known.where("near AND n > 1").select("rep", (F.col("documents") - F.col("copies")).alias("links"), "root")
     near_blocks, other_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "others"))
     last = near_blocks + other_blocks - 1
@@ -290,6 +336,47 @@ def large_groups(sets: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]
     return rows.select(F.col("cluster").alias("place"), i, j, "rep", "elements", "copies", "cluster", "block"), sure
 
 
+def parts_of(wide: DataFrame) -> DataFrame:
+    """``(rep, cluster)``: groups taken apart into the sets that marks connect; those that share none have no links."""
+    early = F.col("nth") <= F.floor(F.octet_length("elements") / 72)
+    marks = wide.select("rep", "cluster", "elements", F.posexplode("marks").alias("nth", "mark"))
+    marks = saved(marks.select("rep", F.xxhash64("cluster", "mark").alias("mark"), early.alias("early")))
+    shared = marks.groupBy("mark").agg(F.min("rep").alias("root"), F.count(F.lit(1)).alias("size"), F.max("early").alias("any"))
+    shared = shared.where("size > 1 AND any").drop("any")
+    return connected_sets(join_groups(marks, saved(shared), ["mark"], "size").select("rep", "root"))
+
+
+def large_groups(sets: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Tasks of groups of several blocks (see ``block_pairs``), links that need none, and sets of small groups made of them.
+
+    A group with more than a block of others is taken apart.  Its parts go the same way,
+    with representatives of their own; one that keeps ``DENSE`` of it is compared as it
+    stands, so each level has less than the last.
+    """
+    pairs, sure, small = [], [], []
+    whole = None
+    while True:
+        judged, counted = judged_groups(sets, met)
+        apart = F.col("others") > BLOCK
+        if whole is not None:
+            counted, apart = counted.join(whole, "cluster", "left"), apart & F.col("whole").isNull()
+        counted = saved(counted.withColumn("apart", apart))
+        known = join_groups(judged, counted, ["cluster"], "all")
+        tasks, links = block_pairs(known.where("NOT apart"))
+        pairs.append(tasks)
+        sure.append(links)
+        wide = known.where("apart")
+        if counted.where("apart").isEmpty():
+            return *(reduce(DataFrame.unionByName, x) for x in (pairs, sure)), reduce(DataFrame.unionByName, small) if small else None
+        parts = saved(parts_of(wide))
+        sizes = saved(parts.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")))
+        named = join_groups(parts, sizes, ["cluster"], "size").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        split = saved(wide.select("rep", "elements", "copies", "all").join(named, "rep"))
+        small.append(split.where("blocks = 1").select(*SET_COLUMNS))
+        sets = split.where("blocks > 1").select(*SET_COLUMNS)
+        whole = split.where(F.col("size") >= DENSE * F.col("all")).select("cluster").distinct().withColumn("whole", F.lit(True))
+
+
 # --- the join --------------------------------------------------------------------------
 
 
@@ -315,9 +402,14 @@ def groups_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketched = small.join(sets.select("rep", "sketch"), "rep").withColumn("task", F.pmod(F.xxhash64("node"), F.lit(tasks)))
     met = sketched.groupBy("task").applyInArrow(meet, MET)
     met = saved(met.unionByName(dense.withColumn("degree", F.lit(1).cast("long"))))
-    roots = saved(connected(met.select(F.col("rep").alias("u"), F.col("root").alias("v"))))
+    return connected_sets(met), met
+
+
+def connected_sets(links: DataFrame) -> DataFrame:
+    """``(rep, cluster)`` of the sets that ``(rep, root)`` connect."""
+    roots = saved(connected(links.select(F.col("rep").alias("u"), F.col("root").alias("v"))))
     own = roots.select("root").distinct().select(F.col("root").alias("rep"), F.col("root").alias("cluster"))
-    return own.unionByName(roots.select(F.col("v").alias("rep"), F.col("root").alias("cluster"))), met
+    return own.unionByName(roots.select(F.col("v").alias("rep"), F.col("root").alias("cluster")))
 
 
 def linked_sets(own: DataFrame, sets: DataFrame) -> DataFrame:
@@ -332,13 +424,18 @@ def linked_sets(own: DataFrame, sets: DataFrame) -> DataFrame:
     chosen = texts.join(wanted, ["no_id", "own", "text_hash"]).select(F.col("own").alias("doc_id"), "text", "rep", "copies", "cluster", "blocks")
     full = saved(chosen.mapInArrow(set_batches, SETS))
     tasks = max(1, full.count() // GROUP_ROWS)
-    in_one, none = F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("place"), F.lit(-1)
-    rows = full.where("blocks = 1").select(in_one, none.alias("i"), none.alias("j"), "rep", "elements", "copies", "cluster", none.alias("block"))
-    large = full.where("blocks > 1")
+    small, large = full.where("blocks = 1"), full.where("blocks > 1")
     if large.isEmpty():
-        return rows.groupBy("place", "i", "j").applyInArrow(compare, FOUND)
-    pairs, sure = large_groups(large, met)
-    return rows.unionByName(pairs).groupBy("place", "i", "j").applyInArrow(compare, FOUND).unionByName(sure)
+        return packed(small, tasks).groupBy("place", "i", "j").applyInArrow(compare, FOUND)
+    pairs, sure, parts = large_groups(large, met)
+    small = small if parts is None else small.unionByName(parts)
+    return packed(small, tasks).unionByName(pairs).groupBy("place", "i", "j").applyInArrow(compare, FOUND).unionByName(sure)
+
+
+def packed(small: DataFrame, tasks: int) -> DataFrame:
+    """Tasks that compare some small groups each."""
+    place, none = F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("place"), F.lit(-1)
+    return small.select(place, none.alias("i"), none.alias("j"), "rep", "elements", "copies", "cluster", none.alias("block"))
 
 
 def classes_of(docs: DataFrame) -> DataFrame:

@@ -415,6 +415,66 @@ def test_jaccard_join_finds_the_links_of_a_large_cluster(spark):
     assert got == brute.near_classes(rows)
 
 
+def alike(n, sizes=(45,)):
+    """Texts of one long passage and an end of their own: similar, but below 0.8 with 45 words each."""
+    shared = prose("long passage", 220)
+    return [(i, f"{shared} " + " ".join(f"w{i}x{k}" for k in range(sizes[i % len(sizes)]))) for i in range(n)]
+
+
+def test_jaccard_join_takes_unlike_groups_apart(spark, monkeypatch):
+    """Sets that share a passage are a group of many blocks, of which only the linked ones are compared."""
+    block, n, compared = 16, 150, []
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+
+    def seen(known):
+        pairs, sure = pairs_of(known)
+        compared.append(pairs.count())
+        return pairs, sure
+
+    pairs_of = jaccard_join.block_pairs
+    monkeypatch.setattr(jaccard_join, "block_pairs", seen)
+    rows = alike(n)
+    # A chain of copies with a few words changed, and a second passage whose texts the first's representative says nothing of.
+    copies = [(n + i, " ".join(w if k % 90 != i else f"c{i}" for k, w in enumerate(rows[7][1].split(" ")))) for i in range(60)]
+    other = [(n + 100 + i, f"{prose('other passage', 200)} {rows[i][1][:40]} " + " ".join(f"o{i}x{k}" for k in range(40))) for i in range(block // 8)]
+    docs = spark.createDataFrame(rows + copies + other, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == brute.near_classes(rows + copies + other)
+    assert sum(compared) <= (60 + block) * (60 // block + 2)
+
+
+def test_jaccard_join_keeps_what_does_not_come_apart(spark, monkeypatch):
+    """Ends so unequal that marks reach into the passage: what hangs together is compared as it stands."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rows = alike(150, range(5, 65, 3))
+    rows.append((500, rows[3][1] + " end"))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near_classes(rows)
+    assert 2 < sum(links > 0 for _, links in got.values()) < 150
+
+
+def test_similar_sets_share_a_mark():
+    """Whatever counts as common, two sets of similarity 0.8 have a common mark; the smaller has it early."""
+    import pyarrow as pa
+
+    own = random.Random(9)
+    for _ in range(300):
+        x = set(own.sample(range(10**6), own.randint(1, 90)))
+        y = set(own.sample(sorted(x), len(x) - own.randint(0, len(x) // 5))) | {own.randrange(10**6, 10**7) for _ in range(own.randint(0, len(x) // 5))}
+        if 10 * len(x & y) < 8 * len(x | y):
+            continue
+        packed = [np.array(sorted(v), "<u8").tobytes() for v in (x, y)]
+        common = np.array(sorted(own.sample(sorted(x | y), own.randint(0, len(x | y)))), "<u8")
+        holders = own.randbytes(len(common))
+        batch = pa.RecordBatch.from_pydict({
+            "rep": [0, 1], "elements": pa.array(packed, pa.binary()), "copies": [1, 1], "cluster": [0, 0],
+            "blocks": [2, 2], "centre": pa.array(packed, pa.binary()), "common": pa.array([common.tobytes()] * 2, pa.binary()),
+            "holders": pa.array([holders] * 2, pa.binary()),
+        })
+        a, b = sorted(zip((len(x), len(y)), next(jaccard_join.near_batches(iter([batch])))["marks"].to_pylist(), strict=True))
+        assert set(a[1][: a[0] // 9 + 1]) & set(b[1])
+
+
 def test_near_members_are_linked():
     """Whatever two sets pass the test against one representative, their similarity is 0.8 or more."""
     import pyarrow as pa
@@ -429,7 +489,8 @@ def test_near_members_are_linked():
     n = len(made)
     batch = pa.RecordBatch.from_pydict({
         "rep": list(range(n)), "elements": pa.array(packed, pa.binary()), "copies": [1] * n, "cluster": [0] * n,
-        "blocks": [2] * n, "centre": pa.array([packed[0]] * n, pa.binary()),
+        "blocks": [2] * n, "centre": pa.array([packed[0]] * n, pa.binary()), "common": pa.array([packed[0]] * n, pa.binary()),
+        "holders": pa.array([bytes(len(centre))] * n, pa.binary()),
     })
     flags = next(jaccard_join.near_batches(iter([batch])))["near"].to_pylist()
     near = [set(x) for x, flag in zip(made, flags, strict=True) if flag]
