@@ -168,8 +168,18 @@ def test_empty_store(spark):
 
 def test_plans_prune_and_limit_early(spark):
     """Only the columns needed are read, and top-k is cut before the last shuffle."""
-    from quarry.plans import catalog
-
+    
     plan = catalog.topk_batch(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
     assert "lang" not in plan.split("ReadSchema")[1][:120]
+
+
+def test_decimals_are_those_of_printf(spark):
+    own = random.Random(9)
+    values = [0.125, 0.375, 0.1234565, 0.5, 1.5, 0.0, -0.125, 1e15, 2.675, *(n * 64 / 1048576 for n in range(2048, 200_000, 4096)), *(round(own.random(), 9) for _ in range(2000)), *(n / 16 for n in range(64))]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None)], "i long, v double")
+    for digits in (0, 1, 2, 6):
+        got = [r["y"] for r in rows.orderBy("i").select(T.fixed(F.col("v"), digits).alias("y")).collect()]
+        assert got == [None, *(f"{v:.{digits}f}" for v in values)]
+    sizes = spark.createDataFrame([(2048,), (6144,)], "n long").select(T.size_mb(F.col("n") * 64).alias("mb"))
+    assert [r["mb"] for r in sizes.collect()] == ["0.12", "0.38"]
