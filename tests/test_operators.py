@@ -12,6 +12,7 @@ from quarry.functions.stopwords import STOP_WORDS
 from quarry.operators import answer as A
 from quarry.operators import chunking, retrieve
 from quarry.operators.index import Index
+from quarry.plans import catalog
 from quarry.sources.config import Retrieval
 
 SPACES = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
@@ -168,7 +169,8 @@ def test_empty_store(spark):
 
 def test_plans_prune_and_limit_early(spark):
     """Only the columns needed are read, and top-k is cut before the last shuffle."""
-    
+    from quarry.plans import catalog
+
     plan = catalog.topk_batch(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
     assert "lang" not in plan.split("ReadSchema")[1][:120]
@@ -183,3 +185,11 @@ def test_decimals_are_those_of_printf(spark):
         assert got == [None, *(f"{v:.{digits}f}" for v in values)]
     sizes = spark.createDataFrame([(2048,), (6144,)], "n long").select(T.size_mb(F.col("n") * 64).alias("mb"))
     assert [r["mb"] for r in sizes.collect()] == ["0.12", "0.38"]
+
+
+def test_answer_record_shows_a_score_as_its_sql_does(spark, tmp_path, monkeypatch):
+    chunks = [("7-1", "t", "s", 0.1234565), ("8-2", None, "s", 0.5), ("9-3", "u", "s", 0.25)]
+    schema = "qid long, question string, answer string, status string, coverage double, tokens long, chunks array<struct<id:string,title:string,snippet:string,score:double>>"
+    monkeypatch.setattr(catalog, "answers", lambda *_: spark.createDataFrame([(1, "q", "a", "completed", 1.0, 3, chunks)], schema))
+    # The SQL leaves a row without a title out: its parts are joined with ||.
+    assert catalog.answer_record(spark, str(tmp_path)).first()["evidence"] == "7-1 t 0.123456|9-3 u 0.250000"
