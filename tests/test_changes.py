@@ -276,3 +276,25 @@ def test_a_finished_call_is_not_made_again(spark, tmp_path):
     again = ask()
     assert again["bad"][1] == "completed" and {k: v for k, v in again.items() if k != "bad"} == {k: v for k, v in first.items() if k != "bad"}
     assert {f.name: len(f.read_text()) for f in (tmp_path / "calls").iterdir()} == {f"q{i}": 1 for i in range(20)} | {"bad": 2}
+
+
+@pytest.mark.parametrize("many_terms", [0, 1000])
+def test_many_questions_pass_all_cells(spark, tmp_path, monkeypatch, small_blocks, many_terms):
+    """Questions that are sent to cells of blocks get what the plain model gives, after a change too, and no pair of block and question is sent."""
+    for name, value in {"FEW_QUESTIONS": 0, "CELL": 3, "TILE": 16, "TILE_GROUPS": 4, "OUTER": 4, "MANY_TERMS": many_terms, "GROUP": 5}.items():
+        monkeypatch.setattr(retrieve, name, value)
+    monkeypatch.setattr(retrieve, "compared", None)
+    own = random.Random(21)
+    words = [f"w{i}" for i in range(80)] + ["common"] * 9
+    docs = {i: (f"d{i}", "t", prose(own, own.randint(1, 6), words)) for i in range(60)}
+    frame = lambda rows: spark.createDataFrame([(i, *d) for i, d in sorted(rows.items())], DOC)
+    now = Index.of(frame(docs)).write(str(tmp_path / "v0"))
+    asked = spark.createDataFrame([(i, " ".join(own.choices(words, k=own.randint(1, 9))), own.choice([0, 1, 3, 7, 40])) for i in range(23)] + [(23, " ", 3), (24, "unknown", 3), (25, None, 2)], "qid long, question string, k int")
+    for step in range(2):
+        model = {}
+        for r in retrieve.cosine_scores(asked, now).collect():
+            model.setdefault(r["qid"], []).append((r["score"], r["chunk_idx"]))
+        expected = sorted((q["qid"], rank, c, s) for q in asked.collect() for rank, (s, c) in enumerate(sorted(model.get(q["qid"], []), reverse=True)[: q["k"]], 1))
+        assert hits(asked, now, F.col("k")) == expected and len(expected) > 100
+        fresh = {60 + step: ("d3", "t", "common w1 w2"), 70 + step: ("d71", "t", prose(own, 2, words))}
+        now = now.changed(str(tmp_path / f"v{step + 1}"), spark.createDataFrame([("d3",), ("d5",), ("d71",)], "id string"), frame(fresh))
