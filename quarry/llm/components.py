@@ -6,6 +6,10 @@ end; no edges give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +38,47 @@ def star(edges: DataFrame, both_ways: bool, tasks: int) -> DataFrame:
     return moved.where(F.col("u") != F.col("v")).distinct().coalesce(tasks)
 
 
+def bunches(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that each of n is connected with by the pairs."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges, ``TASK_EDGES`` or so at a time, as stars that connect the same vertices: one edge a vertex at most."""
+    held, n = [], 0
+
+    def star_of(held: list[np.ndarray]) -> pa.RecordBatch:
+        vertices, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        root = bunches(len(vertices), a, b)
+        larger = root < np.arange(len(vertices))
+        return pa.RecordBatch.from_arrays([pa.array(vertices[larger]), pa.array(vertices[root[larger]])], ["u", "v"])
+
+    for batch in batches:
+        held.append(np.array([batch.column(c).to_numpy() for c in (0, 1)]))
+        n += batch.num_rows
+        if n >= TASK_EDGES:
+            yield star_of(held)
+            held, n = [], 0
+    if n:
+        yield star_of(held)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``(v, root)`` for each vertex that isn't the smallest of its component, from ``(u, v)`` edges."""
     larger, smaller = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     now = saved(edges.where(F.col("u") != F.col("v")).select(larger, smaller).distinct())
+    # A vertex of a large component may have very many edges; each task's are made one a vertex first.
+    now = saved(now.coalesce(1 + now.count() // TASK_EDGES).mapInArrow(forests, "u long, v long").distinct())
     mark = None
     while True:
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import SPACES, join_groups, saved, text_of, unused
-from quarry.llm.components import connected
+from quarry.llm.components import bunches, connected
 from quarry.llm.substring_dedup import FACTORS, Doc, Key, docs_of, mixed, sequence_hash
 
 SHINGLE = 5
@@ -188,20 +188,6 @@ def meet(key: Key, table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in (rep[hit], rep[root[hit]], degree[hit])], names=["rep", "root", "degree"])
 
 
-def bunches(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index that each of n is connected with by the pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 # --- comparisons -----------------------------------------------------------------------
 
 

@@ -534,6 +534,27 @@ def test_components(spark):
     assert got == {v: r for v, r in root.items() if v != r}
 
 
+def test_components_join_one_edge_a_vertex(spark):
+    """A vertex may have any number of edges; after each task's forest there is one at most."""
+    n, extra = 200, 30
+    edges = spark.range(n * extra).selectExpr("id div 30 + 1 AS u", "greatest(0, id div 30 - id % 30) AS v").coalesce(1)
+    kept = edges.mapInArrow(components.forests, "u long, v long")
+    assert edges.count() == n * extra and kept.count() == n
+    assert {r["root"] for r in components.connected(edges).collect()} == {0}
+
+
+def test_keys_are_taken_in_portions_and_by_bucket(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from quarry.llm import collocations
+
+    sizes = [3 << 20, 3 << 20, 0, 5 << 20, 1]
+    batch = pa.record_batch({"keys": pa.array([bytes(n) for n in sizes], pa.binary()), "part": np.arange(5)})
+    found = list(collocations.portions(batch))
+    assert max(len(p) for p in found) <= 2 and pa.Table.from_batches(found).equals(pa.Table.from_batches([batch]))
+
+
 # --- byte-pair encoding ----------------------------------------------------------------
 
 
