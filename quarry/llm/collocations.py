@@ -35,6 +35,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,8 +50,8 @@ RANKED = 2000
 MEMORY = "256MB"
 #: Text of a group.
 GROUP_BYTES = 8 << 20
-#: Pieces or rows that a task returns at once.
-BATCH = 1 << 15
+#: Pieces or rows that a task returns at once, and bytes of keys that it takes in at once.
+BATCH, TAKEN = 1 << 15, 4 << 20
 #: Rows of a language that are ranked together before the last ranking, and groups of these that are then ranked as one.
 RANKED_TOGETHER, MERGED = 50_000, 16
 
@@ -332,10 +333,17 @@ def database():
             found.close()
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in portions of ``TAKEN`` bytes of keys or so, as its rows may hold any number of keys."""
+    before = np.cumsum(pc.binary_length(batch.column("keys")).to_numpy(zero_copy_only=False))
+    for a, b in runs_between(before // TAKEN):
+        yield batch.slice(a, b - a)
+
+
 def stored(db, batches: Iterator[pa.RecordBatch], kind: np.dtype, bits: int) -> None:
     """Fills the table ``sent`` with a task's keys; short ones get back the bits of their bucket."""
     db.execute("CREATE TABLE sent (part BIGINT, h1 UBIGINT, h2 UINTEGER, c BIGINT)")
-    for batch in batches:
+    for batch in (part for whole in batches for part in portions(whole)):
         keys = [np.frombuffer(x, kind) for x in batch.column("keys").to_pylist()]
         sizes = [len(k) for k in keys]
         part, bucket = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("part", "bucket"))
@@ -374,10 +382,6 @@ def frequent_keys(least: int, kind: np.dtype, bits: int) -> Callable[[Iterator[p
     return run
 
 
-def tasks_for(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def phrase_counts(docs: DataFrame, least: int = LEAST, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
     """Exact counts ``(lang, phrase, f)`` of all phrases of 1 to 5 words with ``least`` occurrences, and ``(lang, n)`` words."""
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text"))
@@ -387,7 +391,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, group_bytes: int = GROUP_
     groups = own.mapInArrow(distinct_pieces(parts), PIECES).groupBy("part")
 
     def frequent(keys: DataFrame, kind: np.dtype = PAIR) -> DataFrame:
-        return keys.repartition(tasks_for(docs), "bucket").mapInArrow(frequent_keys(least, kind, bits), FREQUENT).groupBy("part")
+        # A task for each bucket: dealt by its hash, some tasks would have several.
+        return keys.repartitionById(1 << bits, F.col("bucket").cast("int")).mapInArrow(frequent_keys(least, kind, bits), FREQUENT).groupBy("part")
 
     back = frequent(groups.applyInArrow(send_words(bits), SENT))
     steps = [written(groups.cogroup(back).applyInArrow(advance(1), STEP))]
