@@ -246,8 +246,7 @@ class DocumentStore:
     def _change(self, version: int, state: State, rows: DataFrame) -> None:
         """Write documents with ``doc_ord`` and ``deleted`` as a change, and publish it."""
         own = rows.withColumns({"version": F.lit(version).cast("long"), "bucket": self.bucket(state, F.col("id"))})
-        dealt = own.repartition(min(state.buckets, self.spark.sparkContext.defaultParallelism * 4), "bucket")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(self.folder(version))
+        own.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(self.folder(version))
         found = self.spark.read.schema(CHANGED).parquet(self.folder(version))
         seen = found.groupBy("bucket").agg(F.max("doc_ord").alias("last")).collect()  # a row a bucket
         self._publish(state, version, max([state.last, *(r["last"] for r in seen)]), [], sorted(r["bucket"] for r in seen))
@@ -287,8 +286,8 @@ class DocumentStore:
         with self._turn() as (version, state):
             own = sorted(state.changes if buckets is None else buckets)
             rows = self.read(state, own).withColumn("bucket", self.bucket(state, F.col("id")))
-            # At least one row group a bucket, and a file for each, whatever its size.
-            rows.repartition(max(1, len(own)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(self.folder(version))
+            # By bucket, but a large bucket in several tasks and files.
+            rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(self.folder(version))
             self._publish(state, version, state.last, own, [])
 
     def expire(self, age: float) -> list[str]:

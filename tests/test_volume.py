@@ -46,3 +46,24 @@ def test_sweep_packs_blocks_and_sends_no_pairs(spark):
     assert sorted(got) == sorted(expected) == [1, 2]
     for qid, r in expected.items():
         assert got[qid]["chunks"] == r["chunks"] and abs(got[qid]["total"] - r["total"]) < 1e-6 and abs(got[qid]["best"] - r["best"]) < 1e-9
+
+
+def test_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    import glob
+
+    from quarry.sources.store import DocumentStore
+
+    own = DocumentStore(spark, str(tmp_path / "s"), buckets=1)
+    rows = spark.range(0, 4000, 1, 4).select(
+        F.col("id").cast("string").alias("id"), F.lit("t").alias("title"), F.concat(*(F.sha2((F.col("id") + i).cast("string"), 256) for i in range(8))).alias("text"),
+        F.create_map().cast("map<string,string>").alias("metadata"), F.col("id").alias("nth"),
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128k")
+    try:
+        own.upsert(rows)
+        own.compact()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    for version in (1, 2):
+        assert len(glob.glob(f"{own.folder(version)}/bucket=0/part-*")) > 1
+    assert own.read().count() == 4000 and own.get("17").count() == 1
