@@ -54,11 +54,11 @@ def test_large_bucket_is_written_by_several_tasks(spark, tmp_path):
     from quarry.sources.store import DocumentStore
 
     own = DocumentStore(spark, str(tmp_path / "s"), buckets=1)
-    rows = spark.range(0, 4000, 1, 4).select(
+    rows = spark.range(0, 40_000, 1, 4).select(
         F.col("id").cast("string").alias("id"), F.lit("t").alias("title"), F.concat(*(F.sha2((F.col("id") + i).cast("string"), 256) for i in range(8))).alias("text"),
         F.create_map().cast("map<string,string>").alias("metadata"), F.col("id").alias("nth"),
     )
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128k")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
     try:
         own.upsert(rows)
         own.compact()
@@ -66,4 +66,4 @@ def test_large_bucket_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     for version in (1, 2):
         assert len(glob.glob(f"{own.folder(version)}/bucket=0/part-*")) > 1
-    assert own.read().count() == 4000 and own.get("17").count() == 1
+    assert own.read().count() == 40_000 and own.get("17").count() == 1
