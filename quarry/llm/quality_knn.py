@@ -18,7 +18,8 @@ another one a twin with its words in random order, both of label 0.
 Only the model is fitted on a sample: at most ``SAMPLE`` labelled rows, those with the
 smallest hash of their id, and their twins.  So the vectors that are broadcast have a fixed bound
 (9/8 of ``SAMPLE`` x ``DIMENSIONS`` numbers, and ``TERMS`` x ``DIMENSIONS`` for the
-projection).  Rows with ``crc32(doc_id) mod 4 = 2`` are held out from fitting.
+projection).  The sample's terms are written once and read in each pass of the
+decomposition; what comes to the driver is a sum over them, and at last the latent vectors.  Rows with ``crc32(doc_id) mod 4 = 2`` are held out from fitting.
 
 Defined cases: null texts count as empty; a text without similar neighbours, as the
 empty one, scores the sample's share of label 1, and 0.5 without any labels; null
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACES, text_of
+from quarry.llm.common import SPACES, text_of, written
 from quarry.llm.substring_dedup import FACTORS, Doc, docs_of, sequence_hash
 
 SAMPLE = 4000
@@ -46,6 +47,8 @@ NEIGHBOURS = 15
 NOISE = 32
 #: Documents scored together.
 BLOCK = 256
+#: Tasks of a pass over the sample, and stretches of terms in which their sums are added up.
+FIT_TASKS, STRETCHES = 8, 8
 ACCEPTED = 0.7
 
 #: Kinds of bytes: signs of their own, then lower case (and non-ASCII), capitals, digits, spaces, the rest.
@@ -154,6 +157,15 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norm > 0, norm, 1)
 
 
+def weighed(matrix: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Terms with their rarity, each kind with its share of a vector's length; overwrites the matrix."""
+    matrix *= rarity
+    for kind, share in zip(KIND_TERMS, SHARES, strict=True):
+        norm = np.sqrt(np.einsum("ij,ij->i", matrix[:, kind], matrix[:, kind]))[:, None]
+        matrix[:, kind] *= share / np.where(norm > 0, norm, 1)
+    return matrix
+
+
 class Model:
     """Projection into the latent space, and the labelled vectors there.
 
@@ -161,41 +173,15 @@ class Model:
     package make their own object of them.
     """
 
-    def __init__(self, matrix: np.ndarray | None = None, labels: np.ndarray | None = None, dimensions: int = DIMENSIONS, **known):
-        """``matrix`` holds the labelled documents' terms, and is overwritten."""
-        if matrix is None:
-            self.__dict__ |= known | {"labels": labels}
-            return
-        n = len(matrix)
-        self.labels = labels.astype(np.float64)
-        self.prior = float(self.labels.mean()) if n else 0.5
-        self.rarity = (np.log((1 + n) / (1 + np.count_nonzero(matrix, axis=0))) + 1).astype(np.float32)
-        self.rarity[KIND_TERMS[2]] = 1
-        weighed = self.weighed(matrix)
-        # Subspace iteration for the leading right singular vectors.
-        basis = np.random.default_rng(1).standard_normal((matrix.shape[1], min(dimensions + 10, max(n, 1)))).astype(np.float32)
-        for _ in range(5):
-            basis = np.linalg.qr(weighed.T @ (weighed @ basis))[0] if n else basis
-        if n:
-            _, _, turn = np.linalg.svd(weighed @ basis, full_matrices=False)
-            basis = basis @ turn.T[:, :dimensions]
-        self.projection = basis
-        self.vectors = unit(weighed @ basis)
-
-    def weighed(self, matrix: np.ndarray) -> np.ndarray:
-        """Terms with their rarity, each kind with its share of a vector's length; overwrites the matrix."""
-        matrix *= self.rarity
-        for kind, share in zip(KIND_TERMS, SHARES, strict=True):
-            norm = np.sqrt(np.einsum("ij,ij->i", matrix[:, kind], matrix[:, kind]))[:, None]
-            matrix[:, kind] *= share / np.where(norm > 0, norm, 1)
-        return matrix
+    def __init__(self, labels: np.ndarray, prior: float, rarity: np.ndarray, projection: np.ndarray, vectors: np.ndarray):
+        self.labels, self.prior, self.rarity, self.projection, self.vectors = labels, prior, rarity, projection, vectors
 
     def score(self, matrix: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
         """The vote on each row; overwrites the matrix."""
         k = min(neighbours, len(self.labels))
         if not k:
             return np.full(len(matrix), self.prior)
-        cosine = unit(self.weighed(matrix) @ self.projection) @ self.vectors.T
+        cosine = unit(weighed(matrix, self.rarity) @ self.projection) @ self.vectors.T
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64)
         total = weight.sum(axis=1)
@@ -207,8 +193,51 @@ def held_out() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of a bounded sample of the labelled rows that aren't held out."""
+def lowest(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows with the lowest ``hash``; of those with the last one any, which have equal terms."""
+    last = rows.select("hash").orderBy("hash").limit(n).agg(F.count(F.lit(1)), F.max("hash")).first()
+    if last[0] < n:
+        return rows
+    below = rows.where(F.col("hash") < last[1])
+    return below.unionByName(rows.where(F.col("hash") == last[1]).limit(n - below.count()))
+
+
+def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """A block of packed rows at a time, and the matrix of their terms."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(a, BLOCK)
+            yield part, np.frombuffer(b"".join(part.column("terms").to_pylist()), "<f2").reshape(-1, TERMS).astype(np.float32)
+
+
+def total_of(rows: DataFrame, function) -> np.ndarray:
+    """The sum of ``function(matrix)``, which has a row for each term, over the packed rows.
+
+    Tasks send their sums in stretches of terms, which are added up apart from each other;
+    only the whole sum comes to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for _, matrix in matrices(batches):
+            own = function(matrix)
+            total = own if total is None else total + own
+        if total is not None:
+            parts = [x.astype("<f4").tobytes() for x in np.array_split(total, STRETCHES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(STRETCHES), pa.int32()), pa.array(parts, pa.binary())], ["nth", "part"])
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        # In 64 bits, so that the order of the tasks doesn't show.
+        total = sum(np.frombuffer(x.as_py(), "<f4").astype(np.float64) for x in table["part"])
+        return pa.table({"nth": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+
+    kind = "nth int, part binary"
+    found = rows.select("terms").coalesce(FIT_TASKS).mapInArrow(run, kind).groupBy("nth").applyInArrow(add, kind).collect()
+    return np.concatenate([np.frombuffer(r["part"], "<f4") for r in sorted(found, key=lambda r: r["nth"])]).reshape(TERMS, -1)
+
+
+def labelled_terms(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """``quality, terms, hash`` of a bounded sample of the labelled rows that aren't held out, and of their twins; written."""
     known = labels.where(F.col("quality").isNotNull() & ~F.coalesce(held_out(), F.lit(True)))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -224,13 +253,47 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     # At most ``sample`` ids and labels.
     joined = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("long"))
-    rows = joined.mapInArrow(run, "quality long, terms binary").orderBy(F.xxhash64("terms")).limit(sample + sample // 8).collect()
-    matrix = np.empty((len(rows), TERMS), np.float32)
-    quality = np.array([r["quality"] for r in rows], np.float64)
-    for i in range(len(rows)):
-        matrix[i] = np.frombuffer(rows[i]["terms"], "<f2")
-        rows[i] = None
-    return Model(matrix, quality)
+    rows = joined.mapInArrow(run, "quality long, terms binary").withColumn("hash", F.xxhash64("terms"))
+    rows = written(rows.repartition(FIT_TASKS, "hash").sortWithinPartitions("hash", "quality"))
+    return lowest(rows, sample + sample // 8)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS) -> Model:
+    """The model of the sample, whose terms stay in the tasks: the driver has sums over them and latent vectors."""
+    context = docs.sparkSession.sparkContext
+    rows = labelled_terms(docs, labels, sample)
+    n = rows.count()
+    found = total_of(rows, lambda matrix: np.count_nonzero(matrix, axis=0)[:, None])[:, 0] if n else np.zeros(TERMS)
+    rarity = (np.log((1 + n) / (1 + found)) + 1).astype(np.float32)
+    rarity[KIND_TERMS[2]] = 1
+    basis = np.random.default_rng(1).standard_normal((TERMS, min(dimensions + 10, max(n, 1)))).astype(np.float32)
+    if not n:
+        return Model(np.zeros(0), 0.5, rarity, basis, np.zeros((0, 1), np.float32))
+    # Subspace iteration for the leading right singular vectors.
+    for _ in range(5):
+        sent = context.broadcast((rarity, basis))
+
+        def turned(matrix: np.ndarray) -> np.ndarray:
+            own = weighed(matrix, sent.value[0])
+            return own.T @ (own @ sent.value[1])
+
+        basis = np.linalg.qr(total_of(rows, turned))[0]
+        sent.destroy()
+    sent = context.broadcast((rarity, basis))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, matrix in matrices(batches):
+            latent = [x.tobytes() for x in (weighed(matrix, sent.value[0]) @ sent.value[1]).astype("<f4")]
+            yield pa.RecordBatch.from_arrays([part.column("hash"), part.column("quality"), pa.array(latent, pa.binary())], ["hash", "quality", "latent"])
+
+    projected = rows.coalesce(FIT_TASKS).mapInArrow(project, "hash long, quality long, latent binary").collect()
+    sent.destroy()
+    projected.sort(key=lambda r: (r["hash"], r["quality"]))
+    latent = np.array([np.frombuffer(r["latent"], "<f4") for r in projected])
+    quality = np.array([r["quality"] for r in projected], np.float64)
+    _, _, turn = np.linalg.svd(latent, full_matrices=False)
+    turn = turn.T[:, :dimensions]
+    return Model(quality, float(quality.mean()), rarity, basis @ turn, unit(latent @ turn))
 
 
 def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

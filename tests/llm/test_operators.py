@@ -750,3 +750,33 @@ def test_quality_knn_is_an_exact_vote(spark, docs, rows):
             total = sum(c for c, _ in near)
             votes.append(sum(c * y for c, y in near) / total if total else model.prior)
         assert votes[0] - 2e-3 <= out[r[0]]["score"] <= votes[1] + 2e-3, r[0]
+
+
+def test_quality_knn_fits_without_the_terms(spark, monkeypatch):
+    """The driver gets sums and latent vectors, not a row of terms a document; the space is the one of the whole matrix."""
+    import pyspark.sql.classic.dataframe as frames
+
+    n, got, collect = 700, [], frames.DataFrame.collect
+
+    def counted(self):
+        rows = collect(self)
+        got.append(sum(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray))))
+        return rows
+
+    docs = spark.createDataFrame([(i, prose(i, 50)) for i in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(n)], "doc_id long, quality int")
+    monkeypatch.setattr(frames.DataFrame, "collect", counted)
+    model = quality_knn.fit(docs, labels)
+    monkeypatch.undo()
+    assert max(got) <= 4 * quality_knn.TERMS * (quality_knn.DIMENSIONS + 10) < 2 * quality_knn.TERMS * len(model.labels)
+    rows = quality_knn.labelled_terms(docs, labels, quality_knn.SAMPLE).collect()
+    assert sorted(r["quality"] for r in rows) == sorted(model.labels)
+    matrix = np.array([np.frombuffer(r["terms"], "<f2") for r in rows]).astype(np.float32)
+    assert model.rarity[: quality_knn.SHAPED] == pytest.approx((np.log((1 + len(rows)) / (1 + np.count_nonzero(matrix, axis=0))) + 1)[: quality_knn.SHAPED], rel=1e-5)
+    matrix = quality_knn.weighed(matrix, model.rarity)
+    best = np.linalg.svd(matrix, compute_uv=False)[: quality_knn.DIMENSIONS]
+    assert model.projection.T @ model.projection == pytest.approx(np.eye(quality_knn.DIMENSIONS), abs=1e-3)
+    assert ((matrix @ model.projection) ** 2).sum() >= 0.99 * (best**2).sum()
+    # A cut takes the rows with the lowest hash, however many are equal.
+    many = spark.createDataFrame([(h,) for h in [5, 3, 3, 3, 1, 3]], "hash long")
+    assert [sorted(r["hash"] for r in quality_knn.lowest(many, k).collect()) for k in (1, 3, 5, 6, 9)] == [[1], [1, 3, 3], [1, 3, 3, 3, 3], [1, 3, 3, 3, 3, 5], [1, 3, 3, 3, 3, 5]]
