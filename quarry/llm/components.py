@@ -77,12 +77,18 @@ def connected(edges: DataFrame) -> DataFrame:
     """``(v, root)`` for each vertex that isn't the smallest of its component, from ``(u, v)`` edges."""
     larger, smaller = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     now = saved(edges.where(F.col("u") != F.col("v")).select(larger, smaller).distinct())
-    # A vertex of a large component may have very many edges; each task's are made one a vertex first.
-    now = saved(now.coalesce(1 + now.count() // TASK_EDGES).mapInArrow(forests, "u long, v long").distinct())
-    mark = None
+    state = mark = None
     while True:
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == mark:
+        n = now.count() if state is None else state[0]
+        if n < TASK_EDGES:
+            # A task's edges at most: their stars are the components, without a shuffle.
+            now = saved(now.coalesce(1).mapInArrow(forests, "u long, v long"))
+        elif state is None:
+            # A vertex of a large component may have very many edges; each task's are made one a vertex first.
+            now = saved(now.coalesce(1 + n // TASK_EDGES).mapInArrow(forests, "u long, v long").distinct())
+        if n < TASK_EDGES or state is not None and state == mark:
             return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
-        mark, tasks = state, 1 + state[0] // TASK_EDGES
+        mark = state
+        tasks = 1 + n // TASK_EDGES
         now = saved(star(star(now, True, tasks), False, tasks))
+        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -543,6 +543,33 @@ def test_components_join_one_edge_a_vertex(spark):
     assert {r["root"] for r in components.connected(edges).collect()} == {0}
 
 
+def test_components_of_few_edges_take_one_task(spark):
+    """Fewer edges than a task holds are joined there, in place of rounds of shuffles."""
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    edges = spark.range(500).selectExpr("id AS u", "id + 1 AS v").unionByName(spark.range(600, 900).selectExpr("id AS u", "600L AS v"))
+    context.setJobGroup("components", "")
+    found = components.connected(edges)
+    context.setJobGroup("others", "")
+    stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+    assert len(stages) <= 12
+    assert found.rdd.getNumPartitions() == 1
+    assert {r["v"]: r["root"] for r in found.collect()} == {v: 0 for v in range(1, 501)} | {v: 600 for v in range(601, 900)}
+
+
+def test_components_of_many_edges_end_in_one_task(spark, monkeypatch):
+    """More edges than a task holds go through stars, whichever way they come to an end."""
+    own = random.Random(8)
+    edges = [(own.randrange(900), own.randrange(900)) for _ in range(700)] + [(i, i + 1) for i in range(1000, 1200)]
+    root = {v: v for e in edges for v in e}
+    for _ in range(300):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    for size in (1, 50, 600, 850, 2000):
+        monkeypatch.setattr(components, "TASK_EDGES", size)
+        got = {r["v"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+        assert got == {v: r for v, r in root.items() if v != r}, size
+
+
 def test_keys_are_taken_in_portions_and_by_bucket(spark):
     import numpy as np
     import pyarrow as pa
