@@ -193,3 +193,20 @@ def test_answer_record_shows_a_score_as_its_sql_does(spark, tmp_path, monkeypatc
     monkeypatch.setattr(catalog, "answers", lambda *_: spark.createDataFrame([(1, "q", "a", "completed", 1.0, 3, chunks)], schema))
     # The SQL leaves a row without a title out: its parts are joined with ||.
     assert catalog.answer_record(spark, str(tmp_path)).first()["evidence"] == "7-1 t 0.123456|9-3 u 0.250000"
+
+
+def test_gathered_leaves_the_texts_where_they_lie(small, spark, monkeypatch):
+    """The hits are written before the chunks are joined, so Spark sends these few rows and not the texts."""
+    docs = small[0]
+    asked, told, own = spark.createDataFrame([(1, "w3 w4"), (2, "w5"), (3, " "), (4, "w7 w8 w9")], "qid long, question string"), [], retrieve.evidence
+
+    def evidence(hits, index, documents=None):
+        told.append((hits._jdf.queryExecution().optimizedPlan().collectLeaves().size(), documents))
+        return own(hits, index, documents)
+
+    monkeypatch.setattr(retrieve, "evidence", evidence)
+    index = Index.of(docs)
+    got = {r["qid"]: r["chunks"] for r in retrieve.gathered(asked, index, 5).collect()}
+    assert got == {1: 5, 2: 5, 3: 0, 4: 5}
+    leaves, documents = told[0]
+    assert leaves == 1 and 0 < len(documents) <= 15
