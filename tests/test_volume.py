@@ -67,3 +67,23 @@ def test_large_bucket_is_written_by_several_tasks(spark, tmp_path):
     for version in (1, 2):
         assert len(glob.glob(f"{own.folder(version)}/bucket=0/part-*")) > 1
     assert own.read().count() == 40_000 and own.get("17").count() == 1
+
+
+def test_index_rows_are_carried_as_single_values(spark):
+    own = Index.of(documents(spark, 1500))
+    raw = raw_blocks(own.live_chunks)
+    assert not [f.name for f in raw.schema.fields if f.dataType.typeName() == "array"]
+    told = {r["term"]: (r["df"], r["blocks"]) for r in I.counted_terms(raw).collect()}
+    assert len(told) == 1508 and told["stone"][0] == 1500 and told["only5"] == (1, 1)
+
+
+def test_weighed_rows_leave_in_pieces(spark, monkeypatch):
+    own = Index.of(documents(spark, 1500))
+    raw = raw_blocks(own.live_chunks.coalesce(1))
+    known = I.counted_terms(raw).select("term", "df", F.lit(1).alias("spread"))
+    blocks, back = raw.where("block IS NOT NULL").toArrow(), known.where("df > 1").toArrow()
+    whole = I.weighed(0, 1500)(None, blocks, back)
+    monkeypatch.setattr(I, "SENT", 64)
+    pieces = I.weighed(0, 1500)(None, blocks, back)
+    assert len(pieces) > 1500 and pieces.combine_chunks().equals(whole.combine_chunks())
+    assert max(len(x) for x in pieces["term"].chunks) <= 64
