@@ -87,3 +87,45 @@ def test_weighed_rows_leave_in_pieces(spark, monkeypatch):
     pieces = I.weighed(0, 1500)(None, blocks, back)
     assert len(pieces) > 1500 and pieces.combine_chunks().equals(whole.combine_chunks())
     assert max(len(x) for x in pieces["term"].chunks) <= 64
+
+
+def held_cell(spark, own):
+    rows = own.blocks.select("segment", "block", "kind", "term", "places", "counts", "n").withColumn("cell", F.lit(0)).toArrow()
+    cell = retrieve.Cell(own.level)
+    for batch in retrieve.dealt_blocks()(rows.to_batches()):
+        for nth in range(batch.num_rows):
+            cell.add(batch, nth)
+    cell.close()
+    return cell
+
+
+def test_cell_holds_a_posting_in_few_bytes(spark):
+    own = Index.of(documents(spark, 3000))
+    postings, rows = own.blocks.where(F.col("kind") == I.TERM).agg(F.sum("n"), F.count(F.lit(1))).first()
+    cell = held_cell(spark, own)
+    assert sum(len(x[2]) for x in cell.tiles) == postings
+    assert sum(x.nbytes for tile in cell.tiles for x in tile) <= 4 * postings + 8 * rows + 64
+
+
+def test_cell_multiplies_some_products_at_a_time(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    cell, n = held_cell(spark, Index.of(documents(spark, 3000))), 40
+    terms = [["stone", f"w{i % 7}", f"only{i}"] for i in range(n)]
+    asked = pa.RecordBatch.from_pydict({"rows": [list(range(n))], "ks": [[5] * n], "sizes": [[3] * n], "terms": [sum(terms, [])], "weights": [[1.0, 0.5, 0.25] * n]})
+    out, add, sizes = np.empty(n * retrieve.TILE), np.add, []
+
+    class Add:
+        @staticmethod
+        def at(a, i, b):
+            sizes.append(len(i))
+            add.at(a, i, b)
+
+    whole = cell.best(asked, 0, out)
+    monkeypatch.setattr(retrieve, "PRODUCTS", 4000)
+    monkeypatch.setattr(retrieve.np, "add", Add)
+    got = cell.best(asked, 0, out)
+    monkeypatch.undo()
+    # A term's postings in a tile, or products of rare ones and one term's more.
+    assert got.equals(whole) and whole.num_rows == 5 * n and max(sizes) <= 4000 + retrieve.OUTER
