@@ -129,3 +129,27 @@ def test_cell_multiplies_some_products_at_a_time(spark, monkeypatch):
     monkeypatch.undo()
     # A term's postings in a tile, or products of rare ones and one term's more.
     assert got.equals(whole) and whole.num_rows == 5 * n and max(sizes) <= 4000 + retrieve.OUTER
+
+
+def test_moves_of_a_block_are_summed_without_an_object_a_row():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(3), 20_000
+    size, olds, news = rng.integers(1, 4, n), rng.random(n), rng.random(n)
+    places, counts = [rng.integers(0, I.BLOCK, k).astype("<i4") for k in size], [rng.integers(1, 5, k).astype("<i4") for k in size]
+    table = pa.table({"places": [x.tobytes() for x in places], "counts": [x.tobytes() for x in counts], "d_old": olds, "d_new": news})
+    key = (pa.scalar(0), pa.scalar(7))
+    I.moved(key, table)
+    tracemalloc.start()
+    [got] = I.moved(key, table).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    expected = np.zeros((2, I.BLOCK))
+    for at, c, a, b in zip(places, counts, olds, news, strict=True):
+        np.add.at(expected, (slice(None), at), np.array([c**2 * (b - a), c**2 * (b**2 - a**2)]))
+    at = np.frombuffer(got["places"], "<i4")
+    assert np.allclose(np.frombuffer(got["counts"], "<f8").reshape(2, -1), expected[:, at]) and len(at) == got["n"] == I.BLOCK
+    assert peak < 250 * n
